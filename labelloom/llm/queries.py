@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.llm import chat
 from labelloom.llm.common import read
+from labelloom.llm.exact_digest import edited_likeness
+from labelloom.llm.language_id import held_out, identify, trained
 from labelloom.llm.packing import pack
+from labelloom.llm.pii import personal_data
+from labelloom.llm.secrets import secrets
+from labelloom.llm.sentence_pieces import encoded
 from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.substring_dedup import remove_repeats
 from labelloom.llm.topk import exact_topk, quantised
@@ -16,6 +22,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m[0], m[1])), ",")
+    return chat.rotated(read(spark, sf_dir, "conversations")).withColumn("mask", mask)
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -25,14 +40,35 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, trained(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read(spark, sf_dir, "documents"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(read(spark, sf_dir, "embeddings"))
     return exact_topk(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_substring_dedup": op4_substring_dedup, "op5_simhash": op5_simhash, "op10_exact_topk": op10_exact_topk}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_chat_formatting, op3_personal_data, op4_substring_dedup, op5_simhash, op6_language_id, op7_exact_digest, op8_sentence_pieces, op9_secrets, op10_exact_topk)
+}
 
 ORACLE_SQL = {
+    "op2_chat_formatting": chat.ORACLE,
     "op10_exact_topk": """
 WITH usable AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
                 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
@@ -41,5 +77,5 @@ WITH usable AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NUL
                 FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
      ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-"""
+""",
 }
