@@ -55,6 +55,7 @@ LABELERS = ["regex", "gazetteer", "context", "shape"]
 ROUNDS = 25
 SURE = 0.95
 HASHED_WORDS = 64
+SMOOTHING = 5.0
 
 
 def digits(text: Column) -> Column:
@@ -163,7 +164,8 @@ def train(spans: DataFrame) -> dict[str, float]:
     for r in rows:
         if r["feature"]:
             yes, no = total[r["k"]]
-            weights[f"{r['k']}|{r['feature']}"] = math.log((r["yes"] + 0.5) / (yes + 0.5)) - math.log((r["no"] + 0.5) / (no + 0.5))
+            common = SMOOTHING * (r["yes"] + r["no"]) / (yes + no)  # a rare feature says little, whichever class is larger
+            weights[f"{r['k']}|{r['feature']}"] = math.log((r["yes"] + common) / (yes + SMOOTHING)) - math.log((r["no"] + common) / (no + SMOOTHING))
     return weights
 
 

@@ -81,3 +81,46 @@ def topk(vectors, k=20, every=20):
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
+
+
+def spans_of(text, kinds):
+    """kinds: (name, compiled pattern, keep); leftmost non-overlapping matches of each by start, then kind."""
+    found = []
+    for rank, (name, pattern, keep) in enumerate(kinds):
+        found += [(m.start(), rank, m.end(), name) for m in pattern.finditer(text or "") if keep(m)]
+    return [f"{n}:{s}:{e}" for s, _, e, n in sorted(found)]
+
+
+def digits(m):
+    return re.sub("[^0-9]", "", m[0])
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+PERSONAL = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 10 <= len(digits(m)) <= 15),
+]
+SECRETS = [
+    ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def digested(texts):
+    """n_chars, edited_sha256 of texts in order."""
+    out = []
+    for text, following in zip(texts, texts[1:] + texts[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        out.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), edited, following))
+    return out
