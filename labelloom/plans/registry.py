@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["tables_queries"]
+FLAGSHIP = "r_01"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "w_01"
+for _module in MODULES:
+    _found = import_module(f"labelloom.plans.{_module}")
+    QUERIES |= _found.Q
+    ORACLE_SQL |= {k: v for k, v in _found.SQL.items() if v}
