@@ -67,7 +67,8 @@ def sessions_by_gap(df: DataFrame, keys: list[str], start: str, end: str, gap: C
 def changed_only(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """Rows whose value differs from the row before; of a run of equal ones the first stays."""
     line = Window.partitionBy(*keys).orderBy(*order)
-    return df.where(~F.coalesce(value.eqNullSafe(F.lag(value).over(line)), F.lit(False)) | (F.row_number().over(line) == 1))
+    first = F.row_number().over(line) == 1
+    return df.withColumn("__new", first | ~value.eqNullSafe(F.lag(value).over(line))).where("__new").drop("__new")
 
 
 def runs(df: DataFrame, keys: list[str], position: str) -> DataFrame:
