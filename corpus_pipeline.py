@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm import secrets
@@ -18,6 +18,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 
 
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of documents with a new text. Its length is taken one step later: inside one projection, a lambda
+    that names ``text`` would see the new column of that name."""
+    return docs.select("doc_id", text.alias("__text"), "lang", "source").select("doc_id", F.col("__text").alias("text"), "lang", "source", F.length("__text").cast("long").alias("n_chars"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is a guess, go."""
     named = identify(docs, trained(docs), COLUMNS[1:])
@@ -36,15 +42,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     changed = found.where((F.col("n_removed") > 0)).select("dk", "tk", "kept").dropDuplicates(["dk", "tk"])
     keyed = docs.withColumn("dk", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))))
     joined = keyed.join(changed, ["dk", "tk"], "left").where(F.col("kept").isNull() | (F.col("kept") != ""))
-    text = F.coalesce("kept", "text")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return _with_text(joined, F.coalesce("kept", "text"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; documents stay."""
     found = secrets.secret_spans(docs, COLUMNS[1:])
-    text = secrets.redacted(F.col("text"), F.concat("base", "added"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return _with_text(found, secrets.redacted(F.col("text"), F.concat("base", "added")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
