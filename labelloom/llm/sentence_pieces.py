@@ -57,20 +57,31 @@ class Pieces:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions by the ``depth`` codes that follow them, by doubling the compared length."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank, done = rank.astype(np.int64) + 1, 1
+    """Positions by the ``depth`` codes that follow them.
+
+    Codes are numbered densely, so that the first comparison packs as many of them as 63 bits hold; then the compared
+    length doubles.
+    """
+    seen = np.zeros(int(codes.max(initial=0)) + 1, dtype=bool)
+    seen[codes] = True
+    dense = np.cumsum(seen)[codes]
+    bits = int(dense.max(initial=1)).bit_length()
+    done = min(depth, 63 // bits)
+    key = np.zeros(len(codes), dtype=np.int64)
+    for i in range(min(done, len(codes))):
+        key[: len(codes) - i] |= dense[i:] << (bits * (done - 1 - i))
     while done < depth:
-        behind = np.zeros_like(rank)
-        behind[:-done] = rank[done:]
-        _, rank = np.unique(rank * (len(rank) + 2) + behind, return_inverse=True)
-        rank, done = rank.astype(np.int64) + 1, 2 * done
-    return np.argsort(rank, kind="stable")
+        _, rank = np.unique(key, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        key = rank * (len(rank) + 2)
+        key[:-done] += rank[done:]
+        done *= 2
+    return np.argsort(key)
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """For every piece the range of the suffix array whose suffixes start with it."""
-    padded = np.concatenate([codes, np.full(pieces.longest, END, dtype=codes.dtype)])
+    padded = np.concatenate([codes, np.full(pieces.longest, -1, dtype=codes.dtype)])  # the end sorts first, as in order
 
     def bound(upper: bool) -> np.ndarray:
         low, high = np.zeros(len(pieces.ids), dtype=np.int64), np.full(len(pieces.ids), len(order), dtype=np.int64)
@@ -100,9 +111,8 @@ def edges(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     many = high - low
     piece = np.repeat(np.arange(len(many)), many)
     at = order[np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-    key = at * 32 + pieces.lengths[piece]
-    by = np.argsort(key)
-    return key[by], piece[by].astype(np.int32)
+    packed = np.sort((at * 32 + pieces.lengths[piece]) << 20 | piece)  # at most one piece for a position and length
+    return packed >> 20, (packed & ((1 << 20) - 1)).astype(np.int32)
 
 
 class Relaxation:
@@ -240,7 +250,7 @@ class Encoder:
         split = [self.split(t) for t in texts]
         if len(self.known) > WORDS_HELD:
             self._clear()
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
+        new = list(set().union(*split).difference(self.known))
         if new:
             ids, counts = self.words(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))

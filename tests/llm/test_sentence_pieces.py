@@ -26,6 +26,14 @@ def test_ids_are_those_of_the_library(library, monkeypatch):
     assert [g.tolist() for g in encoder.encode(texts[::-1])] == [g.tolist() for g in got[::-1]]
 
 
+def test_pieces_at_the_very_end(library):
+    encoder = S.Encoder()
+    for last in ("the", "in", "en", "then", "ation", "a", "ſ"):
+        for words in (["then", "into", last], ["enter", "the", "ationx", last]):
+            ids, counts = encoder.words(words)
+            assert ids.tolist() == [i for w in words for i in library.encode(w)] and counts.tolist() == [len(library.encode(w)) for w in words]
+
+
 def test_table(docs, library):
     rows = S.encoded(docs).collect()
     texts = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
