@@ -191,7 +191,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     keyed = _keyed(docs)
     scanned = cut(_scan(keyed, window), "level1")
     rows = scanned.select("doc_id", "dk", "tk", "n_words", "digest")
-    earliest = rows.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("dk").alias("first"))
+    earliest = rows.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("dk").alias("first"), F.count("*").alias("n"))
+    earliest = cut(earliest.where("n > 1").drop("n"), "copies")  # a table of its own, so that a join can split a hot digest
     rows = cut(rows.join(earliest, "digest", "left").withColumn("copy", F.col("first").isNotNull() & (F.col("dk") > F.col("first"))).drop("first"), "rows")
     originals = rows.where(~F.col("copy") & (F.col("n_words") >= window)).select("dk", "tk").distinct()
 
