@@ -75,8 +75,8 @@ def title_case(c: str | Column) -> Column:
 
 
 def version_number(c: str | Column) -> Column:
-    """First run of digits, null without one."""
-    return F.nullif(F.regexp_extract(col(c), r"(\d+)", 1), F.lit("")).cast("int")
+    """First run of digits; null without one, or where it is no version number (beyond an int)."""
+    return F.nullif(F.regexp_extract(col(c), r"(\d+)", 1), F.lit("")).try_cast("int")
 
 
 def score_value(c: str | Column) -> Column:

@@ -20,11 +20,24 @@ def with_children(parents: DataFrame, children: dict[str, tuple[DataFrame, list[
 
 
 def cross_company(products: DataFrame, baselines: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """(id, candidate): products of one name at different companies, where the candidate has an approved artwork."""
+    """(id, candidates, first): of each product, how many products of its name have an approved artwork at another
+    company, and the smallest of them. Counts and minima of each (name, company) give both; no pairs are made."""
     fold = folded if ignore_case else (lambda c: F.trim(F.col(c)))
-    own = products.select("id", F.lower(F.trim("product_name")).alias("name"), fold("marketing_company").alias("company"))
-    other = own.join(baselines.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("candidate"), "name", F.col("company").alias("other_company"))
-    return own.join(other, "name").where((F.col("company") != F.col("other_company")) & (F.col("id") != F.col("candidate"))).select("id", "candidate")
+    own = products.select("id", folded("product_name").alias("name"), fold("marketing_company").alias("company"))
+    usable = own.join(baselines.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
+    each = usable.groupBy("name", "company").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    first = each.groupBy("name").agg(F.sum("n").alias("all"), F.min(F.struct("least", "company")).alias("best"))
+    second = each.join(first, "name").where(F.col("company") != F.col("best.company")).groupBy("name").agg(F.min("least").alias("next"))
+    known = own.join(first, "name").join(second, "name", "left").join(each.select("name", "company", "n"), ["name", "company"], "left")
+    other = F.when(F.col("best.company") != F.col("company"), F.col("best.least")).otherwise(F.col("next"))
+    return known.select("id", (F.col("all") - F.coalesce("n", F.lit(0))).alias("candidates"), other.alias("first")).where("candidates > 0")
+
+
+def cross_company_candidates(wanted: DataFrame, products: DataFrame, baselines: DataFrame) -> DataFrame:
+    """(id, candidate) for a stated set of products: every candidate of each, by company."""
+    other = products.join(baselines.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("candidate"), folded("product_name").alias("name"), folded("marketing_company").alias("other_company"))
+    asked = wanted.select("id", folded("product_name").alias("name"), folded("marketing_company").alias("company"))
+    return asked.join(other, "name").where(F.col("company") != F.col("other_company")).select("id", "candidate")
 
 
 def cross_company_counts(products: DataFrame) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import folded
+from labelloom.operators.shared import cut, ranked
 
 RATIO = 0.85
-_OWN: dict[str, str] = {}
 
 
 def master_form(c: Column) -> Column:
@@ -65,8 +62,7 @@ def short_codes(df: DataFrame, name: str, order: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(name, "[^A-Za-z0-9 ]", ""), r"\s+"), lambda w: w != "")
     initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     base = F.upper(F.when(F.size(words) > 1, initials).otherwise(F.substring(F.element_at(words, 1), 1, 3)))
-    n = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    return df.withColumn("__b", base).withColumn("__n", n).withColumn("short_code", F.when(F.col("__n") == 1, F.col("__b")).otherwise(F.concat("__b", F.col("__n").cast("string")))).drop("__b", "__n")
+    return ranked(df.withColumn("__b", base), ["__b"], [order], "__n").withColumn("short_code", F.when(F.col("__n") == 1, F.col("__b")).otherwise(F.concat("__b", F.col("__n").cast("string")))).drop("__b", "__n")
 
 
 def backfill(products: DataFrame, found: DataFrame, key: str, exact: list[str], ignoring_case: list[str]) -> DataFrame:
@@ -84,19 +80,10 @@ def signals(records: DataFrame, key: str, brand: str, product: str, licence: str
     """(key, signal): brand and product, and with the licence where there is one."""
     b, p, x = folded(brand), folded(product), F.nullif(F.trim(licence), F.lit(""))
     some = (b != "") & (p != "")
-    found = F.array_compact(F.array(F.when(some, F.concat_ws("|", F.lit("bp"), b, p)), F.when(some & x.isNotNull(), F.concat_ws("|", F.lit("bpx"), b, p, x)), F.when(x.isNotNull(), F.concat_ws("|", F.lit("x"), x))))
+    found = F.array_compact(F.array(F.when(some, F.concat_ws("|", F.lit("bp"), b, p)), F.when(some & x.isNotNull(), F.concat_ws("|", F.lit("bpx"), b, p, x))))
     return records.select(key, F.explode(found).alias("signal"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="labelloom-"))
-    path = f"{folder.rstrip('/')}/families-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def families(records: DataFrame, key: str, shared: DataFrame, rounds: int = 50) -> DataFrame:
     """(key, family): records joined by shared signals, directly or through others; family is the smallest key.
 
@@ -104,14 +91,14 @@ def families(records: DataFrame, key: str, shared: DataFrame, rounds: int = 50)
     links, and every record jumps to the label of its label, until nothing changes.
     """
     nodes = shared.groupBy("signal").agg(F.min(key).alias("root"))
-    links = _cut(shared.join(nodes, "signal").select(F.col(key).alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    links = cut(shared.join(nodes, "signal").select(F.col(key).alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "families")
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("n"))
         step = label.join(near, "a").select("a", "l", F.least("l", "n").alias("m"))
         jumped = step.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", "l", F.least("m", "j").alias("new"))
-        new = _cut(jumped)
+        new = cut(jumped, "families")
         label = new.select("a", F.col("new").alias("l"))
         if new.where("new <> l").limit(1).count() == 0:
             break

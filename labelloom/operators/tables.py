@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import blank_to_null, folded, version_number
+from labelloom.operators.shared import ranked
 
 
 def key_ordered(df: DataFrame, key: str = "id", columns: list[str] | None = None) -> DataFrame:
@@ -60,16 +61,8 @@ def next_code(df: DataFrame, prefix: str, key: str = "id", width: int = 4) -> Da
 
 
 def numbered_codes(df: DataFrame, prefix: str, order: str, start: int = 0, width: int = 4) -> DataFrame:
-    """Codes for many new rows at once, gapless by ``order`` after ``start``.
-
-    Ranges of the order get their offsets from a table of their sizes, so no single task ranks all rows.
-    """
-    dealt = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    dealt = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__c"))
-    offsets = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    number = F.col("__o") + F.col("__r") + start
-    return dealt.join(F.broadcast(offsets), "__p").withColumn("code", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("__p", "__r", "__o")
+    """Codes for many new rows at once, gapless by ``order`` after ``start``."""
+    return ranked(df, [], [order], "__n").withColumn("code", F.concat(F.lit(prefix), F.lpad((F.col("__n") + start).cast("string"), width, "0"))).drop("__n")
 
 
 def csv_lines(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:

@@ -251,10 +251,10 @@ def c_05(spark, sf):
 
 
 @query("c_06", """
-WITH n AS (SELECT p_partkey, upper(CASE WHEN p_name LIKE '% %' THEN left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) ELSE left(p_name, 3) END) AS b FROM part WHERE p_partkey < 300)
+WITH n AS (SELECT p_partkey, upper(CASE WHEN p_name LIKE '% %' THEN left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) ELSE left(p_name, 3) END) AS b FROM part)
 SELECT p_partkey, CASE WHEN row_number() OVER w = 1 THEN b ELSE b || row_number() OVER w END AS short_code FROM n WINDOW w AS (PARTITION BY b ORDER BY p_partkey)""")
 def c_06(spark, sf):
-    return C.short_codes(table(spark, sf, "part").where("p_partkey < 300"), "p_name", "p_partkey").select("p_partkey", "short_code")
+    return C.short_codes(table(spark, sf, "part"), "p_name", "p_partkey").select("p_partkey", "short_code")
 
 
 @query("c_07", with_sql("product", """
@@ -267,24 +267,15 @@ def c_07(spark, sf):
 
 @query("c_08", with_sql("product", """
 SELECT id, 'bp|' || lower(brand) || '|' || lower(product_name) AS signal FROM product
-UNION ALL SELECT id, 'bpx|' || lower(brand) || '|' || lower(product_name) || '|' || fssai_number FROM product WHERE fssai_number IS NOT NULL
-UNION ALL SELECT id, 'x|' || fssai_number FROM product WHERE fssai_number IS NOT NULL"""))
+UNION ALL SELECT id, 'bpx|' || lower(brand) || '|' || lower(product_name) || '|' || fssai_number FROM product WHERE fssai_number IS NOT NULL"""))
 def c_08(spark, sf):
     return C.signals(products(spark, sf), "id", "brand", "product_name", "fssai_number")
 
 
-def family_edges(spark, sf):
-    """Suppliers that share a part of some order lines."""
-    return table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_partkey").alias("id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("signal")).distinct()
-
-
-@query("c_09", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS id, l_orderkey AS s FROM lineitem WHERE l_orderkey % 40 = 0), pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b USING (s)),
-reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
-SELECT p_partkey AS id, coalesce(min(b), p_partkey) AS family FROM part LEFT JOIN reach ON a = p_partkey GROUP BY p_partkey""")
+@query("c_09", with_sql("product", "SELECT id, min(id) OVER (PARTITION BY lower(brand), lower(product_name)) AS family FROM product"))
 def c_09(spark, sf):
-    records = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return C.families(records, "id", family_edges(spark, sf))
+    rows = products(spark, sf).select("id", "brand", "product_name", "fssai_number")
+    return C.families(rows, "id", C.signals(rows, "id", "brand", "product_name", "fssai_number"))
 
 
 @query("c_10", None)

@@ -69,10 +69,10 @@ def w_06(spark, sf):
 
 
 @query("w_06b", with_sql("artwork", """
-WITH kept AS (SELECT * FROM artwork WHERE id % 3 <> 0), lagged AS (SELECT id, version_number, lag(version_number) OVER (PARTITION BY product_id, artwork_type ORDER BY version_number) AS previous FROM kept)
+WITH kept AS (SELECT * FROM artwork WHERE status <> 'Draft'), lagged AS (SELECT id, version_number, lag(version_number) OVER (PARTITION BY product_id, artwork_type ORDER BY version_number) AS previous FROM kept)
 SELECT * FROM lagged WHERE version_number <> coalesce(previous, 0) + 1"""))
 def w_06b(spark, sf):
-    return W.version_gaps(artworks(spark, sf).where("id % 3 <> 0")).select("id", "version_number", "previous")
+    return W.version_gaps(artworks(spark, sf).where("status <> 'Draft'")).select("id", "version_number", "previous")
 
 
 @query("w_07", """
@@ -146,20 +146,27 @@ def j_03(spark, sf):
     return W.latest_approved(art).select("id")
 
 
-@query("j_04", with_sql("product, artwork", f"""
-WITH {LATEST} SELECT a.id, b.id AS candidate FROM product a JOIN product b ON lower(a.product_name) = lower(b.product_name) AND lower(a.marketing_company) <> lower(b.marketing_company)
-WHERE a.brand = 'Brand#1' AND b.brand = 'Brand#1' AND b.id IN (SELECT product_id FROM latest)"""))
+_CROSS = """WITH {latest}, u AS (SELECT * FROM product WHERE id IN (SELECT product_id FROM latest))
+SELECT a.id, count(*) AS candidates, min(b.id) AS first FROM product a JOIN u b ON lower(a.product_name) = lower(b.product_name) AND {differs} GROUP BY 1"""
+
+
+@query("j_04", with_sql("product, artwork", _CROSS.format(latest=LATEST, differs="lower(a.marketing_company) <> lower(b.marketing_company)")))
 def j_04(spark, sf):
-    some = products(spark, sf).where(F.col("brand") == "Brand#1")
-    return J.cross_company(some, W.latest_approved(artworks(spark, sf)))
+    return J.cross_company(products(spark, sf), W.latest_approved(artworks(spark, sf)))
 
 
-@query("j_05", with_sql("product, artwork", f"""
-WITH {LATEST} SELECT a.id, b.id AS candidate FROM product a JOIN product b ON lower(a.product_name) = lower(b.product_name) AND a.marketing_company <> b.marketing_company AND a.id <> b.id
-WHERE a.brand = 'Brand#2' AND b.brand = 'Brand#2' AND b.id IN (SELECT product_id FROM latest)"""))
+@query("j_05", with_sql("product, artwork", _CROSS.format(latest=LATEST, differs="a.marketing_company <> b.marketing_company")))
 def j_05(spark, sf):
-    some = products(spark, sf).where(F.col("brand") == "Brand#2")
-    return J.cross_company(some, W.latest_approved(artworks(spark, sf)), ignore_case=False)
+    return J.cross_company(products(spark, sf), W.latest_approved(artworks(spark, sf)), ignore_case=False)
+
+
+@query("j_05b", with_sql("product, artwork", f"""
+WITH {LATEST} SELECT a.id, b.id AS candidate FROM product a JOIN product b ON lower(a.product_name) = lower(b.product_name) AND a.marketing_company <> b.marketing_company
+WHERE a.id IN (7, 42) AND b.id IN (SELECT product_id FROM latest)"""))
+def j_05b(spark, sf):
+    """All candidates of two requested products."""
+    rows = products(spark, sf)
+    return J.cross_company_candidates(rows.where(F.col("id").isin(7, 42)), rows, W.latest_approved(artworks(spark, sf)))
 
 
 @query("j_04b", with_sql("product", "SELECT id, ((count(*) OVER (PARTITION BY lower(product_name))) - (count(*) OVER (PARTITION BY lower(product_name), marketing_company)))::BIGINT AS others FROM product"))
@@ -237,11 +244,11 @@ def j_14(spark, sf):
     return J.nutrition_pairs(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["pair"], "nutrient", "amount")
 
 
-_BOX = "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) * 10 AS x0, min(l_partkey % 97) * 5.0 AS y0, min(l_quantity) * 10 + 40 AS x1, min(l_partkey % 97) * 5.0 + 12 AS y1 FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2"
+_BOX = "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) * 10 AS x0, min(l_partkey % 97) * 5.0 AS y0, min(l_quantity) * 10 + 40 AS x1, min(l_partkey % 97) * 5.0 + 12 AS y1 FROM lineitem GROUP BY 1, 2"
 
 
 def boxes(spark, sf):
-    rows = table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").groupBy(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     at = rows.agg((F.min("l_quantity") * 10).alias("x0"), (F.min(F.col("l_partkey") % 97) * 5.0).cast("double").alias("y0"))
     return at.withColumn("x1", F.col("x0") + 40).withColumn("y1", F.col("y0") + 12)
 
