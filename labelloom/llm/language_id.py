@@ -147,7 +147,7 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS
     """A model from rows (text, lang) with lang not null. An empty table gives a model that answers 'und'.
 
     Document frequencies and class sizes cover all rows. The regression sees at most ``sample_rows`` of them: of each
-    language an equal share, the rows whose text hash falls below the share's part of the language.
+    language an equal share, the rows whose text hash falls below the share's part of the language, each text once.
     """
     spark = train.sparkSession
     rows = train.select(text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -173,14 +173,17 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS
         return Model([], idf, np.zeros((buckets, 0)), 1.0)
     share = sample_rows / len(languages)
     parts = spark.createDataFrame([(k, min(1.0, 0.9 * share / n) * 2.0**64 - 2.0**63) for k, n in sizes.items()], "lang string, below double")
-    sample = rows.join(F.broadcast(parts), "lang").where(F.xxhash64("text").cast("double") < F.col("below")).limit(sample_rows)
+    sample = rows.join(F.broadcast(parts), "lang").where(F.xxhash64("text").cast("double") < F.col("below")).select("text", "lang").dropDuplicates().limit(sample_rows)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([features(counts(normalised(t), buckets), idf) for t in pdf["text"]]).astype(np.float32)
+        pdf = pdf.iloc[np.random.default_rng(0).permutation(len(pdf))]
+        x = np.empty((len(pdf), buckets), dtype=np.float32)
+        for i, text in enumerate(pdf["text"]):
+            x[i] = features(counts(normalised(text), buckets), idf)
         y = pdf["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-        out = np.arange(len(y)) % 5 == 4
-        w = ftrl(x[~out], y[~out], len(languages))
-        t = temperature(x[out] @ w, y[out])
+        part = len(y) - len(y) // 5  # views, not copies
+        w = ftrl(x[:part], y[:part], len(languages))
+        t = temperature(x[part:] @ w, y[part:])
         at = np.flatnonzero(np.abs(w).sum(axis=1))
         return pd.DataFrame({"bucket": [*at, -1], "w": [*w[at].tolist(), [t]]})
 

@@ -48,12 +48,12 @@ def _values(span: Column) -> Column:
 def train(docs: DataFrame, found: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> list[float]:
     """Log-likelihood ratios of the 66 * 66 transitions, random against ordinary.
 
-    found: (base) spans of every document, all of which count. Ordinary words come from documents whose text hash
-    falls below ``sample`` of them in the mean, twice as many at most; the random digests are of fixed number.
+    found: (base) spans of every document, all of which count. Ordinary words come from ``sample`` documents in the
+    mean, whose hash of doc_id and text falls below that share; the random digests are of fixed number.
     """
     spark, size = docs.sparkSession, max(1, found.count())
     low = F.lit(min(1.0, sample / size) * 2.0**64 - 2.0**63)
-    chosen = docs.where(F.xxhash64("text").cast("double") < low).limit(2 * sample)
+    chosen = docs.where(F.xxhash64("doc_id", "text").cast("double") < low)
     cleared = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = chosen.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(cleared, F.lit(r"[A-Za-z_][A-Za-z0-9_/-]+"), F.lit(0))).alias("token"))
     valued = found.select(F.explode("base").alias("x")).select(F.lit(1).alias("label"), _values(F.col("x")).alias("token"))
