@@ -32,8 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, the one with the smallest doc_id stays; of rows with that id, each text once."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "n_chars", "lang", "source", "text"])
+    key = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("dk")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    joined = docs.select(key, *COLUMNS).join(kept, "dk", "left_semi")
+    return joined.dropDuplicates().select(*COLUMNS)  # dealt by dk already: texts move once
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
