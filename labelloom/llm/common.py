@@ -52,9 +52,5 @@ def released(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
