@@ -57,42 +57,79 @@ def marketing_company(lines: list[str]) -> str:
 
 def address(lines: list[str], company: str) -> str:
     """A labelled address, a registered office, or up to four lines after the company, until a line that begins something else."""
+    found = ""
     for pattern in (r"\baddress\s*:\s*(.+)$", r"\b(?:registered|regd\.?)\s+office\s*:?\s*(.+)$"):
         for line in lines:
-            if m := re.search(pattern, line, re.I):
-                return m[1].strip(" ,")
+            if not found and (m := re.search(pattern, line, re.I)):
+                found = m[1].strip(" ,")
     for i, line in enumerate(lines):
-        if company and company.lower() in line.lower():
-            out = []
-            for following in lines[i + 1 : i + 5]:
-                if STOP_LINE.match(following):
+        if not found and company and company.lower() in line.lower():
+            out: list[str] = []
+            for following in lines[i + 1 :]:
+                if STOP_LINE.match(following) or re.match(r"\s*(?:e-?mail|website|www)\b", following, re.I) or re.search(MARKETING, following, re.I) or len(out) == 4:
                     break
                 if not re.match(r"^\(.*\)$|.*\bdivision\b", following, re.I):
                     out.append(following.strip(" ,"))
-            return ", ".join(out)
-    return ""
+            found = ", ".join(out)
+    return re.sub(r"([A-Za-z])-\s*(\d{6})\b", r"\1 - \2", found)
 
 
-def package_size(text: str) -> str:
-    """A count with its form word that is neither a serving nor a dose; net content last."""
-    for m in re.finditer(rf"\b(\d{{1,4}})\s*(?:[A-Za-z]+\s+)?({FORMS})\b", text, re.I):
+def _counted(text: str, pattern: str) -> re.Match | None:
+    """First count with a form word that is neither a serving nor a dose."""
+    for m in re.finditer(pattern, text, re.I):
         if not SERVING.search(text[max(0, m.start() - 60) : m.start()]) and not DOSAGE.match(text[m.end() : m.end() + 40]):
-            return f"{m[1]} {m[2]}"
-    if m := re.search(rf"net\s+(?:content|quantity|qty|wt|weight)s?\s*:?\s*(\d{{1,4}}(?:\.\d+)?)\s*({FORMS}|n(?:os?)?|g|kg|ml|l)\b", text, re.I):
-        return f"{m[1]} {m[2]}"
-    return ""
+            return m
+    return None
+
+
+def package_size(text: str) -> str:
+    """The pack's count and unit.
+
+    A number with its form word comes first, unless the net content and servings times serving size agree on another
+    number. A form word with its number behind it counts if the net content does not say otherwise. Net content is last.
+    """
+    net = re.search(rf"net\s+(?:content|quantity|qty|wt|weight)s?\.?\s*:?\s*(\d{{1,4}}(?:\.\d+)?)\s*({FORMS}|n(?:os?)?|g|kg|ml|l)\b", text, re.I)
+    size = re.search(r"serving\s+size\W*(\d{1,3})\b", text, re.I)
+    servings = re.search(r"(?:no\.?\s+of\s+)?servings?\W*per\s+(?:container|pack)\W*(\d{1,3})\b", text, re.I)
+    if m := _counted(text, rf"(?<![\d.])(\d{{1,4}})\s*({FORMS})\b"):
+        agreed = net and size and servings and int(size[1]) * int(servings[1]) == float(net[1]) != int(m[1])
+        return f"{net[1] if agreed else m[1]} {m[2]}"
+    if (m := _counted(text, rf"\b({FORMS})\s+(\d{{1,4}})(?![\d.])")) and (not net or net[1] == m[2]):
+        return f"{m[2]} {m[1]}"
+    return f"{net[1]} {net[2]}" if net else ""
+
+
+_JOIN = r"(?:\s*,\s*|\s*[&+/]\s*|\s+(?i:and)\s+|-|[^\S\n]+)"
+_NAMED = re.compile(rf"\b([A-Z][A-Za-z]*(?:{_JOIN}[A-Z][A-Za-z]*){{0,3}})\s+(?i:flavou?r(?:ed)?)\b")
+_CHEMICAL = re.compile(r"^[A-Za-z ]*\b(?:phosphate|sulph?ate|sulfate|chloride|carbonate|citrate|oxide|hydroxide|bicarbonate|gluconate|lactate|malate|tartrate|acetate)s?\s*,\s*", re.I)
+
+
+def _title(name: str) -> str:
+    return re.sub(r"[A-Za-z]+", lambda w: w[0][0].upper() + w[0][1:].lower(), name.strip())
 
 
 def flavour(text: str, known: list[str]) -> str:
-    """"<Name> Flavour", then "Flavour: <Name>", then a known name in front of the ingredients; negated ones never."""
-    for pattern in (r"\b([A-Z][A-Za-z]+(?:(?:\s+and\s+|\s*[&+/]\s*|[\s-])[A-Z][A-Za-z]+){0,3})\s+flavou?r(?:ed)?\b(?!ing)", r"\bflavou?r\s*:\s*([A-Za-z]+(?:[ &-][A-Za-z]+){0,3})"):
-        for m in re.finditer(pattern, text):
-            if not NEGATED.search(text[max(0, m.start() - 250) : m.start()]) and m[1].lower() not in ("natural", "artificial", "added", "no"):
-                return m[1].strip()
+    """"<Name> Flavour" on the shortest line, then "Flavour: <Name>", then known names, joined ones first, in front of
+    the ingredients. Negated ones never count, and a chemical name in front of a comma is cut off."""
+    text = re.sub(r"([&+/,])[^\S\n]*\n\s*", r"\1 ", text)
+    found = []
+    for m in _NAMED.finditer(text):
+        before = text[max(0, m.start() - 250) : m.start()]
+        if not NEGATED.search(before) and not re.search(r"free\s+from\s+$", before, re.I) and m[1].lower() not in ("natural", "artificial", "added", "no"):
+            line = text[text.rfind("\n", 0, m.start()) + 1 : (text + "\n").index("\n", m.end())]
+            found.append((len(line), m.start(), _title(_CHEMICAL.sub("", m[1]))))
+    if found:
+        return min(found)[2]
+    if m := re.search(r"\bflavou?r\s*:\s*([A-Za-z]+(?:(?: & |[ -])[A-Za-z]+){0,3})", text, re.I):
+        return _title(m[1])
+    if not known:
+        return ""
     head = re.split(r"\bingredients?\b", text, maxsplit=1, flags=re.I)[0]
-    for name in sorted(known, key=lambda k: (-len(k), k)):
-        if (m := re.search(rf"(?<!\w){re.escape(name)}(?!\w)", head, re.I)) and not NEGATED.search(head[: m.start()]):
-            return name
+    names = "|".join(map(re.escape, sorted(known, key=lambda k: (-len(k), k))))
+    for pattern in (rf"(?<!\w)(?:{names})(?:\s*(?:,|&|\+|/|\band\b)\s*(?:{names}))+(?!\w)", rf"(?<!\w)(?:{names})(?!\w)"):
+        for m in re.finditer(pattern, head, re.I):
+            if not NEGATED.search(head[: m.start()]) and not re.match(r".{0,20}flavouring", head[m.end() :], re.I | re.S):
+                return _title(m[0])
     return ""
 
 

@@ -46,6 +46,56 @@ def test_label_text(spark):
     assert one["claims"] == ["Supports Immunity"] and got[2]["brand"] == got[3]["product"] == "" and got[2]["claims"] == []
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Net Weight: 40 Gummies", "40 Gummies"), ("Contains 25 Sticks", "25 Sticks"), ("Net Content: 40 N", "40 N"), ("Net Qty: 60 Nos", "60 Nos"), ("40Gummies in a pack", "40 Gummies"),
+        ("Serving Size: 1 Gummy\nNet Content: 40 N", "40 N"), ("2 Gummies daily.\nContains 60 Gummies", "60 Gummies"), ("nothing here", ""), ("Net Content: 40 N\n40\nGUMMIES\nStrong bones", "40 GUMMIES"),
+        ("10\nGUMMIES\nServing Size: 2 Gummies\nNo. of Serving: per container 20\nNet Content: 40 N", "40 GUMMIES"), ("10\nGUMMIES\nNet Content: 40 N", "10 GUMMIES"), ("Net Content: 40 N\nGUMMIES\n40\nHelps", "40 GUMMIES"),
+        ("Serving Size:\nGummy 1\nNet Content: 40 N", "40 N"), ("Gummies 2 daily.\nNet Content: 60 N", "60 N"), ("40 Gummies\nSticks 12", "40 Gummies"), ("Herbs) GUMMIES 60 NUTRA\nNet Content: 40 N", "40 N"), ("GUMMIES\n40\nHelps", "40 GUMMIES"),
+    ],
+)
+def test_package_size(text, want):
+    assert L.package_size(text) == want
+
+
+@pytest.mark.parametrize(
+    "text, known, want",
+    [
+        ("Lemon & Lime", ["Lemon", "Lime", "Red Plum"], "Lemon & Lime"), ("Lemon & Lime Flavour", [], "Lemon & Lime"), ("Red Plum Flavour", [], "Red Plum"), ("Lime", ["Lime"], "Lime"), ("Lime", [], ""), ("Natural Lime Flavouring", ["Lime"], ""),
+        ("Free from Artificial Flavours", [], ""), ("Lemon, Lime & Plum Flavour", [], "Lemon, Lime & Plum"), ("Lemon-Lime Flavour", [], "Lemon-Lime"), ("Vitamin D Chews - Lime Flavour", [], "Lime"), ("Lemon &\nLime Flavour", [], "Lemon & Lime"),
+        ("Lemon and Lime Flavour", [], "Lemon And Lime"), ("Lemon & Lime Flavour\n\nIngredients: Sugar, Water, Lemon-Lime Flavour, Colours", [], "Lemon & Lime"), ("Regulator (330), Dicalcium Phosphate, Lemon & Lime Flavour and Colour", [], "Lemon & Lime"),
+        ("Sodium Citrate, Lime Flavour.", [], "Lime"), ("Dicalcium Phosphate Flavour", [], "Dicalcium Phosphate"),
+    ],
+)
+def test_flavour(text, known, want):
+    assert L.flavour(text, known) == want
+
+
+BLOCK = """BRIGHTCARE HEALTH PVT. LTD.
+(An ISO Certified Company)
+12, Lake Road,
+Pune, India
+Pincode - 411001
+Customer Care: +91 20 1234 5678
+Marketed By :
+LIC. NO. 11111111111111
+Pouches not to be sold loose."""
+
+
+@pytest.mark.parametrize(
+    "text, company, place",
+    [
+        (BLOCK, "BRIGHTCARE HEALTH PVT. LTD.", "12, Lake Road, Pune, India, Pincode - 411001"), ("Marketed By: Sun Chew Pvt. Ltd.\n42 Park, Mumbai", "Sun Chew Pvt. Ltd.", "42 Park, Mumbai"), ("Marketed By:\nSun Chew Pvt. Ltd.\n42 Park", "Sun Chew Pvt. Ltd.", "42 Park"),
+        ("Marketed By:\nSun Labs Pvt Ltd.\nA Division of Sun Labs Pvt Ltd\nPlot No. 7/8, Baddi", "Sun Labs Pvt Ltd.", "Plot No. 7/8, Baddi"), ("Marketed By:\nSun Labs Pvt Ltd.\nTower 3, New Delhi- 110015", "Sun Labs Pvt Ltd.", "Tower 3, New Delhi - 110015"),
+        ("Marketed By:\nSun Labs Pvt Ltd.\nPlot no.- 3/416, Jaipur - 302021", "Sun Labs Pvt Ltd.", "Plot no.- 3/416, Jaipur - 302021"),
+    ],
+)
+def test_company_and_address(text, company, place):
+    lines = L.text_lines(text)
+    assert L.marketing_company(lines) == company and L.address(lines, company) == place
+
+
 def test_column_extractors(spark):
     assert value(spark, X.licence(F.col("t")), LABEL) == "22222222222222"
     assert value(spark, X.care_number(F.col("t")), LABEL) == "+91 20 1234 5678"
