@@ -88,11 +88,11 @@ def package_size(text: str) -> str:
     A number with its form word comes first, unless the net content and servings times serving size agree on another
     number. A form word with its number behind it counts if the net content does not say otherwise. Net content is last.
     """
-    net = re.search(rf"net\s+(?:content|quantity|qty|wt|weight)s?\.?\s*:?\s*(\d{{1,4}}(?:\.\d+)?)\s*({FORMS}|n(?:os?)?|g|kg|ml|l)\b", text, re.I)
+    net = re.search(rf"net\s+(?:content|quantity|qty|wt|weight)s?\.?\s*:?\s*(\d{{1,4}})\s*({FORMS}|n(?:os?)?)\b", text, re.I)
     size = re.search(r"serving\s+size\W*(\d{1,3})\b", text, re.I)
     servings = re.search(r"(?:no\.?\s+of\s+)?servings?\W*per\s+(?:container|pack)\W*(\d{1,3})\b", text, re.I)
     if m := _counted(text, rf"(?<![\d.])(\d{{1,4}})\s*({FORMS})\b"):
-        agreed = net and size and servings and int(size[1]) * int(servings[1]) == float(net[1]) != int(m[1])
+        agreed = net and size and servings and int(size[1]) * int(servings[1]) == int(net[1]) != int(m[1])
         return f"{net[1] if agreed else m[1]} {m[2]}"
     if (m := _counted(text, rf"\b({FORMS})\s+(\d{{1,4}})(?![\d.])")) and (not net or net[1] == m[2]):
         return f"{m[2]} {m[1]}"

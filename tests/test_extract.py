@@ -52,7 +52,7 @@ def test_label_text(spark):
         ("Net Weight: 40 Gummies", "40 Gummies"), ("Contains 25 Sticks", "25 Sticks"), ("Net Content: 40 N", "40 N"), ("Net Qty: 60 Nos", "60 Nos"), ("40Gummies in a pack", "40 Gummies"),
         ("Serving Size: 1 Gummy\nNet Content: 40 N", "40 N"), ("2 Gummies daily.\nContains 60 Gummies", "60 Gummies"), ("nothing here", ""), ("Net Content: 40 N\n40\nGUMMIES\nStrong bones", "40 GUMMIES"),
         ("10\nGUMMIES\nServing Size: 2 Gummies\nNo. of Serving: per container 20\nNet Content: 40 N", "40 GUMMIES"), ("10\nGUMMIES\nNet Content: 40 N", "10 GUMMIES"), ("Net Content: 40 N\nGUMMIES\n40\nHelps", "40 GUMMIES"),
-        ("Serving Size:\nGummy 1\nNet Content: 40 N", "40 N"), ("Gummies 2 daily.\nNet Content: 60 N", "60 N"), ("40 Gummies\nSticks 12", "40 Gummies"), ("Herbs) GUMMIES 60 NUTRA\nNet Content: 40 N", "40 N"), ("GUMMIES\n40\nHelps", "40 GUMMIES"),
+        ("Serving Size:\nGummy 1\nNet Content: 40 N", "40 N"), ("Gummies 2 daily.\nNet Content: 60 N", "60 N"), ("40 Gummies\nSticks 12", "40 Gummies"), ("Herbs) GUMMIES 60 NUTRA\nNet Content: 40 N", "40 N"), ("GUMMIES\n40\nHelps", "40 GUMMIES"), ("Net Content: 100 g", ""), ("Net Content: 40 Nutritional Information", ""), ("Net Quantity: 12 units", "12 units"),
     ],
 )
 def test_package_size(text, want):
@@ -109,7 +109,7 @@ def test_column_extractors(spark):
     assert value(spark, X.table_format(F.col("t"), ["protein"]), "Protein per 100 g") == "Detailed (per 100g)"
 
 
-@pytest.mark.parametrize("text, want", [("xxxx", True), ("----", True), ("(brand)", True), ("<<name>>", True), ("Not specified", True), ("Nutrinol", False)])
+@pytest.mark.parametrize("text, want", [("xxxx", True), ("----", True), ("(brand)", True), ("<<name>>", True), ("Not specified", True), ("Nutrinol", False), ("Company Name & Logo", True), ("(if another address)", True), ("Complete Address with Pincode", True), ("Customer care phone number", True), ("email id", True), ("TBD", True), ("Company Name Foods Ltd.", False), ("Zinc (as citrate)", False), ("", False), (None, False)])
 def test_placeholders(spark, text, want):
     assert value(spark, X.is_placeholder(F.col("t")), text) is want
 
@@ -119,6 +119,26 @@ def test_garbage(spark, text, want):
     assert value(spark, X.is_garbage(F.col("t")), text) is want
 
 
+@pytest.mark.parametrize("text, want", [("Gelatin", True), ("Gelatin Free", True), ("12.00 mm", True), ("30 g", True), ("", True), ("Mc Mc Mg", True), ("Cmyk", True), ("Matt Uv", True), ("Emboss I Gr", True), ("UV Guard Chews", False), ("Golden Milk", False), ("Sleepwell", False)])
+def test_missing_names(spark, text, want):
+    assert value(spark, X.name_is_missing(F.col("t")), text) is want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Ingredients: Corn Syrup, Sugar, Water\n(INS 1), Zinc,   Iodine. This\nfood is by nature gluten free.", "Corn Syrup, Sugar, Water (INS 1), Zinc, Iodine."), ("See ingredients: overleaf, a, b.", None), ("Ingredientes: Miel, Agua, Pectina.", "Miel, Agua, Pectina."),
+        ("Ingredients\nCorn, Sugar, Water.", "Corn, Sugar, Water."), ("Claims are\ningredient-based.\nFree of:\nA, B, C.\nIngredients: Malt, Water, Salt.", "Malt, Water, Salt."), ("Composition: A, B, C.\nPouches Mfg by: X Ltd. Y.", "A, B, C."), ("Ingredients: one, two", None),
+    ],
+)
+def test_ingredients(spark, text, want):
+    assert value(spark, X.ingredients_text(F.col("t")), text) == want
+
+
+def test_combined_badge(spark):
+    assert value(spark, X.free_from_claims(F.col("t")), "FREE FROM   GLUTEN | MILK | SOY \nFor all. By nature egg free") == ["Free From Gluten | Milk | Soy"]
+
+
 def test_lines_and_tables():
     assert G.line_numbers(np.array([100.0, 99.0, 80.0, 79.0]), np.array([10.0, 10.0, 10.0, 8.0])).tolist() == [0, 0, 1, 1]
     rows = [["Title"], ["Nutritional Information"], ["Energy", "10 kcal"], ["Protein (g)", "2 g", "4%"], ["Sodium 7 mg"], ["A", "1 g", "5%", "B", "2 g", "6%"], ["Energy", "99"], ["Storage"], ["Iron", "1"]]
