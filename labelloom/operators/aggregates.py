@@ -75,11 +75,9 @@ def palette(pixels: DataFrame, image: str) -> DataFrame:
 
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The median, and the upper median, which is an element even for even counts.
-
-    Values are counted first, so a group is as large as its number of different values.
-    """
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int")).alias("upper_median"))
+    """The median, and the upper median, which is an element even for even counts. Both aggregates hold counts of
+    values, which combine before the shuffle."""
+    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").alias("upper_median"))
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -298,8 +298,8 @@ def b_23(spark, sf):
 @query("b_24", f"WITH {R._HASH} SELECT c.vec_id, bit_count(xor(c.h, s.h))::INTEGER AS distance FROM h c, h s WHERE s.vec_id = 7")
 def b_24(spark, sf):
     h = R.hashes(spark, sf)
-    subject = h.where("vec_id = 7").limit(1).select(F.col("h").alias("s"))  # one row
-    return h.join(F.broadcast(subject)).select("vec_id", B.hash_distance(F.col("h"), F.col("s")).alias("distance"))
+    subject = h.where("vec_id = 7").first()
+    return h.select("vec_id", B.hash_distance(F.col("h"), F.lit(subject["h"] if subject else None).cast("long")).alias("distance"))
 
 
 @query("c_04", with_sql("artwork", "SELECT id, first AS other FROM (SELECT id, min(id) OVER (PARTITION BY product_id, artwork_type, version_number % 3) AS first FROM artwork) WHERE id <> first"))

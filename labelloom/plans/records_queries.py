@@ -171,8 +171,8 @@ SELECT l.product_id, l.artwork_type, CASE WHEN v IS NULL THEN 'no_artwork' WHEN
 FROM lines l LEFT JOIN high h USING (product_id, artwork_type) LEFT JOIN latest b USING (product_id, artwork_type)"""))
 def b_19(spark, sf):
     art = artworks(spark, sf)
-    kinds = art.select("artwork_type").distinct()  # five order priorities
-    lines = table(spark, sf, "customer").select(F.col("c_custkey").alias("product_id")).join(F.broadcast(kinds))
+    kinds = F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]))  # fixed values
+    lines = table(spark, sf, "customer").select(F.col("c_custkey").alias("product_id"), F.explode(kinds).alias("artwork_type"))
     return B.comparison_plan(W.highest_version(art), W.latest_approved(art), lines, ["product_id", "artwork_type"])
 
 
@@ -409,8 +409,8 @@ def r_01(spark, sf):
     """Flagship: every artwork with an approved baseline, their records compared, as the filtered comparison report."""
     based = W.with_baseline(artworks(spark, sf)).where("reference_id IS NOT NULL")
     records = labels(spark, sf).select("id", "product_name", "flavour", "claims")
-    size = table(spark, sf, "part").agg(F.count("*").alias("parts"))
-    linked = based.join(F.broadcast(size)).select("id", "reference_id", (F.col("id") % F.col("parts")).alias("a_id"), (F.col("reference_id") % F.col("parts")).alias("b_id"))
+    parts = table(spark, sf, "part").count()
+    linked = based.select("id", "reference_id", (F.col("id") % parts).alias("a_id"), (F.col("reference_id") % parts).alias("b_id"))
     side = lambda p: records.select(F.col("id").alias(f"{p}_id"), F.struct("product_name", "flavour", "claims").alias(f"{p}_r"))
     joined = linked.join(side("a"), "a_id").join(side("b"), "b_id")
     results = [B.parameter_state(F.col(f"a_r.{f}"), F.col(f"b_r.{f}")) for f in ("product_name", "flavour", "claims")]
