@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from labelloom.llm.common import cut, text_or_empty
 
 WINDOW = 20
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 LAST = 2**63 - 1
 
 _SPACE = np.zeros(256, dtype=bool)
