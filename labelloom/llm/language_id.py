@@ -25,6 +25,7 @@ EPOCHS = 3
 BATCH = 64
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 CHUNK = 1 << 20
+ROWS_AT_ONCE = 128
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 _LETTERS: list[np.ndarray] = []
 
@@ -92,8 +93,8 @@ class Model:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return langs, scores
-        for at in range(0, len(texts), 128):
-            points = [normalised(t) for t in texts[at : at + 128]]
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            points = [normalised(t) for t in texts[at : at + ROWS_AT_ONCE]]
             x = features(np.stack([counts(p, len(self.idf)) for p in points]), self.idf)
             p = softmax(x @ self.weights / self.temperature)
             for i, best in enumerate(p.argmax(axis=1)):
@@ -204,13 +205,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     kept; repeated rows stay; an empty table gives an empty result; columns not kept are ignored.
     """
     columns = ["doc_id", *(keep or [])]
-    rows = docs.select(*columns, text_or_empty().alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
+    rows = docs.select(*columns, *["text"] * ("text" not in columns))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], [*columns, "lang_pred", "score"])
+            langs, scores = [], []
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):  # texts as Python strings take several times their bytes
+                found = model.predict([t or "" for t in batch.column("text").slice(at, ROWS_AT_ONCE).to_pylist()])
+                langs += found[0]
+                scores += found[1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], [*columns, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 
