@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.text import blank, comparable, edit_share, folded, jaccard, overlap
+from labelloom.functions.text import blank, comparable, folded, jaccard, overlap
 from labelloom.operators.aggregates import mean_of_points, verdict, weighted_score
 from labelloom.operators.windows import best_row
 
@@ -25,16 +25,19 @@ OWN_COMPANY_FIELDS = ["address", "customer_care_number", "customer_care_email"]
 
 
 def is_similar(a: Column, b: Column) -> Column:
-    x, y = comparable(a), comparable(b)
-    return (x != "") & (y != "") & ((edit_share(a, b) <= EDIT_SHARE) | (overlap(a, b) >= OVERLAP))
+    return _alike(comparable(a), comparable(b))
 
 
-def five_state(a: Column, b: Column) -> Column:
-    """NOT_COMPARED, MISSING, MATCH, SIMILAR or CONFLICT."""
-    return (
-        F.when(blank(a) & blank(b), "NOT_COMPARED").when(blank(a) | blank(b), "MISSING")
-        .when(comparable(a) == comparable(b), "MATCH").when(is_similar(a, b), "SIMILAR").otherwise("CONFLICT")
-    )
+def _alike(x: Column, y: Column) -> Column:
+    """Likeness of two comparable forms."""
+    longer = F.greatest(F.length(x), F.length(y), F.lit(1))
+    return (x != "") & (y != "") & ((F.levenshtein(x, y) / longer <= EDIT_SHARE) | (overlap(x, y) >= OVERLAP))
+
+
+def five_state(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
+    """NOT_COMPARED, MISSING, MATCH, SIMILAR or CONFLICT. x and y: columns that hold the comparable forms already."""
+    x, y = comparable(a) if x is None else x, comparable(b) if y is None else y
+    return F.when(blank(a) & blank(b), "NOT_COMPARED").when(blank(a) | blank(b), "MISSING").when(x == y, "MATCH").when(_alike(x, y), "SIMILAR").otherwise("CONFLICT")
 
 
 def credit(status: Column) -> Column:
@@ -61,9 +64,10 @@ def field_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, fields: list[str],
 def weighted_fields(rows: DataFrame, same_company: bool = False) -> DataFrame:
     """Field rows with status, similarity and weight; within one company its own contact fields are left out."""
     kept = rows.where(~F.col("field").isin(OWN_COMPANY_FIELDS)) if same_company else rows
-    status = five_state(F.col("a"), F.col("b"))
+    forms = kept.withColumns({"__x": comparable("a"), "__y": comparable("b")})  # once a row, not once a rule
+    status = five_state(F.col("a"), F.col("b"), F.col("__x"), F.col("__y"))
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    return kept.withColumn("status", status).withColumns({"similarity": credit(F.col("status")), "weight": weight[F.col("field")]})
+    return forms.withColumn("status", status).drop("__x", "__y").withColumns({"similarity": credit(F.col("status")), "weight": weight[F.col("field")]})
 
 
 def weighted_comparison(rows: DataFrame, keys: tuple[str, ...] = ("a_id", "b_id")) -> DataFrame:

@@ -87,9 +87,9 @@ def equals_all(filters: dict) -> Column:
 
 def within_dates(column: str, start: str | None, end: str | None) -> Column:
     """Inclusive range to the end of the last day; a row or bound without a date passes."""
-    day = F.to_date(F.try_to_timestamp(F.col(column).cast("string")))
-    parts = [day >= F.lit(start).cast("date")] if start else []
-    parts += [day <= F.lit(end).cast("date")] if end else []
+    moment = F.col(column).try_cast("timestamp")  # nothing to do for a column of that type
+    parts = [moment >= F.lit(start).cast("timestamp")] if start else []
+    parts += [moment < F.lit(end).cast("timestamp") + F.expr("INTERVAL 1 DAY")] if end else []
     return F.coalesce(reduce(and_, parts, F.lit(True)), F.lit(True))
 
 

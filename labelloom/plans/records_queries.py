@@ -410,13 +410,12 @@ def r_01(spark, sf):
     based = W.with_baseline(artworks(spark, sf)).where("reference_id IS NOT NULL")
     records = labels(spark, sf).select("id", "product_name", "flavour", "claims")
     parts = table(spark, sf, "part").count()
-    linked = based.select("id", "reference_id", (F.col("id") % parts).alias("a_id"), (F.col("reference_id") % parts).alias("b_id"))
+    linked = based.withColumns({"a_id": F.col("id") % parts, "b_id": F.col("reference_id") % parts})
     side = lambda p: records.select(F.col("id").alias(f"{p}_id"), F.struct("product_name", "flavour", "claims").alias(f"{p}_r"))
     joined = linked.join(side("a"), "a_id").join(side("b"), "b_id")
     results = [B.parameter_state(F.col(f"a_r.{f}"), F.col(f"b_r.{f}")) for f in ("product_name", "flavour", "claims")]
-    scored = B.parameter_summary(joined.select("id", F.array(*results).alias("results")), "results")
-    comparisons = based.select("id", "product_id", "version_number", "status", F.col("uploaded_at").alias("updated_at"), "reference_id").join(scored, "id")
-    report = R.label_comparison(comparisons, products(spark, sf), {"date_from": "1996-01-01", "date_to": "1999-12-31"})
+    rows = joined.select("id", "product_id", "version_number", "status", F.col("uploaded_at").alias("updated_at"), "reference_id", F.array(*results).alias("results"))
+    report = R.label_comparison(B.parameter_summary(rows, "results"), products(spark, sf), {"date_from": "1996-01-01", "date_to": "1999-12-31"})
     return report.select("id", "product_id", "brand", "product_name", "version_number", "status", "updated_at", "reference_id", "overall", "verdict")
 
 

@@ -52,16 +52,16 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One version line for each (product, type); ties of a day go by id."""
-    line = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("product_id"),
         F.col("o_orderpriority").alias("artwork_type"),
-        F.row_number().over(line).alias("version_number"),
         chosen(F.col("o_orderstatus"), STATUS).alias("status"),
         F.col("o_orderdate").alias("uploaded_at"),
         F.col("o_totalprice").alias("byte_size"),
     )
+    line = Window.partitionBy("product_id", "artwork_type").orderBy("uploaded_at", "id")
+    return rows.withColumn("version_number", F.row_number().over(line)).select("id", "product_id", "artwork_type", "version_number", "status", "uploaded_at", "byte_size")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
