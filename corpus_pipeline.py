@@ -56,7 +56,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents that are left."""
-    return pack(docs)
+    return pack(docs, added_tokens=True)
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", one_of_each_group), ("substring dedup", without_repeats), ("secret scan", without_secrets), ("packing", packed)]

@@ -8,6 +8,8 @@ partition's offset plus its place there), and the plan maps ranks to windows.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -111,23 +113,38 @@ def best_fit_decreasing(histogram: Iterable[tuple[int, int]], capacity: int = CA
     return plan
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: str, added_tokens: bool):
     """Token ids of a text: those of the tokenizers file, by its tiktoken twin, which has the same merges and is
-    several times as fast. Strings of special tokens inside a text are ordinary text."""
+    several times as fast. With ``added_tokens`` a text is split at the file's added tokens first, as tokenizers does,
+    and each stands for its own id; without, they are ordinary text."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"] if added_tokens else []
+    if not listed:
+        return encode
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in listed):
+        raise ValueError(f"{vocabulary}: added tokens are matched as plain strings only")
+    ids = {t["content"]: t["id"] for t in listed}
+    added = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
 
+    def split(text: str) -> list[int]:
+        parts = added.split(text)
+        return encode(text) if len(parts) == 1 else [i for k, part in enumerate(parts) for i in ([ids[part]] if k % 2 else encode(part))]
 
-def tokenised_pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids: bool) -> DataFrame:
+    return split
+
+
+def tokenised_pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids: bool, added_tokens: bool) -> DataFrame:
     fields = _FIELDS + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
     names = [name for name, _ in fields]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, ranks = _encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        encode, pid, ranks = _encoder(vocabulary, added_tokens), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         types = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -145,14 +162,15 @@ def tokenised_pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(pieces, schema)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents with the window (``sequence_id``) and place in it (``offset``) of each.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids when ``with_ids``. A null or
     empty text is the end id alone; a null doc_id is kept; repeated rows are packed each; an empty table gives an
     empty result; other columns are ignored. A text of any length is cut into full windows and a remainder.
+    Added tokens of the vocabulary inside a text get their own ids with ``added_tokens``, as tokenizers gives them.
     """
-    cutted = cut(tokenised_pieces(docs, capacity, vocabulary, with_ids), "pieces")
+    cutted = cut(tokenised_pieces(docs, capacity, vocabulary, with_ids, added_tokens), "pieces")
     counts = cutted.groupBy("pid", "length").agg(F.count("*").alias("pieces"))
     histogram = [(r["length"], r["pieces"]) for r in counts.groupBy("length").agg(F.sum("pieces").alias("pieces")).collect()]
     plan = best_fit_decreasing(histogram, capacity)

@@ -19,7 +19,7 @@ from labelloom.llm.topk import exact_topk, quantised
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
