@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,7 @@ def master_form(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s-]+", " "))
 
 
-def snap_score(candidate: Column, master: Column) -> Column:
-    """1 for equal, 0.9 for whole-word containment either way, else the edit ratio over both lengths, from 0.85 on."""
-    a, b = master_form(candidate), master_form(master)
+def form_score(a: Column, b: Column) -> Column:
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
     inside = (a != "") & (b != "") & (F.contains(padded(a), padded(b)) | F.contains(padded(b), padded(a)))
     size = F.length(a) + F.length(b)
@@ -25,21 +25,69 @@ def snap_score(candidate: Column, master: Column) -> Column:
     return F.when((a == "") | (b == ""), None).when(a == b, 1.0).when(inside, 0.9).when(ratio >= RATIO, ratio)
 
 
-def snapped(values: DataFrame, value: str, masters: DataFrame, master: str, order: str, limit: int = 10_000) -> DataFrame:
+def snap_score(candidate: Column, master: Column) -> Column:
+    """1 for equal, 0.9 for whole-word containment either way, else the edit ratio over both lengths, from 0.85 on."""
+    return form_score(master_form(candidate), master_form(master))
+
+
+def _counts(forms: DataFrame, number: Column) -> Column:
+    """The distinct numbers (of words or characters) of all forms, as a literal array: as many as the longest at most."""
+    return F.lit(sorted(r[0] for r in forms.select(number).distinct().collect())).cast("array<int>")
+
+
+def _shorter_runs(form: str, counts: Column) -> Column:
+    """All runs of neighbouring words of a form, without the whole, of the lengths in ``counts``."""
+    words = F.split(form, " ")
+    starts = lambda n: F.sequence(F.lit(1), F.size(words) - n + 1)
+    runs = F.transform(F.filter(counts, lambda n: n < F.size(words)), lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return F.array_distinct(F.flatten(runs))
+
+
+def _segment_keys(forms: DataFrame, form: str, others: Column, is_master: bool) -> DataFrame:
+    """``forms`` with ``__k``: two forms whose edit ratio is 0.85 or more share a key.
+
+    At this ratio a value of x and a master of y characters are at most k = 0.15 (x + y) edits apart. The master is cut
+    into k + 1 segments. Of these one is whole in the value, with at most as many edits before it as segments, and no
+    more edits after it than are left; that bounds its place. The key is x, y, the segment and its number.
+    """
+    mine, other = F.length(form), F.col("__other")
+    x, y = (other, mine) if is_master else (mine, other)
+    sized = forms.withColumn("__other", F.explode(others)).select("*", x.alias("__x"), y.alias("__y")).withColumn("__e", F.expr("cast((15 * (__x + __y)) div 100 as int)"))
+    numbered = sized.where("abs(__x - __y) <= __e").withColumn("__i", F.explode(F.sequence(F.lit(0), "__e")))
+    cuts = numbered.select("*", F.expr("cast((__i * __y) div (__e + 1) as int)").alias("__p"), F.expr("cast(((__i + 1) * __y) div (__e + 1) as int)").alias("__q"))
+    if is_master:
+        placed = cuts.withColumn("__at", F.col("__p"))
+    else:
+        low, high = F.expr("greatest(__p - __i, __p + __x - __y - __e + __i, 0)"), F.expr("least(__p + __i, __p + __x - __y + __e - __i, __x - __q + __p)")
+        placed = cuts.withColumn("__at", F.explode(F.when(low <= high, F.sequence(low, high))))
+    segment = F.substring(F.col(form), F.col("__at") + 1, F.col("__q") - F.col("__p"))
+    return placed.select(*forms.columns, F.xxhash64("__x", "__y", "__i", segment).alias("__k"))
+
+
+def snapped(values: DataFrame, value: str, masters: DataFrame, master: str, order: str) -> DataFrame:
     """(value, master, score): the best master for each distinct value that has one; ties go to list order.
 
-    Masters are a curated list: up to ``limit`` of them are broadcast and every distinct value meets each. A longer
-    list is met through shared keys instead (first, second and third word, and deletions of one character would be
-    needed for the ratio), so it is refused here.
+    Values and masters meet by keys that are exact for the three rules, so lists of any length do: equal forms, forms
+    equal to a run of words, and segments for the edit ratio. Only the last gives pairs that are to be scored. Its keys
+    grow with the square of a form's length, for each length that the other side has.
     """
-    listed = masters.select(F.col(master).alias("__m"), F.col(order).alias("__o"))
-    if listed.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} masters")
-    distinct = values.select(value).where(F.col(value).isNotNull()).distinct()
-    options = F.broadcast(listed.agg(F.array_sort(F.collect_list(F.struct("__o", "__m"))).alias("__all")))
-    scored = F.filter(F.transform("__all", lambda x: F.struct(snap_score(F.col(value), x["__m"]).alias("score"), (-x["__o"]).alias("at"), x["__m"].alias("master"))), lambda x: x["score"].isNotNull())
-    best = distinct.join(options).select(value, F.array_max(scored).alias("b")).where(F.col("b").isNotNull())
-    return best.select(value, F.col("b.master").alias("master"), F.col("b.score").alias("score"))
+    listed = masters.select(master_form(F.col(master)).alias("__b"), F.struct(F.col(order).alias("o"), F.col(master).alias("m")).alias("__m"))
+    forms = cut(listed.where("__b <> ''").groupBy("__b").agg(F.min("__m").alias("__m")), "masters")
+    distinct = cut(values.select(value).where(F.col(value).isNotNull()).distinct().withColumn("__a", master_form(F.col(value))), "values")
+    asked = distinct.select("__a").where("__a <> ''").distinct()
+    words = lambda c: F.size(F.split(c, " "))
+
+    def found(pairs: DataFrame, score: Column) -> DataFrame:
+        return pairs.select("__a", F.struct((-score).alias("s"), "__m.o", "__m.m").alias("__c"))
+
+    same = F.col("__a") == F.col("__b")
+    inside_value = asked.withColumn("__b", F.explode(_shorter_runs("__a", _counts(forms, words("__b"))))).join(forms, "__b")
+    runs = forms.select(F.explode(_shorter_runs("__b", _counts(asked, words("__a")))).alias("__a"), "__m").groupBy("__a").agg(F.min("__m").alias("__m"))
+    rest = _segment_keys(asked.join(forms, same, "left_anti"), "__a", _counts(forms, F.length("__b")), False)
+    near = rest.join(_segment_keys(forms, "__b", _counts(asked, F.length("__a")), True), "__k").withColumn("__s", form_score(F.col("__a"), F.col("__b"))).where("__s IS NOT NULL")
+    every = [found(asked.join(forms, same), F.lit(1.0)), found(inside_value, F.lit(0.9)), found(asked.join(runs, "__a"), F.lit(0.9)), found(near, F.col("__s"))]
+    best = reduce(DataFrame.unionByName, every).groupBy("__a").agg(F.min("__c").alias("__c"))
+    return distinct.join(best, "__a").select(value, F.col("__c.m").alias("master"), (-F.col("__c.s")).alias("score"))
 
 
 def duplicate_masters(masters: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:

@@ -121,9 +121,8 @@ s AS (SELECT value, master, CASE WHEN lower(value) = lower(master) THEN 1.0 ELSE
 SELECT value, arg_min(master, (-score, master)) AS master, max(score)::DOUBLE AS score FROM s WHERE score >= 0.85 GROUP BY 1""")
 def j_15(spark, sf):
     part = table(spark, sf, "part")
-    names = part.where("p_size > 25").select(F.col("p_brand").alias("m")).distinct()
-    masters = names.withColumn("o", F.row_number().over(W.Window.orderBy("m")))  # the brand list
-    return C.snapped(part.select(F.col("p_brand").alias("value")), "value", masters, "m", "o")
+    names = part.where("p_size > 25").select(F.col("p_brand").alias("m")).distinct()  # the brand list
+    return C.snapped(part.select(F.col("p_brand").alias("value")), "value", names, "m", "m")
 
 
 def _weighted(spark, sf):
@@ -482,9 +481,8 @@ def k_03(spark, sf):
     rows = labels(spark, sf).select("id", F.when(F.col("id") % 3 == 0, F.lit("a bc de")).otherwise(F.lower("brand_name")).alias("flat"), F.upper("brand_name").alias("ordered"))
     clean = lambda c: F.when(~X.is_garbage(F.col(c)), F.col(c))
     read = rows.select("id", F.coalesce(clean("flat"), clean("ordered")).alias("value"))
-    brands = labels(spark, sf).select(F.col("brand_name").alias("m")).distinct()
-    masters = brands.withColumn("o", F.row_number().over(W.Window.orderBy("m")))  # the brand list
-    return read.join(C.snapped(read, "value", masters, "m", "o"), "value", "left").select("id", F.col("master").alias("brand"))
+    brands = labels(spark, sf).select(F.col("brand_name").alias("m")).distinct()  # the brand list
+    return read.join(C.snapped(read, "value", brands, "m", "m"), "value", "left").select("id", F.col("master").alias("brand"))
 
 
 @query("k_05", with_sql("label", "SELECT id, product_name FROM label"))

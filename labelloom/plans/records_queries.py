@@ -219,11 +219,10 @@ s AS (SELECT v, m, CASE WHEN a = b THEN 1.0 WHEN contains(' ' || a || ' ', ' ' |
 SELECT v AS value, arg_min(m, (-score, m)) AS master, max(score)::DOUBLE AS score FROM s WHERE score >= 0.85 GROUP BY 1""")
 def c_01(spark, sf):
     part = table(spark, sf, "part")
-    names = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("m")).distinct()
-    masters = names.withColumn("o", F.row_number().over(W.Window.orderBy("m")))  # the master list: distinct names
+    names = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("m")).distinct()  # the master list, in the order of names
     key = F.col("p_partkey") % 3
     values = part.select(F.when(key == 0, F.upper("p_name")).when(key == 1, F.replace("p_name", F.lit("e"), F.lit(""))).otherwise(F.concat("p_name", F.lit(" pack"))).alias("value"))
-    return C.snapped(values, "value", masters, "m", "o")
+    return C.snapped(values, "value", names, "m", "m")
 
 
 @query("c_02", with_sql("product", "SELECT a.id, min(b.id) AS other FROM product a JOIN product b ON lower(a.brand) = lower(b.brand) AND lower(a.product_name) = lower(b.product_name) AND lower(a.marketing_company) = lower(b.marketing_company) GROUP BY 1"))
