@@ -8,23 +8,23 @@ with one temperature on sample rows that the training leaves out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import text_or_empty
+from labelloom.llm.common import cut, text_or_empty
 
 BUCKETS = 1 << 13
-SAMPLE_ROWS = 6000  # training rows at most
+SAMPLE_ROWS = 4000  # training rows at most
 EPOCHS = 3
 BATCH = 64
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ROWS_AT_ONCE = 128
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 _LETTERS: list[np.ndarray] = []
@@ -41,38 +41,48 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def normalised(text: str) -> np.ndarray:
-    """Code points of the text's letters, with one space between words and at the ends; empty without letters."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    table = _letters()
-    low = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], np.uint32(ord(" ")))
-    high = np.flatnonzero(points >= len(table))
-    if len(high):
-        low[high] = [p if chr(p).isalpha() else 32 for p in points[high]]
-    space = low == 32
-    if space.all():
-        return np.empty(0, dtype=np.uint32)
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1]
-    keep[0] = not space[0]
-    low = low[keep]
-    return np.concatenate([[32], low, [32]] if low[-1] != 32 else [[32], low]).astype(np.uint64)
-
-
-def counts(points: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket's n-grams occur. A long text is counted in chunks."""
-    total = np.zeros(buckets)
+def letter_blocks(text: str) -> Iterator[np.ndarray]:
+    """Code points of the text's letters with one space between words and at the ends; nothing without letters.
+
+    A block comes from CHUNK characters of the text, so a text of any length takes bounded memory.
+    """
+    table, last = _letters(), 0
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        low = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], np.uint32(ord(" ")))
+        high = np.flatnonzero(points >= len(table))
+        if len(high):
+            low[high] = [p if chr(p).isalpha() else 32 for p in points[high]]
+        space = low == 32
+        if not last and space.all():
+            continue
+        keep = ~space
+        keep[1:] |= space[1:] & ~space[:-1]
+        keep[0] = not space[0] or last != 32
+        low = low[keep]
+        if not last and low[0] != 32:
+            low = np.concatenate([[32], low])
+        if len(low):
+            last = int(low[-1])
+            yield low.astype(np.uint64)
+    if last not in (0, 32):
+        yield np.array([32], dtype=np.uint64)
+
+
+def counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """How often each bucket's n-grams occur in the text; all zero if it has no letter."""
+    total, held = np.zeros(buckets), np.empty(0, dtype=np.uint64)
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
-    for at in range(0, len(points), CHUNK):
-        part = points[at : at + CHUNK + 2]
-        new = min(CHUNK, len(points) - at)
-        key = part.copy()
-        for order, odd in enumerate(_ORDERS):
+    for block in letter_blocks(text):
+        part = key = np.concatenate([held, block])
+        for order, odd in enumerate(_ORDERS):  # n-grams that end in the new block
             if order:
                 if len(part) <= order:
                     break
-                key = (key[: len(part) - order] << np.uint64(21)) | part[order:]
-            total += np.bincount(((key[:new] * odd) >> shift).astype(np.int64), minlength=buckets)
+                key = (key[:-1] << np.uint64(21)) | part[order:]
+            new = key[max(0, len(held) - order) :]
+            total += np.bincount(((new * odd) >> shift).astype(np.int64), minlength=buckets)
+        held = part[-2:]
     return total
 
 
@@ -88,18 +98,18 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray  # buckets * languages
     temperature: float
+    floor: float = 0.0  # scores below are a toss-up
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return langs, scores
         for at in range(0, len(texts), ROWS_AT_ONCE):
-            points = [normalised(t) for t in texts[at : at + ROWS_AT_ONCE]]
-            x = features(np.stack([counts(p, len(self.idf)) for p in points]), self.idf)
-            p = softmax(x @ self.weights / self.temperature)
-            for i, best in enumerate(p.argmax(axis=1)):
-                if len(points[i]):
-                    langs[at + i], scores[at + i] = self.languages[best], float(min(1.0, p[i, best]))
+            count = np.stack([counts(t, len(self.idf)) for t in texts[at : at + ROWS_AT_ONCE]])
+            p = softmax(features(count, self.idf) @ self.weights / self.temperature)
+            for i in np.flatnonzero(count.any(axis=1)):
+                best = int(p[i].argmax())
+                langs[at + i], scores[at + i] = self.languages[best], float(min(1.0, p[i, best]))
         return langs, scores
 
 
@@ -108,9 +118,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights by proximal follow-the-regularised-leader, in small batches with one rate per coordinate."""
-    z = np.zeros((x.shape[1], classes))
+@dataclass
+class Rows:
+    """Sparse count rows: the buckets and counts of row i are those from starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+
+    def features(self, rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Dense features of a few rows."""
+        out = np.zeros((len(rows), len(idf)))
+        for line, r in zip(out, rows, strict=True):
+            part = slice(self.starts[r], self.starts[r + 1])
+            line[self.at[part]] = self.n[part]
+        return features(out, idf)
+
+
+def ftrl(x: Callable[[np.ndarray], np.ndarray], y: np.ndarray, width: int, classes: int, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights by proximal follow-the-regularised-leader, in small batches with one rate per coordinate.
+
+    x: gives the dense feature rows of some row numbers; y: the class of every row.
+    """
+    z = np.zeros((width, classes))
     squares = np.zeros_like(z)
     target = np.eye(classes)[y]
 
@@ -119,11 +149,11 @@ def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS) -> np
 
     rng = np.random.default_rng(0)
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), BATCH):
             rows = order[at : at + BATCH]
-            w = current()
-            gradient = x[rows].T @ (softmax(x[rows] @ w) - target[rows])
+            w, dense = current(), x(rows)
+            gradient = dense.T @ (softmax(dense @ w) - target[rows])
             sigma = (np.sqrt(squares + gradient**2) - np.sqrt(squares)) / ALPHA
             z += gradient - sigma * w
             squares += gradient**2
@@ -144,58 +174,90 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(losses))])
 
 
+def _scanned(rows: DataFrame, buckets: int) -> DataFrame:
+    """What training needs of rows (text, lang, chosen), from one scan: (bucket, n) document frequencies of each task,
+    bucket -1 being its documents, and (key, lang, at, n_at) sparse counts of each chosen row. No text leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "n", "key", "lang", "at", "n_at"]
+        total, size = np.zeros(buckets, dtype=np.int64), 0
+        for batch in batches:
+            keys, langs, places, times = [], [], [], []
+            for text, lang, chosen in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                count = counts(text, buckets)
+                total += count > 0
+                size += 1
+                if chosen.as_py():
+                    at = np.flatnonzero(count)
+                    keys.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+                    langs.append(lang.as_py())
+                    places.append(at.astype("<u2").tobytes())
+                    times.append(np.minimum(count[at], 65535).astype("<u2").tobytes())
+            nothing = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing, pa.array(keys, pa.binary()), pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(times, pa.binary())], names)
+        at = np.flatnonzero(total)
+        none = [pa.nulls(len(at) + 1, t) for t in (pa.binary(), pa.string(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], type=pa.int32()), pa.array([*total[at], size], type=pa.int64()), *none], names)
+
+    return rows.mapInArrow(run, "bucket int, n long, key binary, lang string, at binary, n_at binary")
+
+
 def fit(train: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from rows (text, lang) with lang not null. An empty table gives a model that answers 'und'.
 
     Document frequencies and class sizes cover all rows. The regression sees at most ``sample_rows`` of them: of each
     language an equal share, the rows whose text hash falls below the share's part of the language, each text once.
+    A row of the sample takes 4 bytes for each bucket that it has, so one task trains on 4 * buckets * sample_rows
+    bytes at most (128 MB with the defaults, about a tenth in practice), however long the texts are. ``buckets`` may
+    be 65,536 at most. The model's floor lies a third of the way from a toss-up to the lowest score of a calibration
+    row that is answered right.
     """
     spark = train.sparkSession
     rows = train.select(text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(buckets, dtype=np.int64), 0
-        for batch in batches:
-            for text in batch.column(0):
-                total += counts(normalised(text.as_py()), buckets) > 0
-                n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], type=pa.int32()), pa.array([*total[at], n], type=pa.int64())], ["bucket", "n"])
-
-    found = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    seen = {r["bucket"]: r["n"] for r in found}
-    size = seen.pop(-1, 0)
-    document = np.zeros(buckets)
-    document[list(seen)] = list(seen.values())
-    idf = np.log((1 + size) / (1 + document)) + 1
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], idf, np.zeros((buckets, 0)), 1.0)
+        return Model([], np.zeros(buckets), np.zeros((buckets, 0)), 1.0)
     share = sample_rows / len(languages)
     parts = spark.createDataFrame([(k, min(1.0, 0.9 * share / n) * 2.0**64 - 2.0**63) for k, n in sizes.items()], "lang string, below double")
-    sample = rows.join(F.broadcast(parts), "lang").where(F.xxhash64("text").cast("double") < F.col("below")).select("text", "lang").dropDuplicates().limit(sample_rows)
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.random.default_rng(0).permutation(len(pdf))]
-        x = np.empty((len(pdf), buckets), dtype=np.float32)
-        for i, text in enumerate(pdf["text"]):
-            x[i] = features(counts(normalised(text), buckets), idf)
-        y = pdf["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-        part = len(y) - len(y) // 5  # views, not copies
-        w = ftrl(x[:part], y[:part], len(languages))
-        t = temperature(x[part:] @ w, y[part:])
-        at = np.flatnonzero(np.abs(w).sum(axis=1))
-        return pd.DataFrame({"bucket": [*at, -1], "w": [*w[at].tolist(), [t]]})
-
-    learned = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: learn(pdf.sort_values(["text", "lang"], ignore_index=True)), "bucket int, w array<double>").collect()
-    weights, heat = np.zeros((buckets, len(languages))), 1.0
-    for r in learned:
+    chosen = rows.join(F.broadcast(parts), "lang").select("text", "lang", (F.xxhash64("text").cast("double") < F.col("below")).alias("chosen"))
+    scanned = cut(_scanned(chosen, buckets), "language")
+
+    seen = {r["bucket"]: r["n"] for r in scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    size = seen.pop(-1, 0)
+    document = np.zeros(buckets)
+    document[list(seen)] = list(seen.values())
+    idf = np.log((1 + size) / (1 + document)) + 1
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("lang", "ascending")])[:sample_rows]
+        packed = {name: table.column(name).combine_chunks() for name in ("at", "n_at")}
+        at, n = (np.frombuffer(b"".join(x.as_py() for x in packed[name]), dtype="<u2") for name in ("at", "n_at"))
+        lengths = np.array([len(x.as_py()) // 2 for x in packed["at"]], dtype=np.int64)
+        sample = Rows(np.concatenate([[0], np.cumsum(lengths)]), at, n)
+        y = np.array([languages.index(k) for k in table.column("lang").to_pylist()], dtype=np.int64)
+        order = np.random.default_rng(0).permutation(len(y))
+        part = len(y) - len(y) // 5
+        w = ftrl(lambda r: sample.features(order[r], idf), y[order[:part]], buckets, len(languages))
+        held = order[part:]
+        scores = np.concatenate([np.zeros((0, len(languages))), *(sample.features(held[i : i + BATCH], idf) @ w for i in range(0, len(held), BATCH))])
+        t = temperature(scores, y[held])
+        p, floor = softmax(scores / t), 1 / len(languages)
+        right = p.argmax(axis=1) == y[held]
+        if right.any():
+            floor += (float(p[right].max(axis=1).min()) - floor) / 3
+        kept = np.flatnonzero(np.abs(w).sum(axis=1))
+        return pa.table({"bucket": pa.array([*kept, -1], pa.int32()), "w": pa.array([*w[kept].tolist(), [t, floor]], pa.list_(pa.float64()))})
+
+    sample = scanned.where("key IS NOT NULL").dropDuplicates(["key", "lang"]).select(F.lit(1).alias("one"), "key", "lang", "at", "n_at")
+    weights, heat, floor = np.zeros((buckets, len(languages))), 1.0, 0.0
+    for r in sample.groupBy("one").applyInArrow(learn, "bucket int, w array<double>").collect():
         if r["bucket"] >= 0:
             weights[r["bucket"]] = r["w"]
         else:
-            heat = r["w"][0]
-    return Model(languages, idf, weights, heat)
+            heat, floor = r["w"]
+    return Model(languages, idf, weights, heat, floor)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -204,20 +266,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     The text alone is looked at, whole. A null text or one without a letter is 'und' with score 0; a null doc_id is
     kept; repeated rows stay; an empty table gives an empty result; columns not kept are ignored.
     """
-    columns = ["doc_id", *(keep or [])]
-    rows = docs.select(*columns, *["text"] * ("text" not in columns))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = [], []
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):  # texts as Python strings take several times their bytes
-                found = model.predict([t or "" for t in batch.column("text").slice(at, ROWS_AT_ONCE).to_pylist()])
-                langs += found[0]
-                scores += found[1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], [*columns, "lang_pred", "score"])
-
-    return rows.mapInArrow(run, schema)
+    def run(texts: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for at in range(0, len(texts), ROWS_AT_ONCE):  # texts as Python strings take several times their bytes
+            found = model.predict([t or "" for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()])
+            langs += found[0]
+            scores += found[1]
+        return pa.StructArray.from_arrays([pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], ["lang_pred", "score"])
+
+    named = F.arrow_udf(run, "struct<lang_pred: string, score: double>")
+    columns = [F.col(c) for c in ["doc_id", *(keep or [])]]
+    return docs.select(*columns, named(F.col("text").cast("string")).alias("__named")).select(*columns, "__named.lang_pred", "__named.score")
 
 
 def held_out() -> Column:

@@ -21,13 +21,15 @@ def test_training_sees_no_held_out_row(spark, docs):
 
 
 def test_counts_by_hand(monkeypatch):
-    text = "Ab, ß🙂c" * 50
-    points = L.normalised(text)
-    assert "".join(map(chr, points)) == " " + ("ab ß c" * 50) + " "
-    whole = L.counts(points)
+    text = " .Ab, ß🙂c" * 50
+    points = np.concatenate(list(L.letter_blocks(text)))
+    assert "".join(map(chr, points)) == " ab ß c" * 50 + " "
+    whole = L.counts(text)
     assert whole.sum() == 3 * len(points) - 3
-    monkeypatch.setattr(L, "CHUNK", 7)
-    assert np.array_equal(L.counts(points), whole)
+    for chunk in (1, 2, 3, 7):
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        assert np.array_equal(L.counts(text), whole)
+    assert not L.counts(" 12 \n" * 9).any() and not list(L.letter_blocks(""))
 
 
 def test_nothing_to_learn_from(spark, empty, docs):
@@ -39,6 +41,19 @@ def test_penalties_and_temperature():
     rng = np.random.default_rng(0)
     x = rng.random((400, 30))
     y = (x[:, 0] > x[:, 1]).astype(int)
-    w = L.ftrl(x, y, 2, 20)
+    w = L.ftrl(lambda r: x[r], y, 30, 2, 20)
     assert np.mean((x @ w).argmax(1) == y) > 0.9
     assert 0.02 <= L.temperature(x @ w * 100, rng.integers(0, 2, 400)) <= 5
+
+
+def test_a_text_as_long_as_many_blocks(spark, docs):
+    model = L.trained(docs)
+    text = next(r["text"] for r in docs.where("lang = 'de'").collect() if len(r["text"] or "") > 500)
+    many = spark.createDataFrame([(1, text * (4_000_000 // len(text)), "x"), (2, "7 " * 2_000_000, "y")], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r for r in L.identify(many, model).collect()}
+    assert got[1]["lang_pred"] == "de" and got[2]["lang_pred"] == "und" and got[2]["score"] == 0
+
+
+def test_the_floor_is_above_a_toss_up(docs):
+    model = L.trained(docs)
+    assert 1 / len(model.languages) < model.floor < 0.6

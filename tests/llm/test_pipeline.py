@@ -33,8 +33,9 @@ def test_names_and_columns(stages):
 
 
 def test_language(docs, stages):
-    named = language_id.identify(docs, language_id.trained(docs), ["text", "lang", "source", "n_chars"]).collect()
-    want = Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in named if r["lang_pred"] != "und" and r["score"] >= P.LEAST_SCORE)
+    model = language_id.trained(docs)
+    named = language_id.identify(docs, model, ["text", "lang", "source", "n_chars"]).collect()
+    want = Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in named if r["lang_pred"] != "und" and r["score"] >= model.floor)
     assert Counter(rows(stages[0])) == want and len(want) > 150
     kept = {r[1] for r in rows(stages[0])}
     assert all(len(t or "") < 40 for t in {r["text"] for r in docs.where("source <> 'edge'").collect()} - kept)
