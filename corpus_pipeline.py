@@ -16,7 +16,6 @@ from labelloom.llm.substring_dedup import remove_repeats
 from labelloom.sources.package import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.3  # of four languages a toss-up has 0.25; short clean documents go down to 0.4
 
 
 def _with_text(docs: DataFrame, text: Column) -> DataFrame:
@@ -26,9 +25,10 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is a guess, go."""
-    named = identify(docs, trained(docs), COLUMNS[1:])
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    """Documents without a letter go, and those whose score is below the model's floor, so that the language is a guess."""
+    model = trained(docs)
+    named = identify(docs, model, COLUMNS[1:])
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= model.floor)).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
