@@ -3,15 +3,20 @@
 Level 1 looks at windows of half the length. Of each run of neighbouring ones only the smallest hash is kept, which
 every full window has and which depends on that window's words alone; a hash met once is dropped. Level 2 extends the
 windows whose half is repeated to the full length. What repeats there is removed unless it is its first occurrence.
+
+A word's hash is its XXH3 of 128 bits. The two halves of it go into two polynomials, so windows of the full length are
+equal by 128 bits that depend on every bit of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +26,8 @@ WINDOW = 20
 CHUNK_BYTES = 1 << 20
 LAST = 2**63 - 1
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1 for i in range(256)], dtype=np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,35 +52,65 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in slices of about CHUNK_BYTES, so that a long one needs no list of all its words."""
+    at = 0
+    while at < len(text):
+        edge = _SPACE.search(text, at + CHUNK_BYTES)
+        stop = edge.start() if edge else len(text)
+        yield text[at:stop].split()
+        at = stop
+
+
+class Digest:
+    """SHA-256 of words joined by single spaces, given piece by piece."""
+
+    def __init__(self) -> None:
+        self.hash, self.begun = hashlib.sha256(), False
+
+    def add(self, words: list[bytes]) -> None:
+        if words:
+            self.hash.update(b" " * self.begun + b" ".join(words))
+            self.begun = True
+
+    def hex(self) -> str:
+        return self.hash.hexdigest()
+
+
 class Windows:
     """Words and window hashes of a batch of texts, all at once. starts: the first word of each text."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-        space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-        first, last = edge[::2], edge[1::2]
-        power, inverse = _powers(_BASES[0], len(data))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)])
-        self.word = _mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.starts = np.concatenate([[0], np.searchsorted(first, ends)])
-        self.text = np.repeat(np.arange(len(texts)), np.diff(self.starts))
-
-    def hashes(self, length: int, base: int) -> np.ndarray:
-        """Hash of the window of ``length`` words that starts at each word; windows may run over a text's end."""
-        n = len(self.word)
-        power, inverse = _powers(base, n)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.word * power[:n], dtype=np.uint64)])
+        self.digests, counts, hashed = [], [], []
+        for text in texts:
+            digest, n = Digest(), 0
+            for words in _words(text):
+                digest.add(words)
+                n += len(words)
+                hashed.append(b"".join(map(xxhash.xxh3_128_digest, words)))
+            self.digests.append(digest.hex())
+            counts.append(n)
+        self.halves = np.ascontiguousarray(np.frombuffer(b"".join(hashed), dtype="<u8").reshape(-1, 2).T)
+        self.counts = np.array(counts, dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+
+    def hashes(self, length: int, which: int) -> np.ndarray:
+        """Hash of the window of ``length`` words that starts at each word, from half 0 or 1 of the words' hashes;
+        windows may run over a text's end."""
+        word = self.halves[which]
+        n = len(word)
+        power, inverse = _powers(_BASES[which], n)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(word * power[:n], dtype=np.uint64)])
         return _mix((total[length:] - total[:-length]) * inverse[: n - length + 1]) if n >= length else np.empty(0, dtype=np.uint64)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, anchor, its place) of every full window within a text: the smallest hash of the half windows
         inside it and the word where the first such half window starts."""
-        half, n = window // 2, len(self.word) - window + 1
+        half, n = window // 2, len(self.text) - window + 1
         if n <= 0:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        low = self.hashes(half, _BASES[1])
+        low = self.hashes(half, 0)
         place, span, whole = np.arange(len(low)), 1, window - half + 1
         while span < whole:
             step = min(span, whole - span)
@@ -100,10 +133,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
                 at, held = i + 1, 0
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, its place in the order (null last), the text and the text's hash: rows alike in these count as one."""
     text = text_or_empty()
@@ -121,13 +150,8 @@ def _scan(keyed: DataFrame, window: int) -> DataFrame:
             new = np.ones(len(start), dtype=bool)
             new[1:] = place[1:] != place[:-1]
             offsets = np.searchsorted(text[new], np.arange(len(texts) + 1))
-            digests, counts = [], []
-            for t in texts:
-                words = t.split()
-                counts.append(len(words))
-                digests.append(_digest(words))
             anchors = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(anchor[new].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, type=pa.int64()), pa.array(digests), anchors], ["doc_id", "dk", "tk", "n_words", "digest", "anchors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows.counts, type=pa.int64()), pa.array(windows.digests, type=pa.string()), anchors], ["doc_id", "dk", "tk", "n_words", "digest", "anchors"])
 
     return keyed.mapInArrow(run, "doc_id long, dk long, tk long, n_words long, digest string, anchors array<long>")
 
@@ -144,11 +168,10 @@ def _extend(repeated: DataFrame, window: int) -> DataFrame:
             flags = batch.column(3)
             of = np.repeat(np.arange(len(texts), dtype=np.uint64), flags.value_lengths().to_numpy(zero_copy_only=False))
             flagged = flags.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            salt = np.uint64(_BASES[2])
+            salt = np.uint64(_BASES[1])
             held = np.isin(_mix(anchor ^ (text.astype(np.uint64) * salt)), _mix(flagged ^ (of * salt)))
             start, text = start[held], text[held]
-            h1, h2 = (windows.hashes(window, b)[start].view(np.int64) if len(start) else np.empty(0, dtype=np.int64) for b in _BASES[1:])
-            h2 = h2.astype(np.int32)
+            h1, h2 = (windows.hashes(window, half)[start].view(np.int64) if len(start) else np.empty(0, dtype=np.int64) for half in (0, 1))
             order = np.lexsort((start, h2, h1, text))
             later = np.zeros(len(start), dtype=bool)
             same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0) & (np.diff(text[order]) == 0)
@@ -161,7 +184,7 @@ def _extend(repeated: DataFrame, window: int) -> DataFrame:
 
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(h1, ~later), lists(h2, ~later), lists(place, ~later), lists(place, later)], ["dk", "tk", "text", "h1", "h2", "starts", "inner"])
 
-    return repeated.mapInArrow(run, "dk long, tk long, text string, h1 array<long>, h2 array<int>, starts array<int>, inner array<int>")
+    return repeated.mapInArrow(run, "dk long, tk long, text string, h1 array<long>, h2 array<long>, starts array<int>, inner array<int>")
 
 
 def _removed(flagged: DataFrame, window: int) -> DataFrame:
@@ -171,13 +194,17 @@ def _removed(flagged: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             removed, digests, texts = [], [], []
             for text, starts in zip(batch.column(2), batch.column(3), strict=True):
-                words = text.as_py().encode().split()
-                at = np.asarray(starts.values)
-                gone = np.cumsum(np.bincount(at, minlength=len(words) + 1) - np.bincount(at + window, minlength=len(words) + 1))[: len(words)] > 0
-                kept = [words[i] for i in np.flatnonzero(~gone)]
+                at, digest, pieces, seen = np.asarray(starts.values), Digest(), [], 0
+                gone = np.cumsum(np.bincount(at, minlength=at.max() + window + 1) - np.bincount(at + window, minlength=at.max() + window + 1)) > 0
+                for words in _words(text.as_py().encode()):
+                    drop = set(np.flatnonzero(gone[seen : seen + len(words)]).tolist())
+                    seen += len(words)
+                    piece = [w for i, w in enumerate(words) if i not in drop]
+                    digest.add(piece)
+                    pieces += [b" ".join(piece).decode()] * bool(piece)
                 removed.append(int(gone.sum()))
-                digests.append(_digest(kept))
-                texts.append(b" ".join(kept).decode())
+                digests.append(digest.hex())
+                texts.append(" ".join(pieces))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, type=pa.int64()), pa.array(digests, type=pa.string()), pa.array(texts, type=pa.string())], ["dk", "tk", "n_removed", "digest", "kept"])
 
     return flagged.mapInArrow(run, "dk long, tk long, n_removed long, digest string, kept string")
@@ -197,7 +224,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     originals = rows.where(~F.col("copy") & (F.col("n_words") >= window)).select("dk", "tk").distinct()
 
     halves = scanned.select("dk", "tk", F.explode(F.array_distinct("anchors")).alias("h"))
-    repeated = scanned.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = cut(scanned.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     flags = halves.join(repeated, "h").groupBy("dk", "tk").agg(F.collect_set("h").alias("flags"))
     flags = cut(flags.join(originals, ["dk", "tk"]), "flags")
     texts = keyed.select("dk", "tk", "text")
@@ -205,6 +232,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
 
     each = full.select("dk", "tk", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("dk", "tk", "w.h1", "w.h2", "w.starts")
     first = each.groupBy("h1", "h2").agg(F.min("dk").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = cut(first, "first")
     later = each.join(first, ["h1", "h2"]).where("dk > first").select("dk", "tk", "starts")
     inner = full.select("dk", "tk", F.explode("inner").alias("starts"))
     gone = cut(later.unionByName(inner).groupBy("dk", "tk").agg(F.collect_set("starts").alias("gone")), "gone")
@@ -221,4 +249,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows, changed = removals(docs, window)
     joined = rows.join(changed.withColumnRenamed("digest", "new_digest").dropDuplicates(["dk", "tk"]), ["dk", "tk"], "left")
-    return joined.select("doc_id", "dk", "tk", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), F.lit(_digest([]))).otherwise(F.coalesce("new_digest", "digest")).alias("kept_sha256"), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"))
+    return joined.select("doc_id", "dk", "tk", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), F.lit(Digest().hex())).otherwise(F.coalesce("new_digest", "digest")).alias("kept_sha256"), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"))

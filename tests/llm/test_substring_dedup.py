@@ -16,3 +16,40 @@ def test_removals(docs, window):
 
 def test_empty(empty):
     assert remove_repeats(empty).count() == 0
+
+
+def compared(spark, pairs, window=20):
+    want = brute.substring(pairs, window)
+    rows = remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string"), window).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows) == Counter((d, *want[d, t]) for d, t in pairs)
+    return {r["doc_id"]: r["n_removed"] for r in rows}
+
+
+def test_words_that_collide_in_polynomials_modulo_a_power_of_two(spark):
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    common = " ".join(f"common{i}" for i in range(19))
+    assert compared(spark, [(1, f"{common} {morse}"), (2, f"{common} {morse.translate(str.maketrans('ab', 'ba'))}")])[2] == 0
+
+
+def test_repeats_inside_one_text_and_null_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    removed = compared(spark, [(7, " ".join(words)), (8, " ".join(words[:25] * 3)), (None, " ".join(words)), (9, "\t".join(words[5:30]) + "\n")])
+    assert removed[None] == 40 and removed[9] == 25
+
+
+def test_two_texts_of_one_id(spark):
+    """Neither is earlier than the other; both are earlier than a later document."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = remove_repeats(spark.createDataFrame([(7, text), (7, "x " + text), (8, text + " y")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in rows) == [(7, 40, 0), (7, 41, 0), (8, 41, 40)]
+
+
+def test_texts_read_in_slices(spark, docs, monkeypatch):
+    import labelloom.llm.substring_dedup as S
+
+    text = ("one  two\x0bthree\n" * 50 + "four ").encode()
+    for size in (1, 2, 7, 1000):
+        monkeypatch.setattr(S, "CHUNK_BYTES", size)
+        assert sum(S._words(text), []) == text.split()
+        windows = S.Windows([b"", text, b" "])
+        assert windows.counts.tolist() == [0, 151, 0] and windows.digests[1] == S.hashlib.sha256(b" ".join(text.split())).hexdigest()
