@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import cut, text_or_empty
-from labelloom.llm.spans import SPAN, find_spans, joined, none, of_kind, overlapping
+from labelloom.llm.spans import SPAN, apart, find_spans, joined, none, of_kind
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 
@@ -177,7 +177,7 @@ def personal_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     columns, text = ["doc_id", *(keep or [])], text_or_empty()
     plain = docs.select(*columns, base_spans(text).alias("base"), loose_spans(text).alias("loose"))
-    fresh = F.filter("loose", lambda x: ~overlapping(x, F.col("base")))
+    fresh = apart(F.col("loose"), F.col("base"))
     found = cut(plain.select(*columns, "base", F.concat(F.transform("base", lambda x: labelled(x, True)), F.transform(fresh, lambda x: labelled(x, False))).alias("candidates"), F.size("base").alias("strict")), "personal")
     weights = train(found.select(F.explode("candidates").alias("span")))
     table = _lookup(weights)
@@ -190,7 +190,7 @@ def personal_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document; see ``personal_spans``."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans of every document; see ``personal_spans``."""
     found = personal_spans(docs)
     counts = [of_kind(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "added"), KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "added"), KINDS).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

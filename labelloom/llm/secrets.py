@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import cut, text_or_empty
-from labelloom.llm.spans import SPAN, find_spans, joined, none, of_kind, overlapping
+from labelloom.llm.spans import apart, find_spans, joined, none, of_kind, replaced
 
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +24,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = string.ascii_letters + string.digits + "+/_-"
 SAMPLE_DOCUMENTS = 2000
 DIGESTS = 4096
+LONG_WORD = 64
 MIN_RATIO = 20.0  # natural logarithm: beyond the odds against a secret among all tokens of a large corpus
 
 
@@ -34,10 +35,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(assigned, access, find_spans(text, HEX, 2))
 
 
+def _transitions(token: Column) -> Column:
+    """Every two neighbouring characters, in one pass."""
+    return F.regexp_extract_all(token, F.lit("(?s)(?=(..))"), F.lit(1))
+
+
 def _pairs(tokens: DataFrame) -> DataFrame:
     """(label, pair, n) of tokens (label, token)."""
     long = tokens.where(F.length("token") > 1)
-    pairs = long.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("pair"))
+    pairs = long.select("label", F.explode(_transitions(F.col("token"))).alias("pair"))
     return pairs.groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
@@ -56,7 +62,8 @@ def train(docs: DataFrame, found: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     chosen = docs.where(F.xxhash64("doc_id", "text").cast("double") < low)
     cleared = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = chosen.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(cleared, F.lit(r"[A-Za-z_][A-Za-z0-9_/-]+"), F.lit(0))).alias("token"))
-    valued = found.select(F.explode("base").alias("x")).select(F.lit(1).alias("label"), _values(F.col("x")).alias("token"))
+    ordinary = ordinary.where(F.length("token") < LONG_WORD)  # one long blob must not outweigh the words
+    valued = found.select(F.explode("base").alias("x")).select(F.lit(1).alias("label"), _values(F.col("x")).alias("token")).distinct()  # one value in many documents counts once
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     random = spark.range(DIGESTS).select(F.lit(1).alias("label"), F.explode(F.array(F.translate(F.base64(digest), "=\r\n", ""), F.lower(F.hex(digest)))).alias("token"))
     counted = _pairs(ordinary).unionByName(_pairs(valued)).unionByName(_pairs(random)).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
@@ -72,8 +79,8 @@ def train(docs: DataFrame, found: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
 def ratio(token: Column, ratios: list[float]) -> Column:
     """Log-likelihood ratio of the token's transitions."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.element_at(table, code(i) * len(ALPHABET) + code(i + 1) + 1), F.lit(0.0)))
+    code = lambda pair, i: F.instr(F.lit(ALPHABET), F.substring(pair, i, 1)) - 1
+    return F.aggregate(_transitions(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.get(table, code(p, 1) * len(ALPHABET) + code(p, 2)), F.lit(0.0)))
 
 
 def secret_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -85,29 +92,20 @@ def secret_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     columns = ["doc_id", *(keep or [])]
     text = text_or_empty()
-    candidates = F.filter(find_spans(text, TOKEN, 3), lambda x: x["m"].rlike("[0-9]|[a-z].*[A-Z]"))
-    found = cut(docs.select(*columns, base_spans(text).alias("base"), candidates.alias("tokens")), "secrets")
+    found = cut(docs.select(*columns, base_spans(text).alias("base"), find_spans(text, TOKEN, 3).alias("tokens")), "secrets")
     ratios = train(texts, found.select("base"))
-    added = F.filter("tokens", lambda x: ~overlapping(x, F.col("base")) & (ratio(x["m"], ratios) >= MIN_RATIO))
+    added = F.filter(apart(F.col("tokens"), F.col("base")), lambda x: ratio(x["m"], ratios) >= MIN_RATIO)
     return found.select(*columns, "base", added.alias("added"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document; see ``secret_spans``."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_spans of every document; see ``secret_spans``."""
     found = secret_spans(docs)
     counts = [of_kind(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "added"), KINDS).alias("spans"))
+    every = F.concat("base", "added")
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(every, KINDS).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span replaced; overlapping spans are one."""
-    ordered = F.array_sort(spans)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        piece = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), piece.alias("out"))
-
-    folded = F.aggregate(ordered.cast(f"array<{SPAN}>"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+    return replaced(text, spans, mark)

@@ -92,3 +92,55 @@ def test_empty(empty, run):
     assert run(empty).count() == 0
 
 
+
+
+def test_many_spans_and_long_tokens_in_one_text(spark, docs):
+    """Thousands of matches in one text, and a token of a megabyte: quadratic work would take minutes here."""
+    rng = random.Random(3)
+    mails = " ".join(f"user{i}@mail{i % 7}.example.org, +49 30 {10000000 + i} 10.0.{i % 300}.7" for i in range(15_000))
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    check(spark, [(1, mails), (2, "x")], pii.personal_data, brute.PERSONAL, ["n_email", "n_ip", "n_card", "n_phone"])
+    plain = [(10 + i, r["text"]) for i, r in enumerate(docs.where("lang = 'en' AND source <> 'edge'").limit(50).collect())]
+    got = check(spark, [(1, f"see {blob} token=abcdefg" + " secret: abcdefgh" * 15_000), (2, "x"), *plain], secrets.secrets, brute.SECRETS, ["n_assign", "n_access", "n_hex"])
+    assert {r["doc_id"]: r["n_spans"] for r in got} .items() >= {1: 15_002, 2: 0}.items()
+
+
+def test_spans_apart_in_either_way(spark, monkeypatch):
+    from labelloom.llm import spans as S
+
+    rng = random.Random(4)
+    def some(k):
+        out, at = [], 0
+        for _ in range(rng.randint(0, 200)):
+            at += rng.randint(0, 9)
+            end = at + rng.randint(1, 9)
+            out.append((at, k, end, "m", ""))
+            at = end
+        return out
+
+    rows = [(i, some(1), some(2) + some(3)) for i in range(60)]
+    table = spark.createDataFrame(rows, f"id int, own array<{S.SPAN}>, base array<{S.SPAN}>")
+    for few in (0, 10**9):
+        monkeypatch.setattr(S, "FEW", few)
+        got = {r[0]: [tuple(x) for x in r[1]] for r in table.select("id", S.apart(S.F.col("own"), S.F.col("base"))).collect()}
+        assert got == {i: [x for x in own if not any(b[0] < x[2] and x[0] < b[2] for b in base)] for i, own, base in rows}
+
+
+def test_redaction_of_many_overlapping_spans(spark):
+    from labelloom.llm import spans as S
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(20):
+        text = "".join(rng.choice("aé𝕏\n ") for _ in range(rng.choice([1, 1023, 1024, 1025, 2048, 9000])))
+        starts = [rng.randrange(len(text)) for _ in range(rng.randint(0, 150))]
+        rows.append((i, text, [(a, 0, rng.randint(a + 1, min(len(text), a + 3000)), "", "") for a in starts]))
+    table = spark.createDataFrame(rows, f"id int, text string, spans array<{S.SPAN}>")
+    got = dict(table.select("id", S.replaced(S.F.col("text"), S.F.col("spans"), "#")).collect())
+    for i, text, spans in rows:
+        out, at = "", 0
+        for a, _, b, _, _ in sorted(spans):
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[i] == out + text[at:]
