@@ -162,13 +162,13 @@ def tokenised_pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(pieces, schema)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False, added_tokens: bool = True) -> DataFrame:
     """Pieces of all documents with the window (``sequence_id``) and place in it (``offset``) of each.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids when ``with_ids``. A null or
     empty text is the end id alone; a null doc_id is kept; repeated rows are packed each; an empty table gives an
     empty result; other columns are ignored. A text of any length is cut into full windows and a remainder.
-    Added tokens of the vocabulary inside a text get their own ids with ``added_tokens``, as tokenizers gives them.
+    Added tokens of the vocabulary inside a text get their own ids, as tokenizers gives them, unless ``added_tokens`` is off.
     """
     cutted = cut(tokenised_pieces(docs, capacity, vocabulary, with_ids, added_tokens), "pieces")
     counts = cutted.groupBy("pid", "length").agg(F.count("*").alias("pieces"))

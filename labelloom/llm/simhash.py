@@ -1,13 +1,15 @@
 """SimHash near-duplicates: fingerprints of 3-word shingles, linked through BK-trees, grouped into components.
 
 Two fingerprints within 2 bits agree on at least two of their four 16-bit blocks, so each distinct fingerprint goes
-to six shards, one for each pair of blocks and its values. A BK-tree of each shard finds the links. A tree over all
-fingerprints would grow with the corpus, so shards are shipped by key and no tree is broadcast whole.
+to six shards, one for each pair of blocks and its values; crowded shards are split by pairs of the other bytes, which
+is exact too and bounds a shard. A BK-tree of each shard finds the links. A tree over all fingerprints would grow with
+the corpus, so shards are shipped by key and no tree is broadcast whole.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import cut, text_or_empty
@@ -26,20 +28,49 @@ SEED = 42
 RADIUS = 2
 BLOCKS = 4
 TASK_ROWS = 200_000
-FRONTIER = 2_000_000
+SHARD_ROWS = 10_000
+FRONTIER = 500_000
+SLICE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def shingle_hashes(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the text's word shingles, repeats included, slice by slice; of all its words if they are fewer than
+    ``words``; nothing without words. bytes.lower and bytes.split know ASCII alone."""
+    data, at, held, many = text.encode("utf-8", "surrogatepass").lower(), 0, [], False
+    hashed = partial(xxhash.xxh64_intdigest, seed=seed)
+    while at < len(data):
+        edge = _SPACE.search(data, at + SLICE_BYTES)
+        stop = edge.start() if edge else len(data)
+        found = held + data[at:stop].split()
+        at = stop
+        if len(found) < words:
+            if at >= len(data) and found and not many:
+                yield np.array([hashed(b" ".join(found))], dtype=np.uint64)
+            held = found
+            continue
+        many = True
+        shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+        yield np.fromiter(map(hashed, shingles), dtype=np.uint64, count=len(found) - words + 1)
+        held = found[len(found) - words + 1 :]
 
 
-def simhash(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """64-bit SimHash as a signed long; 0 without words. bytes.lower and bytes.split know ASCII alone."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
-    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) > words else [b" ".join(found)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, highest bit first."""
+    total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+        bits = np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += bits.sum(axis=0, dtype=np.int64)
+    return total
+
+
+def simhash(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """64-bit SimHash as a signed long; 0 without words."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
+        ones += _ones(hashes)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -53,18 +84,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, which are rows of one or more 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 def bk_forest(fps: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """BK-trees of several shards, built level by level.
 
-    fps: unsigned fingerprints; tree: the shard of each, ascending. Returns the root of each shard, and the children:
-    ascending keys node * 65 + distance, and the child behind each key.
+    fps: fingerprints (rows of unsigned words); tree: the shard of each, ascending. Returns the root of each shard,
+    and the children: ascending keys node * (bits + 1) + distance, and the child behind each key.
     """
     roots, at = np.unique(tree, return_index=True)
     parent = np.repeat(at, np.diff(np.append(at, len(tree))))
     waiting = np.setdiff1d(np.arange(len(fps)), at)
     parent, keys, children = parent[waiting], [], []
     while len(waiting):
-        key = parent * 65 + np.bitwise_count(fps[waiting] ^ fps[parent])
+        key = parent * (64 * fps.shape[1] + 1) + distances(fps[waiting], fps[parent])
         kinds, first, of = np.unique(key, return_index=True, return_inverse=True)
         keys.append(kinds)
         children.append(waiting[first])
@@ -78,36 +114,47 @@ def bk_forest(fps: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, key[order], child[order]
 
 
-def linked(fps: np.ndarray, tree: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each fingerprint the smallest position of its component inside its shard.
+def near_pairs(fps: np.ndarray, tree: np.ndarray, radius: int, asked: np.ndarray, shard: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, node, distance) of all pairs within ``radius``, in batches.
 
-    Every fingerprint walks its tree from the root and follows only children whose distance to the parent is within
-    ``radius`` of its own. Links are merged as they are found, so their number needs no memory.
+    tree: the shard of each fingerprint, ascending; asked: fingerprints that are looked for, each in the tree of its
+    ``shard``. Every query walks the tree from the root and follows only children whose distance to the parent is
+    within ``radius`` of its own.
     """
     roots, keys, children = bk_forest(fps, tree)
-    label = np.arange(len(fps))
-    if not len(keys):
-        return label
-    start = np.repeat(roots, np.diff(np.append(roots, len(tree))))
-    low, high = (np.searchsorted(keys, np.arange(len(fps)) * 65 + d) for d in (0, 65))
-    todo = [(np.arange(len(fps)), start)]
+    names = tree[roots]
+    place = np.searchsorted(names, shard)
+    known = np.flatnonzero(place < len(names))
+    known = known[names[place[known]] == shard[known]]
+    wide = 64 * fps.shape[1] + 1
+    low, high = (np.searchsorted(keys, np.arange(len(fps)) * wide + d) for d in (0, wide))
+    todo = [(known[at : at + FRONTIER], roots[place[known[at : at + FRONTIER]]]) for at in range(0, len(known), FRONTIER)]
     while todo:
         query, node = todo.pop()
         if len(query) > FRONTIER:
             half = len(query) // 2
             todo += [(query[:half], node[:half]), (query[half:], node[half:])]
             continue
-        distance = np.bitwise_count(fps[query] ^ fps[node]).astype(np.int64)
-        near = (distance <= radius) & (query != node)
-        _merge(label, query[near], node[near])
+        distance = distances(asked[query], fps[node])
+        near = distance <= radius
+        yield query[near], node[near], distance[near]
         inner = high[node] > low[node]
         query, node, distance = query[inner], node[inner], distance[inner]
-        first = np.searchsorted(keys, node * 65 + np.maximum(distance - radius, 0))
-        last = np.searchsorted(keys, node * 65 + np.minimum(distance + radius, 64) + 1)
+        first = np.searchsorted(keys, node * wide + np.maximum(distance - radius, 0))
+        last = np.searchsorted(keys, node * wide + np.minimum(distance + radius, wide - 1) + 1)
         many = last - first
         if total := int(many.sum()):
             offset = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
             todo.append((np.repeat(query, many), children[np.repeat(first, many) + offset]))
+
+
+def linked(fps: np.ndarray, tree: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each fingerprint the smallest position of its component inside its shard. Links are merged as they are
+    found, so their number needs no memory."""
+    label = np.arange(len(fps))
+    for query, node, _ in near_pairs(fps, tree, radius, fps, tree):
+        apart = query != node
+        _merge(label, query[apart], node[apart])
     return _flat(label)
 
 
@@ -126,18 +173,44 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _shards(fp: Column) -> Column:
+    """Keys of the fingerprint, one for each pair of its blocks: their values and the number of the pair."""
+    width = 64 // BLOCKS
+    values = [F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
+    return F.array(*[(values[i] * (1 << width) + values[j]) * 8 + n for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
+
+
+def _split(sharded: DataFrame, shard_rows: int) -> DataFrame:
+    """Shards of more than ``shard_rows`` fingerprints give way to shards of their own that agree on two more bytes.
+
+    Members of a shard agree on two blocks of 16 bits. Two of them within 2 bits agree on two at least of the other
+    four bytes, so each goes to six smaller shards; what agrees on 48 bits has 65,536 different fingerprints at most.
+    """
+    hot = cut(sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("shard"), "hot")
+    if hot.isEmpty():
+        return sharded
+    width = 64 // BLOCKS
+    known = sharded.join(hot.withColumn("hot", F.lit(True)), "shard", "left")
+    rest = F.lit(0).cast("long")  # the 32 bits outside of the shard's two blocks
+    for n, pair in enumerate(combinations(range(BLOCKS), 2)):
+        i, j = (k for k in range(BLOCKS) if k not in pair)
+        value = F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit(65535)) * 65536 + F.shiftrightunsigned("fp", width * j).bitwiseAND(F.lit(65535))
+        rest = F.when(F.col("shard").bitwiseAND(F.lit(7)) == n, value).otherwise(rest)
+    octets = [F.shiftrightunsigned("rest", 8 * i).bitwiseAND(F.lit(255)) for i in range(4)]
+    inner = [((F.col("shard") * 8 + n) * 65536 + octets[i] * 256 + octets[j]) + F.lit(1 << 60) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    finer = known.where("hot").withColumn("rest", rest).select("fp", F.explode(F.array(*inner)).alias("shard"))
+    return known.where("hot IS NULL").select("fp", "shard").unionByName(finer)
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to join every pair within ``radius`` (2 or less).
 
     Within a shard each fingerprint gets one link to a representative of its component there, so the rows are at most
-    six times the fingerprints, however many pairs are close.
+    six times the fingerprints (36 times in crowded shards), however many pairs are close.
     """
     if radius > 2:
         raise ValueError("four blocks find pairs of 2 bits or less")
-    width = 64 // BLOCKS
-    blocks = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
-    keys = F.array(*[(blocks[i] * (1 << width) + blocks[j]) * 8 + n for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
-    sharded = distinct.select("fp", F.explode(keys).alias("shard"))
+    sharded = _split(distinct.select("fp", F.explode(_shards(F.col("fp"))).alias("shard")), shard_rows)
     tasks = max(1, math.ceil(6 * distinct.count() / TASK_ROWS))
     dealt = sharded.withColumn("task", F.pmod(F.xxhash64("shard"), F.lit(tasks * 8)).cast("int"))
 
@@ -149,36 +222,32 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         again[:-1] |= again[1:]
         rows, shard = rows[again], shard[again]
         fp = rows["fp"].to_numpy()
-        label = linked(fp.view(np.uint64), shard) if len(fp) else np.empty(0, dtype=np.int64)
+        label = linked(fp.view(np.uint64).reshape(-1, 1), shard) if len(fp) else np.empty(0, dtype=np.int64)
         other = label != np.arange(len(fp))
         return pd.DataFrame({"a": fp[other], "b": fp[label[other]]})
 
     return dealt.groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the component, for every node that has a link.
 
     Alternating star contraction: each round hooks all larger neighbours of a node to its smallest neighbour, then
-    the smaller ones, so that the depth shrinks geometrically. Every round starts from a table in the shared folder.
+    the smaller ones, so that the depth shrinks geometrically, until only stars are left. What a join meets is a table
+    in the shared folder, so that adaptive execution can split the rows of a node with many links.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = cut(small.where("u <> v").distinct(), "edges")
+        edges = cut(small.where("u <> v").distinct(), "edges")
         # a star forest: no node is both a child and a parent, and no child has two parents
-        stars = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-        stars = stars and new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0
-        edges = new
-        if stars:
+        if edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -195,6 +264,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     rooted = cut(components(fingerprint_links(distinct.select("fp"), radius)), "roots")
     placed = distinct.join(rooted.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     by_fp = cut(placed.join(smallest, "root").select("fp", "component_id"), "components")
     return table.join(by_fp, "fp").select("doc_id", "fp", "component_id")
