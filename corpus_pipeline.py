@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from labelloom.llm import secrets
 from labelloom.llm.common import read, shared_dir
 from labelloom.llm.language_id import identify, trained
+from labelloom.llm.near_texts import near_texts
 from labelloom.llm.packing import pack
-from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.substring_dedup import remove_repeats
 from labelloom.sources.package import ship
 
@@ -32,9 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest doc_id stays; of rows with that id, each text once."""
+    """Of documents that links join (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id stays;
+    of rows with that id, each text once."""
     key = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("dk")
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    kept = near_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
     joined = docs.select(key, *COLUMNS).join(kept, "dk", "left_semi")
     return joined.dropDuplicates().select(*COLUMNS)  # dealt by dk already: texts move once
 
