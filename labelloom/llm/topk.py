@@ -1,8 +1,10 @@
 """Exact top-k search by inner product with the threshold algorithm.
 
 Rows are dealt into shards, queries into blocks, and every block meets every shard. In a shard each dimension has a
-sorted list. Lists are read from both ends in rounds of doubling depth; rows met in any list are scored exactly
-(random access); a query stops once its kth score beats the bound that unmet rows can reach.
+sorted list. Lists are read from both ends in rounds of doubling depth, one entry at first; rows met in any list are
+scored exactly (random access); a query stops once its kth score beats the bound that unmet rows can reach. The bound
+is the smaller of two: the sum over dimensions of what the lists still hold, and the query's length times the largest
+length of an unmet row.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 8192
-BLOCK_QUERIES = 512
-FIRST_DEPTH = 256
+SHARD_ROWS = 1 << 15
+BLOCK_QUERIES = (512, 8192)  # at least, at most: small inputs get a block for each core
+SCORES_AT_ONCE = 1 << 22
+FIRST_DEPTH = 1
 NEVER = -(2**62)
 
 
@@ -36,46 +39,53 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k of ``rows`` for each query but its own row: arrays (query index, row index, score). ids must ascend."""
+def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Top k of ``rows`` for each query but its own row: arrays (query index, row index, score), and how many rows each
+    query met. ids must ascend."""
     n, width = rows.shape
-    by_dimension = np.sort(rows, axis=0)
-    order = np.argsort(rows, axis=0, kind="stable")
-    place = np.empty((n, width), dtype=np.int32)
-    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-    met_at = np.minimum(place, n - 1 - place).min(axis=1)  # depth at which a list, from either end, shows the row
+    by_dimension, met_at = np.empty_like(rows), np.full(n, n, dtype=np.int64)
+    for d in range(width):
+        order = np.argsort(rows[:, d], kind="stable")
+        by_dimension[:, d] = rows[order, d]
+        met_at[order] = np.minimum(met_at[order], np.minimum(np.arange(n), np.arange(n)[::-1]))  # depth, from either end
     by_depth = np.argsort(met_at, kind="stable")
+    depth_of = met_at[by_depth]
+    lengths = np.sqrt((rows[by_depth].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+    unmet = np.append(np.maximum.accumulate(lengths[::-1])[::-1], 0.0)  # the largest length from a place on
     exact = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * width < 2**52
     if not exact:
         rows, queries, by_dimension = rows.astype(np.int64), queries.astype(np.int64), by_dimension.astype(np.int64)
-    best = np.full((len(queries), 0), 0, dtype=np.int64)  # scores so far
-    who = np.full((len(queries), 0), 0, dtype=np.int64)
-    active, found, depth, read = np.arange(len(queries)), [], FIRST_DEPTH, 0
-    while len(active):
-        stop = np.searchsorted(met_at[by_depth], depth)
-        new = np.sort(by_depth[read:stop])
-        read = stop
-        scores = (queries[active] @ rows[new].T).astype(np.int64)
-        scores[ids[new][None, :] == query_ids[active][:, None]] = NEVER
-        best, who = np.concatenate([best, scores], axis=1), np.concatenate([who, np.broadcast_to(new, scores.shape)], axis=1)
-        if best.shape[1] > k:
-            top = _top(best, who, k)
-            best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
-        if read == n:
-            done = np.ones(len(active), dtype=bool)
-        else:
-            low, high, q = by_dimension[depth - 1], by_dimension[n - depth], queries[active]
-            bound = np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
-            done = (best.min(axis=1) > bound) if best.shape[1] >= k else np.zeros(len(active), dtype=bool)
-        for at in np.flatnonzero(done):
-            found.append((np.full(best.shape[1], active[at]), who[at], best[at]))
-        active, best, who = active[~done], best[~done], who[~done]
-        depth = min(depth * 2, n)
-    if not found:
-        return (np.empty(0, dtype=np.int64),) * 3
-    query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    own = score != NEVER
-    return query[own], row[own], score[own]
+    met, parts = np.zeros(len(queries), dtype=np.int64), [(np.empty(0, dtype=np.int64),) * 3]
+    at_once = max(1, SCORES_AT_ONCE // max(1, n))
+    for start in range(0, len(queries), at_once):
+        active = np.arange(start, min(start + at_once, len(queries)))
+        best = np.empty((len(active), 0), dtype=np.int64)  # scores so far
+        who, depth, read = best.copy(), FIRST_DEPTH, 0
+        while len(active):
+            stop = int(np.searchsorted(depth_of, depth))
+            new = np.sort(by_depth[read:stop])
+            read = stop
+            scores = (queries[active] @ rows[new].T).astype(np.int64)
+            scores[ids[new][None, :] == query_ids[active][:, None]] = NEVER
+            best, who = np.concatenate([best, scores], axis=1), np.concatenate([who, np.broadcast_to(new, scores.shape)], axis=1)
+            if best.shape[1] > k:
+                top = _top(best, who, k)
+                best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
+            if read == n:
+                done = np.ones(len(active), dtype=bool)
+            else:
+                low, high, q = by_dimension[depth - 1], by_dimension[n - depth], queries[active]
+                lists = np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
+                bound = np.minimum(lists, np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9) * unmet[read])
+                done = (best.min(axis=1) > bound) if best.shape[1] >= k else np.zeros(len(active), dtype=bool)
+            met[active[done]] = read
+            own = best[done] != NEVER
+            query = np.broadcast_to(active[done][:, None], own.shape)
+            parts.append((query[own], who[done][own], best[done][own]))
+            active, best, who = active[~done], best[~done], who[~done]
+            depth = min(depth * 2, n)
+    query, row, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return query, row, score, met
 
 
 def _top(scores: np.ndarray, who: np.ndarray, k: int) -> np.ndarray:
@@ -93,11 +103,13 @@ def _top(scores: np.ndarray, who: np.ndarray, k: int) -> np.ndarray:
 
 def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k highest inner products of every query with the candidates, without the query's own id; ties go to the
-    smaller vec_id. Both tables are (vec_id long, v array<double>) of integers, as ``quantised`` makes them; shorter
+    smaller vec_id. A row is moved once for each block of queries, a query once for each shard. Both tables are (vec_id long, v array<double>) of integers, as ``quantised`` makes them; shorter
     vectors count as padded with zeros. Columns query_id, rank, vec_id, score; a query with no candidate has no row.
     """
     n, q = candidates.count(), queries.count()
-    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(q / BLOCK_QUERIES))
+    least, most = BLOCK_QUERIES
+    block = min(most, max(least, math.ceil(q / candidates.sparkSession.sparkContext.defaultParallelism)))
+    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(q / block))
     dealt = lambda df, own, many, other, count: df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(other))
     left = dealt(candidates, "shard", shards, "block", blocks)
     right = dealt(queries, "block", blocks, "shard", shards)
@@ -108,7 +120,7 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFr
         rows = rows.sort_values("vec_id", ignore_index=True)
         width = max(rows["v"].map(len).max(), asked["v"].map(len).max())
         ids, query_ids = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        query, row, score = threshold_topk(ids, _matrix(rows["v"].array, width), query_ids, _matrix(asked["v"].array, width), k)
+        query, row, score, _ = threshold_topk(ids, _matrix(rows["v"].array, width), query_ids, _matrix(asked["v"].array, width), k)
         return pd.DataFrame({"query_id": query_ids[query], "vec_id": ids[row], "score": score})
 
     found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "query_id long, vec_id long, score long")

@@ -14,8 +14,8 @@ def run(spark, vectors, **kw):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "SHARD_ROWS", 100)
-    monkeypatch.setattr(T, "BLOCK_QUERIES", 7)
-    monkeypatch.setattr(T, "FIRST_DEPTH", 4)
+    monkeypatch.setattr(T, "BLOCK_QUERIES", (7, 7))
+    monkeypatch.setattr(T, "SCORES_AT_ONCE", 300)
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(0, 0.05, 6).tolist()) for i in range(400)]
     vectors += [(1000, [0.0] * 6), (1020, [0.1] * 6), (1040, [0.1] * 6), (1041, [0.1] * 6)]
@@ -27,3 +27,16 @@ def test_fewer_than_k_and_empty(spark):
     assert run(spark, [(0, [1.0], "", ""), (1, [2.0], "", "")]) == [(0, 1, 1, 64 * 128)]
     assert run(spark, [(0, [1.0], "", "")]) == []
     assert run(spark, []) == []
+
+
+def test_stops_before_all_rows_are_met():
+    """Lists end the search where few rows are large, lengths where the largest rows come first."""
+    rng = np.random.default_rng(3)
+    rows = np.floor(rng.normal(0, 8, (4000, 8)))
+    rows[::100] *= 12
+    ids = np.arange(len(rows))
+    query, row, score, met = T.threshold_topk(ids, rows, ids[::100], rows[::100], 5)
+    assert np.median(met) < len(rows) / 3
+    for q in range(40):
+        want = np.lexsort((ids, -(rows[100 * q] @ rows.T)))
+        assert sorted(row[query == q]) == sorted(want[want != 100 * q][:5])
