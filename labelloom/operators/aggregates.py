@@ -52,17 +52,25 @@ def colour_histogram(pixels: DataFrame, image: str, levels: int = 6) -> DataFram
     return counted.join(total, image).select(image, "bin", (F.col("n") / F.col("total")).alias("share"))
 
 
+# Colour words, and where each hue band ends, in degrees.
+HUES = [(15, "Red"), (45, "Orange"), (70, "Yellow"), (165, "Green"), (195, "Teal"), (255, "Blue"), (290, "Purple"), (345, "Pink"), (360, "Red")]
+NEUTRAL = ["White", "Black", "Grey", "Cream"]
+
+
 def hue_name(r: Column, g: Column, b: Column) -> Column:
-    """Colour word of an RGB triple: dark, light and grey first, brown, then nine hue bands."""
-    x, y, z = r / 255.0, g / 255.0, b / 255.0
-    high, low = F.greatest(x, y, z), F.least(x, y, z)
-    light, spread = (high + low) / 2, high - low
-    sat = F.when(spread == 0, 0.0).otherwise(spread / F.greatest(1 - F.abs(2 * light - 1), F.lit(1e-9)))
-    hue = F.when(spread == 0, 0.0).when(high == x, 60 * F.pmod((y - z) / spread, F.lit(6.0))).when(high == y, 60 * ((z - x) / spread + 2)).otherwise(60 * ((x - y) / spread + 4))
-    word = F.when(light <= 0.12, "Black").when(light >= 0.93, "White").when(sat <= 0.12, "Grey").when((hue >= 15) & (hue < 45) & (light < 0.35), "Brown")
-    for limit, name in ((15, "Red"), (45, "Orange"), (70, "Yellow"), (165, "Green"), (195, "Teal"), (255, "Blue"), (290, "Purple"), (345, "Pink")):
+    """Colour word of an RGB triple: light, dark and grey first, then pale warm and dark warm hues, then the hue bands."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    spread = high - low  # whole numbers up to one division, so that a hue on a band's edge is exact
+    light = (high + low) / 510.0
+    sat = F.when(spread == 0, 0.0).otherwise(spread / (255.0 - F.abs(high + low - 255)))
+    sixth = lambda a, b: F.lit(60.0) * (a - b) / spread
+    turn = F.when(spread == 0, 0.0).when(high == r, sixth(g, b)).when(high == g, sixth(b, r) + 120).otherwise(sixth(r, g) + 240)
+    hue = F.when(turn < 0, turn + 360).otherwise(turn)
+    word = F.when((light >= 0.9) & (sat < 0.2), "White").when(light <= 0.12, "Black").when(sat < 0.12, "Grey")
+    word = word.when((light >= 0.8) & (sat < 0.35) & (hue >= 20) & (hue < 70), "Cream").when((light < 0.42) & (hue >= 10) & (hue < 50), "Brown")
+    for limit, name in HUES:
         word = word.when(hue < limit, name)
-    return word.otherwise("Red")
+    return word
 
 
 def palette(pixels: DataFrame, image: str) -> DataFrame:

@@ -7,18 +7,20 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from labelloom.functions import vocabulary as V
+from labelloom.operators import extract as X
 from labelloom.operators.extract import CONTACT, MAKING, MARKETING
 
-SUFFIX = re.compile(r"\b(?:pvt\.?\s*ltd|private\s+limited|ltd|lid|limited|llp|inc)\b\.?", re.I)
-OFF_TOPIC = re.compile(r"\b(?:ingredients?|acidity|regulator|sweetener|nutritional|calcium|vitamin|mcg|kcal|allergens?|allergy|gluten|protein|sodium|calorie)\b", re.I)
-STOP_LINE = re.compile(rf"^\s*(?:fssai|{CONTACT}|batch|mfg\.?\s*date|use\s+by|mrp|manufactured|net\s+(?:content|wt)|ingredients|nutritional\s+information|(?:not\s+)?to\s+be\s+sold|not\s+for\s+medicinal|recommended\s+usage|health\s+supplement)", re.I)
-FORMS = r"(?:gumm(?:y|ies)|capsules?|tablets?|softgels?|sachets?|sticks?|pieces?|units?|count|ct)"
-SERVING = re.compile(r"(?:serving\s+size|per\s+serving|no\.?\s+of\s+serving|amount\s+per\s+serving|recommended\s+(?:usage|dosage)|directions?\s+for\s+use|suggested\s+use|dosage|how\s+to\s+use)\W*(?:\w+\W+){0,2}$", re.I)
-DOSAGE = re.compile(r"^\W*(?:daily|per\s+day|a\s+day|as\s+(?:suggested|directed|recommended))", re.I)
-BOILERPLATE = re.compile(rf"^\s*(?:{MARKETING}|{MAKING}|{CONTACT}|fssai|batch|mrp|exp|price|images?\s+are|keep\s+(?:out|away)|store\s+in|contains|this\s+food|facility|free\s+of|per\s+(?:gummy|serving)|net|ingredients|nutrition|support|help|promote|boost)", re.I)
+SUFFIX = re.compile(rf"{V.whole([*V.COMPANY_ENDINGS, 'lid'])}\.?", re.I)
+OFF_TOPIC = re.compile(V.whole(V.OFF_TOPIC), re.I)
+STOP_LINE = re.compile(rf"^\s*(?:{V.any_of(V.ADDRESS_ENDS)}|{CONTACT})", re.I)
+FORMS = V.any_of(V.FORMS)
+SERVING = re.compile(rf"{V.any_of(V.SERVING_CUES)}\W*(?:\w+\W+){{0,2}}$", re.I)
+DOSAGE = re.compile(rf"^\W*{V.any_of(V.DOSE_CUES)}", re.I)
+BOILERPLATE = re.compile(rf"^\s*(?:{MARKETING}|{MAKING}|{CONTACT}|{V.any_of([*V.SECTIONS, *V.ADDRESS_ENDS, *V.CLAIM_VERBS])}|exp|price|contains|facility|free\s+of|per\s+(?:gummy|serving)|net|nutrition)", re.I)
 NEGATED = re.compile(r"(?:free\s+of|without|contains\s+no)[^.]{0,250}$", re.I)
-VERBS = re.compile(r"^(?:supports?|helps?|promotes?|boosts?|aids?|improves?|reduces?|prevents?|maintains?|provides?|enhances?|protects?|strengthens?|nourish(?:es)?|delivers?)\b", re.I)
 
 
 def text_lines(text: str) -> list[str]:
@@ -26,13 +28,18 @@ def text_lines(text: str) -> list[str]:
 
 
 def cut_noise(value: str, longest: int = 60) -> str:
-    """Cut at a noise character or an off-topic word; blank if too short, too long or mostly short odd tokens."""
-    value = re.split(r"[|•®™*{}<>~]", value)[0]
+    """Cut at a noise character or an off-topic word; blank if too short, too long or if more than three in ten tokens
+    are too short for a word and neither a number nor a token of names."""
+    value = re.split("[" + re.escape(V.NOISE) + "]", value)[0]
     if found := OFF_TOPIC.search(value):
         value = value[: found.start()]
     value = re.sub(r"\blid\.", "Ltd.", value, flags=re.I).strip(" ,;:-")
     tokens = value.split()
-    odd = sum(1 for t in tokens if len(re.sub(r"[^A-Za-z0-9]", "", t)) < 2 and t not in ("&", "-"))
+    odd = 0
+    for token in tokens:
+        bare = re.sub("[^A-Za-z0-9]", "", token)
+        known = re.sub("[.,]", "", token.lower()) in V.SHORT_TOKENS
+        odd += not bare or (len(bare) <= 2 and not bare.isdigit() and not known)
     return value if 3 <= len(value) <= longest and odd <= 0.3 * len(tokens) else ""
 
 
@@ -168,33 +175,43 @@ def fallback_brand(lines: list[str]) -> str:
     return ""
 
 
-def generic_claims(lines: list[str]) -> list[str]:
-    """Lines of two to eight words that start with a claim verb, each once, twelve at most (a fixed cap of the feature)."""
-    out: dict[str, str] = {}
-    for line in lines:
-        words = line.split()
-        if 2 <= len(words) <= 8 and VERBS.match(line) and not re.search(r"[:@]|\d{3}", line) and (line[0].isupper()):
-            out.setdefault(line.lower(), line.rstrip("."))
-    return list(out.values())[:12]
-
+FIELDS = {"brand": "string", "product": "string", "flavour": "string", "marketing_company": "string", "address": "string", "package_size": "string"}
 
-FIELDS = "brand string, product string, flavour string, marketing_company string, address string, package_size string, claims array<string>"
 
+def label_fields(docs: DataFrame, key: str, text: str, flavours: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(key, the nine fields of a label, claims) of every text, or those named in ``only``; blank text, blank fields.
 
-def label_fields(docs: DataFrame, key: str, text: str, flavours: list[str] | None = None) -> DataFrame:
-    """(key, brand, product, flavour, marketing_company, address, package_size, claims) of every text; blank text, blank fields."""
+    brand, product, flavour, marketing_company, address and package_size follow from neighbouring lines; fssai_number,
+    customer_care_email, customer_care_number and claims are column expressions.
+    """
     known = flavours or []
+    expressions = {"fssai_number": X.licence, "customer_care_email": X.email, "customer_care_number": X.care_number, "claims": X.generic_claims}
+    names = only or [*FIELDS, *expressions]
+    from_lines = [n for n in names if n in FIELDS]
+
+    def of(value: str, lines: list[str]) -> dict[str, str]:
+        out = {}
+        if "brand" in from_lines or "product" in from_lines:
+            brand, out["product"] = title(lines)
+            out["brand"] = brand or ("" if out["product"] else fallback_brand(lines))
+        if "marketing_company" in from_lines or "address" in from_lines:
+            out["marketing_company"] = marketing_company(lines)
+        if "address" in from_lines:
+            out["address"] = address(lines, out["marketing_company"])
+        if "flavour" in from_lines:
+            out["flavour"] = flavour(value, known)
+        if "package_size" in from_lines:
+            out["package_size"] = package_size(value)
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for value in pdf[text]:
-                value = value or ""
-                lines = text_lines(value)
-                brand, product = title(lines)
-                company = marketing_company(lines)
-                rows.append((brand or ("" if product else fallback_brand(lines)), product, flavour(value, known), company, address(lines, company), package_size(value), generic_claims(lines)))
-            names = [f.split()[0] for f in FIELDS.split(", ")]
-            yield pdf[[key]].assign(**{n: [r[i] for r in rows] for i, n in enumerate(names)})
-
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {FIELDS}")
+            rows = [of(value or "", text_lines(value)) for value in pdf["__text"]]
+            yield pdf.drop(columns="__text").assign(**{n: [r[n] for r in rows] for n in from_lines})
+
+    found = docs.select(key, F.col(text).alias("__text"), *[F.coalesce(expressions[n](F.col(text)), F.array().cast("array<string>") if n == "claims" else F.lit("")).alias(n) for n in names if n in expressions])
+    if from_lines:
+        kept = [f for f in found.schema if f.name != "__text"]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} string" for n in from_lines)])
+        found = found.mapInPandas(run, schema)
+    return found.select(key, *names)

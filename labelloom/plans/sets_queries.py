@@ -363,16 +363,26 @@ def a_19(spark, sf):
     return A.colour_histogram(pixels(spark, sf), "image")
 
 
-@query("a_20", None)
+_NAMED = f"""{_PIXELS}, unit AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM pixels),
+hsl AS (SELECT *, (hi + lo) / 510.0::DOUBLE AS l, CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (255.0::DOUBLE - abs(hi + lo - 255)) END AS s,
+        CASE WHEN hi = lo THEN 0 WHEN hi = r THEN 60.0::DOUBLE * (g - b) / (hi - lo) WHEN hi = g THEN 60.0::DOUBLE * (b - r) / (hi - lo) + 120 ELSE 60.0::DOUBLE * (r - g) / (hi - lo) + 240 END AS turn FROM unit),
+hued AS (SELECT *, CASE WHEN turn < 0 THEN turn + 360 ELSE turn END AS h FROM hsl),
+named AS (SELECT *, CASE WHEN l >= 0.9 AND s < 0.2 THEN 'White' WHEN l <= 0.12 THEN 'Black' WHEN s < 0.12 THEN 'Grey' WHEN l >= 0.8 AND s < 0.35 AND h >= 20 AND h < 70 THEN 'Cream' WHEN l < 0.42 AND h >= 10 AND h < 50 THEN 'Brown'
+        WHEN h < 15 OR h >= 345 THEN 'Red' WHEN h < 45 THEN 'Orange' WHEN h < 70 THEN 'Yellow' WHEN h < 165 THEN 'Green' WHEN h < 195 THEN 'Teal' WHEN h < 255 THEN 'Blue' WHEN h < 290 THEN 'Purple' ELSE 'Pink' END AS name FROM hued),
+palette AS (SELECT image, name, count(*) AS n, round(avg(r))::INTEGER AS r, round(avg(g))::INTEGER AS g, round(avg(b))::INTEGER AS b, count(*) / sum(count(*)) OVER (PARTITION BY image) AS coverage FROM named GROUP BY image, name)"""
+
+
+@query("a_20", f"WITH {_NAMED} SELECT * FROM palette")
 def a_20(spark, sf):
     return A.palette(pixels(spark, sf), "image")
 
 
-@query("t_08", None)
+@query("t_08", f"""WITH {_NAMED}, best AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY coverage DESC, name) AS k FROM palette WHERE name NOT IN ('White', 'Black', 'Grey', 'Cream') AND coverage >= 0.04)
+SELECT image, string_agg(name, ' & ' ORDER BY k) AS theme FROM best WHERE k <= 2 GROUP BY image""")
 def t_08(spark, sf):
     from pyspark.sql import Window
 
-    colours = A.palette(pixels(spark, sf), "image").where(~F.col("name").isin("Black", "White", "Grey") & (F.col("coverage") >= 0.04))
+    colours = A.palette(pixels(spark, sf), "image").where(~F.col("name").isin(A.NEUTRAL) & (F.col("coverage") >= 0.04))
     order = Window.partitionBy("image").orderBy(F.desc("coverage"), "name")
     top = colours.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     return top.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), " & ").alias("theme"))

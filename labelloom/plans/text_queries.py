@@ -12,6 +12,7 @@ from labelloom.operators import cascade as K
 from labelloom.operators import extract as X
 from labelloom.operators import geometry as G
 from labelloom.operators.label_text import label_fields
+from labelloom.plans.sets_queries import _NAMED, pixels
 from labelloom.sources.domain import labels, table, with_sql
 from labelloom.streaming import decisions
 
@@ -262,10 +263,9 @@ def e_30(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", difference_hash(F.col("embedding"), 8, 8).alias("h"))
 
 
-@query("e_31", None)
+@query("e_31", f"WITH {_NAMED} SELECT image, name, count(*) AS n FROM named GROUP BY ALL")
 def e_31(spark, sf):
     from labelloom.operators.aggregates import hue_name
-    from labelloom.plans.sets_queries import pixels
 
     named = pixels(spark, sf).select("image", hue_name(F.col("r"), F.col("g"), F.col("b")).alias("name"))
     return named.groupBy("image", "name").agg(F.count("*").alias("n"))
