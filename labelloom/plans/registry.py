@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tables_queries", "sets_queries", "records_queries", "text_queries", "more_queries"]
+MODULES = ["tables_queries", "sets_queries", "records_queries", "text_queries", "more_queries", "case_queries"]
 FLAGSHIP = "r_01"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
