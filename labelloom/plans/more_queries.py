@@ -19,7 +19,7 @@ from labelloom.operators import windows as W
 from labelloom.operators.shared import cut
 from labelloom.plans import records_queries as R
 from labelloom.plans.sets_queries import _BOX, _SCORES, boxes, pixels, scores
-from labelloom.plans.text_queries import spans
+from labelloom.plans.text_queries import spans, titled
 from labelloom.sources.domain import artworks, history, labels, table, with_sql
 
 Q: dict = {}
@@ -225,7 +225,7 @@ def t_06(spark, sf):
 
 @query("t_07", None)
 def t_07(spark, sf):
-    return G.display_lines(G.lines(G.rotated(spans(spark, sf)), ["page", "bucket"]), ["page"], 10)
+    return G.display_lines(G.lines(G.rotated(titled(spark, sf)), ["page", "bucket"]), ["page"], 10)
 
 
 @query("t_09", None)
@@ -273,9 +273,9 @@ def b_15(spark, sf):
     return R.rows(spark, sf).select("a_id", "field", kind.alias("result"))
 
 
-@query("b_18", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id % 20 AS subject, arg_max(a_id, (overall, -a_id)) AS a_id FROM o WHERE verdict <> 'CONFLICT' GROUP BY 1"))
+@query("b_18", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id % 20 AS subject, arg_max(a_id, (overall, -a_id)) AS a_id FROM o WHERE overall >= 20 GROUP BY 1"))
 def b_18(spark, sf):
-    scored = B.parameter_comparison(R.rows(spark, sf)).where("verdict <> 'CONFLICT'").select((F.col("a_id") % 20).alias("subject"), "a_id", "overall")
+    scored = B.parameter_comparison(R.rows(spark, sf)).where("overall >= 20").select((F.col("a_id") % 20).alias("subject"), "a_id", "overall")
     return B.best_match(scored, "subject", "overall", "a_id").select("subject", "a_id")
 
 

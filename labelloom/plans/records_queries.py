@@ -120,9 +120,8 @@ def nutrition_texts(spark, sf):
 
 @query("b_08", f"""
 WITH n AS (SELECT l_orderkey AS id, 'N ' || l_linenumber AS nutrient, (min(l_quantity)::INTEGER % 9) || ' mg' AS v FROM lineitem GROUP BY ALL),
-duo AS (SELECT DISTINCT x.id // 2 AS pair FROM n x JOIN n y ON y.id = x.id + 1 WHERE x.id % 2 = 0),
-p AS (SELECT coalesce(x.id // 2, y.id // 2)::BIGINT AS pair, coalesce(x.nutrient, y.nutrient) AS nutrient, x.v AS a, y.v AS b
- FROM (SELECT * FROM n WHERE id % 2 = 0 AND id % 7 <> 0) x FULL JOIN (SELECT * FROM n WHERE id % 2 = 1 AND id % 7 <> 0) y ON x.id // 2 = y.id // 2 AND x.nutrient = y.nutrient)
+duo AS (SELECT id // 2 AS pair FROM n GROUP BY 1 HAVING count(DISTINCT id % 2) = 2),
+p AS (SELECT (id // 2)::BIGINT AS pair, nutrient, max(CASE WHEN id % 2 = 0 THEN v END) AS a, max(CASE WHEN id % 2 = 1 THEN v END) AS b FROM n WHERE id % 7 <> 0 GROUP BY 1, 2)
 SELECT p.*, CASE WHEN a IS NULL OR b IS NULL THEN 'MISSING' WHEN a = b THEN 'MATCH' WHEN {LIKE} THEN 'SIMILAR' ELSE 'CONFLICT' END AS status FROM p JOIN duo USING (pair)""")
 def b_08(spark, sf):
     return B.nutrition_comparison(nutrition_texts(spark, sf), "a", "b", "pair")

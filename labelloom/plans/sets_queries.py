@@ -237,8 +237,7 @@ def nutrients(spark, sf):
 
 
 @query("j_14", f"""
-WITH n AS ({_NUTRIENTS}), a AS (SELECT id // 2 AS pair, nutrient, amount FROM n WHERE id % 2 = 0), b AS (SELECT id // 2 AS pair, nutrient, amount FROM n WHERE id % 2 = 1)
-SELECT coalesce(a.pair, b.pair)::BIGINT AS pair, coalesce(a.nutrient, b.nutrient) AS nutrient, a.amount AS a, b.amount AS b FROM a FULL JOIN b ON a.pair = b.pair AND a.nutrient = b.nutrient""")
+SELECT (id // 2)::BIGINT AS pair, nutrient, max(CASE WHEN id % 2 = 0 THEN amount END) AS a, max(CASE WHEN id % 2 = 1 THEN amount END) AS b FROM ({_NUTRIENTS}) GROUP BY 1, 2""")
 def j_14(spark, sf):
     rows = nutrients(spark, sf).withColumn("pair", F.floor(F.col("id") / 2))
     return J.nutrition_pairs(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["pair"], "nutrient", "amount")

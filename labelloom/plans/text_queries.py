@@ -171,6 +171,11 @@ def spans(spark, sf):
     )
 
 
+def titled(spark, sf):
+    """The spans, some of them in display type."""
+    return spans(spark, sf).withColumn("font_size", F.when(F.endswith("text", F.lit("77")), F.col("font_size") * 5).otherwise(F.col("font_size")))
+
+
 SPANS = """spans AS (SELECT l_suppkey AS page, (l_partkey * 13 % 500)::DOUBLE AS x, (l_orderkey // 10 * 17 % 700)::DOUBLE AS y, 30.0::DOUBLE AS width, 8.0::DOUBLE + l_linenumber % 3 AS font_size,
  CASE WHEN l_suppkey % 2 = 0 THEN 0.0 ELSE 1.5707963 END::DOUBLE AS rotation, 'w' || l_partkey AS text FROM lineitem)"""
 
@@ -207,7 +212,7 @@ def e_05(spark, sf):
 
 @query("e_06", None)
 def e_06(spark, sf):
-    return G.display_lines(G.lines(G.rotated(spans(spark, sf)), ["page", "bucket"]), ["page"])
+    return G.display_lines(G.lines(G.rotated(titled(spark, sf)), ["page", "bucket"]), ["page"])
 
 
 @query("e_09", f"WITH {SPANS} SELECT page, text, round(x * 300 / 72, 4) AS x0, round((800 - y - font_size) * 300 / 72, 4) AS y0 FROM spans")
