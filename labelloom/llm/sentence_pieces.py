@@ -23,7 +23,8 @@ from labelloom.llm.common import text_or_empty
 VOCABULARY = "piece_bpe_32k"
 SPACE = "▁"
 CHUNK_CHARS = 1 << 20
-WORDS_HELD = 400_000
+WORDS_HELD, CHARS_HELD = 400_000, 4_000_000
+LENGTH_BITS = 5  # an edge is its position and its length in one number
 END = 0x110000  # between words; no character
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -42,6 +43,8 @@ class Pieces:
         if any(SPACE in t.lstrip(SPACE) for t in texts):
             raise ValueError("pieces run over word ends")
         self.longest = max(map(len, texts))
+        if self.longest >= 1 << LENGTH_BITS:
+            raise ValueError(f"a piece of {self.longest} characters; edges hold lengths below {1 << LENGTH_BITS}")
         self.codes = np.full((len(texts), self.longest), -1, dtype=np.int32)
         for row, t in zip(self.codes, texts, strict=True):
             row[: len(t)] = [ord(c) for c in t]
@@ -105,13 +108,13 @@ def occurrences(codes: np.ndarray, order: np.ndarray, pieces: Pieces) -> tuple[n
 
 
 def edges(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(key, piece) of every occurrence, sorted by position and length: key is position * 32 + length."""
+    """(key, piece) of every occurrence, sorted by position and length: key is position << LENGTH_BITS plus length."""
     order = suffix_array(codes, pieces.longest)
     low, high = occurrences(codes, order, pieces)
     many = high - low
     piece = np.repeat(np.arange(len(many)), many)
     at = order[np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-    packed = np.sort((at * 32 + pieces.lengths[piece]) << 20 | piece)  # at most one piece for a position and length
+    packed = np.sort(((at << LENGTH_BITS) + pieces.lengths[piece]) << 20 | piece)  # at most one piece for a position and length
     return packed >> 20, (packed & ((1 << 20) - 1)).astype(np.int32)
 
 
@@ -123,9 +126,9 @@ class Relaxation:
 
     def pair(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = end - start
-        wanted = start * 32 + length
+        wanted = (start << LENGTH_BITS) + length
         at = np.searchsorted(self.key, wanted)
-        return np.where((length < 32) & (self.key[at] == wanted), self.score[at], -np.inf)
+        return np.where((length < 1 << LENGTH_BITS) & (self.key[at] == wanted), self.score[at], -np.inf)
 
     def run(self, start: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start and word of every character, ascending; returns start, end and word of every symbol."""
@@ -185,7 +188,7 @@ class Relaxation:
 
 
 class Encoder:
-    """Ids of texts; words met before are kept, up to WORDS_HELD of them."""
+    """Ids of texts; words met before are kept, up to WORDS_HELD of them and CHARS_HELD characters."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.pieces = Pieces(vocabulary)
@@ -193,6 +196,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.empty(0, dtype=np.int32)
         self.offsets = np.zeros(1, dtype=np.int64)
 
@@ -222,7 +226,7 @@ class Encoder:
         key, piece = edges(codes, self.pieces)
         relaxed = Relaxation(key, piece, self.pieces.scores)
         s, e, w = relaxed.run(start, np.repeat(np.arange(len(texts)), lengths))
-        wanted = s * 32 + (e - s)
+        wanted = (s << LENGTH_BITS) + (e - s)
         at = np.searchsorted(relaxed.key, wanted)
         known = relaxed.key[at] == wanted
         ids = np.full(len(s), -1, dtype=np.int32)
@@ -248,11 +252,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
-        if len(self.known) > WORDS_HELD:
+        if len(self.known) > WORDS_HELD or self.chars > CHARS_HELD:
             self._clear()
         new = list(set().union(*split).difference(self.known))
         if new:
             ids, counts = self.words(new)
+            self.chars += sum(map(len, new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.ids = np.concatenate([self.ids, ids])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
