@@ -1,12 +1,14 @@
 """Positioned spans into lines, panels, cells and tables, and boxes into decisions.
 
 A span has page, x, y (upwards), width, font_size, rotation and text. What depends on a running state (which line a
-span belongs to) is a fold over one page and rotation, in pandas; the rest are column expressions.
+span belongs to) is a fold over the distinct positions of a page, in pandas, whose numbers are then joined to the spans;
+the rest are column expressions, joins and grouping.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import vocabulary as V
+from labelloom.operators.joins import box_overlaps
+from labelloom.operators.shared import cut
 from labelloom.operators.windows import sessions_by_gap
 
 
@@ -43,19 +47,34 @@ def line_numbers(cross: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def lines(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line, text, cross, font_size, n): spans grouped to lines from the top down, words from left to right."""
+def _numbered(rows: DataFrame, keys: list[str], by: list[str], name: str, fold: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """``rows`` with a number that a fold over the distinct ``by`` values of the keys gives them. Spans of one position
+    share it, so a page's task holds positions, not spans."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cross", "along", "text"], ascending=[False, True, True], ignore_index=True)
-        pdf["line"] = line_numbers(pdf["cross"].to_numpy(), pdf["font_size"].to_numpy())
-        pdf = pdf.sort_values(["line", "along", "text"], ignore_index=True)
-        grouped = pdf.groupby([*keys, "line"], sort=True, dropna=False)
-        return grouped.agg(text=("text", " ".join), cross=("cross", "max"), font_size=("font_size", "max"), n=("text", "size")).reset_index()
+        return pdf.assign(**{name: fold(pdf)})
+
+    marks = rows.select(*keys, *by).distinct()
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, *by])
+    numbers = cut(marks.groupBy(*keys).applyInPandas(run, f"{kinds}, {name} long"), "positions")
+    return rows.join(numbers, [*keys, *by])
 
-    kinds = ", ".join(f"`{k}` {spans.schema[k].dataType.simpleString()}" for k in keys)
-    chosen = spans.select(*keys, "along", "cross", "font_size", "text")
-    return chosen.groupBy(*keys).applyInPandas(run, f"{kinds}, line long, text string, cross double, font_size double, n long")
+
+def lines(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line, text, cross, font_size, n): spans grouped to lines from the top down, words from left to right.
+
+    Spans of one height go by their font size, larger ones first.
+    """
+
+    def fold(pdf: pd.DataFrame) -> np.ndarray:
+        order = np.lexsort((-pdf["font_size"].to_numpy(), -pdf["cross"].to_numpy()))
+        out = np.empty(len(pdf), dtype=np.int64)
+        out[order] = line_numbers(pdf["cross"].to_numpy()[order], pdf["font_size"].to_numpy()[order])
+        return out
+
+    placed = _numbered(spans.select(*keys, "along", "cross", "font_size", "text"), keys, ["cross", "font_size"], "line", fold)
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("along", "text"))), lambda x: x["text"]), " ")
+    return placed.groupBy(*keys, "line").agg(words.alias("text"), F.max("cross").alias("cross"), F.max("font_size").alias("font_size"), F.count("*").alias("n"))
 
 
 def reading_text(lines_: DataFrame, page: str, panel: str) -> DataFrame:
@@ -86,38 +105,41 @@ def display_lines(lines_: DataFrame, keys: list[str], top: int = 10) -> DataFram
 def clustered_rows(words: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """Row of each word: within ``tolerance`` of the row's first word, from the top."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "text"], ignore_index=True)
-        row, first, out = -1, -np.inf, []
-        for y in pdf["y0"]:
-            if y - first > tolerance:
-                row, first = row + 1, y
-            out.append(row)
-        return pdf.assign(row=out)
-
-    return words.groupBy(*keys).applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", row long")
-
-
-def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of box a with each box of b (x0, y0, x1, y1)."""
-    w = np.clip(np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0]), 0, None)
-    h = np.clip(np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1]), 0, None)
-    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
-    return w * h / np.maximum(area(a) + area(b) - w * h, 1e-12)
-
-
-def without_overlaps(lines_: DataFrame, keys: list[str], limit: float = 0.7) -> DataFrame:
-    """Lines of a page by confidence; one that overlaps a kept line by more than ``limit`` goes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "y0", "x0", "text"], ascending=[False, True, True, True], ignore_index=True)
-        boxes, kept = pdf[["x0", "y0", "x1", "y1"]].to_numpy(), []
-        for i in range(len(pdf)):
-            if not kept or iou(boxes[i], boxes[kept]).max() <= limit:
-                kept.append(i)
-        return pdf.iloc[kept]
+    def fold(pdf: pd.DataFrame) -> np.ndarray:
+        out, row, first = np.empty(len(pdf), dtype=np.int64), -1, -np.inf
+        for i in np.argsort(pdf["y0"].to_numpy(), kind="stable"):
+            if pdf["y0"].iloc[i] - first > tolerance:
+                row, first = row + 1, pdf["y0"].iloc[i]
+            out[i] = row
+        return out
 
-    return lines_.groupBy(*keys).applyInPandas(run, lines_.schema)
+    return _numbered(words, keys, ["y0"], "row", fold).select(*words.columns, "row")
+
+
+def without_overlaps(lines_: DataFrame, page: str, limit: float = 0.7, cell: float = 64.0) -> DataFrame:
+    """Lines of a page by confidence, then from the top; one that overlaps a kept line by more than ``limit`` goes.
+
+    Of equal boxes the best stays. Others meet in grid cells. In every round the lines that nothing better overlaps stay
+    and take what they overlap with them, until no overlap is left to decide.
+    """
+    names = [page, "x0", "y0", "x1", "y1"]
+    rank = F.struct((-F.col("confidence")).alias("c"), "y0", "x0", "text", "x1", "y1")
+    rest = F.struct(*[c for c in lines_.columns if c not in names])
+    best = cut(lines_.groupBy(*names).agg(F.min_by(F.struct(rank.alias("id"), rest.alias("r")), rank).alias("b")).select(*names, "b.id", "b.r"), "boxes")
+    sides = best.select(page, "id", "x0", "y0", "x1", "y1")
+    edges = box_overlaps(sides, sides, page, cell).where((F.col("a_id") < F.col("b_id")) & (F.col("iou") > limit))
+    edges, gone = cut(edges.select(page, F.col("a_id").alias("u"), F.col("b_id").alias("v")), "overlaps"), []
+    while not edges.isEmpty():
+        free = edges.select(page, "u").distinct().join(edges.select(page, F.col("v").alias("u")).distinct(), [page, "u"], "left_anti")
+        out = cut(edges.join(free, [page, "u"]).select(page, F.col("v").alias("id")).distinct(), "gone")
+        gone.append(out)
+        left = edges.join(free, [page, "u"], "left_anti")
+        for end in ("u", "v"):
+            left = left.join(out.withColumnRenamed("id", end), [page, end], "left_anti")
+        edges = cut(left, "overlaps")
+    for out in gone:
+        best = best.join(out, [page, "id"], "left_anti")
+    return best.select(*[F.col(c) if c in names else F.col(f"r.{c}").alias(c) for c in lines_.columns])
 
 
 def pixel_box(x: Column, y: Column, width: Column, size: Column, page_height: Column, dpi: int = 300) -> Column:
@@ -197,16 +219,24 @@ def nutrition_rows(lines_: list[list[str]]) -> dict[str, str]:
 
 
 def nutrition_tables(cells_: DataFrame, key: str) -> DataFrame:
-    """(key, nutrition map) of cells (key, line, cell, text)."""
+    """(key, nutrition map) of cells (key, line, cell, text): of the ROWS lines behind the first header alone, so that a
+    page's task holds no more. A page without a header has an empty map."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"])
+    rows = cut(cells_.groupBy(key, "line").agg(listed.alias("cells")), "lines")
+    head = F.array_join("cells", " ").rlike(f"(?i){HEADER.pattern}")
+    heads = cut(rows.groupBy(key).agg(F.min(F.when(head, F.col("line"))).alias("head")), "heads")
+    behind = rows.join(heads, key).where(F.col("line") > F.col("head"))
+    order = Window.partitionBy(key).orderBy("line")
+    few = behind.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ROWS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "cell"])
-        found = nutrition_rows([list(g["text"]) for _, g in pdf.groupby("line", sort=True)])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "nutrition": [list(found.items())]})
+        found = nutrition_rows([["nutrition facts"], *map(list, pdf.sort_values("line")["cells"])])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "nutrition": [[{"k": k, "v": v} for k, v in found.items()]]})
 
     kind = cells_.schema[key].dataType.simpleString()
-    pairs = cells_.select(key, "line", "cell", "text").groupBy(key).applyInPandas(lambda p: run(p).assign(nutrition=lambda d: [[{"k": k, "v": v} for k, v in x] for x in d["nutrition"]]), f"`{key}` {kind}, nutrition array<struct<k:string,v:string>>")
-    return pairs.select(key, F.map_from_entries("nutrition").alias("nutrition"))
+    pairs = few.select(key, "line", "cells").groupBy(key).applyInPandas(run, f"`{key}` {kind}, nutrition array<struct<k:string,v:string>>")
+    empty = F.array().cast("array<struct<k:string,v:string>>")
+    return heads.select(key).join(pairs, key, "left").select(key, F.map_from_entries(F.coalesce("nutrition", empty)).alias("nutrition"))
 
 
 def components(grid: np.ndarray) -> np.ndarray:

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where the session names none and runs locally."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="labelloom-")
+    return _OWN[app]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (a temporary one only where none is set) and read back."""
+    """df written to the shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="labelloom-"))
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

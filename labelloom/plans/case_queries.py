@@ -207,7 +207,7 @@ pages("w_10_cases", "x0 double, y0 double, text string", [[(5.0, 10.0, "a"), (1.
 BOX = "x0 double, y0 double, x1 double, y1 double, confidence double, text string"
 NEAR = [(0.0, 0.0, 10.0, 10.0, 0.9, "a"), (0.0, 0.0, 10.0, 9.0, 0.8, "b"), (5.0, 0.0, 15.0, 10.0, 0.7, "c"), (5.0, 0.0, 15.0, 9.5, 0.95, "d")]
 for _name in ("e_14_cases", "u_10_cases"):
-    pages(_name, BOX, [NEAR, NEAR[:1]], "text string", [[("a",), ("d",)], [("a",)]], lambda rows: G.without_overlaps(rows, ["page"]))
+    pages(_name, BOX, [NEAR, NEAR[:1]], "text string", [[("a",), ("d",)], [("a",)]], lambda rows: G.without_overlaps(rows, "page"))
 pages(
     "e_07_cases", "line long, cell int, text string",
     [

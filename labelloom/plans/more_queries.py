@@ -260,7 +260,7 @@ def u_09(spark, sf):
 @query("u_10", None)
 def u_10(spark, sf):
     rows = boxes(spark, sf).select("page", "x0", "y0", "x1", "y1", (F.col("id") % 100).cast("double").alias("confidence"), F.col("id").cast("string").alias("text"))
-    return G.without_overlaps(rows, ["page"], 0.7).select("page", "text")
+    return G.without_overlaps(rows, "page", 0.7).select("page", "text")
 
 
 # comparison

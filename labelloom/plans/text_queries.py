@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from labelloom.operators import cascade as K
 from labelloom.operators import extract as X
 from labelloom.operators import geometry as G
 from labelloom.operators.label_text import label_fields
+from labelloom.operators.shared import shared_folder
 from labelloom.plans.sets_queries import _NAMED, pixels
 from labelloom.sources.domain import labels, table, with_sql
 from labelloom.streaming import decisions
@@ -244,7 +244,7 @@ def e_14(spark, sf):
     from labelloom.plans.sets_queries import boxes
 
     rows = boxes(spark, sf).select("page", "x0", "y0", "x1", "y1", (F.col("id") % 100).cast("double").alias("confidence"), F.col("id").cast("string").alias("text"))
-    return G.without_overlaps(rows, ["page"])
+    return G.without_overlaps(rows, "page")
 
 
 @query("w_10", None)
@@ -322,7 +322,7 @@ def u_07(spark, sf):
 @query("ext_stream_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ext_stream_counts(spark, sf):
     """Tumbling counts of the log read as a stream; the newest update of each window."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='labelloom-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = spark.readStream.schema(decisions.LOG).parquet(f"{sf}/events.parquet*")
     counts = decisions.tumbling_counts(log)
 

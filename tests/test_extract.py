@@ -192,7 +192,29 @@ def test_lines_and_tables():
 
 def test_overlapping_lines(spark):
     rows = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0, 0.9, "a"), (1, 0.0, 0.0, 10.0, 9.0, 0.8, "b"), (1, 5.0, 0.0, 15.0, 10.0, 0.7, "c")], "page int, x0 double, y0 double, x1 double, y1 double, confidence double, text string")
-    assert {r["text"] for r in G.without_overlaps(rows, ["page"]).collect()} == {"a", "c"}
+    assert {r["text"] for r in G.without_overlaps(rows, "page").collect()} == {"a", "c"}
+
+
+def test_overlaps_of_a_crowded_page(spark):
+    def iou(a, b):
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        both = max(w, 0) * max(h, 0)
+        return both / (400 - both)
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        x, y = (float(v) for v in rng.integers(0, 12, 2) * (1 + 9 * (i % 3)))
+        rows.append((int(i % 2), x, y, x + 20, y + 10, float(rng.integers(0, 5)), f"t{i % 40}"))
+    got = G.without_overlaps(spark.createDataFrame(rows, "page int, x0 double, y0 double, x1 double, y1 double, confidence double, text string"), "page").collect()
+    want = []
+    for page in (0, 1):
+        kept = []
+        for r in sorted({r for r in rows if r[0] == page}, key=lambda r: (-r[5], r[2], r[1], r[6])):
+            if all(iou(r, k) <= 0.7 for k in kept):
+                kept.append(r)
+        want += kept
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_ink_regions(spark):
