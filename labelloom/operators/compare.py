@@ -29,9 +29,11 @@ def is_similar(a: Column, b: Column) -> Column:
 
 
 def _alike(x: Column, y: Column) -> Column:
-    """Likeness of two comparable forms."""
+    """Likeness of two comparable forms. Shared words are looked at first, and the edit distance, which is the work,
+    only where the lengths leave room for it."""
     longer = F.greatest(F.length(x), F.length(y), F.lit(1))
-    return (x != "") & (y != "") & ((F.levenshtein(x, y) / longer <= EDIT_SHARE) | (overlap(x, y) >= OVERLAP))
+    close = (F.abs(F.length(x) - F.length(y)) / longer <= EDIT_SHARE) & (F.levenshtein(x, y) / longer <= EDIT_SHARE)
+    return (x != "") & (y != "") & ((overlap(x, y) >= OVERLAP) | close)
 
 
 def five_state(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
@@ -61,6 +63,32 @@ def field_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, fields: list[str],
     return joined.select("a_id", "b_id", F.explode(each).alias("x")).select("a_id", "b_id", "x.*")
 
 
+def record_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """(a_id, b_id, a, b): both records of each pair as structs of texts."""
+    side = lambda df, p: df.select(F.col(key).alias(f"{p}_id"), F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(p))
+    return pairs.select("a_id", "b_id").join(side(a, "a"), "a_id").join(side(b, "b"), "b_id").select("a_id", "b_id", "a", "b")
+
+
+def weighted_records(paired: DataFrame, fields: list[str], same_company: bool = False) -> DataFrame:
+    """Score and counts of states of every pair of records, each pair within its own row."""
+    kept = [f for f in fields if not (same_company and f in OWN_COMPANY_FIELDS)]
+    forms = paired.withColumns({f"__{p}_{f}": comparable(F.col(p)[f]) for f in kept for p in "ab"})
+    states = forms.select("a_id", "b_id", *[five_state(F.col("a")[f], F.col("b")[f], F.col(f"__a_{f}"), F.col(f"__b_{f}")).alias(f) for f in kept])
+    counted = {f: F.when(F.col(f) != "NOT_COMPARED", WEIGHTS[f]).otherwise(0) for f in kept}
+    total, points = sum(counted.values(), F.lit(0)), sum((credit(F.col(f)) * counted[f] for f in kept), F.lit(0.0))
+    score = F.coalesce(F.round(points / F.nullif(total, F.lit(0)) * 100), F.lit(0.0)).cast("int")
+    tally = lambda s: sum(((F.col(f) == s).cast("long") for f in kept), F.lit(0).cast("long"))
+    return states.select("a_id", "b_id", score.alias("score"), *[tally(s).alias(s.lower()) for s in ("MATCH", "SIMILAR", "CONFLICT", "MISSING", "NOT_COMPARED")])
+
+
+def parameter_records(paired: DataFrame, fields: list[str]) -> DataFrame:
+    """Overall similarity, verdict and coverage of every pair of records, each pair within its own row."""
+    results = F.array(*[parameter_state(F.col("a")[f], F.col("b")[f]) for f in fields])
+    judged = paired.select("a_id", "b_id", results.alias("results"))
+    covered = F.size(F.filter("results", lambda r: r != "MISSING")).cast("long")
+    return parameter_summary(judged.withColumns({"comparable": covered, "total": F.lit(len(fields)).cast("long")}), "results")
+
+
 def weighted_fields(rows: DataFrame, same_company: bool = False) -> DataFrame:
     """Field rows with status, similarity and weight; within one company its own contact fields are left out."""
     kept = rows.where(~F.col("field").isin(OWN_COMPANY_FIELDS)) if same_company else rows

@@ -136,17 +136,17 @@ def a_05(spark, sf):
 
 @query("a_06", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id, overall FROM o"))
 def a_06(spark, sf):
-    return B.parameter_comparison(R.rows(spark, sf)).select("a_id", "overall")
+    return B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", "overall")
 
 
 @query("a_07", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id, comparable / total AS coverage FROM o"))
 def a_07(spark, sf):
-    return B.parameter_comparison(R.rows(spark, sf)).select("a_id", (F.col("comparable") / F.col("total")).alias("coverage"))
+    return B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", (F.col("comparable") / F.col("total")).alias("coverage"))
 
 
 @query("a_08", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id, verdict FROM o"))
 def a_08(spark, sf):
-    return B.parameter_comparison(R.rows(spark, sf)).select("a_id", "verdict")
+    return B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", "verdict")
 
 
 @query("a_09", with_sql("label", f"WITH {R.ROWS} SELECT a_id, {R.FIVE} AS status, count(*) AS n FROM f GROUP BY ALL"))
@@ -220,7 +220,7 @@ def t_05(spark, sf):
 
 @query("t_06", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id, overall FROM o"))
 def t_06(spark, sf):
-    return B.parameter_comparison(R.rows(spark, sf)).select("a_id", "overall").orderBy(F.desc("overall"), "a_id")
+    return B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", "overall").orderBy(F.desc("overall"), "a_id")
 
 
 @query("t_07", None)
@@ -275,13 +275,13 @@ def b_15(spark, sf):
 
 @query("b_18", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id % 20 AS subject, arg_max(a_id, (overall, -a_id)) AS a_id FROM o WHERE overall >= 20 GROUP BY 1"))
 def b_18(spark, sf):
-    scored = B.parameter_comparison(R.rows(spark, sf)).where("overall >= 20").select((F.col("a_id") % 20).alias("subject"), "a_id", "overall")
+    scored = B.parameter_records(R.paired(spark, sf), R.FIELDS).where("overall >= 20").select((F.col("a_id") % 20).alias("subject"), "a_id", "overall")
     return B.best_match(scored, "subject", "overall", "a_id").select("subject", "a_id")
 
 
 @query("b_20", R.SQL["b_10"].replace("SELECT * FROM o", "SELECT a_id, b_id, overall, verdict FROM o"))
 def b_20(spark, sf):
-    return cut(B.parameter_comparison(R.rows(spark, sf)).select("a_id", "b_id", "overall", "verdict"), "verdicts")
+    return cut(B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", "b_id", "overall", "verdict"), "verdicts")
 
 
 @query("b_23", None)

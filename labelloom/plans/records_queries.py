@@ -58,6 +58,11 @@ def rows(spark, sf):
     return B.field_pairs(pairs(spark, sf), records, records, FIELDS)
 
 
+def paired(spark, sf):
+    records = labels(spark, sf)
+    return B.record_pairs(pairs(spark, sf), records, records, FIELDS)
+
+
 def field_query(name, expression, sql, alias):
     @query(name, with_sql("label", f"WITH {ROWS} SELECT a_id, field, {sql} AS {alias} FROM f"))
     def run(spark, sf):
@@ -83,12 +88,12 @@ SELECT a_id, b_id, coalesce(round(sum(w * p) FILTER (status <> 'NOT_COMPARED') /
 
 @query("b_06", _weighted("true"))
 def b_06(spark, sf):
-    return B.weighted_comparison(B.weighted_fields(rows(spark, sf)))
+    return B.weighted_records(paired(spark, sf), FIELDS)
 
 
 @query("b_07", _weighted("field NOT IN ('address', 'customer_care_number', 'customer_care_email')"))
 def b_07(spark, sf):
-    return B.weighted_comparison(B.weighted_fields(rows(spark, sf), same_company=True))
+    return B.weighted_records(paired(spark, sf), FIELDS, same_company=True)
 
 
 _PARAMETERS = f"""p AS (SELECT *, {PARAM} AS result FROM f), o AS (SELECT a_id, b_id,
@@ -99,12 +104,12 @@ _PARAMETERS = f"""p AS (SELECT *, {PARAM} AS result FROM f), o AS (SELECT a_id,
 
 @query("b_10", with_sql("label", f"WITH {ROWS}, {_PARAMETERS} SELECT * FROM o"))
 def b_10(spark, sf):
-    return B.parameter_comparison(rows(spark, sf))
+    return B.parameter_records(paired(spark, sf), FIELDS)
 
 
 @query("b_11", with_sql("label", f"WITH {ROWS}, {_PARAMETERS} SELECT (a_id % 50) AS subject, arg_max(a_id, (overall, -a_id)) AS a_id, max(overall) AS overall FROM o GROUP BY 1"))
 def b_11(spark, sf):
-    scored = B.parameter_comparison(rows(spark, sf)).select((F.col("a_id") % 50).alias("subject"), "a_id", "overall")
+    scored = B.parameter_records(paired(spark, sf), FIELDS).select((F.col("a_id") % 50).alias("subject"), "a_id", "overall")
     return B.best_match(scored, "subject", "overall", "a_id").select("subject", "a_id", "overall")
 
 
