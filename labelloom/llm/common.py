@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PATHS: dict[int, tuple[DataFrame, str]] = {}  # tables that may be dropped; the table is held so that its id stays its own
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,7 +39,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with released(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = (table, path)
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing reads any more, so that disk is held by what is still needed."""
+    for table in tables:
+        if (found := _PATHS.pop(id(table), None)) is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(found[1])
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

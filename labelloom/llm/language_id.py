@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import cut, text_or_empty
+from labelloom.llm.common import cut, drop, text_or_empty
 
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 4000  # training rows at most
@@ -257,6 +257,7 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS
             weights[r["bucket"]] = r["w"]
         else:
             heat, floor = r["w"]
+    drop(scanned)
     return Model(languages, idf, weights, heat, floor)
 
 

@@ -6,7 +6,8 @@ functions share a shard, and a crowded shard is split into trees of TREE_NODES.
 radius counts only if its sets, compared in full, are similar enough.
 
 First every node tries its nearest neighbour. What that links is one component, and pairs inside it are settled. Then
-all remaining pairs of different components within a shard are tried, none is left out.
+the trees of those shards that still hold different components are walked with the sets at hand: every pair of
+different components is compared, none is left out, and a tree gives one link for each node that it joins to others.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import cut, text_or_empty
-from labelloom.llm.simhash import TASK_ROWS, components, near_pairs, shingle_hashes
+from labelloom.llm.common import cut, drop, text_or_empty
+from labelloom.llm.simhash import TASK_ROWS, components, flat, merge, near_pairs, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -30,6 +31,8 @@ BANDS, ROWS = 40, 7  # a pair of similarity 0.8 shares no shard once in 12,000 t
 PRINT_WORDS = 8
 DEVIATIONS = 4.0  # the radius lies so many standard deviations above the expected distance
 TREE_NODES = 1024
+TASK_BYTES = 64_000_000
+BITS_AT_ONCE = 1 << 20  # words of 64 bits
 BLOCK = 512
 
 
@@ -82,38 +85,90 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "row long, doc_id long, key binary, fp binary, n long, bands array<long>, shingles binary")
 
 
-def _found(rows: DataFrame, size: int, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b, distance) that trees find among ``size`` rows (tree, asks, node, label, n, fp): the rows that ask
-    look for rows of another label that do not ask, all of them or the nearest."""
+def _arrays(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    column = {name: table.column(name).to_numpy() for name in table.column_names if name not in ("fp", "shingles")}
+    return column, np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(-1, PRINT_WORDS)
+
+
+def _walk(column: dict[str, np.ndarray], prints: np.ndarray, reach: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asking row, held row, distance) of pairs of different labels that the trees find and whose sizes allow the
+    similarity. Rows that ask are looked for among those that do not."""
+    held, ask = np.flatnonzero(~column["asks"]), np.flatnonzero(column["asks"])
+    held = held[np.argsort(column["tree"][held], kind="stable")]
+    if not len(held) or not len(ask):
+        return
+    for query, node, distance in near_pairs(prints[held], column["tree"][held], reach, prints[ask], column["tree"][ask]):
+        a, b = ask[query], held[node]
+        small, large = np.minimum(column["n"][a], column["n"][b]), np.maximum(column["n"][a], column["n"][b])
+        good = (column["label"][a] != column["label"][b]) & (small >= similarity * large)
+        yield a[good], b[good], distance[good]
+
+
+def _nearest(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, distance): the nearest neighbour that each tree finds for a node, among ``size`` rows (tree, asks, node,
+    label, n, fp)."""
     reach = radius(similarity)
     tasks = max(1, math.ceil(size / TASK_ROWS)) * 8
 
     def run(table: pa.Table) -> pa.Table:
-        column = {name: table.column(name).to_numpy() for name in ("tree", "asks", "node", "label", "n")}
-        prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(-1, PRINT_WORDS)
-        held = np.flatnonzero(~column["asks"])
-        held, ask = held[np.argsort(column["tree"][held], kind="stable")], np.flatnonzero(column["asks"])
-        parts = [(np.empty(0, dtype=np.int64),) * 3]
-        for query, node, distance in near_pairs(prints[held], column["tree"][held], reach, prints[ask], column["tree"][ask]) if len(held) and len(ask) else []:
-            a, b = ask[query], held[node]
-            small, large = np.minimum(column["n"][a], column["n"][b]), np.maximum(column["n"][a], column["n"][b])
-            good = (column["label"][a] != column["label"][b]) & (small >= similarity * large)
-            a, b, distance = column["node"][a[good]], column["node"][b[good]], distance[good]
-            if nearest:
-                parts.append((a, b, distance))
-                a, b, distance = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((b, distance, a))
-                first = order[np.concatenate([[True], np.diff(a[order]) > 0])] if len(order) else order
-                parts = [(a[first], b[first], distance[first])]
-            else:
-                parts.append((np.minimum(a, b), np.maximum(a, b), distance))
-        a, b, distance = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"a": a, "b": b, "distance": distance})
+        column, prints = _arrays(table)
+        best = (np.empty(0, dtype=np.int64),) * 3
+        for a, b, distance in _walk(column, prints, reach, similarity):
+            a, b, distance = (np.concatenate(x) for x in zip(best, (column["node"][a], column["node"][b], distance), strict=True))
+            order = np.lexsort((b, distance, a))
+            first = order[np.concatenate([[True], np.diff(a[order]) > 0])] if len(order) else order
+            best = a[first], b[first], distance[first]
+        return pa.table(dict(zip(("a", "b", "distance"), best, strict=True)))
 
     dealt = rows.withColumn("task", F.pmod(F.xxhash64("tree"), F.lit(tasks)).cast("int"))
     return dealt.groupBy("task").applyInArrow(run, "a long, b long, distance long")
 
 
+class Sets:
+    """The shingles that two sets of one tree or more have, as rows of bits, for exact sizes of intersections."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(counts > 1) - 1
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        kept = counts[place] > 1
+        bit, row = shared[place[kept]], row[kept]
+        self.bits = np.zeros((len(sets), max(1, -(-int((counts > 1).sum()) // 64))), dtype=np.uint64)
+        np.bitwise_or.at(self.bits, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of rows a and b."""
+        at_once = max(1, BITS_AT_ONCE // self.bits.shape[1])
+        parts = [np.bitwise_count(self.bits[a[i : i + at_once]] & self.bits[b[i : i + at_once]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), at_once)]
+        return np.concatenate([np.empty(0, dtype=np.int64), *parts])
+
+
+def _joined(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes that pairs of that similarity connect within a tree, among rows (tree, asks, node,
+    label, n, fp, shingles) of ``size`` bytes. A row has a link at most."""
+    reach = radius(similarity)
+    tasks = max(1, math.ceil(size / TASK_BYTES)) * 8
+
+    def run(table: pa.Table) -> pa.Table:
+        column, prints = _arrays(table)
+        shingles = table.column("shingles").combine_chunks()
+        order = np.argsort(column["tree"], kind="stable")
+        label = np.arange(len(order))
+        for rows_ in np.split(order, np.flatnonzero(np.diff(column["tree"][order])) + 1) if len(order) else []:
+            part = {name: values[rows_] for name, values in column.items()}
+            sets = Sets([np.frombuffer(shingles[int(i)].as_buffer(), dtype="<u4") for i in rows_])
+            for a, b, _ in _walk(part, prints[rows_], reach, similarity):
+                both = sets.common(a, b)
+                alike = both >= (similarity - 1e-12) * (part["n"][a] + part["n"][b] - both)
+                merge(label, rows_[a[alike]], rows_[b[alike]])
+        label = flat(label)
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": column["node"][other], "b": column["node"][label[other]]})
+
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("tree"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("task").applyInArrow(run, "a long, b long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have that Jaccard similarity; sets: (node, shingles)."""
 
@@ -147,30 +202,37 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     crowd = cut(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
     met = cut(banded.join(crowd, "band"), "met")
     sets = cut(own.withColumnRenamed("row", "node").join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "shingles"), "sets")
+    keyed = cut(made.select("doc_id", "key"), "keyed")
+    drop(made, crowd)
     trees = F.ceil(F.col("size") / TREE_NODES)
     tree = lambda number: F.xxhash64("band", number)
     chosen = F.pmod(F.xxhash64("node", F.lit(7)), trees)
 
     placed = met.join(sets.select("node", "n", "fp"), "node").withColumn("label", F.col("node"))
     placed = placed.select(tree(chosen).alias("tree"), F.explode(F.array(F.lit(False), F.lit(True))).alias("asks"), "node", "label", "n", "fp")
-    nearest = _found(placed, 2 * met.count(), similarity, True).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    links = cut(_similar(cut(nearest, "nearest"), sets, similarity), "links")
-    labels = cut(components(links), "labels")
+    best = _nearest(placed, 2 * met.count(), similarity).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
+    nearest = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "nearest")
+    links = cut(_similar(nearest, sets, similarity), "links")
+    labels = components(links)
+    drop(nearest)
 
     named = met.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("band", "label").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("most.label").alias("most"))
-    strays = cut(named.join(cut(mixed, "mixed"), "band"), "strays")
-    size = strays.agg(F.sum(1 + F.when(F.col("label") != F.col("most"), trees).otherwise(0))).first()[0] or 0
-    rest = strays.join(sets.select("node", "n", "fp"), "node")
-    held = rest.select(tree(chosen).alias("tree"), F.lit(False).alias("asks"), "node", "label", "n", "fp")
-    asking = rest.where("label <> most").withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)))
-    asking = asking.select(tree(F.col("each")).alias("tree"), F.lit(True).alias("asks"), "node", "label", "n", "fp")
-    others = cut(_found(held.unionByName(asking), size, similarity, False).select("a", "b").distinct(), "others")
-    links = links.unionByName(cut(_similar(others, sets, similarity), "links"))
-
-    rooted = cut(components(links), "roots")
-    named = nodes.join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    members = cut(made.select("doc_id", "key").join(cut(named, "named"), "key").select("doc_id", "root"), "members")
+    mixed = cut(sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("most.label").alias("most")), "mixed")
+    strays = cut(named.join(mixed, "band"), "strays")
+    rest = strays.join(sets, "node")
+    asks = F.col("label") != F.col("most")
+    size = rest.agg(F.sum((4 * F.col("n") + 8 * PRINT_WORDS) * (1 + F.when(asks, trees).otherwise(0)))).first()[0] or 0
+    held = rest.select(tree(chosen).alias("tree"), F.lit(False).alias("asks"), "node", "label", "n", "fp", "shingles")
+    asking = rest.where(asks).withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)))
+    asking = asking.select(tree(F.col("each")).alias("tree"), F.lit(True).alias("asks"), "node", "label", "n", "fp", "shingles")
+    more = cut(_joined(held.unionByName(asking), size, similarity).distinct(), "links")
+    drop(met, mixed, strays, sets)
+
+    rooted = components(links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drop(links, more, labels)
+    named = cut(nodes.join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "named")
+    members = cut(keyed.join(named, "key").select("doc_id", "root"), "members")
     smallest = cut(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    drop(keyed, nodes, rooted, named)
     return members.join(smallest, "root").select("doc_id", "component_id")

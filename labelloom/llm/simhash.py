@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import cut, text_or_empty
+from labelloom.llm.common import cut, drop, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -154,19 +154,21 @@ def linked(fps: np.ndarray, tree: np.ndarray, radius: int = RADIUS) -> np.ndarra
     label = np.arange(len(fps))
     for query, node, _ in near_pairs(fps, tree, radius, fps, tree):
         apart = query != node
-        _merge(label, query[apart], node[apart])
-    return _flat(label)
+        merge(label, query[apart], node[apart])
+    return flat(label)
 
 
-def _flat(label: np.ndarray) -> np.ndarray:
+def flat(label: np.ndarray) -> np.ndarray:
+    """Every label points to the root of its chain."""
     while not np.array_equal(up := label[label], label):
         label[:] = up
     return label
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of every a and b; a component is named by its smallest member."""
     while len(a):
-        _flat(label)
+        flat(label)
         x, y = label[a], label[b]
         apart = x != y
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
@@ -240,16 +242,19 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "edges")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        drop(edges, least)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u <> v").distinct(), "edges")
+        drop(large, least)
         # a star forest: no node is both a child and a parent, and no child has two parents
         if edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = cut(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    drop(edges)
+    return found
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -262,8 +267,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     table = cut(fingerprints(docs), "fingerprints")
     distinct = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    rooted = cut(components(fingerprint_links(distinct.select("fp"), radius)), "roots")
+    rooted = components(fingerprint_links(distinct.select("fp"), radius))
     placed = distinct.join(rooted.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     by_fp = cut(placed.join(smallest, "root").select("fp", "component_id"), "components")
+    drop(distinct, rooted, smallest)
     return table.join(by_fp, "fp").select("doc_id", "fp", "component_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import cut, text_or_empty
+from labelloom.llm.common import cut, drop, text_or_empty
 
 WINDOW = 20
 CHUNK_BYTES = 1 << 20
@@ -229,6 +229,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     flags = cut(flags.join(originals, ["dk", "tk"]), "flags")
     texts = keyed.select("dk", "tk", "text")
     full = cut(_extend(flags.join(texts, ["dk", "tk"]).select("dk", "tk", "text", "flags"), window), "level2")
+    drop(scanned, earliest, repeated, flags)
 
     each = full.select("dk", "tk", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("dk", "tk", "w.h1", "w.h2", "w.starts")
     first = each.groupBy("h1", "h2").agg(F.min("dk").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
@@ -236,6 +237,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     later = each.join(first, ["h1", "h2"]).where("dk > first").select("dk", "tk", "starts")
     inner = full.select("dk", "tk", F.explode("inner").alias("starts"))
     gone = cut(later.unionByName(inner).groupBy("dk", "tk").agg(F.collect_set("starts").alias("gone")), "gone")
+    drop(first)
     return rows, _removed(full.select("dk", "tk", "text").join(gone, ["dk", "tk"]).select("dk", "tk", "text", "gone"), window)
 
 
