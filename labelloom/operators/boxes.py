@@ -95,14 +95,64 @@ def corroborated(items: Column, reading: Column) -> Column:
     return F.when(F.size(kept).between(2, 60), kept)
 
 
+# What a line that is no name holds.
+NOT_NAMES = [
+    r"(?i)\b(?:net\s*(?:wt|weight)|fssai|lic|licen[cs]e|batch|mfg|mfd|exp|expiry|mrp|rs)\b|₹", r"(?i)\d\s*(?:gm|g|mg|mcg|µg|ml|l|kg|kcal|%)(?!\w)", r"(?i)\(\s*\d+\s*[a-z]+\s*\)", r"(?i)\bflavou?r(?:ed)?\b",
+    r"(?i)\b(?:health|dietary|food)\s*supplement", r"(?i)\bnutraceutical",
+]
+
+
+def plain_words(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def is_role_candidate(text: Column, confidence: Column, occurrences: Column) -> Column:
+    """A confident reading that could be a name; a single word of three characters or less only if it occurs three times."""
+    odd = F.lit(False)
+    for pattern in NOT_NAMES:
+        odd = odd | text.rlike(pattern)
+    words = plain_words(text)
+    short = ~F.contains(words, F.lit(" ")) & (F.length(words) < 4) & (F.coalesce(occurrences, F.lit(0)) <= 2)
+    return (confidence >= 0.7) & ~odd & ~short
+
+
 def role_options(candidates: DataFrame, key: str, cap: int = 24) -> DataFrame:
-    """(key, options): single texts and joined neighbours, in position order, ``cap`` at most (part of the feature)."""
-    line = Window.partitionBy(key).orderBy("position")
-    pair = F.concat_ws(" ", "text", F.lead("text").over(line))
-    each = candidates.withColumn("pair", F.when(F.lead("text").over(line).isNotNull(), pair))
-    listed = F.array_sort(F.collect_list(F.struct("position", "text", "pair")))
-    both = F.concat(F.transform(listed, lambda x: x["text"]), F.filter(F.transform(listed, lambda x: x["pair"]), lambda x: x.isNotNull()))
-    return each.groupBy(key).agg(F.slice(F.array_distinct(both), 1, cap).alias("options"))
+    """(key, options) of candidates (position, text, confidence, occurrences, top, height): each name once, in the first
+    spelling, then neighbours from the top down that stand close (a gap below 1.2 heights), are of like size and differ;
+    ``cap`` at most (part of the feature)."""
+    kept = candidates.where(is_role_candidate(F.col("text"), F.col("confidence"), F.col("occurrences"))).withColumn("plain", plain_words(F.col("text")))
+    singles = kept.groupBy(key, "plain").agg(F.min(F.struct("position", "text")).alias("x")).select(key, "plain", F.lit(0).alias("kind"), "x.position", "x.text")
+    line = Window.partitionBy(key).orderBy("top", "position")
+    after = lambda c: F.lead(c).over(line)
+    placed = kept.where("top IS NOT NULL").withColumns({f"next_{c}": after(c) for c in ("text", "plain", "top", "height")}).withColumn("place", F.row_number().over(line).cast("long"))
+    large, small = F.greatest("height", "next_height"), F.least("height", "next_height")
+    close = placed.where((F.col("next_top") - F.col("top") - F.col("height") < 1.2 * large) & (large <= 2 * small) & (F.col("plain") != F.col("next_plain")))
+    pairs = close.select(key, F.concat_ws(" ", "plain", "next_plain").alias("plain"), F.lit(1).alias("kind"), F.col("place").alias("position"), F.concat_ws(" ", "text", "next_text").alias("text"))
+    once = singles.unionByName(pairs).groupBy(key, "plain").agg(F.min(F.struct("kind", "position", "text")).alias("x"))
+    order = Window.partitionBy(key).orderBy("x")
+    first = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("options"))
+
+
+def ingredients_panel(lines: DataFrame, keys: list[str], small: float = 32.0, least: int = 3, commas: int = 2) -> DataFrame:
+    """Box and text of the longest run of small lines of a column that holds two commas and three lines at least.
+
+    Lines that overlap along x are one column. In a column a line of large print or a gap of more than three heights
+    ends a run. Of runs of one length the first from the left, then from the top, counts.
+    """
+    across = Window.partitionBy(*keys).orderBy("x0", "x1", "y0")
+    reach = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    columns = lines.withColumn("__new", F.when(reach.isNull() | (F.col("x0") >= reach), 1).otherwise(0)).withColumn("column", F.sum("__new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    down = Window.partitionBy(*keys, "column").orderBy("y0", "x0", "text")
+    height = F.col("y1") - F.col("y0")
+    little = (height > 0) & (height <= small)
+    broken = ~F.coalesce(F.lag(little).over(down), F.lit(False)) | (F.col("y0") - F.lag("y1").over(down) > 3 * height)
+    marked = columns.withColumns({"little": little, "__first": F.when(broken, 1).otherwise(0)})
+    numbered = marked.withColumn("run", F.sum("__first").over(down.rowsBetween(Window.unboundedPreceding, 0))).where("little")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ")
+    found = numbered.groupBy(*keys, "column", "run").agg(F.count("*").alias("n"), text.alias("text"), *[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    listed = found.where((F.col("n") >= least) & (F.length(F.regexp_replace("text", "[^,]", "")) >= commas))
+    return best_row(listed, keys, F.struct("n", -F.col("column"), -F.col("run"))).select(*keys, "n", "text", "x0", "y0", "x1", "y1")
 
 
 def grounded(answer: Column, options: Column) -> Column:

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import blank, blank_to_null
-from labelloom.operators.extract import is_non_answer
+from labelloom.operators.extract import is_garbage, is_non_answer
+from labelloom.operators.resolve import snapped
 
 CORE = ["product_name", "brand_name", "flavour", "claims", "ingredients", "fssai_number", "package_size", "marketing_company"]
 MODELS = ["vlm", "llm"]
+# What single lines of a reader may not fill.
+REFUSED = ["brand_name", "product_name", "address", "customer_care_number", "flavour", "marketing_company"]
+FLAT, ORDERED, SNAPPED = "text-layer-flattened", "text-layer-reading-order", "master-snap"
 
 
 def tagged(value: Column, source: str, confidence: Column | None = None) -> Column:
@@ -40,6 +44,35 @@ def merged(records: DataFrame, key: str, fields: list[str], sources: list[str],
     return each.select(key, "x.field", "x.r.value", "x.r.source", "x.r.needs_review").where(F.col("value").isNotNull())
 
 
+def merged_layers(flat: DataFrame, ordered: DataFrame, key: str, fields: list[str], brands: DataFrame | None = None, master: str = "brand") -> DataFrame:
+    """(key, field, value, source) of the same text read twice, flattened and in reading order; the first one wins.
+
+    Garbage is no brand and no product name. With ``brands`` (a column ``master``) a brand that snaps to none of them is
+    blank, and the source of one that does is the snap.
+    """
+    both = flat.select(key, F.struct(*fields).alias("f")).join(ordered.select(key, F.struct(*fields).alias("o")), key, "full")
+    rows = []
+    for field in fields:
+        for rank, (side, source) in enumerate((("f", FLAT), ("o", ORDERED))):
+            value = blank_to_null(F.col(side)[field])
+            value = F.when(~is_garbage(value), value) if field in ("brand_name", "product_name") else value
+            rows.append(F.struct(F.lit(field).alias("field"), F.lit(rank).alias("rank"), value.alias("value"), F.lit(source).alias("source")))
+    each = both.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*").where("value IS NOT NULL")
+    if brands is not None:
+        named = each.where("field = 'brand_name'")
+        found = snapped(named, "value", brands, master, master).select("value", "master")
+        kept = named.join(found, "value").select(key, "field", "rank", F.col("master").alias("value"), F.lit(SNAPPED).alias("source"))
+        each = each.where("field <> 'brand_name'").unionByName(kept)
+    return each.groupBy(key, "field").agg(F.min(F.struct("rank", "value", "source")).alias("x")).select(key, "field", "x.value", "x.source")
+
+
+def patched(records: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Blank fields filled from a reader's single lines, except those that such lines may not fill."""
+    filled = [c if c in REFUSED else F.coalesce(F.when(~blank(F.col(f"r.{c}")), F.col(f"r.{c}")), F.col(f"p.{c}")).alias(c) for c in fields]
+    joined = records.alias("r").join(patch.alias("p"), F.col(f"r.{key}") == F.col(f"p.{key}"), "left")
+    return joined.select(F.col(f"r.{key}").alias(key), *[F.col(f"r.{c}") if isinstance(c, str) else c for c in filled])
+
+
 def is_complete(fields: list[str] | None = None) -> Column:
     return F.forall(F.array(*[~blank(F.col(c)) for c in fields or CORE]), lambda x: x)
 

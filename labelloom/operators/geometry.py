@@ -21,6 +21,11 @@ from labelloom.operators.shared import cut
 from labelloom.operators.windows import sessions_by_gap
 
 
+def from_matrix(runs: DataFrame) -> DataFrame:
+    """Glyph runs with a text matrix (a, b, x, y) as spans: the font size is the length of (a, b), the rotation its angle."""
+    return runs.withColumns({"font_size": F.hypot("a", "b"), "rotation": F.atan2("b", "a")}).drop("a", "b")
+
+
 def rotated(spans: DataFrame) -> DataFrame:
     """along and cross coordinates and a rotation bucket of 0.01 rad."""
     r = F.col("rotation")
@@ -254,15 +259,19 @@ def components(grid: np.ndarray) -> np.ndarray:
         label = near
 
 
-def ink_regions(images: DataFrame, key: str, cells_: str, width: int = 64, ink: int = 12, top: int = 3) -> DataFrame:
-    """(key, rank, mass, share): the ``top`` connected regions of inked cells whose area is 0.4 % to 40 % of the grid."""
+def ink_regions(images: DataFrame, key: str, cells_: str, width: int = 64, ink: int = 12, top: int = 3, covered: str | None = None) -> DataFrame:
+    """(key, rank, mass, share): the ``top`` connected regions of inked cells whose area is 0.4 % to 40 % of the grid.
+    Cells that ``covered`` (an array of booleans) names belong to words already read and to no region."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for k, values in zip(pdf[key], pdf[cells_], strict=True):
+            for k, values, hidden in zip(pdf[key], pdf[cells_], pdf["__covered"], strict=True):
                 grid = np.asarray(values).reshape(-1, width)
-                label = components(grid >= ink)
+                inked = grid >= ink
+                if hidden is not None:
+                    inked &= ~np.asarray(hidden, dtype=bool).reshape(-1, width)
+                label = components(inked)
                 found = []
                 for one in np.unique(label[label > 0]):
                     share = float((label == one).mean())
@@ -271,4 +280,5 @@ def ink_regions(images: DataFrame, key: str, cells_: str, width: int = 64, ink:
                 rows += [(k, i + 1, -mass, share) for i, (mass, _, share) in enumerate(sorted(found)[:top])]
             yield pd.DataFrame(rows, columns=[key, "rank", "mass", "share"])
 
-    return images.select(key, cells_).mapInPandas(run, f"`{key}` {images.schema[key].dataType.simpleString()}, rank int, mass long, share double")
+    hidden = F.col(covered) if covered else F.lit(None).cast("array<boolean>")
+    return images.select(key, cells_, hidden.alias("__covered")).mapInPandas(run, f"`{key}` {images.schema[key].dataType.simpleString()}, rank int, mass long, share double")

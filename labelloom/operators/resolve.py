@@ -132,7 +132,7 @@ def signals(records: DataFrame, key: str, brand: str, product: str, licence: str
     return records.select(key, F.explode(found).alias("signal"))
 
 
-def families(records: DataFrame, key: str, shared: DataFrame, rounds: int = 50) -> DataFrame:
+def families(records: DataFrame, key: str, shared: DataFrame) -> DataFrame:
     """(key, family): records joined by shared signals, directly or through others; family is the smallest key.
 
     Each signal is linked to its smallest record, so a signal of n records makes n links. Labels then run along the
@@ -142,7 +142,7 @@ def families(records: DataFrame, key: str, shared: DataFrame, rounds: int = 50)
     links = cut(shared.join(nodes, "signal").select(F.col(key).alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "families")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("n"))
         step = label.join(near, "a").select("a", "l", F.least("l", "n").alias("m"))
         jumped = step.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", "l", F.least("m", "j").alias("new"))
@@ -150,11 +150,10 @@ def families(records: DataFrame, key: str, shared: DataFrame, rounds: int = 50)
         label = new.select("a", F.col("new").alias("l"))
         if new.where("new <> l").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("families did not settle")
     return records.select(key).distinct().join(label.withColumnRenamed("a", key), key, "left").select(key, F.coalesce("l", key).alias("family"))
 
 
 def held_out_families(rows: DataFrame, family: str, percent: int) -> DataFrame:
-    """Rows with ``validation``: a family goes there whole, chosen by its hash."""
-    return rows.withColumn("validation", F.pmod(F.crc32(F.col(family).cast("string")), F.lit(100)) < percent)
+    """Rows with ``validation``: a family goes there whole, chosen by the first digits of its MD5."""
+    share = F.conv(F.substring(F.md5(F.col(family).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
+    return rows.withColumn("validation", share < percent)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import boxes as D
+from labelloom.operators import cascade as K
 from labelloom.operators import extract as X
 from labelloom.operators import geometry as G
 from labelloom.operators import label_text as L
@@ -233,3 +234,40 @@ pages(
     [[(0.0, 0.0, 9.0, 10.0, 1.0, "BRAND"), (0.0, 20.0, 9.0, 32.0, 0.0, "Title"), (0.0, 15.0, 9.0, 18.0, 0.0, "fine print"), (150.0, 12.0, 159.0, 24.0, 0.0, "aside"), (0.0, 200.0, 9.0, 212.0, 0.0, "far")], [(0.0, 0.0, 9.0, 10.0, 1.0, "BRAND"), (0.0, 161.0, 9.0, 171.0, 0.0, "far")]],
     "text string", [[("Title",)], []], lambda rows: D.title_rows(rows.where("confidence = 1"), rows.where("confidence = 0"), "page"),
 )
+pages(
+    "e_23_cases", "x0 double, y0 double, x1 double, y1 double, text string",
+    [
+        [(0.0, 0.0, 50.0, 12.0, "Malt, salt"), (5.0, 14.0, 55.0, 26.0, "sugar, water"), (0.0, 28.0, 40.0, 40.0, "pectin"), (0.0, 100.0, 40.0, 112.0, "apart, but, listed"), (60.0, 0.0, 90.0, 12.0, "other"), (60.0, 14.0, 90.0, 26.0, "column"), (60.0, 28.0, 90.0, 40.0, "without"), (60.0, 42.0, 90.0, 54.0, "lists")],
+        [(0.0, 0.0, 50.0, 12.0, "a, b"), (0.0, 14.0, 50.0, 60.0, "LARGE"), (0.0, 62.0, 50.0, 74.0, "c, d"), (0.0, 76.0, 50.0, 88.0, "e"), (0.0, 90.0, 50.0, 102.0, "f, g")],
+        [(0.0, 0.0, 50.0, 12.0, "a, b, c"), (0.0, 14.0, 50.0, 26.0, "d")],
+    ],
+    "n long, text string, x0 double, y1 double", [[(3, "Malt, salt sugar, water pectin", 0.0, 40.0)], [(3, "c, d e f, g", 0.0, 102.0)], []], lambda rows: D.ingredients_panel(rows, ["page"]),
+)
+CANDIDATE = "position long, text string, confidence double, occurrences int, top double, height double"
+pages(
+    "e_25_cases", CANDIDATE,
+    [
+        [(1, "Sunny", 0.9, 1, 0.0, 20.0), (2, "Days", 0.9, 1, 25.0, 18.0), (3, "SUNNY", 0.9, 1, 300.0, 20.0), (4, "Net wt 30 g", 0.9, 1, 46.0, 18.0), (5, "abc", 0.9, 1, 500.0, 20.0), (6, "dim words", 0.5, 1, 600.0, 20.0)],
+        [(1, "abc", 0.9, 3, 0.0, 20.0), (2, "Chews", 0.7, None, 21.0, 60.0), (3, "Mango flavour", 0.9, 1, 82.0, 60.0), (4, "Far Away", 0.9, 1, None, 20.0)],
+    ],
+    "options string", [[("Sunny|Days|Sunny Days",)], [("abc|Chews|Far Away",)]], lambda rows: D.role_options(rows, "page").select("page", F.array_join("options", "|").alias("options")),
+)
+INKED = [20 if 2 <= i // 64 < 6 and 2 <= i % 64 < 12 else 15 if 20 <= i // 64 < 30 and 30 <= i % 64 < 40 else 99 if i == 63 else 0 for i in range(2048)]
+for _name, _covered, _regions in (("t_09_cases", None, [(1, 1500), (2, 800)]), ("e_27_cases", [20 <= i // 64 < 25 for i in range(2048)], [(1, 800), (2, 750)])):
+    pages(
+        _name, "cells array<int>, covered array<boolean>", [[(INKED, _covered)], [([0] * 2048, None)]], "rank int, mass long", [_regions, []],
+        lambda rows: G.ink_regions(rows, "page", "cells", covered="covered"),
+    )
+pages("s_09_matrix", "a double, b double, x double, y double, width double, text string", [[(3.0, 4.0, 1.0, 2.0, 9.0, "slanted")], [(0.0, 8.0, 1.0, 2.0, 9.0, "up"), (10.0, 0.0, 1.0, 2.0, 9.0, "flat")]], "text string, font_size double, degrees double", [[("slanted", 5.0, 53.1301)], [("up", 8.0, 90.0), ("flat", 10.0, 0.0)]], lambda rows: G.from_matrix(rows).select("page", "text", "font_size", F.round(F.degrees("rotation"), 4).alias("degrees")))
+values("e_29_cases", "boolean", [("100x50|0.1", True), ("100x50|0.5", False), ("600x100|0.1", False), ("10x10|0.1", False), ("400x400|0.1", False), ("90x500|0.0", False), ("100x0|0.1", False)], by_column(lambda t: D.logo_box_ok(F.regexp_extract(t, r"^(\d+)x", 1).cast("double"), F.regexp_extract(t, r"x(\d+)", 1).cast("double"), F.lit(500000.0), F.regexp_extract(t, r"\|(.*)$", 1).cast("double"))))
+values(
+    "e_26_cases", "string",
+    [("Sunny Days|the sunny days|Other", "Sunny Days:0.9"), ("Sunny Days|nothing|Other", "Other:0.5"), ("Rainy Days|rainy days|Other", "Other:0.5"), ("Rainy Days|rainy days|", None), ("|sunny|Other", "Other:0.5")],
+    lambda rows: rows.select("id", *[F.split("t", r"\|")[i].alias(c) for i, c in enumerate(("answer", "heard", "again"))])
+    .select("id", D.resolved_role(F.col("answer"), F.lit(0.9), F.col("heard"), F.filter(F.array("again"), lambda x: x != ""), F.array(F.lit("Sunny"), F.lit("Days of"))).alias("r"))
+    .select("id", F.when(F.col("r").isNotNull(), F.concat_ws(":", "r.value", "r.confidence")).alias("x")),
+)
+values("x_42_cases", "list", [("brandName", ["brand_name"]), ("productName,fssai", ["fssai", "product_name"]), ("other,brandName", ["brand_name", "other"])], lambda rows: rows.select("id", F.array_sort(F.map_keys(X.renamed_keys(F.map_from_entries(F.transform(F.split("t", ","), lambda k: F.struct(k, F.lit("v")))), {"brandName": "brand_name", "productName": "product_name"}))).alias("x")))
+values("k_01_cases", "string", [("text:x", "x/text/false"), ("vlm:x", "x/vlm/true"), ("llm: y ", "y/llm/true"), ("ocr:", None), ("vlm:  ", None)], lambda rows: rows.select("id", F.coalesce(*[F.when(F.startswith("t", F.lit(f"{s}:")), K.tagged(F.substring_index("t", ":", -1), s)) for s in ("text", "vlm", "llm", "ocr")]).alias("r")).select("id", F.when(F.col("r").isNotNull(), F.concat_ws("/", "r.value", "r.source", F.col("r.needs_review").cast("string"))).alias("x")))
+values("k_07_cases", "list", [('{"a": "1", "b": " "}', ["a"]), ('{"b": "2"}', ["b"]), ('{"a": null, "c": "3"}', []), ("{}", [])], lambda rows: rows.select("id", F.array_sort(F.map_keys(K.kept_meta(F.create_map(F.lit("a"), F.lit("ocr"), F.lit("b"), F.lit("vlm")), F.from_json("t", "map<string,string>")))).alias("x")))
+values("k_08_cases", "string", [('{"a": "1", "b": "2"}', "/"), ('{"a": " "}', "b/a"), ("{}", "a,b/"), ('{"a": "1", "b": null, "z": ""}', "/b")], lambda rows: rows.select("id", K.retry_targets(F.array(F.lit("a"), F.lit("b")), F.from_json("t", "map<string,string>")).alias("r")).select("id", F.concat(F.array_join("r.omitted", ","), F.lit("/"), F.array_join("r.hollow", ",")).alias("x")))

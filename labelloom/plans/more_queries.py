@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
@@ -16,11 +18,12 @@ from labelloom.operators import resolve as C
 from labelloom.operators import scoring as S
 from labelloom.operators import tables as O
 from labelloom.operators import windows as W
-from labelloom.operators.shared import cut
+from labelloom.operators.shared import cut, shared_folder
 from labelloom.plans import records_queries as R
 from labelloom.plans.sets_queries import _BOX, _SCORES, boxes, pixels, scores
 from labelloom.plans.text_queries import spans, titled
 from labelloom.sources.domain import artworks, history, labels, table, with_sql
+from labelloom.sources.files import write_training
 
 Q: dict = {}
 SQL: dict = {}
@@ -69,9 +72,12 @@ def s_26(spark, sf):
     return scores(spark, sf).groupBy("field").agg(F.count("*").alias("cells"), F.count("predicted").alias("filled"))
 
 
-@query("s_27", None)
+@query("s_27", f"SELECT conv_id, turn, CASE WHEN {R.HELD_OUT.format('conv_id', 10)} THEN 'val' ELSE 'train' END AS split FROM conversations")
 def s_27(spark, sf):
-    return C.held_out_families(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", 10)
+    """Conversations written as JSON lines, a family whole to one side, and read back."""
+    folder = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+    write_training(C.held_out_families(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", 10), folder)
+    return spark.read.schema("conv_id long, turn long, split string").json(folder)
 
 
 @query("s_29", with_sql("artwork", """
@@ -228,14 +234,18 @@ def t_07(spark, sf):
     return G.display_lines(G.lines(G.rotated(titled(spark, sf)), ["page", "bucket"]), ["page"], 10)
 
 
-@query("t_09", None)
-def t_09(spark, sf):
+def ink_grids(spark, sf):
     """Pixels of an image as a 64-wide grid of counts."""
     place = (F.col("r") * 31 + F.col("g")) % 2048
     filled = pixels(spark, sf).groupBy("image", place.alias("p")).agg(F.count("*").alias("n"))
     maps = filled.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("p", (F.col("n") * 12).cast("int")))).alias("m"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
-    return G.ink_regions(maps.select("image", grid.alias("cells")), "image", "cells")
+    return maps.select("image", grid.alias("cells"))
+
+
+@query("t_09", None)
+def t_09(spark, sf):
+    return G.ink_regions(ink_grids(spark, sf), "image", "cells")
 
 
 @query("t_12", "SELECT p_brand, list_sort(list(DISTINCT p_name), 'DESC') AS x FROM part GROUP BY 1")
@@ -433,8 +443,9 @@ def e_22(spark, sf):
 
 @query("e_23", None)
 def e_23(spark, sf):
-    """Columns of boxes by overlap along x, and the extent of each."""
-    return G.strips(boxes(spark, sf).select("page", F.col("x0").alias("s"), F.col("x1").alias("e")), ["page"], "s", "e", 0.0)
+    """The ingredients panel of each page of boxes, some of which list something."""
+    text = F.when(F.col("id") % 3 == 0, F.concat_ws(", ", "text", F.lit("b"))).otherwise(F.col("text"))
+    return D.ingredients_panel(words(spark, sf).withColumn("text", text), ["page"])
 
 
 @query("e_24", with_sql("label", "SELECT id, string_split(product_name, ' ') AS x FROM label WHERE split_part(product_name, ' ', 2) <> ''"))
@@ -445,8 +456,10 @@ def e_24(spark, sf):
 
 @query("e_25", None)
 def e_25(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("position"), F.col("role").alias("text"))
-    return D.role_options(turns, "conv_id")
+    """Names of a supplier's parts as lines of display type."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") % 100).alias("n")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("position"), F.col("p_name").alias("text"), (F.col("n") / 100).alias("confidence"), F.lit(1).alias("occurrences"), (F.col("l_partkey") * 7 % 400).cast("double").alias("top"), F.lit(12.0).alias("height"))
+    return D.role_options(rows.distinct(), "page")
 
 
 @query("e_26", with_sql("label", "SELECT id, product_name AS value, 0.9::DOUBLE AS confidence FROM label"))
@@ -458,7 +471,9 @@ def e_26(spark, sf):
 
 @query("e_27", None)
 def e_27(spark, sf):
-    return t_09(spark, sf)
+    """Regions of the grids of t_09 outside of what words cover: every fourth block of eight columns."""
+    read = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.floor(i % 64 / 8) % 4 == 0)
+    return G.ink_regions(ink_grids(spark, sf).withColumn("read", read), "image", "cells", covered="read")
 
 
 @query("e_28", with_sql("label", "SELECT id, replace(product_name, ' ', '-') AS x FROM label"))
@@ -480,19 +495,24 @@ def k_01(spark, sf):
     return labels(spark, sf).select("id", K.tagged(F.col("claims"), "vlm").alias("r")).where("r IS NOT NULL").select("id", "r.source", "r.needs_review")
 
 
-@query("k_03", None)
+@query("k_03", with_sql("label", f"""
+SELECT id, 'brand_name' AS field, brand_name AS value, '{K.SNAPPED}' AS source FROM label
+UNION ALL SELECT id, 'product_name', CASE WHEN id % 4 = 0 THEN upper(product_name) ELSE product_name END, CASE WHEN id % 4 = 0 THEN '{K.ORDERED}' ELSE '{K.FLAT}' END FROM label
+ WHERE NOT (split_part(product_name, ' ', 1) = split_part(product_name, ' ', 2) OR (length(split_part(product_name, ' ', 1)) <= 3 AND length(split_part(product_name, ' ', 2)) <= 3))
+UNION ALL SELECT id, 'claims', coalesce(claims, 'read later'), CASE WHEN claims IS NULL THEN '{K.ORDERED}' ELSE '{K.FLAT}' END FROM label"""))
 def k_03(spark, sf):
-    """Brands read from two layers: garbage is blanked, the rest is snapped to the masters."""
-    rows = labels(spark, sf).select("id", F.when(F.col("id") % 3 == 0, F.lit("a bc de")).otherwise(F.lower("brand_name")).alias("flat"), F.upper("brand_name").alias("ordered"))
-    clean = lambda c: F.when(~X.is_garbage(F.col(c)), F.col(c))
-    read = rows.select("id", F.coalesce(clean("flat"), clean("ordered")).alias("value"))
-    brands = labels(spark, sf).select(F.col("brand_name").alias("m")).distinct()  # the brand list
-    return read.join(C.snapped(read, "value", brands, "m", "m"), "value", "left").select("id", F.col("master").alias("brand"))
+    """A label read twice: garbage is no name, brands are snapped to their list, the flattened text wins."""
+    rows = labels(spark, sf)
+    flat = rows.select("id", F.when(F.col("id") % 3 == 0, F.lit("a bc de")).otherwise(F.lower("brand_name")).alias("brand_name"), F.when(F.col("id") % 4 == 0, F.lit("Go go")).otherwise(F.col("product_name")).alias("product_name"), "claims")
+    ordered = rows.select("id", F.upper("brand_name").alias("brand_name"), F.upper("product_name").alias("product_name"), F.lit("read later").alias("claims"))
+    return K.merged_layers(flat, ordered, "id", ["brand_name", "product_name", "claims"], rows.select(F.col("brand_name").alias("brand")).distinct())
 
 
-@query("k_05", with_sql("label", "SELECT id, product_name FROM label"))
+@query("k_05", with_sql("label", "SELECT id, CASE WHEN id % 2 = 0 THEN product_name END AS product_name, coalesce(claims, 'more') AS claims, CASE WHEN id % 3 = 0 THEN address END AS address, coalesce(fssai_number, '9') AS fssai_number FROM label"))
 def k_05(spark, sf):
-    return labels(spark, sf).select("id", "product_name", "address", "claims").drop("address", "claims")
+    rows = labels(spark, sf).select("id", F.when(F.col("id") % 2 == 0, F.col("product_name")).alias("product_name"), "claims", F.when(F.col("id") % 3 == 0, F.col("address")).alias("address"), "fssai_number")
+    read = labels(spark, sf).select("id", F.lit("no").alias("product_name"), F.lit("more").alias("claims"), F.lit("no").alias("address"), F.lit("9").alias("fssai_number"))
+    return K.patched(rows, read, "id", ["product_name", "claims", "address", "fssai_number"])
 
 
 @query("q_09", None)

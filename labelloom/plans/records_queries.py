@@ -281,7 +281,10 @@ def c_09(spark, sf):
     return C.families(rows, "id", C.signals(rows, "id", "brand", "product_name", "fssai_number"))
 
 
-@query("c_10", None)
+HELD_OUT = "('0x' || substring(md5({0}::VARCHAR), 1, 8))::BIGINT % 100 < {1}"
+
+
+@query("c_10", SQL["c_09"] and f"SELECT *, {HELD_OUT.format('family', 20)} AS validation FROM ({SQL['c_09']})")
 def c_10(spark, sf):
     return C.held_out_families(c_09(spark, sf), "family", 20)
 
