@@ -57,3 +57,9 @@ def test_a_text_as_long_as_many_blocks(spark, docs):
 def test_the_floor_is_above_a_toss_up(docs):
     model = L.trained(docs)
     assert 1 / len(model.languages) < model.floor < 0.6
+
+
+def test_the_penalty_leaves_few_weights(docs):
+    train = docs.where(L.F.col("lang").isNotNull() & ~L.held_out())
+    dense, sparse = (np.mean(L.fit(train, l1=l1).weights != 0) for l1 in (0.0, L.L1))
+    assert 0 < sparse < dense / 2
