@@ -319,16 +319,48 @@ def u_07(spark, sf):
 # extension
 
 
+def drained(spark, df, mode):
+    """All that a stream gives until its input is read, with the number of the batch."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(rows, batch):
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/rows")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def log_stream(spark, sf):
+    return spark.readStream.schema(decisions.LOG).parquet(f"{sf}/events.parquet*")
+
+
 @query("ext_stream_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ext_stream_counts(spark, sf):
     """Tumbling counts of the log read as a stream; the newest update of each window."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    log = spark.readStream.schema(decisions.LOG).parquet(f"{sf}/events.parquet*")
-    counts = decisions.tumbling_counts(log)
+    rows = drained(spark, decisions.tumbling_counts(log_stream(spark, sf)), "update")
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
-    def keep(df, batch):
-        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/rows")
 
-    counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/rows")
-    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+@query("ext_stream_sessions", """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM s GROUP BY user_id, k""")
+def ext_stream_sessions(spark, sf):
+    """Sessions of activity; the last batch has them all."""
+    rows = drained(spark, decisions.activity_sessions(log_stream(spark, sf)), "complete")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).select("user_id", "start", F.col("end").alias("finish"), "n")
+
+
+@query("ext_stream_once", "SELECT event_id, event_type FROM events")
+def ext_stream_once(spark, sf):
+    """The log sent twice, each entry once."""
+    log = log_stream(spark, sf)
+    return drained(spark, decisions.without_repeats(log.unionByName(log), "4000 days"), "append").select("event_id", "event_type")
+
+
+@query("ext_stream_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def ext_stream_latest(spark, sf):
+    """The newest entry of every user; the newest update counts."""
+    rows = drained(spark, decisions.latest_state(log_stream(spark, sf)), "update")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "batch").alias("x")).select("user_id", "x.*")
