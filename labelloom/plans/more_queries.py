@@ -294,7 +294,15 @@ def b_20(spark, sf):
     return cut(B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", "b_id", "overall", "verdict"), "verdicts")
 
 
-@query("b_23", None)
+_STATE = "CASE WHEN {0} IS NULL THEN 'MISSING' WHEN {0} <= 4 THEN 'MATCH' WHEN {0} <= 12 THEN 'SIMILAR' ELSE 'CONFLICT' END"
+
+
+@query("b_23", f"""
+WITH {R._HASH}, side AS (SELECT e.vec_id, h.h, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS x, label % 3 = 0 AS ran, CASE WHEN label % 6 = 0 THEN h.h END AS logo FROM embeddings e JOIN h ON h.vec_id = e.vec_id),
+two AS (SELECT a.vec_id, bit_count(xor(a.h, b.h)) AS d, a.ran OR b.ran AS ran, bit_count(xor(a.logo, b.logo)) AS l, list_sum(list_transform(list_zip(a.x, b.x), lambda p: least(p[1] / list_sum(a.x), p[2] / list_sum(b.x)))) AS share FROM side a JOIN side b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, 'layout' AS aspect, {_STATE.format('d')} AS status FROM two
+UNION ALL SELECT vec_id, 'colour', CASE WHEN share >= 0.85 THEN 'MATCH' WHEN share >= 0.6 THEN 'SIMILAR' ELSE 'CONFLICT' END FROM two
+UNION ALL SELECT vec_id, 'logo', {_STATE.format('l')} FROM two WHERE ran""")
 def b_23(spark, sf):
     h = R.hashes(spark, sf).join(table(spark, sf, "embeddings"), "vec_id")
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
@@ -515,14 +523,19 @@ def k_05(spark, sf):
     return K.patched(rows, read, "id", ["product_name", "claims", "address", "fssai_number"])
 
 
-@query("q_09", None)
+@query("q_09", R.SQL["q_04"])  # word order in a name makes no difference here
 def q_09(spark, sf):
     parse = lambda c: F.from_json(c, "map<string,string>")
     keyed = lambda c: F.transform_keys(parse(c), lambda k, _: F.array_join(T.key_tokens(k), " "))
     return R.nutrition_texts(spark, sf).select("pair", S.map_score(keyed("a"), keyed("b")).alias("t")).select("pair", "t.*")
 
 
-@query("q_10", None)
+@query("q_10", with_sql("label", f"""
+WITH {R.ROWS}, n AS (SELECT *, nullif({R._VALUE.format('a')}, '') AS g, nullif({R._VALUE.format('b')}, '') AS w, coalesce(list_distinct(string_split(lower(a), ', ')), []) AS gl, coalesce(list_distinct(string_split(lower(b), ', ')), []) AS wl FROM f),
+c AS (SELECT *, CASE WHEN w IS NULL THEN g IS NULL WHEN field = 'address' THEN coalesce(contains(g, w) OR contains(w, g), false) ELSE coalesce(g = w, false) END AS ok FROM n)
+SELECT a_id, field, CASE WHEN field = 'ingredients' THEN len(list_intersect(gl, wl)) + (len(gl) = 0 AND len(wl) = 0)::BIGINT ELSE ok::BIGINT END AS correct,
+ CASE WHEN field = 'ingredients' THEN len(list_filter(gl, lambda x: NOT list_contains(wl, x))) ELSE (g IS NOT NULL AND NOT ok)::BIGINT END AS wrong,
+ CASE WHEN field = 'ingredients' THEN len(list_filter(wl, lambda x: NOT list_contains(gl, x))) ELSE (w IS NOT NULL AND g IS NULL)::BIGINT END AS missing FROM c"""))
 def q_10(spark, sf):
     """Scored by the kind of field: contained for addresses, as lists for ingredients, as values otherwise."""
     a, b, field = F.col("a"), F.col("b"), F.col("field")
