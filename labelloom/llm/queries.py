@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import chat
 from labelloom.llm.common import read
+from labelloom.llm.decontaminate import contamination, hit_words
 from labelloom.llm.exact_digest import edited_likeness
+from labelloom.llm.hard_negatives import hard_negatives
 from labelloom.llm.language_id import held_out, identify, trained
 from labelloom.llm.packing import pack
 from labelloom.llm.pii import personal_data
@@ -16,6 +18,7 @@ from labelloom.llm.sentence_pieces import encoded
 from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.substring_dedup import remove_repeats
 from labelloom.llm.topk import exact_topk, quantised
+from labelloom.llm.whitening import whitened
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +65,27 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest, (F.size("spans") > 0).alias("contaminated"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_chat_formatting, op3_personal_data, op4_substring_dedup, op5_simhash, op6_language_id, op7_exact_digest, op8_sentence_pieces, op9_secrets, op10_exact_topk)
-}
+    for f in (
+        op1_packing, op2_chat_formatting, op3_personal_data, op4_substring_dedup, op5_simhash, op6_language_id, op7_exact_digest, op8_sentence_pieces, op9_secrets, op10_exact_topk,
+        op11_hard_negatives, op12_decontamination, op13_whitening,
+    )
+}
 
 ORACLE_SQL = {
     "op2_chat_formatting": chat.ORACLE,
@@ -77,5 +97,27 @@ WITH usable AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NUL
                 FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
      ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    "op11_hard_negatives": """
+WITH ints AS MATERIALIZED (
+       SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+       FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM ints a JOIN ints c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+     positives AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM scored WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.r, p.place ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.r = p.r AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY rank <= 5
+""",
+    "op12_decontamination": r"""
+WITH items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     placed AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0),
+     windows AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM placed),
+     docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     sized AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+     met AS MATERIALIZED (SELECT r, item_id, i, s.n FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM sized) s JOIN windows USING (n, gram)),
+     hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r),
+     named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM met GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """,
 }

@@ -1,23 +1,28 @@
 """Exact top-k search by inner product with the threshold algorithm.
 
-Rows are dealt into shards, queries into blocks, and every block meets every shard. In a shard each dimension has a
-sorted list. Lists are read from both ends in rounds of doubling depth, one entry at first; rows met in any list are
-scored exactly (random access); a query stops once its kth score beats the bound that unmet rows can reach. The bound
-is the smaller of two: the sum over dimensions of what the lists still hold, and the query's length times the largest
-length of an unmet row.
+Queries are dealt into blocks of a bounded size, which are broadcast in turn; every task searches its own rows, a shard
+at a time, and rows never move. In a shard each dimension has a sorted list. Lists are read from both ends in rounds of
+doubling depth, one entry at first; rows met in any list are scored exactly (random access); a query stops once its kth
+score beats the bound that unmet rows can reach. The bound is the smaller of two: the sum over dimensions of what the
+lists still hold, and the query's length times the largest length of an unmet row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.llm.common import cut
+from labelloom.llm.vectors import padded, usable
+
 SHARD_ROWS = 1 << 15
-BLOCK_QUERIES = (512, 8192)  # at least, at most: small inputs get a block for each core
+BLOCK_BYTES = 32_000_000  # of one broadcast block of queries
 SCORES_AT_ONCE = 1 << 22
 FIRST_DEPTH = 1
 NEVER = -(2**62)
@@ -25,18 +30,10 @@ NEVER = -(2**62)
 
 def quantised(table: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v array<double>): floor(scale * x). Vectors null, empty, or with a null or non-finite component are
-    left out, and so are null ids; rows of one id become one (the smallest vector)."""
+    left out, and so are null ids; repeated rows and different rows of one id all stay."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    usable = table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
-    ints = usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
+    rows = table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
 def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,28 +98,69 @@ def _top(scores: np.ndarray, who: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _best(lists: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each list the k best: higher scores first, ties by the smaller id."""
+    order = np.lexsort((ids, -scores, lists))
+    lists, ids, scores = lists[order], ids[order], scores[order]
+    begin = np.searchsorted(lists, lists)
+    kept = np.arange(len(lists)) - begin < k
+    return lists[kept], ids[kept], scores[kept]
+
+
 def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """The k highest inner products of every query with the candidates, without the query's own id; ties go to the
-    smaller vec_id. A row is moved once for each block of queries, a query once for each shard. Both tables are (vec_id long, v array<double>) of integers, as ``quantised`` makes them; shorter
-    vectors count as padded with zeros. Columns query_id, rank, vec_id, score; a query with no candidate has no row.
+    """The k highest inner products of every query with the candidates, without those of the query's own id; ties go to
+    the smaller vec_id. Both tables are (vec_id long, v array<double>) of integers, as ``quantised`` makes them; shorter
+    vectors count as padded with zeros. Every one of repeated rows counts as a candidate, and repeated queries each get
+    their rows. Columns query_id, rank, vec_id, score; a query with no candidate has no row.
     """
-    n, q = candidates.count(), queries.count()
-    least, most = BLOCK_QUERIES
-    block = min(most, max(least, math.ceil(q / candidates.sparkSession.sparkContext.defaultParallelism)))
-    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(q / block))
-    dealt = lambda df, own, many, other, count: df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(other))
-    left = dealt(candidates, "shard", shards, "block", blocks)
-    right = dealt(queries, "block", blocks, "shard", shards)
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        rows = rows.sort_values("vec_id", ignore_index=True)
-        width = max(rows["v"].map(len).max(), asked["v"].map(len).max())
-        ids, query_ids = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        query, row, score, _ = threshold_topk(ids, _matrix(rows["v"].array, width), query_ids, _matrix(asked["v"].array, width), k)
-        return pd.DataFrame({"query_id": query_ids[query], "vec_id": ids[row], "score": score})
-
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    spark = candidates.sparkSession
+    asked = cut(queries.select(F.monotonically_increasing_id().alias("query"), "vec_id", "v"), "queries")
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = max(1, math.ceil(n * width * 8 / BLOCK_BYTES))
+    tables = [asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else asked for b in range(blocks)]
+    found = reduce(DataFrame.unionByName, [_searched(candidates, block, k) for block in tables])
+    order = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, query_id, vec_id, score): the k best rows that each task has for every query of a block."""
+    block = asked.toArrow().sort_by("query")
+    _, matrix = usable(pa.concat_arrays(block.column("v").chunks)) if len(block) else (None, np.empty((0, 0)))
+    shared = candidates.sparkSession.sparkContext.broadcast((block.column("query").to_numpy(), block.column("vec_id").to_numpy(), matrix))
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, rows, held = [], [], 0
+        for batch in batches:
+            for at in range(0, len(batch), SHARD_ROWS):
+                part = batch.slice(at, SHARD_ROWS)
+                ids.append(part.column(0).to_numpy())
+                rows.append(usable(part.column(1))[1])
+                held += len(part)
+                if held >= SHARD_ROWS:
+                    yield _stacked(ids, rows)
+                    ids, rows, held = [], [], 0
+        if held:
+            yield _stacked(ids, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, query_ids, queries = shared.value
+        best = (np.empty(0, dtype=np.int64),) * 3
+        for ids, rows in shards(batches):
+            wide = max(rows.shape[1], queries.shape[1])
+            query, row, score, _ = threshold_topk(ids, padded(rows, wide), query_ids, padded(queries, wide), k)
+            best = _best(*(np.concatenate(x) for x in zip(best, (query, ids[row], score), strict=True)), k)
+        query, ids, score = best
+        yield pa.RecordBatch.from_pydict({"query": numbers[query], "query_id": query_ids[query], "vec_id": ids, "score": score})
+
+    return candidates.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+
+
+def _stacked(ids: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One shard, by ascending id."""
+    wide = max(r.shape[1] for r in rows)
+    names, matrix = np.concatenate(ids), np.concatenate([padded(r, wide) for r in rows])
+    order = np.argsort(names, kind="stable")
+    return names[order], matrix[order]
