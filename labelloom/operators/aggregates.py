@@ -82,12 +82,6 @@ def palette(pixels: DataFrame, image: str) -> DataFrame:
     return each.join(total, image).select(image, "name", "n", *mean, (F.col("n") / F.col("total")).alias("coverage"))
 
 
-def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The median, and the upper median, which is an element even for even counts. Both aggregates hold counts of
-    values, which combine before the shuffle."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").alias("upper_median"))
-
-
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sorted distinct trimmed values of each column, one row a value: (column, value)."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.nullif(F.trim(F.col(c)), F.lit("")).alias("value")) for c in columns]))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from labelloom.functions.text import blank
 from labelloom.operators.extract import has_whole_phrase
 from labelloom.operators.joins import box_overlaps
+from labelloom.operators.scans import dealt, previous, running
+from labelloom.operators.shared import cut
 from labelloom.operators.windows import best_row
 
 
@@ -18,10 +20,10 @@ def as_spans(words: DataFrame) -> DataFrame:
 
 def merged_runs(spans: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
     """Neighbouring glyph runs whose gap is at most ``share`` of the font size become one span."""
-    line = Window.partitionBy(*keys).orderBy("x", "text")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(line)
-    flagged = spans.withColumn("__new", F.when(gap.isNull() | (gap > share * F.col("font_size")), 1).otherwise(0))
-    numbered = flagged.withColumn("__g", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["x", "text", "width"]
+    behind = previous(dealt(spans, keys, order), keys, order, F.col("x") + F.col("width"), "__q")
+    opens = F.when(F.col("__q").isNull() | (F.col("x") - F.col("__q") > share * F.col("font_size")), 1).otherwise(0)
+    numbered = running(cut(behind.withColumn("__new", opens), "runs"), keys, order, "__new", F.sum, "__g", inclusive=True)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), "")
     return numbered.groupBy(*keys, "__g").agg(text.alias("text"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("end")).drop("__g")
 
@@ -122,12 +124,13 @@ def role_options(candidates: DataFrame, key: str, cap: int = 24) -> DataFrame:
     ``cap`` at most (part of the feature)."""
     kept = candidates.where(is_role_candidate(F.col("text"), F.col("confidence"), F.col("occurrences"))).withColumn("plain", plain_words(F.col("text")))
     singles = kept.groupBy(key, "plain").agg(F.min(F.struct("position", "text")).alias("x")).select(key, "plain", F.lit(0).alias("kind"), "x.position", "x.text")
-    line = Window.partitionBy(key).orderBy("top", "position")
-    after = lambda c: F.lead(c).over(line)
-    placed = kept.where("top IS NOT NULL").withColumns({f"next_{c}": after(c) for c in ("text", "plain", "top", "height")}).withColumn("place", F.row_number().over(line).cast("long"))
-    large, small = F.greatest("height", "next_height"), F.least("height", "next_height")
-    close = placed.where((F.col("next_top") - F.col("top") - F.col("height") < 1.2 * large) & (large <= 2 * small) & (F.col("plain") != F.col("next_plain")))
-    pairs = close.select(key, F.concat_ws(" ", "plain", "next_plain").alias("plain"), F.lit(1).alias("kind"), F.col("place").alias("position"), F.concat_ws(" ", "text", "next_text").alias("text"))
+    order = ["top", "position"]
+    listed = dealt(kept.where("top IS NOT NULL").select(key, *order, "text", "plain", "height", F.lit(1).alias("one")), [key], order)
+    above = cut(previous(listed, [key], order, F.struct("text", "plain", "top", "height"), "up"), "neighbours")
+    placed = running(above, [key], order, "one", F.sum, "place")  # of the upper one
+    large, small = F.greatest("height", "up.height"), F.least("height", "up.height")
+    close = placed.where((F.col("top") - F.col("up.top") - F.col("up.height") < 1.2 * large) & (large <= 2 * small) & (F.col("plain") != F.col("up.plain")))
+    pairs = close.select(key, F.concat_ws(" ", "up.plain", "plain").alias("plain"), F.lit(1).alias("kind"), F.col("place").alias("position"), F.concat_ws(" ", "up.text", "text").alias("text"))
     once = singles.unionByName(pairs).groupBy(key, "plain").agg(F.min(F.struct("kind", "position", "text")).alias("x"))
     order = Window.partitionBy(key).orderBy("x")
     first = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
@@ -140,15 +143,17 @@ def ingredients_panel(lines: DataFrame, keys: list[str], small: float = 32.0, le
     Lines that overlap along x are one column. In a column a line of large print or a gap of more than three heights
     ends a run. Of runs of one length the first from the left, then from the top, counts.
     """
-    across = Window.partitionBy(*keys).orderBy("x0", "x1", "y0")
-    reach = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    columns = lines.withColumn("__new", F.when(reach.isNull() | (F.col("x0") >= reach), 1).otherwise(0)).withColumn("column", F.sum("__new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    down = Window.partitionBy(*keys, "column").orderBy("y0", "x0", "text")
+    across, down = ["x0", "x1", "y0"], ["y0", "x0", "text"]
+    reach = running(dealt(lines, keys, across), keys, across, "x1", F.max, "__r")
+    opens = cut(reach.withColumn("__new", F.when(F.col("__r").isNull() | (F.col("x0") >= F.col("__r")), 1).otherwise(0)).drop("__r"), "columns")
+    columns = running(opens, keys, across, "__new", F.sum, "column", inclusive=True).drop("__p", "__new")
     height = F.col("y1") - F.col("y0")
     little = (height > 0) & (height <= small)
-    broken = ~F.coalesce(F.lag(little).over(down), F.lit(False)) | (F.col("y0") - F.lag("y1").over(down) > 3 * height)
-    marked = columns.withColumns({"little": little, "__first": F.when(broken, 1).otherwise(0)})
-    numbered = marked.withColumn("run", F.sum("__first").over(down.rowsBetween(Window.unboundedPreceding, 0))).where("little")
+    own = [*keys, "column"]
+    above = previous(dealt(columns.withColumn("little", little), own, down), own, down, F.struct("little", "y1"), "__up")
+    broken = ~F.coalesce(F.col("__up.little"), F.lit(False)) | (F.col("y0") - F.col("__up.y1") > 3 * height)
+    marked = cut(above.withColumn("__first", F.when(broken, 1).otherwise(0)).drop("__up"), "runs")
+    numbered = running(marked, own, down, "__first", F.sum, "run", inclusive=True).where("little")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ")
     found = numbered.groupBy(*keys, "column", "run").agg(F.count("*").alias("n"), text.alias("text"), *[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
     listed = found.where((F.col("n") >= least) & (F.length(F.regexp_replace("text", "[^,]", "")) >= commas))

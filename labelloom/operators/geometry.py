@@ -1,14 +1,12 @@
 """Positioned spans into lines, panels, cells and tables, and boxes into decisions.
 
-A span has page, x, y (upwards), width, font_size, rotation and text. What depends on a running state (which line a
-span belongs to) is a fold over the distinct positions of a page, in pandas, whose numbers are then joined to the spans;
-the rest are column expressions, joins and grouping.
+A span has page, x, y (upwards), width, font_size, rotation and text. What depends on a running state (which line, panel
+or cell a span belongs to) is an ordered scan (``scans``); the rest are column expressions, joins and grouping.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,8 +15,8 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import vocabulary as V
 from labelloom.operators.joins import box_overlaps
+from labelloom.operators.scans import dealt, joined, line_numbers, medians, previous, running, sessions_by_gap
 from labelloom.operators.shared import cut
-from labelloom.operators.windows import sessions_by_gap
 
 
 def from_matrix(runs: DataFrame) -> DataFrame:
@@ -34,35 +32,11 @@ def rotated(spans: DataFrame) -> DataFrame:
     return spans.withColumns({"along": along, "cross": cross, "bucket": F.round(r / 0.01).cast("long")})
 
 
-def panels(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def panels(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Band of each span along the axis: a gap above 1.5 median font sizes starts a new panel."""
-    size = spans.groupBy(*keys).agg(F.percentile("font_size", F.lit(0.5)).alias("__m"))
-    placed = spans.join(size, keys).withColumn("__end", F.col("along") + F.col("width"))
-    return sessions_by_gap(placed, keys, "along", "__end", F.col("__m") * 1.5, ["along", *order]).drop("__m", "__end")
-
-
-def line_numbers(cross: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Line of each span, in order: a new line where a span is off the line's first span by half the smaller font size."""
-    out, first, font, line = np.zeros(len(cross), dtype=np.int64), 0.0, 0.0, -1
-    for i, (c, s) in enumerate(zip(cross, size, strict=True)):
-        if line < 0 or abs(c - first) > 0.5 * min(font, s):
-            line, first, font = line + 1, c, s
-        font = max(font, s)
-        out[i] = line
-    return out
-
-
-def _numbered(rows: DataFrame, keys: list[str], by: list[str], name: str, fold: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """``rows`` with a number that a fold over the distinct ``by`` values of the keys gives them. Spans of one position
-    share it, so a page's task holds positions, not spans."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(**{name: fold(pdf)})
-
-    marks = rows.select(*keys, *by).distinct()
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, *by])
-    numbers = cut(marks.groupBy(*keys).applyInPandas(run, f"{kinds}, {name} long"), "positions")
-    return rows.join(numbers, [*keys, *by])
+    sizes = medians(spans, keys, "font_size").select(*keys, F.col("median").alias("__m"))
+    placed = joined(spans, sizes, keys).withColumn("__end", F.col("along") + F.col("width"))
+    return sessions_by_gap(placed, keys, "along", "__end", F.col("__m") * 1.5).drop("__m", "__end")
 
 
 def lines(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,14 +44,7 @@ def lines(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     Spans of one height go by their font size, larger ones first.
     """
-
-    def fold(pdf: pd.DataFrame) -> np.ndarray:
-        order = np.lexsort((-pdf["font_size"].to_numpy(), -pdf["cross"].to_numpy()))
-        out = np.empty(len(pdf), dtype=np.int64)
-        out[order] = line_numbers(pdf["cross"].to_numpy()[order], pdf["font_size"].to_numpy()[order])
-        return out
-
-    placed = _numbered(spans.select(*keys, "along", "cross", "font_size", "text"), keys, ["cross", "font_size"], "line", fold)
+    placed = line_numbers(spans.select(*keys, "along", "cross", "font_size", "text"), keys, F.col("cross"), F.col("font_size"), "line")
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("along", "text"))), lambda x: x["text"]), " ")
     return placed.groupBy(*keys, "line").agg(words.alias("text"), F.max("cross").alias("cross"), F.max("font_size").alias("font_size"), F.count("*").alias("n"))
 
@@ -90,35 +57,28 @@ def reading_text(lines_: DataFrame, page: str, panel: str) -> DataFrame:
 
 def cells(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of each line: a gap above 1.5 font sizes of the line from the span before starts a new one."""
-    line = Window.partitionBy(*keys).orderBy("along", "text")
-    gap = F.col("along") - F.lag(F.col("along") + F.col("width")).over(line)
-    font = F.max("font_size").over(Window.partitionBy(*keys))
-    flagged = spans.withColumn("__new", F.when(gap.isNull() | (gap > 1.5 * font), 1).otherwise(0))
-    numbered = flagged.withColumn("cell", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    order = ["along", "text", "width"]
+    placed = dealt(joined(spans, spans.groupBy(*keys).agg(F.max("font_size").alias("__f")), keys), keys, order)
+    behind = previous(placed, keys, order, F.col("along") + F.col("width"), "__q")
+    opens = F.when(F.col("__q").isNull() | (F.col("along") - F.col("__q") > 1.5 * F.col("__f")), 1).otherwise(0)
+    flagged = cut(behind.withColumn("__new", opens), "cells")
+    numbered = running(flagged, keys, order, "__new", F.sum, "cell", inclusive=True)
     return numbered.groupBy(*keys, "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("along", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
 def display_lines(lines_: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
     """Lines of 2.5 median font sizes with a letter, largest first, each text once, ``top`` of a page (part of the feature)."""
-    median = lines_.groupBy(*keys).agg(F.percentile("font_size", F.lit(0.5)).alias("__m"))
-    large = lines_.join(median, keys).where((F.col("font_size") >= 2.5 * F.col("__m")) & F.col("text").rlike(r"\p{L}"))
+    lines_ = cut(lines_, "lines")
+    large = joined(lines_, medians(lines_, keys, "font_size"), keys).where((F.col("font_size") >= 2.5 * F.col("median")) & F.col("text").rlike(r"\p{L}"))
     once = large.groupBy(*keys, "text").agg(F.max(F.struct("font_size", "cross")).alias("b"))
     order = Window.partitionBy(*keys).orderBy(F.desc("b"), "text")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*keys, "text", "b.font_size", "rank")
 
 
 def clustered_rows(words: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Row of each word: within ``tolerance`` of the row's first word, from the top."""
-
-    def fold(pdf: pd.DataFrame) -> np.ndarray:
-        out, row, first = np.empty(len(pdf), dtype=np.int64), -1, -np.inf
-        for i in np.argsort(pdf["y0"].to_numpy(), kind="stable"):
-            if pdf["y0"].iloc[i] - first > tolerance:
-                row, first = row + 1, pdf["y0"].iloc[i]
-            out[i] = row
-        return out
-
-    return _numbered(words, keys, ["y0"], "row", fold).select(*words.columns, "row")
+    """Row of each word: within ``tolerance`` of the row's first word, from the top. That is a line whose sizes all are
+    twice the tolerance."""
+    return line_numbers(words, keys, -F.col("y0"), F.lit(2.0 * tolerance), "row").select(*words.columns, "row")
 
 
 def without_overlaps(lines_: DataFrame, page: str, limit: float = 0.7, cell: float = 64.0) -> DataFrame:
@@ -183,16 +143,15 @@ def covered(boxes: DataFrame, overlaps: DataFrame, key: str) -> DataFrame:
 
 def strips(intervals: DataFrame, keys: list[str], start: str, end: str, gap: float) -> DataFrame:
     """Merged intervals: ones that overlap or lie within ``gap`` become one."""
-    banded = sessions_by_gap(intervals, keys, start, end, F.lit(gap), [start, end])
+    banded = sessions_by_gap(intervals, keys, start, end, F.lit(gap))
     return banded.groupBy(*keys, "band").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("band")
 
 
 def prominent_word(words: DataFrame, keys: list[str], forms: str) -> DataFrame:
     """The tallest confident form word of a page that stands 1.6 median heights tall."""
-    height = F.col("y1") - F.col("y0")
-    median = words.groupBy(*keys).agg(F.percentile(height, F.lit(0.5)).alias("__m"))
-    tall = words.join(median, keys).where((F.col("confidence") >= 60) & (height >= 1.6 * F.col("__m")) & F.lower("text").rlike(f"^(?:{forms})$"))
-    return tall.groupBy(*keys).agg(F.max_by("text", F.struct(height, "text")).alias("text"))
+    sized = words.withColumn("__h", F.col("y1") - F.col("y0"))
+    tall = joined(sized, medians(sized, keys, "__h"), keys).where((F.col("confidence") >= 60) & (F.col("__h") >= 1.6 * F.col("median")) & F.lower("text").rlike(f"^(?:{forms})$"))
+    return tall.groupBy(*keys).agg(F.max_by("text", F.struct("__h", "text")).alias("text"))
 
 
 AMOUNT = re.compile(r"^[<>≤≥~]?\s*\d")
@@ -244,19 +203,40 @@ def nutrition_tables(cells_: DataFrame, key: str) -> DataFrame:
     return heads.select(key).join(pairs, key, "left").select(key, F.map_from_entries(F.coalesce("nutrition", empty)).alias("nutrition"))
 
 
+def _runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of a boolean grid's rows, in order."""
+    edge = np.diff(np.pad(grid.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return row, start, end
+
+
 def components(grid: np.ndarray) -> np.ndarray:
-    """Labels of 4-neighbour regions of a boolean grid, 0 outside; each the smallest position plus one."""
-    label = np.where(grid, np.arange(1, grid.size + 1).reshape(grid.shape), grid.size + 1)
-    while True:
-        near = label.copy()
-        near[1:] = np.minimum(near[1:], label[:-1])
-        near[:-1] = np.minimum(near[:-1], label[1:])
-        near[:, 1:] = np.minimum(near[:, 1:], label[:, :-1])
-        near[:, :-1] = np.minimum(near[:, :-1], label[:, 1:])
-        near = np.where(grid, near, grid.size + 1)
-        if np.array_equal(near, label):
-            return np.where(grid, label, 0)
-        label = near
+    """Labels of 4-neighbour regions of a boolean grid, 0 outside; each the smallest position plus one.
+
+    Runs of cells are joined to the runs that they touch in the row above (union-find), so the work grows with the
+    cells, however long a region winds.
+    """
+    row, start, end = _runs(grid)
+    wide = grid.shape[1] + 1
+    above = (row - 1) * wide
+    first = np.searchsorted(row * wide + end, above + start, side="right")
+    last = np.searchsorted(row * wide + start, above + end, side="left")
+    parent = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, (low, high) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for j in range(low, high):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    roots = np.array([root(i) for i in range(len(row))], dtype=np.int64)
+    out = np.zeros(grid.size, dtype=np.int64)
+    names = (row * grid.shape[1] + start + 1)[roots] if len(roots) else roots
+    out[np.flatnonzero(grid)] = np.repeat(names, end - start)
+    return out.reshape(grid.shape)
 
 
 def ink_regions(images: DataFrame, key: str, cells_: str, width: int = 64, ink: int = 12, top: int = 3, covered: str | None = None) -> DataFrame:
@@ -271,13 +251,13 @@ def ink_regions(images: DataFrame, key: str, cells_: str, width: int = 64, ink:
                 inked = grid >= ink
                 if hidden is not None:
                     inked &= ~np.asarray(hidden, dtype=bool).reshape(-1, width)
-                label = components(inked)
-                found = []
-                for one in np.unique(label[label > 0]):
-                    share = float((label == one).mean())
-                    if 0.004 <= share <= 0.4:
-                        found.append((-int(grid[label == one].sum()), int(one), share))
-                rows += [(k, i + 1, -mass, share) for i, (mass, _, share) in enumerate(sorted(found)[:top])]
+                names, region = np.unique(components(inked)[inked], return_inverse=True)
+                shares = np.bincount(region, minlength=len(names)) / grid.size
+                masses = np.zeros(len(names), dtype=np.int64)
+                np.add.at(masses, region, grid[inked].astype(np.int64))
+                fit = np.flatnonzero((shares >= 0.004) & (shares <= 0.4))
+                best = fit[np.lexsort((names[fit], -masses[fit]))][:top]
+                rows += [(k, i + 1, int(masses[b]), float(shares[b])) for i, b in enumerate(best)]
             yield pd.DataFrame(rows, columns=[key, "rank", "mass", "share"])
 
     hidden = F.col(covered) if covered else F.lit(None).cast("array<boolean>")

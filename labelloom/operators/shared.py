@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PATHS: dict[int, tuple[DataFrame, str]] = {}  # tables that may be dropped; the table is held so that its id stays its own
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +30,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = (table, path)
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        if (found := _PATHS.pop(id(table), None)) is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(found[1])
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:

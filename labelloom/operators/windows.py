@@ -1,4 +1,4 @@
-"""Latest versions, baselines, log entries, and gaps along an axis."""
+"""Latest versions, baselines, log entries and runs."""
 
 from __future__ import annotations
 
@@ -56,14 +56,6 @@ def with_latest_flag(artworks: DataFrame, keys: list[str]) -> DataFrame:
     return artworks.join(top, keys).withColumn("is_latest", F.col("version_number") == F.col("__top")).drop("__top")
 
 
-def sessions_by_gap(df: DataFrame, keys: list[str], start: str, end: str, gap: Column, order: list[str]) -> DataFrame:
-    """Band number of each row: a new band where a row starts beyond the running end by more than ``gap``."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    reach = F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    return flagged.withColumn("band", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
-
-
 def changed_only(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """Rows whose value differs from the row before; of a run of equal ones the first stays."""
     line = Window.partitionBy(*keys).orderBy(*order)

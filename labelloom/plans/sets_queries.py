@@ -8,6 +8,7 @@ from labelloom.functions import text as X
 from labelloom.operators import aggregates as A
 from labelloom.operators import joins as J
 from labelloom.operators import windows as W
+from labelloom.operators.scans import medians, sessions_by_gap
 from labelloom.sources.domain import APPROVED, artworks, history, labels, products, table, with_sql
 
 Q: dict = {}
@@ -82,7 +83,7 @@ SELECT event_id, (sum(CASE WHEN r IS NULL OR s > r + 3600 THEN 1 ELSE 0 END) OVE
 def w_07(spark, sf):
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     spans = table(spark, sf, "events").select("user_id", "event_id", start.alias("s"), (start + F.col("value")).alias("e"))
-    return W.sessions_by_gap(spans, ["user_id"], "s", "e", F.lit(3600), ["s", "event_id"]).select("event_id", "band")
+    return sessions_by_gap(spans, ["user_id"], "s", "e", F.lit(3600)).select("event_id", "band")
 
 
 @query("w_11", """
@@ -389,7 +390,7 @@ def t_08(spark, sf):
 
 @query("a_21", "SELECT l_orderkey, median(l_quantity) AS median, list_sort(list(l_quantity))[(count(*) // 2) + 1] AS upper_median FROM lineitem GROUP BY 1")
 def a_21(spark, sf):
-    return A.medians(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity")
+    return medians(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity")
 
 
 @query("a_22", with_sql("label", "SELECT lower(regexp_replace(trim(product_name), '\\s+', ' ', 'g')) AS norm, count(*) AS n FROM label GROUP BY 1"))

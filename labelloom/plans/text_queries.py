@@ -197,7 +197,7 @@ b AS (SELECT page, (sum(CASE WHEN e IS NULL OR x > e + m * 1.5 THEN 1 ELSE 0 END
 SELECT page, band, count(*) AS n FROM b GROUP BY ALL""")
 def e_03(spark, sf):
     upright = G.rotated(spans(spark, sf).where("rotation = 0"))
-    return G.panels(upright, ["page"], ["y", "text", "font_size"]).groupBy("page", "band").agg(F.count("*").alias("n"))
+    return G.panels(upright, ["page"]).groupBy("page", "band").agg(F.count("*").alias("n"))
 
 
 @query("e_04", None)

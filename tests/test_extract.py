@@ -1,6 +1,7 @@
 """Extraction, geometry, cascades, files and streams on inline cases."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -184,7 +185,6 @@ def test_badges(spark):
 
 
 def test_lines_and_tables():
-    assert G.line_numbers(np.array([100.0, 99.0, 80.0, 79.0]), np.array([10.0, 10.0, 10.0, 8.0])).tolist() == [0, 0, 1, 1]
     rows = [["Title"], ["Nutritional Information"], ["Energy", "10 kcal"], ["Protein (g)", "2 g", "4%"], ["Sodium 7 mg"], ["A", "1 g", "5%", "B", "2 g", "6%"], ["Energy", "99"], ["Storage"], ["Iron", "1"]]
     assert G.nutrition_rows(rows) == {"Energy": "10 kcal", "Protein (g)": "2 g", "Sodium": "7 mg", "A": "1 g", "B": "2 g"}
     assert len(np.unique(G.components(np.array([[1, 1, 0, 1], [0, 1, 0, 1], [1, 0, 0, 0]], dtype=bool)))) == 4
@@ -224,6 +224,51 @@ def test_ink_regions(spark):
     assert [(r["rank"], r["mass"]) for r in G.ink_regions(rows, "id", "g").orderBy("rank").collect()] == [(1, 1500), (2, 800)]
 
 
+def flooded(grid):
+    """Regions by flood fill."""
+    out, (high, wide) = np.zeros(grid.shape, dtype=int), grid.shape
+    for r, c in zip(*np.nonzero(grid)):
+        if not out[r, c]:
+            out[r, c], todo = r * wide + c + 1, [(r, c)]
+            while todo:
+                y, x = todo.pop()
+                for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                    if 0 <= v < high and 0 <= u < wide and grid[v, u] and not out[v, u]:
+                        out[v, u] = r * wide + c + 1
+                        todo.append((v, u))
+    return out
+
+
+def spiral(n):
+    grid, y, x, dy, dx = np.zeros((n, n), dtype=bool), 0, 0, 0, 1
+    grid[0, 0] = True
+    turns = 0
+    while turns < 2:
+        v, u = y + dy, x + dx
+        ahead = (y + 2 * dy, x + 2 * dx)
+        if 0 <= v < n and 0 <= u < n and not grid[v, u] and not (0 <= ahead[0] < n and 0 <= ahead[1] < n and grid[ahead]):
+            y, x, turns = v, u, 0
+            grid[y, x] = True
+        else:
+            dy, dx, turns = dx, -dy, turns + 1
+    return grid
+
+
+def test_winding_regions():
+    """A spiral and a comb are one region each, in a time that follows their cells."""
+    comb = np.zeros((999, 999), dtype=bool)
+    comb[:, ::2], comb[-1] = True, True
+    for grid in (spiral(501), comb):
+        began = time.perf_counter()
+        assert set(np.unique(G.components(grid))) == {0, 1}
+        assert time.perf_counter() - began < 5
+    rng = np.random.default_rng(5)
+    for share in (0.3, 0.55, 0.7):
+        grid = rng.random((40, 37)) < share
+        assert np.array_equal(G.components(grid), flooded(grid))
+    assert not G.components(np.zeros((3, 4), dtype=bool)).any()
+
+
 def test_cascade(spark):
     rows = spark.createDataFrame([(1, "Gummies", "Vitamin C", None)], "id int, text_product_name string, ocr_product_name string, vlm_product_name string")
     got = K.merged(rows, "id", ["product_name"], ["text", "ocr", "vlm"], overridable="gummies").first()
