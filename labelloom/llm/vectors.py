@@ -18,7 +18,7 @@ def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     good = (sizes > 0) & (np.bincount(owner[~np.isfinite(flat)], minlength=len(sizes)) == 0)
     kept, width = flat[good[owner]], int(sizes[good].max(initial=0))
     if (sizes[good] == width).all():
-        return np.flatnonzero(good), kept.reshape(-1, width)
+        return np.flatnonzero(good), kept.reshape(int(good.sum()), width)
     out = np.zeros((int(good.sum()), width))
     place = np.arange(len(kept)) - np.repeat(np.cumsum(sizes[good]) - sizes[good], sizes[good])
     out[np.repeat(np.arange(len(out)), sizes[good]), place] = kept

@@ -14,7 +14,7 @@ def run(spark, vectors, **kw):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "SHARD_ROWS", 100)
-    monkeypatch.setattr(T, "BLOCK_QUERIES", (7, 7))
+    monkeypatch.setattr(T, "BLOCK_BYTES", 300)
     monkeypatch.setattr(T, "SCORES_AT_ONCE", 300)
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(0, 0.05, 6).tolist()) for i in range(400)]
@@ -23,6 +23,13 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, [(*v, "x", "y") for v in vectors + bad]) == brute.topk(vectors + bad)
 
 
+def test_repeated_ids(spark):
+    """Different rows of one id are all candidates, equal rows too, and every one of repeated queries is answered."""
+    rows = [(0, [0.5, 0.25]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.1, 0.1]), (2, [0.1, 0.1]), (20, [0.3, 0.3]), (20, [0.2, 0.3])]
+    rows += [(40 + i % 3, [0.01 * (i % 7), 0.02]) for i in range(90)]
+    assert run(spark, [(*r, "x", "y") for r in rows]) == brute.topk(rows)
+
+
 def test_fewer_than_k_and_empty(spark):
     assert run(spark, [(0, [1.0], "", ""), (1, [2.0], "", "")]) == [(0, 1, 1, 64 * 128)]
     assert run(spark, [(0, [1.0], "", "")]) == []
