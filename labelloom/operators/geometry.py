@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import vocabulary as V
 from labelloom.operators.joins import box_overlaps
-from labelloom.operators.scans import dealt, joined, line_numbers, medians, previous, running, sessions_by_gap
-from labelloom.operators.shared import cut
+from labelloom.operators.scans import dealt, line_numbers, medians, previous, running, sessions_by_gap
+from labelloom.operators.shared import connected, cut, drop, joined, ranked
+
+SETTLED = 200_000  # overlaps of boxes that one task settles
 
 
 def from_matrix(runs: DataFrame) -> DataFrame:
@@ -81,29 +83,62 @@ def clustered_rows(words: DataFrame, keys: list[str], tolerance: float) -> DataF
     return line_numbers(words, keys, -F.col("y0"), F.lit(2.0 * tolerance), "row").select(*words.columns, "row")
 
 
+def _settled(links: DataFrame, group: list[str]) -> DataFrame:
+    """(page, id) of the boxes that go, among links (page, u, v) from better to worse boxes; a group is settled in one
+    pass, by rank: a box that no kept one overlaps takes those that it overlaps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        for u, v in sorted(zip(pdf["u"], pdf["v"], strict=True)):
+            if u not in gone:
+                gone.add(v)
+        return pd.DataFrame({"page": pdf["page"].iloc[0], "id": sorted(gone)})
+
+    return links.groupBy(*group).applyInPandas(run, f"page {links.schema['page'].dataType.simpleString()}, id long")
+
+
+def _peeled(links: DataFrame) -> list[DataFrame]:
+    """The same in rounds: boxes that nothing better overlaps stay and take what they overlap with them, until no link
+    is left to decide."""
+    gone = []
+    while not links.isEmpty():
+        free = links.select("page", "u").distinct().join(links.select("page", F.col("v").alias("u")).distinct(), ["page", "u"], "left_anti")
+        out = cut(links.join(free, ["page", "u"]).select("page", F.col("v").alias("id")).distinct(), "gone")
+        gone.append(out)
+        left = links.join(free, ["page", "u"], "left_anti")
+        for end in ("u", "v"):
+            left = left.join(out.withColumnRenamed("id", end), ["page", end], "left_anti")
+        last, links = links, cut(left, "overlaps")
+        drop(last)
+    return gone
+
+
 def without_overlaps(lines_: DataFrame, page: str, limit: float = 0.7, cell: float = 64.0) -> DataFrame:
     """Lines of a page by confidence, then from the top; one that overlaps a kept line by more than ``limit`` goes.
 
-    Of equal boxes the best stays. Others meet in grid cells. In every round the lines that nothing better overlaps stay
-    and take what they overlap with them, until no overlap is left to decide.
+    Of equal boxes the best stays. Others meet in grid cells, by rank. Pages of up to SETTLED overlaps are settled in one
+    task each, larger ones by components of overlapping boxes, and only components beyond that in rounds.
     """
     names = [page, "x0", "y0", "x1", "y1"]
     rank = F.struct((-F.col("confidence")).alias("c"), "y0", "x0", "text", "x1", "y1")
     rest = F.struct(*[c for c in lines_.columns if c not in names])
-    best = cut(lines_.groupBy(*names).agg(F.min_by(F.struct(rank.alias("id"), rest.alias("r")), rank).alias("b")).select(*names, "b.id", "b.r"), "boxes")
-    sides = best.select(page, "id", "x0", "y0", "x1", "y1")
-    edges = box_overlaps(sides, sides, page, cell).where((F.col("a_id") < F.col("b_id")) & (F.col("iou") > limit))
-    edges, gone = cut(edges.select(page, F.col("a_id").alias("u"), F.col("b_id").alias("v")), "overlaps"), []
-    while not edges.isEmpty():
-        free = edges.select(page, "u").distinct().join(edges.select(page, F.col("v").alias("u")).distinct(), [page, "u"], "left_anti")
-        out = cut(edges.join(free, [page, "u"]).select(page, F.col("v").alias("id")).distinct(), "gone")
-        gone.append(out)
-        left = edges.join(free, [page, "u"], "left_anti")
-        for end in ("u", "v"):
-            left = left.join(out.withColumnRenamed("id", end), [page, end], "left_anti")
-        edges = cut(left, "overlaps")
+    best = lines_.groupBy(*names).agg(F.min_by(F.struct(rank.alias("id"), rest.alias("r")), rank).alias("b")).select(*names, "b.id", "b.r")
+    best = cut(ranked(best, [page], ["id"], "__rank").drop("id"), "boxes")
+    sides = best.select(F.col(page).alias("page"), F.col("__rank").alias("id"), "x0", "y0", "x1", "y1")
+    met = box_overlaps(sides, sides, "page", cell).where((F.col("a_id") < F.col("b_id")) & (F.col("iou") > limit))
+    links = cut(met.select("page", F.col("a_id").alias("u"), F.col("b_id").alias("v")), "overlaps")
+    crowded = cut(links.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > SETTLED).select("page"), "crowded")
+    gone = [_settled(links.join(crowded, "page", "left_anti"), ["page"])]
+    if not crowded.isEmpty():
+        inside = links.join(crowded, "page", "left_semi")
+        node = lambda end: F.struct("page", F.col(end).alias("id"))
+        label = connected(inside.select(node("u").alias("a"), node("v").alias("b"))).select(F.col("a.page").alias("page"), F.col("a.id").alias("u"), F.col("l.id").alias("part"))
+        parts = cut(inside.join(label, ["page", "u"]), "parts")
+        large = parts.groupBy("page", "part").agg(F.count("*").alias("n")).where(F.col("n") > SETTLED).select("page", "part")
+        gone.append(_settled(parts.join(large, ["page", "part"], "left_anti"), ["page", "part"]))
+        gone += _peeled(cut(parts.join(large, ["page", "part"], "left_semi").drop("part"), "overlaps"))
     for out in gone:
-        best = best.join(out, [page, "id"], "left_anti")
+        best = best.join(out.select(F.col("page").alias(page), F.col("id").alias("__rank")), [page, "__rank"], "left_anti")
     return best.select(*[F.col(c) if c in names else F.col(f"r.{c}").alias(c) for c in lines_.columns])
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import folded
-from labelloom.operators.shared import cut, ranked
+from labelloom.operators.shared import connected, cut, ranked
 
 RATIO = 0.85
+CLASS = 1.36  # lengths of one class, from the shortest to the longest
 
 
 def master_form(c: Column) -> Column:
@@ -43,33 +45,45 @@ def _shorter_runs(form: str, counts: Column) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
-def _segment_keys(forms: DataFrame, form: str, others: Column, is_master: bool) -> DataFrame:
-    """``forms`` with ``__k``: two forms whose edit ratio is 0.85 or more share a key.
+def _sized(forms: DataFrame) -> DataFrame:
+    """Forms (id, form) with their length and its class; at an edit ratio of 0.85 the longer of two forms has at most
+    1.353 times the characters of the shorter, so its class is the same or the next."""
+    n = F.length("form")
+    return forms.select("id", "form", n.alias("n"), F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int").alias("class"))
 
-    At this ratio a value of x and a master of y characters are at most k = 0.15 (x + y) edits apart. The master is cut
-    into k + 1 segments. Of these one is whole in the value, with at most as many edits before it as segments, and no
-    more edits after it than are left; that bounds its place. The key is x, y, the segment and its number.
+
+def _place(at: Column) -> Column:
+    """Bucket of a place in a form: as wide as the edits that two forms of the class may differ by."""
+    width = F.floor(0.354 * F.pow(F.lit(CLASS), F.col("class") + 1)) + 1
+    return F.floor(at / width)
+
+
+def _near_pairs(longer: DataFrame, shorter: DataFrame, same_length: bool) -> DataFrame:
+    """(long, short): ids of pairs of forms (id, form) whose edit ratio may be 0.85 or more, by keys in proportion to the
+    length of a form.
+
+    At this ratio forms of n and x <= n characters are at most k = 0.15 (n + x) edits apart, and k is at most
+    e = 0.3 n. The longer form is cut into e + 1 segments of two to four characters. An edit spoils one segment at most,
+    so e + 1 - k of them stand whole in the shorter form, at most k places off: they meet its runs of two, three and
+    four characters there, and the pairs that meet often enough are left.
     """
-    mine, other = F.length(form), F.col("__other")
-    x, y = (other, mine) if is_master else (mine, other)
-    sized = forms.withColumn("__other", F.explode(others)).select("*", x.alias("__x"), y.alias("__y")).withColumn("__e", F.expr("cast((15 * (__x + __y)) div 100 as int)"))
-    numbered = sized.where("abs(__x - __y) <= __e").withColumn("__i", F.explode(F.sequence(F.lit(0), "__e")))
-    cuts = numbered.select("*", F.expr("cast((__i * __y) div (__e + 1) as int)").alias("__p"), F.expr("cast(((__i + 1) * __y) div (__e + 1) as int)").alias("__q"))
-    if is_master:
-        placed = cuts.withColumn("__at", F.col("__p"))
-    else:
-        low, high = F.expr("greatest(__p - __i, __p + __x - __y - __e + __i, 0)"), F.expr("least(__p + __i, __p + __x - __y + __e - __i, __x - __q + __p)")
-        placed = cuts.withColumn("__at", F.explode(F.when(low <= high, F.sequence(low, high))))
-    segment = F.substring(F.col(form), F.col("__at") + 1, F.col("__q") - F.col("__p"))
-    return placed.select(*forms.columns, F.xxhash64("__x", "__y", "__i", segment).alias("__k"))
+    segments = _sized(longer).withColumn("e", F.expr("(30 * n) div 100")).where("e > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "e")))
+    cuts = segments.select("id", "n", "e", "i", "form", F.expr("cast((i * n) div (e + 1) as int)").alias("p"), F.expr("cast(((i + 1) * n) div (e + 1) as int)").alias("q"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"))
+    around = cuts.withColumn("b", F.explode(F.array(*[_place(F.col("p")) + d for d in (-1, 0, 1)])))
+    mine = around.select(F.col("id").alias("long"), "n", "e", "i", F.xxhash64("class", "b", F.substring("form", F.col("p") + 1, F.col("q") - F.col("p"))).alias("k"))
+    runs = _sized(shorter).withColumn("size", F.explode(F.array(*map(F.lit, (2, 3, 4))))).where("size <= n").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
+    other = runs.select(F.col("id").alias("short"), F.col("n").alias("x"), F.xxhash64("class", _place(F.col("at")), F.substring("form", F.col("at") + 1, F.col("size"))).alias("k")).distinct()
+    met = mine.join(other, "k").where(F.expr("100 * (n - x) <= 15 * (n + x)") & (F.col("x") <= F.col("n") if same_length else F.col("x") < F.col("n")))
+    counted = met.groupBy("long", "short", "n", "x", "e").agg(F.count_distinct("i").alias("whole"))
+    return counted.where(F.expr("whole >= e + 1 - (15 * (n + x)) div 100")).select("long", "short")
 
 
 def snapped(values: DataFrame, value: str, masters: DataFrame, master: str, order: str) -> DataFrame:
     """(value, master, score): the best master for each distinct value that has one; ties go to list order.
 
     Values and masters meet by keys that are exact for the three rules, so lists of any length do: equal forms, forms
-    equal to a run of words, and segments for the edit ratio. Only the last gives pairs that are to be scored. Its keys
-    grow with the square of a form's length, for each length that the other side has.
+    equal to a run of words, and segments for the edit ratio (``_near_pairs``). Only the last gives pairs that are to be
+    scored.
     """
     listed = masters.select(master_form(F.col(master)).alias("__b"), F.struct(F.col(order).alias("o"), F.col(master).alias("m")).alias("__m"))
     forms = cut(listed.where("__b <> ''").groupBy("__b").agg(F.min("__m").alias("__m")), "masters")
@@ -83,8 +97,12 @@ def snapped(values: DataFrame, value: str, masters: DataFrame, master: str, orde
     same = F.col("__a") == F.col("__b")
     inside_value = asked.withColumn("__b", F.explode(_shorter_runs("__a", _counts(forms, words("__b"))))).join(forms, "__b")
     runs = forms.select(F.explode(_shorter_runs("__b", _counts(asked, words("__a")))).alias("__a"), "__m").groupBy("__a").agg(F.min("__m").alias("__m"))
-    rest = _segment_keys(asked.join(forms, same, "left_anti"), "__a", _counts(forms, F.length("__b")), False)
-    near = rest.join(_segment_keys(forms, "__b", _counts(asked, F.length("__a")), True), "__k").withColumn("__s", form_score(F.col("__a"), F.col("__b"))).where("__s IS NOT NULL")
+    left = cut(asked.join(forms, same, "left_anti").select(F.monotonically_increasing_id().alias("id"), F.col("__a").alias("form")), "left")
+    right = cut(forms.select(F.monotonically_increasing_id().alias("id"), F.col("__b").alias("form"), "__m"), "right")
+    long, short = F.col("long"), F.col("short")
+    pairs = _near_pairs(left, right, True).select(long.alias("v"), short.alias("w")).unionByName(_near_pairs(right, left, False).select(short.alias("v"), long.alias("w")))
+    named = pairs.join(left.select(F.col("id").alias("v"), F.col("form").alias("__a")), "v").join(right.select(F.col("id").alias("w"), F.col("form").alias("__b"), "__m"), "w")
+    near = named.withColumn("__s", form_score(F.col("__a"), F.col("__b"))).where("__s IS NOT NULL")
     every = [found(asked.join(forms, same), F.lit(1.0)), found(inside_value, F.lit(0.9)), found(asked.join(runs, "__a"), F.lit(0.9)), found(near, F.col("__s"))]
     best = reduce(DataFrame.unionByName, every).groupBy("__a").agg(F.min("__c").alias("__c"))
     return distinct.join(best, "__a").select(value, F.col("__c.m").alias("master"), (-F.col("__c.s")).alias("score"))
@@ -135,21 +153,10 @@ def signals(records: DataFrame, key: str, brand: str, product: str, licence: str
 def families(records: DataFrame, key: str, shared: DataFrame) -> DataFrame:
     """(key, family): records joined by shared signals, directly or through others; family is the smallest key.
 
-    Each signal is linked to its smallest record, so a signal of n records makes n links. Labels then run along the
-    links, and every record jumps to the label of its label, until nothing changes.
+    Each signal is linked to its smallest record, so a signal of n records makes n links.
     """
     nodes = shared.groupBy("signal").agg(F.min(key).alias("root"))
-    links = cut(shared.join(nodes, "signal").select(F.col(key).alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "families")
-    while True:
-        near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("n"))
-        step = label.join(near, "a").select("a", "l", F.least("l", "n").alias("m"))
-        jumped = step.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", "l", F.least("m", "j").alias("new"))
-        new = cut(jumped, "families")
-        label = new.select("a", F.col("new").alias("l"))
-        if new.where("new <> l").limit(1).count() == 0:
-            break
+    label = connected(shared.join(nodes, "signal").select(F.col(key).alias("a"), F.col("root").alias("b")))
     return records.select(key).distinct().join(label.withColumnRenamed("a", key), key, "left").select(key, F.coalesce("l", key).alias("family"))
 
 

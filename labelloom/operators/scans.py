@@ -13,18 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.operators.shared import cut, drop, ranked
+from labelloom.operators.shared import cut, drop, joined, ranked
 
 BLOCK_MARKS = 256  # marks that are folded within one row; longer blocks are settled by pointers
 
 
-def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join that lets null keys meet; of the right side its other columns are added."""
-    named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-    met = left.join(named, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], how)
-    return met.drop(*[f"__k{i}" for i in range(len(keys))])
-
-
 def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df with ``__p``, the number of its range of keys and order, as a table."""
     return cut(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()), "dealt")

@@ -43,6 +43,13 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join that lets null keys meet; of the right side its other columns are added."""
+    named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    met = left.join(named, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], how)
+    return met.drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Rank from 1 of each row within its keys by ``order`` (which should be unique there).
 
@@ -54,4 +61,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank")
     sizes = local.groupBy("__p", *keys).agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.withColumn("__o", F.coalesce(before, F.lit(0))).drop("__c")
-    return local.join(offsets, ["__p", *keys]).withColumn(name, F.col("__o") + F.col("__r")).drop("__p", "__r", "__o")
+    return joined(local, offsets, ["__p", *keys]).withColumn(name, F.col("__o") + F.col("__r")).drop("__p", "__r", "__o")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(a, l): for every end of the links (a, b) the smallest end that they reach. Labels run along the links, and every
+    end jumps to the label of its label, until nothing changes."""
+    links = cut(links.where("a <> b").distinct(), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "labels")
+    while True:
+        near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("n"))
+        step = label.join(near, "a").select("a", "l", F.least("l", "n").alias("m"))
+        jumped = step.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", "l", F.least("m", "j").alias("new"))
+        new, last = cut(jumped, "labels"), label
+        settled = new.where("new <> l").isEmpty()
+        label = new.select("a", F.col("new").alias("l"))
+        drop(last)
+        if settled:
+            drop(links)
+            return label

@@ -195,7 +195,10 @@ def test_overlapping_lines(spark):
     assert {r["text"] for r in G.without_overlaps(rows, "page").collect()} == {"a", "c"}
 
 
-def test_overlaps_of_a_crowded_page(spark):
+@pytest.mark.parametrize("most", [200_000, 40, 3])
+def test_overlaps_of_a_crowded_page(spark, monkeypatch, most):
+    """Settled by page, by component, and in rounds."""
+    monkeypatch.setattr(G, "SETTLED", most)
     def iou(a, b):
         w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
         both = max(w, 0) * max(h, 0)
@@ -217,6 +220,20 @@ def test_overlaps_of_a_crowded_page(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_a_chain_of_overlaps(spark, monkeypatch):
+    """Every box overlaps the next one: the number of jobs does not follow the length of the chain."""
+    chain = [(1, 10.0 * i, 0.0, 10.0 * i + 100, 10.0, 1.0 - i / 10_000, f"t{i}") for i in range(5000)]
+    table = spark.createDataFrame(chain, "page int, x0 double, y0 double, x1 double, y1 double, confidence double, text string")
+    monkeypatch.setattr(G, "_peeled", lambda links: [] if links.isEmpty() else pytest.fail("rounds"))
+    kept = {r["text"] for r in G.without_overlaps(table, "page").collect()}
+    want, last = set(), None
+    for r in chain:
+        if last is None or (shared := last + 100 - r[1]) <= 0 or shared / (200 - shared) <= 0.7:
+            want.add(r[6])
+            last = r[1]
+    assert kept == want and 1000 < len(want) < 3000
+
+
 def test_ink_regions(spark):
     grid = np.zeros((32, 64), dtype=int)
     grid[2:6, 2:12], grid[20:30, 30:40], grid[0, 63] = 20, 15, 99

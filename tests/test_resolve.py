@@ -29,3 +29,23 @@ def test_snapping_to_a_long_list(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     scores = {r["score"] for r in got}
     assert {1.0, 0.9} <= scores and len(scores) > 6
+
+
+def test_snapping_of_long_values(spark):
+    """Values of 1,000 characters: keys in proportion to the length, the same pairs as brute force."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+
+    def edited(x, share):
+        out = list(x)
+        for _ in range(int(len(out) * share)):
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice([[], [rng.choice("uvwxyz")], [out[at], rng.choice("uvwxyz")]])
+        return "".join(out)
+
+    masters = [(text(n), i) for i, n in enumerate([1000] * 12 + [950, 700, 100, 40, 40, 12, 9, 5, 4])]
+    values = [edited(m, share) for m, _ in masters for share in (0.05, 0.25, 0.29, 0.33, 0.4)]
+    v, m = spark.createDataFrame([(x,) for x in values], "v string"), spark.createDataFrame(masters, "m string, o int")
+    pairs = v.distinct().crossJoin(m).withColumn("score", C.snap_score(F.col("v"), F.col("m"))).where("score IS NOT NULL")
+    want = {(r["v"], r["m"], r["score"]) for r in pairs.groupBy("v").agg(F.min(F.struct(-F.col("score"), "o", "m", "score")).alias("b")).select("v", "b.m", "b.score").collect()}
+    assert {tuple(r) for r in C.snapped(v, "v", m, "m", "o").collect()} == want and len(want) > 40
