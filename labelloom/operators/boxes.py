@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions import vocabulary as V
 from labelloom.functions.text import blank
 from labelloom.operators.extract import has_whole_phrase
 from labelloom.operators.joins import box_overlaps
@@ -97,11 +98,7 @@ def corroborated(items: Column, reading: Column) -> Column:
     return F.when(F.size(kept).between(2, 60), kept)
 
 
-# What a line that is no name holds.
-NOT_NAMES = [
-    r"(?i)\b(?:net\s*(?:wt|weight)|fssai|lic|licen[cs]e|batch|mfg|mfd|exp|expiry|mrp|rs)\b|₹", r"(?i)\d\s*(?:gm|g|mg|mcg|µg|ml|l|kg|kcal|%)(?!\w)", r"(?i)\(\s*\d+\s*[a-z]+\s*\)", r"(?i)\bflavou?r(?:ed)?\b",
-    r"(?i)\b(?:health|dietary|food)\s*supplement", r"(?i)\bnutraceutical",
-]
+AMOUNT = rf"(?i)\d\s*(?:{V.any_of(V.UNITS)}(?!\w)|%)|\(\s*\d+\s*\p{{L}}+\s*\)"  # a measure, or a count in brackets
 
 
 def plain_words(text: Column) -> Column:
@@ -110,9 +107,7 @@ def plain_words(text: Column) -> Column:
 
 def is_role_candidate(text: Column, confidence: Column, occurrences: Column) -> Column:
     """A confident reading that could be a name; a single word of three characters or less only if it occurs three times."""
-    odd = F.lit(False)
-    for pattern in NOT_NAMES:
-        odd = odd | text.rlike(pattern)
+    odd = F.contains(text, F.lit("₹")) | text.rlike(f"(?i){V.whole(V.NO_NAME)}") | text.rlike(AMOUNT)
     words = plain_words(text)
     short = ~F.contains(words, F.lit(" ")) & (F.length(words) < 4) & (F.coalesce(occurrences, F.lit(0)) <= 2)
     return (confidence >= 0.7) & ~odd & ~short

@@ -210,7 +210,7 @@ def nutrition_rows(lines_: list[list[str]]) -> dict[str, str]:
             half = (len(cells_) + 1) // 2
             groups = [cells_[:half], cells_[half:]]
         for g in groups:
-            if len(g) == 1 and (m := re.match(r"^(.*?[A-Za-z)])\s+([<>≤≥~]?\s*\d.*)$", g[0])):
+            if len(g) == 1 and (m := re.match(r"^(.*?[A-Za-z0-9)])\s+([<>≤≥~]?\s*\d.*)$", g[0])):
                 g = [m[1], m[2]]
             if len(g) >= 2 and AMOUNT.match(g[1]) and len(re.sub(r"\([^)]*\)$", "", g[0]).split()) <= 3:
                 out.setdefault(g[0].strip(), g[1].strip())

@@ -1,217 +1,273 @@
-"""Label fields whose rules look at neighbouring lines: small per-text helpers behind one Arrow function."""
+"""Label fields whose rules look at neighbouring lines, as column expressions.
 
-from __future__ import annotations
+A text is an array of lines. What a rule needs of the lines around is taken by position, or carried along in one fold;
+every field is a function of its own.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import vocabulary as V
+from labelloom.functions.arrays import let, prefixes
 from labelloom.operators import extract as X
 from labelloom.operators.extract import CONTACT, MAKING, MARKETING
 
-SUFFIX = re.compile(rf"{V.whole([*V.COMPANY_ENDINGS, 'lid'])}\.?", re.I)
-OFF_TOPIC = re.compile(V.whole(V.OFF_TOPIC), re.I)
-STOP_LINE = re.compile(rf"^\s*(?:{V.any_of(V.ADDRESS_ENDS)}|{CONTACT})", re.I)
+SUFFIX = rf"(?i){V.whole([*V.COMPANY_ENDINGS, 'lid'])}"
+STOP_LINE = rf"(?i)^\s*(?:{V.any_of(V.ADDRESS_ENDS)}|{CONTACT}|(?:e-?mail|website|www)\b)|{MARKETING}"
+SKIPPED = r"(?i)^\(.*\)$|\bdivision\b"
 FORMS = V.any_of(V.FORMS)
-SERVING = re.compile(rf"{V.any_of(V.SERVING_CUES)}\W*(?:\w+\W+){{0,2}}$", re.I)
-DOSAGE = re.compile(rf"^\W*{V.any_of(V.DOSE_CUES)}", re.I)
-BOILERPLATE = re.compile(rf"^\s*(?:{MARKETING}|{MAKING}|{CONTACT}|{V.any_of([*V.SECTIONS, *V.ADDRESS_ENDS, *V.CLAIM_VERBS])}|exp|price|contains|facility|free\s+of|per\s+(?:gummy|serving)|net|nutrition)", re.I)
-NEGATED = re.compile(r"(?:free\s+of|without|contains\s+no)[^.]{0,250}$", re.I)
+SERVING = rf"(?i){V.any_of(V.SERVING_CUES)}"
+DOSE = rf"(?i){V.whole(V.DOSE_CUES)}"
+BOILERPLATE = rf"(?i)^\s*(?:{MARKETING}|{MAKING}|{CONTACT}|{V.any_of([*V.SECTIONS, *V.ADDRESS_ENDS, *V.CLAIM_VERBS])}|exp|price|contains|facility|free\s+of|per\s+(?:gummy|serving)|net|nutrition)"
+NEGATED = r"(?is)(?:free\s+of|without|contains\s+no)[^.]{0,250}$"
+BACK = 250  # characters in front of a flavour that may negate it
+
+
+def _stripped(c: Column, marks: str = r"\s") -> Column:
+    return F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "")
+
+
+def text_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: _stripped(x)), lambda x: x != "")
+
+
+def _first(values: Column) -> Column:
+    """The first value that is neither null nor blank."""
+    return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 
-def text_lines(text: str) -> list[str]:
-    return [x.strip() for x in re.split(r"\r?\n", text or "") if x.strip()]
+def _last_of(values: Column) -> Column:
+    return F.get(values, F.size(values) - 1)
 
 
-def cut_noise(value: str, longest: int = 60) -> str:
+def _title(name: Column) -> Column:
+    parts = F.regexp_extract_all(_stripped(name), F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+
+
+def cut_noise(value: Column, longest: int = 60) -> Column:
     """Cut at a noise character or an off-topic word; blank if too short, too long or if more than three in ten tokens
     are too short for a word and neither a number nor a token of names."""
-    value = re.split("[" + re.escape(V.NOISE) + "]", value)[0]
-    if found := OFF_TOPIC.search(value):
-        value = value[: found.start()]
-    value = re.sub(r"\blid\.", "Ltd.", value, flags=re.I).strip(" ,;:-")
-    tokens = value.split()
-    odd = 0
-    for token in tokens:
-        bare = re.sub("[^A-Za-z0-9]", "", token)
-        known = re.sub("[.,]", "", token.lower()) in V.SHORT_TOKENS
-        odd += not bare or (len(bare) <= 2 and not bare.isdigit() and not known)
-    return value if 3 <= len(value) <= longest and odd <= 0.3 * len(tokens) else ""
-
-
-def marketing_company(lines: list[str]) -> str:
+    noise = "".join("\\" + c for c in V.NOISE)
+    kept = F.regexp_extract(F.coalesce(value, F.lit("")), f"^[^{noise}]*", 0)
+    topical = F.regexp_extract(kept, rf"(?is)^(.*?)(?:{V.whole(V.OFF_TOPIC)}|$)", 1)
+    tidy = _stripped(F.regexp_replace(topical, r"(?i)\blid\.", "Ltd."), " ,;:-")
+
+    def odd(token: Column) -> Column:
+        bare = F.regexp_replace(token, "[^A-Za-z0-9]", "")
+        known = F.regexp_replace(F.lower(token), "[.,]", "").isin(V.SHORT_TOKENS)
+        return (bare == "") | ((F.length(bare) <= 2) & ~bare.rlike("^[0-9]+$") & ~known)
+
+    def judged(v: Column) -> Column:
+        tokens = F.filter(F.split(v, r"\s+"), lambda t: t != "")
+        return F.when(F.length(v).between(3, longest) & (F.size(F.filter(tokens, odd)) <= 0.3 * F.size(tokens)), v).otherwise("")
+
+    return let(tidy, judged)
+
+
+def _marketed(lines: Column) -> Column:
+    def of_line(line: Column, i: Column) -> Column:
+        rest = cut_noise(F.regexp_replace(F.regexp_extract(line, f"(?i)(?:{MARKETING})(.*)", 1), "^[ :-]+", ""))
+        below = F.get(lines, i + 1)
+        above = F.slice(lines, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8)))
+        company = _last_of(F.filter(F.transform(F.filter(above, lambda x: x.rlike(SUFFIX)), lambda x: cut_noise(x)), lambda v: v != ""))
+        other = F.when(below.rlike(r"(?i)^\s*(?:fssai|lic)"), company).otherwise(cut_noise(below))
+        return F.when(line.rlike(f"(?i){MARKETING}"), F.coalesce(F.nullif(rest, F.lit("")), F.when(below.isNotNull(), other)))
+
+    named = _first(F.transform(lines, of_line))
+    sold_for = F.get(F.filter(lines, lambda x: x.rlike(r"(?i)^\s*for\s") & x.rlike(SUFFIX)), F.lit(0))
+    return F.coalesce(named, F.when(sold_for.isNotNull(), cut_noise(F.regexp_extract(sold_for, r"(?i)^\s*for\s+(.*)$", 1))), F.lit(""))
+
+
+def marketing_company(text: Column) -> Column:
     """The rest of a marketing line; a licence line there means the last company line before it; else the next line."""
-    for i, line in enumerate(lines):
-        if not (m := re.search(MARKETING, line, re.I)):
-            continue
-        if rest := cut_noise(line[m.end() :].lstrip(" :-")):
-            return rest
-        if i + 1 < len(lines) and re.match(r"\s*(?:fssai|lic)", lines[i + 1], re.I):
-            for back in reversed(lines[max(0, i - 8) : i]):
-                if SUFFIX.search(back) and (found := cut_noise(back)):
-                    return found
-        elif i + 1 < len(lines) and (found := cut_noise(lines[i + 1])):
-            return found
-    for line in lines:
-        if (m := re.match(r"\s*for\s+(.*)$", line, re.I)) and SUFFIX.search(line):
-            return cut_noise(m[1])
-    return ""
-
-
-def address(lines: list[str], company: str) -> str:
+    return let(text_lines(text), _marketed)
+
+
+def _below(lines: Column, company: Column) -> Column:
+    """Up to four lines after one with the company, until a line that begins something else: one fold over the lines."""
+    strings = F.array().cast("array<string>")
+    zero = F.struct(F.lit(False).alias("open"), strings.alias("out"), F.lit(None).cast("string").alias("found"))
+
+    def step(acc: Column, line: Column) -> Column:
+        full = F.size(acc["out"]) == 4
+        ends = acc["open"] & (full | line.rlike(STOP_LINE))
+        found = F.coalesce(acc["found"], F.when(ends & (F.size(acc["out"]) > 0), F.array_join(acc["out"], ", ")))
+        reads = acc["open"] & ~ends & ~line.rlike(SKIPPED)
+        opens = (acc["open"] & ~ends) | F.contains(F.lower(line), F.lower(company))
+        out = F.when(ends, strings).when(reads, F.concat(acc["out"], F.array(_stripped(line, " ,")))).otherwise(acc["out"])
+        return F.when(acc["found"].isNotNull(), acc).otherwise(F.struct(opens.alias("open"), out.alias("out"), found.alias("found")))
+
+    last = F.aggregate(lines, zero, step)
+    return F.when(company != "", let(last, lambda x: F.coalesce(x["found"], F.array_join(x["out"], ", "))))
+
+
+def address(text: Column, company: Column) -> Column:
     """A labelled address, a registered office, or up to four lines after the company, until a line that begins something else."""
-    found = ""
-    for pattern in (r"\baddress\s*:\s*(.+)$", r"\b(?:registered|regd\.?)\s+office\s*:?\s*(.+)$"):
-        for line in lines:
-            if not found and (m := re.search(pattern, line, re.I)):
-                found = m[1].strip(" ,")
-    for i, line in enumerate(lines):
-        if not found and company and company.lower() in line.lower():
-            out: list[str] = []
-            for following in lines[i + 1 :]:
-                if STOP_LINE.match(following) or re.match(r"\s*(?:e-?mail|website|www)\b", following, re.I) or re.search(MARKETING, following, re.I) or len(out) == 4:
-                    break
-                if not re.match(r"^\(.*\)$|.*\bdivision\b", following, re.I):
-                    out.append(following.strip(" ,"))
-            found = ", ".join(out)
-    return re.sub(r"([A-Za-z])-\s*(\d{6})\b", r"\1 - \2", found)
-
-
-def _counted(text: str, pattern: str) -> re.Match | None:
-    """First count with a form word that is neither a serving nor a dose."""
-    for m in re.finditer(pattern, text, re.I):
-        if not SERVING.search(text[max(0, m.start() - 60) : m.start()]) and not DOSAGE.match(text[m.end() : m.end() + 40]):
-            return m
-    return None
-
-
-def package_size(text: str) -> str:
+
+    def told(lines: Column, pattern: str) -> Column:
+        return _first(F.transform(lines, lambda x: _stripped(F.regexp_extract(x, pattern, 1), " ,")))
+
+    def of(lines: Column) -> Column:
+        labelled = [told(lines, p) for p in (r"(?i)\baddress\s*:\s*(.+)$", r"(?i)\b(?:registered|regd\.?)\s+office\s*:?\s*(.+)$")]
+        return F.coalesce(*labelled, _below(lines, company), F.lit(""))
+
+    return F.regexp_replace(let(text_lines(text), of), r"([A-Za-z])-\s*(\d{6})\b", "$1 - $2")
+
+
+def _counts(text: Column, pattern: str, joined: str) -> Column:
+    """All matches of a count with a form word that are neither a serving nor a dose: no serving cue stands in front of
+    them on their line or anywhere on the line above, and no dose cue behind them on their line. ``joined``: what a line
+    end between the count and its form word is matched by."""
+    rows = F.split(F.regexp_replace(text, joined, "$1 $2"), r"\r?\n")
+
+    def part(lines: Column) -> Column:
+        def of_line(line: Column, i: Column) -> Column:
+            before = F.regexp_extract(line, rf"(?s)^(.*){DOSE}", 1)  # up to the last dose cue
+            behind = F.when(line.rlike(DOSE), F.when(before.rlike(SERVING), "").otherwise(F.regexp_replace(line, rf"(?s)^.*{DOSE}", ""))).otherwise(line)
+            above = (i > 0) & F.coalesce(F.get(lines, i - 1), F.lit("")).rlike(SERVING)
+            return F.when(above, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.regexp_extract(behind, rf"(?s)^(.*?)(?:{SERVING}|$)", 1), F.lit(pattern), F.lit(0)))
+
+        return F.flatten(F.transform(lines, of_line))
+
+    return let(rows, part)
+
+
+def package_size(text: Column) -> Column:
     """The pack's count and unit.
 
     A number with its form word comes first, unless the net content and servings times serving size agree on another
     number. A form word with its number behind it counts if the net content does not say otherwise. Net content is last.
     """
-    net = re.search(rf"net\s+(?:content|quantity|qty|wt|weight)s?\.?\s*:?\s*(\d{{1,4}})\s*({FORMS}|n(?:os?)?)\b", text, re.I)
-    size = re.search(r"serving\s+size\W*(\d{1,3})\b", text, re.I)
-    servings = re.search(r"(?:no\.?\s+of\s+)?servings?\W*per\s+(?:container|pack)\W*(\d{1,3})\b", text, re.I)
-    if m := _counted(text, rf"(?<![\d.])(\d{{1,4}})\s*({FORMS})\b"):
-        agreed = net and size and servings and int(size[1]) * int(servings[1]) == int(net[1]) != int(m[1])
-        return f"{net[1] if agreed else m[1]} {m[2]}"
-    if (m := _counted(text, rf"\b({FORMS})\s+(\d{{1,4}})(?![\d.])")) and (not net or net[1] == m[2]):
-        return f"{m[2]} {m[1]}"
-    return f"{net[1]} {net[2]}" if net else ""
+    text = F.coalesce(text, F.lit(""))
+    net = rf"(?i)net\s+(?:content|quantity|qty|wt|weight)s?\.?\s*:?\s*(\d{{1,4}})\s*({FORMS}|n(?:os?)?)\b"
+    number = lambda pattern, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    net_count, net_unit = number(net), number(net, 2)
+    servings = number(r"(?i)serving\s+size\W*(\d{1,3})\b").cast("int") * number(r"(?i)(?:no\.?\s+of\s+)?servings?\W*per\s+(?:container|pack)\W*(\d{1,3})\b").cast("int")
+    first, second = rf"(?i)(?<![\d.])\d{{1,4}}\s*{FORMS}\b", rf"(?i)\b{FORMS}\s+\d{{1,4}}(?![\d.])"
+    badge = F.get(_counts(text, first, rf"(?i)(?<![\d.])(\d{{1,4}})\s*\n\s*({FORMS})\b"), F.lit(0))
+    digits = lambda c: F.regexp_extract(c, r"\d+", 0)
+    unit = lambda c: F.regexp_extract(c, "[A-Za-z]+", 0)
+    agreed = F.coalesce((servings == net_count.cast("int")) & (servings != digits(badge).cast("int")), F.lit(False))
+    turned = F.filter(_counts(text, second, rf"(?i)\b({FORMS})\s*\n\s*(\d{{1,4}})(?![\d.])"), lambda m: net_count.isNull() | (digits(m) == net_count))
+    turned = F.get(turned, F.lit(0))
+    found = F.when(badge.isNotNull(), F.concat_ws(" ", F.when(agreed, net_count).otherwise(digits(badge)), unit(badge))).when(turned.isNotNull(), F.concat_ws(" ", digits(turned), unit(turned)))
+    return F.coalesce(found, F.when(net_count.isNotNull(), F.concat_ws(" ", net_count, net_unit)), F.lit(""))
 
 
 _JOIN = r"(?:\s*,\s*|\s*[&+/]\s*|\s+(?i:and)\s+|-|[^\S\n]+)"
-_NAMED = re.compile(rf"\b([A-Z][A-Za-z]*(?:{_JOIN}[A-Z][A-Za-z]*){{0,3}})\s+(?i:flavou?r(?:ed)?)\b")
-_CHEMICAL = re.compile(r"^[A-Za-z ]*\b(?:phosphate|sulph?ate|sulfate|chloride|carbonate|citrate|oxide|hydroxide|bicarbonate|gluconate|lactate|malate|tartrate|acetate)s?\s*,\s*", re.I)
+_NAMED = rf"\b([A-Z][A-Za-z]*(?:{_JOIN}[A-Z][A-Za-z]*){{0,3}})\s+(?i:flavou?r(?:ed)?)\b"
+_CHEMICAL = rf"(?i)^[A-Za-z ]*\b{V.any_of(V.SALTS)}s?\s*,\s*"
+
+
+def _named_flavour(text: Column) -> Column:
+    """The name in front of "Flavour" on the shortest line."""
+
+    def of(lines: Column) -> Column:
+        def on_line(line: Column, front: Column, i: Column) -> Column:
+            def one(name: Column, at: Column) -> Column:
+                back = F.concat(front, F.substring(line, F.lit(1), at))
+                before = F.substring(back, F.greatest(F.length(back) - BACK + 1, F.lit(1)), F.lit(BACK))
+                fine = ~before.rlike(NEGATED) & ~before.rlike(r"(?i)free\s+from\s+$") & ~F.lower(name).isin("natural", "artificial", "added", "no")
+                return F.when(fine, F.struct(F.length(line).alias("n"), i.alias("i"), at.alias("at"), name.alias("name")))
+
+            return F.when(line.rlike(_NAMED), F.zip_with(F.regexp_extract_all(line, F.lit(_NAMED), F.lit(1)), X.offsets(line, _NAMED), one))
 
+        ended = F.transform(lines, lambda x: F.concat(x, F.lit("\n")))
+        fronts = let(ended, lambda of: prefixes(of, lambda a, b: F.right(F.concat(a, b), F.lit(BACK)), F.lit("")))
+        placed = let(fronts, lambda f: F.transform(lines, lambda x, i: on_line(x, F.get(f, i), i)))
+        return F.array_min(F.array_compact(F.flatten(F.array_compact(placed))))["name"]
 
-def _title(name: str) -> str:
-    return re.sub(r"[A-Za-z]+", lambda w: w[0][0].upper() + w[0][1:].lower(), name.strip())
+    return F.when(text.rlike(_NAMED), let(F.split(text, "\n"), of))
 
 
-def flavour(text: str, known: list[str]) -> str:
+def _known_flavour(text: Column, known: list[str]) -> Column:
+    """Listed names in front of the ingredients, joined ones first."""
+    names = "|".join(rf"\Q{k}\E" for k in sorted(known, key=lambda k: (-len(k), k)))
+
+    def of(head: Column, pattern: str) -> Column:
+        def one(name: Column, at: Column) -> Column:
+            before = F.substring(head, F.greatest(at - BACK - 19, F.lit(1)), F.least(at, F.lit(BACK + 20)))
+            behind = F.substring(head, at + F.length(name) + 1, F.lit(40))
+            return F.when(~before.rlike(NEGATED) & ~behind.rlike("(?is)^.{0,20}flavouring"), name)
+
+        return F.when(head.rlike(pattern), F.get(F.array_compact(F.zip_with(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), X.offsets(head, pattern), one)), F.lit(0)))
+
+    patterns = (rf"(?i)(?<!\w)(?:{names})(?:\s*(?:,|&|\+|/|\band\b)\s*(?:{names}))+(?!\w)", rf"(?i)(?<!\w)(?:{names})(?!\w)")
+    return let(F.regexp_extract(text, r"(?is)^(.*?)(?:\bingredients?\b|$)", 1), lambda head: F.coalesce(*[of(head, p) for p in patterns]))
+
+
+def flavour(text: Column, known: list[str]) -> Column:
     """"<Name> Flavour" on the shortest line, then "Flavour: <Name>", then known names, joined ones first, in front of
-    the ingredients. Negated ones never count, and a chemical name in front of a comma is cut off."""
-    text = re.sub(r"([&+/,])[^\S\n]*\n\s*", r"\1 ", text)
-    found = []
-    for m in _NAMED.finditer(text):
-        before = text[max(0, m.start() - 250) : m.start()]
-        if not NEGATED.search(before) and not re.search(r"free\s+from\s+$", before, re.I) and m[1].lower() not in ("natural", "artificial", "added", "no"):
-            line = text[text.rfind("\n", 0, m.start()) + 1 : (text + "\n").index("\n", m.end())]
-            found.append((len(line), m.start(), _title(_CHEMICAL.sub("", m[1]))))
-    if found:
-        return min(found)[2]
-    if m := re.search(r"\bflavou?r\s*:\s*([A-Za-z]+(?:(?: & |[ -])[A-Za-z]+){0,3})", text, re.I):
-        return _title(m[1])
-    if not known:
-        return ""
-    head = re.split(r"\bingredients?\b", text, maxsplit=1, flags=re.I)[0]
-    names = "|".join(map(re.escape, sorted(known, key=lambda k: (-len(k), k))))
-    for pattern in (rf"(?<!\w)(?:{names})(?:\s*(?:,|&|\+|/|\band\b)\s*(?:{names}))+(?!\w)", rf"(?<!\w)(?:{names})(?!\w)"):
-        for m in re.finditer(pattern, head, re.I):
-            if not NEGATED.search(head[: m.start()]) and not re.match(r".{0,20}flavouring", head[m.end() :], re.I | re.S):
-                return _title(m[0])
-    return ""
-
-
-def smallest_period(items: list[str]) -> list[str]:
-    for p in range(1, len(items)):
-        if len(items) % p == 0 and all(items[i].lower() == items[i % p].lower() for i in range(len(items))):
-            return items[:p]
-    return items
-
-
-def title(lines: list[str]) -> tuple[str, str]:
-    """(brand, product) from the longest run of all-capital lines; a first line of a word or two is the brand."""
-    good = lambda x: 2 <= len(x) <= 40 and re.search(r"[A-Z]{2}", x) and x == x.upper() and not re.search(r"\d{3}|@|^\(.*\)$|:$", x) and not BOILERPLATE.match(x)
-    runs, now = [], []
-    for line in [*lines, ""]:
-        if good(line):
-            if not now or now[-1].lower() != line.lower():
-                now.append(line)
-        elif now:
-            runs.append(smallest_period(now))
-            now = []
-    if not runs:
-        return "", ""
-    best = max(runs, key=len)
-    if len(best) > 1 and len(best[0].split()) <= 2 and len(best[0]) <= 20 and not re.search(rf"\b{FORMS}\b", best[0], re.I):
-        return best[0], " ".join(best[1:])
-    return "", " ".join(best)
-
-
-def fallback_brand(lines: list[str]) -> str:
-    for line in lines:
-        if BOILERPLATE.match(line):
-            return ""
-        if re.fullmatch(r"[A-Z][A-Za-z'&-]*(?: [A-Z][A-Za-z'&-]*){0,2}", line) and len(line) <= 30:
-            return line
-    return ""
-
-
-FIELDS = {"brand": "string", "product": "string", "flavour": "string", "marketing_company": "string", "address": "string", "package_size": "string"}
+    the ingredients. Negated ones never count, and a chemical name in front of a comma is cut off. A name stands on one
+    line, but for a line end behind a joining mark or in front of "Flavour"."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"([&+/,])[^\S\n]*\n\s*", "$1 ")
+    joined = F.regexp_replace(joined, r"\s*\n\s*(?=(?i:flavou?r))", " ")
 
+    def of(t: Column) -> Column:
+        told = F.nullif(F.regexp_extract(t, r"(?i)\bflavou?r\s*:\s*([A-Za-z]+(?:(?: & |[ -])[A-Za-z]+){0,3})", 1), F.lit(""))
+        found = [F.regexp_replace(_named_flavour(t), _CHEMICAL, ""), told, *([_known_flavour(t, known)] if known else [])]
+        return F.coalesce(_title(F.coalesce(*found)), F.lit(""))
 
-def label_fields(docs: DataFrame, key: str, text: str, flavours: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-    """(key, the nine fields of a label, claims) of every text, or those named in ``only``; blank text, blank fields.
+    return let(joined, of)
 
-    brand, product, flavour, marketing_company, address and package_size follow from neighbouring lines; fssai_number,
-    customer_care_email, customer_care_number and claims are column expressions.
-    """
-    known = flavours or []
-    expressions = {"fssai_number": X.licence, "customer_care_email": X.email, "customer_care_number": X.care_number, "claims": X.generic_claims}
-    names = only or [*FIELDS, *expressions]
-    from_lines = [n for n in names if n in FIELDS]
-
-    def of(value: str, lines: list[str]) -> dict[str, str]:
-        out = {}
-        if "brand" in from_lines or "product" in from_lines:
-            brand, out["product"] = title(lines)
-            out["brand"] = brand or ("" if out["product"] else fallback_brand(lines))
-        if "marketing_company" in from_lines or "address" in from_lines:
-            out["marketing_company"] = marketing_company(lines)
-        if "address" in from_lines:
-            out["address"] = address(lines, out["marketing_company"])
-        if "flavour" in from_lines:
-            out["flavour"] = flavour(value, known)
-        if "package_size" in from_lines:
-            out["package_size"] = package_size(value)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [of(value or "", text_lines(value)) for value in pdf["__text"]]
-            yield pdf.drop(columns="__text").assign(**{n: [r[n] for r in rows] for n in from_lines})
-
-    found = docs.select(key, F.col(text).alias("__text"), *[F.coalesce(expressions[n](F.col(text)), F.array().cast("array<string>") if n == "claims" else F.lit("")).alias(n) for n in names if n in expressions])
-    if from_lines:
-        kept = [f for f in found.schema if f.name != "__text"]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} string" for n in from_lines)])
-        found = found.mapInPandas(run, schema)
-    return found.select(key, *names)
+
+def _once(run: Column) -> Column:
+    """A list that is n times one shorter list, without regard to case, becomes that list."""
+    low = F.transform(run, lambda x: F.lower(x))
+    return let(low, lambda values: F.slice(run, F.lit(1), F.size(X.repeated_to_one(values))))
+
+
+def title(text: Column) -> Column:
+    """struct(brand, product) from the longest run of all-capital lines, of equal ones the first; a first line of a word
+    or two is the brand."""
+
+    def good(x: Column) -> Column:
+        return F.length(x).between(2, 40) & x.rlike("[A-Z]{2}") & (x == F.upper(x)) & ~x.rlike(r"\d{3}|@|^\(.*\)$|:$") & ~x.rlike(BOILERPLATE)
+
+    def runs(lines: Column) -> Column:
+        cut = F.array_join(F.transform(lines, lambda x: F.when(good(x), x).otherwise("\u0001")), "\n")
+        every = F.filter(F.transform(F.split(cut, "\u0001"), lambda r: F.filter(F.split(r, "\n"), lambda x: x != "")), lambda r: F.size(r) > 0)
+        differing = lambda r: F.filter(r, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(r, F.greatest(i - 1, F.lit(0))))))
+        return F.transform(F.transform(every, differing), _once)
+
+    def split(best: Column) -> Column:
+        head = F.get(best, F.lit(0))
+        short = (F.size(best) > 1) & (F.size(F.split(head, r"\s+")) <= 2) & (F.length(head) <= 20) & ~head.rlike(rf"(?i)\b{FORMS}\b")
+        brand = F.coalesce(F.when(short, head), F.lit(""))
+        return F.struct(brand.alias("brand"), F.array_join(F.when(brand != "", F.slice(best, F.lit(2), F.size(best))).otherwise(best), " ").alias("product"))
+
+    longest = F.aggregate(let(text_lines(text), runs), F.array().cast("array<string>"), lambda acc, r: F.when(F.size(r) > F.size(acc), r).otherwise(acc))
+    return let(longest, split)
+
+
+def fallback_brand(text: Column) -> Column:
+    """The first line of one to three capitalised words, if no boilerplate comes before."""
+    named = lambda x: x.rlike(r"^[A-Z][A-Za-z'&-]*(?: [A-Z][A-Za-z'&-]*){0,2}$") & (F.length(x) <= 30)
+    first = F.get(F.filter(text_lines(text), lambda x: x.rlike(BOILERPLATE) | named(x)), F.lit(0))
+    return let(first, lambda x: F.when(x.isNull() | x.rlike(BOILERPLATE), "").otherwise(x))
+
+
+FIELDS = ["brand", "product", "flavour", "marketing_company", "address", "package_size"]
+
+
+def label_fields(docs: DataFrame, key: str, text: str, flavours: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(key, the nine fields of a label, claims) of every text, or those named in ``only``; a null text counts as empty,
+    and what is not found is blank."""
+    known, names = flavours or [], only or [*FIELDS, "fssai_number", "customer_care_email", "customer_care_number", "claims"]
+    of_title, company, t = F.col("__title"), F.col("__company"), F.col("__text")
+    found = docs.select(key, F.coalesce(text, F.lit("")).alias("__text"))
+    if {"brand", "product"} & {*names}:
+        found = found.withColumn("__title", title(t))
+    if {"marketing_company", "address"} & {*names}:
+        found = found.withColumn("__company", marketing_company(t))
+    blank = F.lit("")
+    fields = {
+        "brand": lambda: F.when((of_title["brand"] != "") | (of_title["product"] != ""), of_title["brand"]).otherwise(fallback_brand(t)),
+        "product": lambda: of_title["product"], "flavour": lambda: flavour(t, known), "marketing_company": lambda: company, "address": lambda: address(t, company), "package_size": lambda: package_size(t),
+        "fssai_number": lambda: F.coalesce(X.licence(t), blank), "customer_care_email": lambda: F.coalesce(X.email(t), blank), "customer_care_number": lambda: F.coalesce(X.care_number(t), blank),
+        "claims": lambda: F.coalesce(X.generic_claims(t), F.array().cast("array<string>")),
+    }
+    return found.select(key, *[fields[n]().alias(n) for n in names])

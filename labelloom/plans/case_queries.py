@@ -95,7 +95,7 @@ DIVISION = "Marketed By:\nSun Labs Pvt Ltd.\nA Division of Sun Labs Pvt Ltd\nPlo
 
 
 def cut(text):
-    return F.pandas_udf(lambda s: s.fillna("").map(L.cut_noise), "string")(text)
+    return L.cut_noise(text)
 
 
 values("x_05_cases", "string", [("Acme Foods ™ x", "Acme Foods"), ("Acme Foods Vitamin C", "Acme Foods"), ("a b cd Foods", ""), ("12 Rd of St", "12 Rd of St"), ("ab", ""), (None, ""), ("| Acme", ""), ("Acme — Foods", "Acme")], by_column(cut))
@@ -108,7 +108,7 @@ values(
 )
 values(
     "x_09_cases", "string",
-    [(LABEL, "30 Gummies"), ("Net Content: 40 N", "40 N"), ("Serving Size: 1 Gummy\nNet Content: 40 N", "40 N"), ("2 Gummies daily.\nContains 60 Gummies", "60 Gummies"), ("Net Content: 40 N\nGUMMIES\n40\nHelps", "40 GUMMIES"), ("Net Content: 100 g", ""), ("10\nGUMMIES\nNet Content: 40 N", "10 GUMMIES"), ("", "")],
+    [(LABEL, "30 Gummies"), ("Net Content: 40 N", "40 N"), ("Serving Size: 1 Gummy\nNet Content: 40 N", "40 N"), ("2 Gummies daily.\nContains 60 Gummies", "60 Gummies"), ("Net Content: 40 N\nGUMMIES\n40\nHelps", "40 GUMMIES"), ("Net Content: 100 g", ""), ("10\nGUMMIES\nNet Content: 40 N", "10 GUMMIES"), ("1 Gummy to be taken as suggested by your dietitian", ""), ("Serving size for all adults is 2 gummies", ""), ("Recommended usage:\n1 Gummy\n\n60 Gummies", "60 Gummies"), ("", "")],
     by_field("package_size"),
 )
 values("x_11_cases", "string", [(LABEL, "+91 20 1234 5678"), ("Toll free 1800 123 4567", "1800 123 4567"), ("call (no number)", None), ("Phone: 12", None), ("+91 20 1234 5678", None), (None, None)], by_column(X.care_number))
@@ -215,8 +215,9 @@ pages(
         [(0, 0, "Title"), (1, 0, "Nutritional Information"), (2, 0, "Energy"), (2, 1, "10 kcal"), (3, 0, "Protein (g)"), (3, 1, "2 g"), (3, 2, "4%"), (4, 0, "Sodium 7 mg"), (5, 0, "Energy"), (5, 1, "99"), (6, 0, "Storage"), (7, 0, "Iron"), (7, 1, "1 mg")],
         [(0, 0, "Nutrition Facts"), (1, 0, "A"), (1, 1, "1 g"), (1, 2, "5%"), (1, 3, "B"), (1, 4, "<2 g"), (1, 5, "6%"), (2, 0, "in adults"), (2, 1, "(18 years)")],
         [(0, 0, "Energy"), (0, 1, "10 kcal")],
+        [(0, 0, "Nutritional Value"), (1, 0, "Vitamin B12 2 mcg"), (2, 0, "Vitamin D3 400 IU"), (3, 0, "Omega 3"), (3, 1, "12 mg")],
     ],
-    "nutrient string, amount string", [[("Energy", "10 kcal"), ("Protein (g)", "2 g"), ("Sodium", "7 mg")], [("A", "1 g"), ("B", "<2 g")], []],
+    "nutrient string, amount string", [[("Energy", "10 kcal"), ("Protein (g)", "2 g"), ("Sodium", "7 mg")], [("A", "1 g"), ("B", "<2 g")], [], [("Vitamin B12", "2 mcg"), ("Vitamin D3", "400 IU"), ("Omega 3", "12 mg")]],
     lambda rows: G.nutrition_tables(rows, "page").select("page", F.explode("nutrition").alias("nutrient", "amount")),
 )
 pages(

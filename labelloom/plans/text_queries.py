@@ -256,7 +256,10 @@ def w_10(spark, sf):
 @query("e_07", None)
 def e_07(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("line")).agg(F.concat(F.min("l_quantity").cast("int").cast("string"), F.lit(" mg")).alias("amount"))
-    body = rows.select("id", "line", F.explode(F.array(F.struct(F.lit(0).alias("cell"), F.concat(F.lit("Vitamin "), F.col("line").cast("string")).alias("text")), F.struct(F.lit(1).alias("cell"), F.col("amount").alias("text")))).alias("c")).select("id", "line", "c.*")
+    name = F.concat(F.lit("Vitamin "), F.col("line").cast("string"))
+    two = F.array(F.struct(F.lit(0).alias("cell"), name.alias("text")), F.struct(F.lit(1).alias("cell"), F.col("amount").alias("text")))
+    one = F.array(F.struct(F.lit(0).alias("cell"), F.concat_ws(" ", F.lit("Vitamin B12"), "amount").alias("text")))  # a name that ends in a digit
+    body = rows.select("id", "line", F.explode(F.when(F.col("line") == 2, one).otherwise(two)).alias("c")).select("id", "line", "c.*")
     head = rows.select("id").distinct().select("id", F.lit(-1).cast("long").alias("line"), F.lit(0).alias("cell"), F.lit("Nutritional Information").alias("text"))
     return G.nutrition_tables(head.unionByName(body), "id").select("id", F.array_sort(F.map_entries("nutrition")).alias("nutrition"))
 

@@ -49,30 +49,43 @@ def test_label_text(spark):
     assert one["claims"] == ["Supports Immunity"] and got[2]["brand"] == got[3]["product"] == "" and got[2]["claims"] == []
 
 
-@pytest.mark.parametrize(
-    "text, want",
+def answers(spark, expression, cases):
+    """The expression on every text, in one query."""
+    rows = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], "i int, t string, u string")
+    return [r["x"] for r in rows.select("i", expression(F.col("t"), F.col("u")).alias("x")).orderBy("i").collect()]
+
+
+PACKS = (
     [
         ("Net Weight: 40 Gummies", "40 Gummies"), ("Contains 25 Sticks", "25 Sticks"), ("Net Content: 40 N", "40 N"), ("Net Qty: 60 Nos", "60 Nos"), ("40Gummies in a pack", "40 Gummies"),
         ("Serving Size: 1 Gummy\nNet Content: 40 N", "40 N"), ("2 Gummies daily.\nContains 60 Gummies", "60 Gummies"), ("nothing here", ""), ("Net Content: 40 N\n40\nGUMMIES\nStrong bones", "40 GUMMIES"),
         ("10\nGUMMIES\nServing Size: 2 Gummies\nNo. of Serving: per container 20\nNet Content: 40 N", "40 GUMMIES"), ("10\nGUMMIES\nNet Content: 40 N", "10 GUMMIES"), ("Net Content: 40 N\nGUMMIES\n40\nHelps", "40 GUMMIES"),
         ("Serving Size:\nGummy 1\nNet Content: 40 N", "40 N"), ("Gummies 2 daily.\nNet Content: 60 N", "60 N"), ("40 Gummies\nSticks 12", "40 Gummies"), ("Herbs) GUMMIES 60 NUTRA\nNet Content: 40 N", "40 N"), ("GUMMIES\n40\nHelps", "40 GUMMIES"), ("Net Content: 100 g", ""), ("Net Content: 40 Nutritional Information", ""), ("Net Quantity: 12 units", "12 units"),
-    ],
+        ("1 Gummy to be taken as suggested by your dietitian", ""), ("Serving size for all adults is 2 gummies", ""), ("Recommended usage:\n1 Gummy\n\n60 Gummies", "60 Gummies"), ("60 Gummies\n\nTake 2 gummies, on most days, a day", "60 Gummies"),
+        ("How to use\n\n30 Gummies", "30 Gummies"), ("1 Tablet daily 30 Tablets", "30 Tablets"), ("Dosage: 2 tablets", ""), ("Sticks 12\nserving size: 1 stick", "12 Sticks"),
+    ]
 )
-def test_package_size(text, want):
-    assert L.package_size(text) == want
 
 
-@pytest.mark.parametrize(
-    "text, known, want",
+def test_package_size(spark):
+    assert answers(spark, lambda t, _: L.package_size(t), [(t, None) for t, _ in PACKS] + [(None, None)]) == [w for _, w in PACKS] + [""]
+
+
+FLAVOURS = (
     [
         ("Lemon & Lime", ["Lemon", "Lime", "Red Plum"], "Lemon & Lime"), ("Lemon & Lime Flavour", [], "Lemon & Lime"), ("Red Plum Flavour", [], "Red Plum"), ("Lime", ["Lime"], "Lime"), ("Lime", [], ""), ("Natural Lime Flavouring", ["Lime"], ""),
         ("Free from Artificial Flavours", [], ""), ("Lemon, Lime & Plum Flavour", [], "Lemon, Lime & Plum"), ("Lemon-Lime Flavour", [], "Lemon-Lime"), ("Vitamin D Chews - Lime Flavour", [], "Lime"), ("Lemon &\nLime Flavour", [], "Lemon & Lime"),
         ("Lemon and Lime Flavour", [], "Lemon And Lime"), ("Lemon & Lime Flavour\n\nIngredients: Sugar, Water, Lemon-Lime Flavour, Colours", [], "Lemon & Lime"), ("Regulator (330), Dicalcium Phosphate, Lemon & Lime Flavour and Colour", [], "Lemon & Lime"),
         ("Sodium Citrate, Lime Flavour.", [], "Lime"), ("Dicalcium Phosphate Flavour", [], "Dicalcium Phosphate"),
-    ],
+        ("Contains no artificial colours or Lime Flavour", [], ""), ("Lime\nFlavour", [], "Lime"), ("made without " + "x" * 300 + "\nLime Flavour", [], "Lime"), ("Lime Flavour in a long line of words\nPlum Flavour", [], "Plum"),
+    ]
 )
-def test_flavour(text, known, want):
-    assert L.flavour(text, known) == want
+
+
+def test_flavour(spark):
+    for known in ([], ["Lime"], ["Lemon", "Lime", "Red Plum"]):
+        cases = [(t, w) for t, k, w in FLAVOURS if k == known]
+        assert answers(spark, lambda t, _: L.flavour(t, known), [(t, None) for t, _ in cases]) == [w for _, w in cases]
 
 
 BLOCK = """BRIGHTCARE HEALTH PVT. LTD.
@@ -86,17 +99,20 @@ LIC. NO. 11111111111111
 Pouches not to be sold loose."""
 
 
-@pytest.mark.parametrize(
-    "text, company, place",
+PLACES = (
     [
         (BLOCK, "BRIGHTCARE HEALTH PVT. LTD.", "12, Lake Road, Pune, India, Pincode - 411001"), ("Marketed By: Sun Chew Pvt. Ltd.\n42 Park, Mumbai", "Sun Chew Pvt. Ltd.", "42 Park, Mumbai"), ("Marketed By:\nSun Chew Pvt. Ltd.\n42 Park", "Sun Chew Pvt. Ltd.", "42 Park"),
         ("Marketed By:\nSun Labs Pvt Ltd.\nA Division of Sun Labs Pvt Ltd\nPlot No. 7/8, Baddi", "Sun Labs Pvt Ltd.", "Plot No. 7/8, Baddi"), ("Marketed By:\nSun Labs Pvt Ltd.\nTower 3, New Delhi- 110015", "Sun Labs Pvt Ltd.", "Tower 3, New Delhi - 110015"),
         ("Marketed By:\nSun Labs Pvt Ltd.\nPlot no.- 3/416, Jaipur - 302021", "Sun Labs Pvt Ltd.", "Plot no.- 3/416, Jaipur - 302021"),
-    ],
+        ("Sun Labs Ltd\nCustomer care: 1\nSun Labs Ltd\nOne\nTwo\n(Three)\nFour\nFive\nSix\nfor Sun Labs Ltd", "Sun Labs Ltd", "One, Two, Four, Five"), ("nothing", "", ""),
+    ]
 )
-def test_company_and_address(text, company, place):
-    lines = L.text_lines(text)
-    assert L.marketing_company(lines) == company and L.address(lines, company) == place
+
+
+def test_company_and_address(spark):
+    texts = [(t, None) for t, _, _ in PLACES]
+    assert answers(spark, lambda t, _: L.marketing_company(t), texts) == [c for _, c, _ in PLACES]
+    assert answers(spark, L.address, [(t, c) for t, c, _ in PLACES]) == [p for _, _, p in PLACES]
 
 
 def test_column_extractors(spark):
@@ -174,9 +190,30 @@ def test_licence(spark, text, want):
     assert value(spark, X.licence(F.col("t")), text) == want
 
 
-@pytest.mark.parametrize("text, want", [("Acme Foods ™ x", "Acme Foods"), ("Acme Foods Vitamin C", "Acme Foods"), ("a b cd Foods", ""), ("12 Rd of St", "12 Rd of St"), ("ab", ""), ("Sun Labs Pvt lid.", "Sun Labs Pvt Ltd")])
-def test_noise(text, want):
-    assert L.cut_noise(text).rstrip(".") == want
+NOISY = [("Acme Foods ™ x", "Acme Foods"), ("Acme Foods Vitamin C", "Acme Foods"), ("a b cd Foods", ""), ("12 Rd of St", "12 Rd of St"), ("ab", ""), ("Sun Labs Pvt lid.", "Sun Labs Pvt Ltd")]
+
+
+def test_noise(spark):
+    assert [x.rstrip(".") for x in answers(spark, lambda t, _: L.cut_noise(t), [(t, None) for t, _ in NOISY])] == [w for _, w in NOISY]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A megabyte of claims, items or lines in seconds."""
+    texts = {
+        "claims": ("Supports Immunity. Helps The Heart. Plain words and more of them here. " * 15_000, lambda t, _: F.size(X.generic_claims(t)), 2),
+        "items": ("Sugar, Water (pure, soft), Citric Acid [E330, E331], " * 20_000, lambda t, _: F.size(X.top_level_items(t)), 60_000),
+        "brackets": ("(" * 50_000 + "," + ")" * 50_000 + ",", lambda t, _: F.size(X.top_level_items(t)), 1),
+        "lines": ("Sun Labs Ltd\nLime Flavour\n30 Gummies\nBIG NAME\n" * 20_000, lambda t, _: F.concat_ws("|", L.title(t)["product"], L.flavour(t, ["Plum"]), L.package_size(t), L.address(t, F.lit("sun labs"))), "BIG NAME|Lime|30 Gummies|Lime Flavour, 30 Gummies, BIG NAME, Sun Labs Ltd"),
+    }
+    for name, (text, expression, want) in texts.items():
+        began = time.perf_counter()
+        assert answers(spark, expression, [(text, None)]) == [want], name
+        assert time.perf_counter() - began < 40, name
+
+
+@pytest.mark.parametrize("text, want", [("a (b, c), d", ["a (b, c)", "d"]), ("a), b", ["a)", "b"]), (")),(,", ["))", "(,"]), ("a [b (c, d], e), f.", ["a [b (c, d], e)", "f"]), (" , ,", []), ("x" * 70 + ", y" * 70, ["x" * 70] + ["y"] * 70)])
+def test_items(spark, text, want):
+    assert value(spark, X.top_level_items(F.col("t")), text) == want
 
 
 def test_badges(spark):
@@ -185,8 +222,8 @@ def test_badges(spark):
 
 
 def test_lines_and_tables():
-    rows = [["Title"], ["Nutritional Information"], ["Energy", "10 kcal"], ["Protein (g)", "2 g", "4%"], ["Sodium 7 mg"], ["A", "1 g", "5%", "B", "2 g", "6%"], ["Energy", "99"], ["Storage"], ["Iron", "1"]]
-    assert G.nutrition_rows(rows) == {"Energy": "10 kcal", "Protein (g)": "2 g", "Sodium": "7 mg", "A": "1 g", "B": "2 g"}
+    rows = [["Title"], ["Nutritional Information"], ["Energy", "10 kcal"], ["Protein (g)", "2 g", "4%"], ["Sodium 7 mg"], ["Vitamin B12 2 mcg"], ["Vitamin D3 400 IU"], ["A", "1 g", "5%", "B", "2 g", "6%"], ["Energy", "99"], ["Storage"], ["Iron", "1"]]
+    assert G.nutrition_rows(rows) == {"Energy": "10 kcal", "Protein (g)": "2 g", "Sodium": "7 mg", "Vitamin B12": "2 mcg", "Vitamin D3": "400 IU", "A": "1 g", "B": "2 g"}
     assert len(np.unique(G.components(np.array([[1, 1, 0, 1], [0, 1, 0, 1], [1, 0, 0, 0]], dtype=bool)))) == 4
 
 
