@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
+
 # Connectors and units, which never make two values alike.
 STOP_WORDS = ["free", "with", "and", "the", "for", "of", "a", "an", "to", "in", "on", "g", "mg", "mcg", "kg", "ml", "l", "kcal", "cal", "iu", "oz", "lb"]
 
@@ -36,16 +38,26 @@ def comparable(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(spaced)), r"[.,;:]+$", "")
 
 
+def words_that_count(form: Column) -> Column:
+    """Distinct words of a comparable form without stop words."""
+    return F.array_except(F.split(form, " "), F.array(*map(F.lit, ["", *STOP_WORDS])))
+
+
 def meaningful(c: str | Column) -> Column:
-    """Distinct words of a comparable value without stop words."""
-    words = F.filter(F.split(comparable(c), " "), lambda w: w != "")
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP_WORDS)))
+    """Distinct words of a value's comparable form without stop words."""
+    return words_that_count(comparable(c))
+
+
+def shared_words(x: Column, y: Column) -> Column:
+    """Shared words of two comparable forms over the larger word count; 0 if either side has none."""
+    share = lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.greatest(F.size(s["x"]), F.size(s["y"]))
+    both = F.struct(words_that_count(x).alias("x"), words_that_count(y).alias("y"))
+    return let(both, lambda s: F.when((F.size(s["x"]) == 0) | (F.size(s["y"]) == 0), 0.0).otherwise(share(s)))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Shared words over the larger word count; 0 if either side has none."""
-    x, y = meaningful(a), meaningful(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
+    """Shared words of two values over the larger word count; 0 if either side has none."""
+    return shared_words(comparable(a), comparable(b))
 
 
 def edit_share(a: Column, b: Column) -> Column:

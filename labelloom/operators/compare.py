@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.text import blank, comparable, folded, jaccard, overlap
+from labelloom.functions.text import blank, comparable, folded, jaccard, shared_words
 from labelloom.operators.aggregates import mean_of_points, verdict, weighted_score
 from labelloom.operators.windows import best_row
 
@@ -33,7 +33,7 @@ def _alike(x: Column, y: Column) -> Column:
     only where the lengths leave room for it."""
     longer = F.greatest(F.length(x), F.length(y), F.lit(1))
     close = (F.abs(F.length(x) - F.length(y)) / longer <= EDIT_SHARE) & (F.levenshtein(x, y) / longer <= EDIT_SHARE)
-    return (x != "") & (y != "") & ((overlap(x, y) >= OVERLAP) | close)
+    return (x != "") & (y != "") & ((shared_words(x, y) >= OVERLAP) | close)
 
 
 def five_state(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
@@ -72,18 +72,22 @@ def record_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, fields: list[str]
 def weighted_records(paired: DataFrame, fields: list[str], same_company: bool = False) -> DataFrame:
     """Score and counts of states of every pair of records, each pair within its own row."""
     kept = [f for f in fields if not (same_company and f in OWN_COMPANY_FIELDS)]
-    forms = paired.withColumns({f"__{p}_{f}": comparable(F.col(p)[f]) for f in kept for p in "ab"})
-    states = forms.select("a_id", "b_id", *[five_state(F.col("a")[f], F.col("b")[f], F.col(f"__a_{f}"), F.col(f"__b_{f}")).alias(f) for f in kept])
-    counted = {f: F.when(F.col(f) != "NOT_COMPARED", WEIGHTS[f]).otherwise(0) for f in kept}
-    total, points = sum(counted.values(), F.lit(0)), sum((credit(F.col(f)) * counted[f] for f in kept), F.lit(0.0))
+    sides = F.array(*[F.struct(F.lit(WEIGHTS[f]).alias("w"), F.col("a")[f].alias("a"), F.col("b")[f].alias("b")) for f in kept])
+    forms = F.transform(sides, lambda f: F.struct(f["w"].alias("w"), f["a"].alias("a"), f["b"].alias("b"), comparable(f["a"]).alias("x"), comparable(f["b"]).alias("y")))
+    states = F.transform(forms, lambda f: F.struct(f["w"].alias("w"), five_state(f["a"], f["b"], f["x"], f["y"]).alias("s")))
+    judged = paired.select("a_id", "b_id", states.alias("__s"))
+    compared = F.filter("__s", lambda f: f["s"] != "NOT_COMPARED")
+    total = F.aggregate(compared, F.lit(0), lambda t, f: t + f["w"])
+    points = F.aggregate(compared, F.lit(0.0), lambda t, f: t + credit(f["s"]) * f["w"])
     score = F.coalesce(F.round(points / F.nullif(total, F.lit(0)) * 100), F.lit(0.0)).cast("int")
-    tally = lambda s: sum(((F.col(f) == s).cast("long") for f in kept), F.lit(0).cast("long"))
-    return states.select("a_id", "b_id", score.alias("score"), *[tally(s).alias(s.lower()) for s in ("MATCH", "SIMILAR", "CONFLICT", "MISSING", "NOT_COMPARED")])
+    tally = lambda s: F.size(F.filter("__s", lambda f: f["s"] == s)).cast("long")
+    return judged.select("a_id", "b_id", score.alias("score"), *[tally(s).alias(s.lower()) for s in ("MATCH", "SIMILAR", "CONFLICT", "MISSING", "NOT_COMPARED")])
 
 
 def parameter_records(paired: DataFrame, fields: list[str]) -> DataFrame:
     """Overall similarity, verdict and coverage of every pair of records, each pair within its own row."""
-    results = F.array(*[parameter_state(F.col("a")[f], F.col("b")[f]) for f in fields])
+    sides = F.array(*[F.struct(F.col("a")[f].alias("a"), F.col("b")[f].alias("b")) for f in fields])
+    results = F.transform(sides, lambda f: parameter_state(f["a"], f["b"]))
     judged = paired.select("a_id", "b_id", results.alias("results"))
     covered = F.size(F.filter("results", lambda r: r != "MISSING")).cast("long")
     return parameter_summary(judged.withColumns({"comparable": covered, "total": F.lit(len(fields)).cast("long")}), "results")

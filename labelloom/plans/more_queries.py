@@ -22,6 +22,7 @@ from labelloom.operators.shared import cut, shared_folder
 from labelloom.plans import records_queries as R
 from labelloom.plans.sets_queries import _BOX, _SCORES, boxes, pixels, scores
 from labelloom.plans.text_queries import spans, titled
+from labelloom.sources import ledger
 from labelloom.sources.domain import artworks, history, labels, table, with_sql
 from labelloom.sources.files import write_training
 
@@ -69,7 +70,14 @@ def s_21(spark, sf):
 
 @query("s_26", f"WITH {_SCORES} SELECT field, count(*) AS cells, count(predicted) AS filled FROM scores GROUP BY 1")
 def s_26(spark, sf):
-    return scores(spark, sf).groupBy("field").agg(F.count("*").alias("cells"), F.count("predicted").alias("filled"))
+    """A run's table appended to the results as Markdown; the same run again adds nothing. Read back from its lines."""
+    found = scores(spark, sf).groupBy("field").agg(F.count("*").alias("cells"), F.count("predicted").alias("filled"))
+    log = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    for _ in range(2):
+        ledger.append_results(log, found, "run-1", "Filled cells", ["field"])
+    cell = F.split(F.regexp_replace("line", r"^\| | \|$", ""), r" \| ")
+    lines = ledger.results(spark, log).where("place > 0").select(cell.alias("c"))
+    return lines.select(F.get("c", F.lit(0)).alias("field"), F.get("c", F.lit(1)).cast("long").alias("cells"), F.get("c", F.lit(2)).cast("long").alias("filled"))
 
 
 @query("s_27", f"SELECT conv_id, turn, CASE WHEN {R.HELD_OUT.format('conv_id', 10)} THEN 'val' ELSE 'train' END AS split FROM conversations")
@@ -549,7 +557,18 @@ def q_11(spark, sf):
 
 @query("l_05", with_sql("history", "SELECT id, resulting_status FROM history UNION ALL SELECT max(id) + 1, 'Rejected' FROM history"))
 def l_05(spark, sf):
-    """The log grows by appending; what is there is never rewritten."""
-    log = history(spark, sf).select("id", "resulting_status")
-    return log.unionByName(log.agg((F.max("id") + 1).alias("id")).withColumn("resulting_status", F.lit("Rejected")))
+    """The log grows by appending; a batch that comes again adds nothing, one that would change an entry is refused."""
+    rows = history(spark, sf).select("id", "resulting_status")
+    log = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    ledger.append(log, rows, "first", ["id"])
+    entry = rows.agg((F.max("id") + 1).alias("id")).withColumn("resulting_status", F.lit("Rejected"))
+    for _ in range(2):
+        ledger.append(log, entry, "second", ["id"])
+    for batch, change in (("second", entry.withColumn("resulting_status", F.lit("Draft"))), ("third", rows.withColumn("resulting_status", F.lit("Draft")))):
+        try:
+            ledger.append(log, change, batch, ["id"])
+        except ledger.Refused:
+            continue
+        raise AssertionError(f"{batch} changed the log")
+    return ledger.read(spark, log)
 
