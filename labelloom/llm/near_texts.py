@@ -5,9 +5,12 @@ closely. Shards keep the trees small: nodes whose ``ROWS`` smallest values agree
 functions share a shard, and a crowded shard is split into trees of TREE_NODES. A pair that a tree finds within the
 radius counts only if its sets, compared in full, are similar enough.
 
-First every node tries its nearest neighbour. What that links is one component, and pairs inside it are settled. Then
-the trees of those shards that still hold different components are walked with the sets at hand: every pair of
-different components is compared, none is left out, and a tree gives one link for each node that it joins to others.
+First every node tries its nearest neighbour, in rounds: in each one only shards that still hold different components
+take part, and only neighbours of another component count. Then every pair of different components that is left is
+compared, none is left out. A shard of TREE_NODES nodes or fewer is one tree, which is walked with the sets at hand and
+gives one link for each node that it joins to others. Nodes of larger shards, such as pages of one template whose own
+parts keep them apart, meet by the rarest shingles of their sets (``_prefix_links``), so that what they have in common
+brings none of them together.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ TREE_NODES = 1024
 TASK_BYTES = 64_000_000
 BITS_AT_ONCE = 1 << 20  # words of 64 bits
 BLOCK = 512
+ROUNDS = 3  # of nearest neighbours
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,9 +84,15 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 pa.array([m[2].view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([m[3].tobytes() for m in made], pa.binary()),
             ]
             row += len(made)
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "fp", "n", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], ["row", "doc_id", "key", "fp", "n", "bands", "shingles", "tk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "row long, doc_id long, key binary, fp binary, n long, bands array<long>, shingles binary")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_key().alias("tk"))
+    return named.mapInArrow(run, "row long, doc_id long, key binary, fp binary, n long, bands array<long>, shingles binary, tk long")
+
+
+def text_key():
+    """A text's hash; with doc_id it names a row and its exact repetitions."""
+    return F.xxhash64(text_or_empty(), F.length(text_or_empty()))
 
 
 def _arrays(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -187,14 +197,50 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.where(F.arrow_udf(share, "double")("left", "right") >= similarity - 1e-12).select("a", "b")
 
 
-def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: the smallest doc_id that links reach.
+def _prefix_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes (node, label) of different labels whose sets have that similarity.
 
-    Two rows are linked if the sets of their lower-cased (A-Z) word shingles, ``words`` long, have a Jaccard similarity
-    of ``similarity`` or more; of fewer words the whole sequence is one shingle, and texts without words are alike.
-    A null text counts as empty; a null doc_id is kept and never becomes a component_id unless the whole component has
-    none; repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    Two sets so alike share a shingle among the rarest of either, by one order of all shingles: of n, the larger set
+    shows its n - t n + 1 rarest, the smaller one its n - 2 t n / (1 + t) + 1 rarest. A shingle that only one label shows
+    joins nothing, and its places in both sets bound what they can still share.
     """
+    t = similarity
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                values = np.frombuffer(batch.column(3)[at].as_buffer(), dtype="<u4").astype(np.int64)
+                named = [pa.array(np.full(len(values), batch.column(c)[at].as_py())) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(values)], ["node", "label", "n", "token"])
+
+    tokens = cut(nodes.join(sets, "node").select("node", "label", "n", "shingles").mapInArrow(spread, "node long, label long, n long, token long"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("c"))
+    rarest = tokens.join(counts, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("all"))
+    shown = lambda share: (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int")
+    first = rarest.withColumn("few", shown(2 * t / (1 + t))).select("node", "label", "n", "few", F.posexplode(F.slice("all", F.lit(1), shown(t))).alias("i", "x"))
+    prefix = cut(first.select("node", "label", "n", "i", (F.col("i") < F.col("few")).alias("short"), F.col("x.token").alias("token")), "prefixes")
+    drop(tokens)
+    per_label = prefix.groupBy("token", "label").agg(F.count("*").alias("k"))
+    mixed = per_label.groupBy("token").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most")
+    live = cut(prefix.join(mixed, "token").select("token", "node", "label", "n", "i", "short", (F.col("label") != F.col("most")).alias("asks")), "shared")
+    drop(prefix)
+
+    def met(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+        x = larger.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "i")])
+        y = smaller.where("short").select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "i")])
+        ordered = F.expr("x_n > y_n OR (x_n = y_n AND x_node > y_node)") & F.expr("x_label <> y_label")
+        left = 1 + F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) - 1
+        enough = (F.col("y_n") >= t * F.col("x_n") - 1e-9) & (left >= t / (1 + t) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+        return x.join(y, "token").where(ordered & enough).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+    pairs = cut(met(live.where("asks"), live).unionByName(met(live.where("NOT asks"), live.where("asks"))).distinct(), "pairs")
+    links = cut(_similar(pairs, sets, similarity), "links")
+    drop(live, pairs)
+    return links
+
+
+def _members(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, tk, root) for every row: root names its component."""
     made = cut(_sketches(docs, words), "sketches")
     nodes = cut(made.groupBy("key").agg(F.min("row").alias("node")), "nodes")
     own = made.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
@@ -202,37 +248,76 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     crowd = cut(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
     met = cut(banded.join(crowd, "band"), "met")
     sets = cut(own.withColumnRenamed("row", "node").join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "shingles"), "sets")
-    keyed = cut(made.select("doc_id", "key"), "keyed")
+    keyed = cut(made.select("doc_id", "key", "tk"), "keyed")
     drop(made, crowd)
     trees = F.ceil(F.col("size") / TREE_NODES)
     tree = lambda number: F.xxhash64("band", number)
     chosen = F.pmod(F.xxhash64("node", F.lit(7)), trees)
 
-    placed = met.join(sets.select("node", "n", "fp"), "node").withColumn("label", F.col("node"))
-    placed = placed.select(tree(chosen).alias("tree"), F.explode(F.array(F.lit(False), F.lit(True))).alias("asks"), "node", "label", "n", "fp")
-    best = _nearest(placed, 2 * met.count(), similarity).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
-    nearest = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "nearest")
-    links = cut(_similar(nearest, sets, similarity), "links")
+    def linked_by_nearest(placed: DataFrame, rows: int) -> DataFrame:
+        """Links that the nearest neighbours among rows (node, band, size, label) give."""
+        printed = placed.join(sets.select("node", "n", "fp"), "node")
+        asked = printed.select(tree(chosen).alias("tree"), F.explode(F.array(F.lit(False), F.lit(True))).alias("asks"), "node", "label", "n", "fp")
+        best = _nearest(asked, 2 * rows, similarity).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
+        nearest = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "nearest")
+        links = cut(_similar(nearest, sets, similarity), "links")
+        drop(nearest)
+        return links
+
+    def undecided(labels: DataFrame) -> DataFrame:
+        """Rows (node, band, size, label, most) of the shards that hold different components; most: the largest there."""
+        named = met.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = named.groupBy("band", "label").agg(F.count("*").alias("k"))
+        mixed = cut(sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("most.label").alias("most")), "mixed")
+        strays = cut(named.join(mixed, "band"), "strays")
+        drop(mixed)
+        return strays
+
+    stars = lambda labels: labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = linked_by_nearest(met.withColumn("label", F.col("node")), met.count())
     labels = components(links)
-    drop(nearest)
-
-    named = met.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = named.groupBy("band", "label").agg(F.count("*").alias("k"))
-    mixed = cut(sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("most.label").alias("most")), "mixed")
-    strays = cut(named.join(mixed, "band"), "strays")
-    rest = strays.join(sets, "node")
+    drop(links)
+    strays = undecided(labels)
+    for _ in range(ROUNDS - 1):
+        links = linked_by_nearest(strays.select("node", "band", "size", "label"), strays.count())
+        if links.isEmpty():
+            break
+        last, labels = labels, components(links.unionByName(stars(labels)))
+        drop(links, last, strays)
+        strays = undecided(labels)
+    drop(met)
+    small = strays.where(F.col("size") <= TREE_NODES).join(sets, "node")
     asks = F.col("label") != F.col("most")
-    size = rest.agg(F.sum((4 * F.col("n") + 8 * PRINT_WORDS) * (1 + F.when(asks, trees).otherwise(0)))).first()[0] or 0
-    held = rest.select(tree(chosen).alias("tree"), F.lit(False).alias("asks"), "node", "label", "n", "fp", "shingles")
-    asking = rest.where(asks).withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)))
-    asking = asking.select(tree(F.col("each")).alias("tree"), F.lit(True).alias("asks"), "node", "label", "n", "fp", "shingles")
-    more = cut(_joined(held.unionByName(asking), size, similarity).distinct(), "links")
-    drop(met, mixed, strays, sets)
-
-    rooted = components(links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(links, more, labels)
+    size = small.agg(F.sum((4 * F.col("n") + 8 * PRINT_WORDS) * (1 + F.when(asks, 1).otherwise(0)))).first()[0] or 0
+    sides = F.explode(F.when(asks, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("asks")
+    inside = cut(_joined(small.select(F.col("band").alias("tree"), sides, "node", "label", "n", "fp", "shingles"), size, similarity).distinct(), "links")
+    crowded = strays.where(F.col("size") > TREE_NODES).select("node", "label").distinct()
+    across = _prefix_links(crowded, sets, similarity)
+    drop(strays, sets)
+
+    rooted = components(inside.unionByName(across).unionByName(stars(labels)))
+    drop(inside, across, labels)
     named = cut(nodes.join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "named")
-    members = cut(keyed.join(named, "key").select("doc_id", "root"), "members")
-    smallest = cut(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    members = cut(keyed.join(named, "key").select("doc_id", "tk", "root"), "members")
     drop(keyed, nodes, rooted, named)
+    return members
+
+
+def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: the smallest doc_id that links reach.
+
+    Two rows are linked if the sets of their lower-cased (A-Z) word shingles, ``words`` long, have a Jaccard similarity
+    of ``similarity`` or more; of fewer words the whole sequence is one shingle, and texts without words are alike.
+    A null text counts as empty; a null doc_id is kept and never becomes a component_id unless the whole component has
+    none; repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    """
+    members = _members(docs, words, similarity)
+    smallest = cut(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return members.join(smallest, "root").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, tk) of one row of each component: its smallest doc_id, a null last, and of rows with that id the one with
+    the smallest ``text_key``. Links and edge cases are those of ``near_texts``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tk")).alias("x")
+    return _members(docs, words, similarity).groupBy("root").agg(first).select("x.doc_id", "x.tk")

@@ -12,8 +12,8 @@ def shingles(text, words=5):
     return frozenset(" ".join(w[i : i + words]) for i in range(len(w) - words + 1)) or frozenset([" ".join(w)] * bool(w))
 
 
-def brute(rows, similarity=0.8):
-    """{position: smallest doc_id reachable} by comparing all pairs."""
+def components(rows, similarity=0.8):
+    """The component of each position, by comparing all pairs."""
     sets = [shingles(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -27,10 +27,21 @@ def brute(rows, similarity=0.8):
             b = sets[j]
             if a == b or (a | b and len(a & b) >= similarity * len(a | b)):
                 up[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def groups(rows):
+    """The doc_ids of each component."""
     ids = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        ids[root(i)].append(d)
-    return [min((d for d in ids[root(i)] if d is not None), default=None) for i in range(len(rows))]
+    for (d, _), root in zip(rows, components(rows)):
+        ids[root].append(d)
+    return ids
+
+
+def brute(rows):
+    """For each position the smallest doc_id that links reach."""
+    ids = groups(rows)
+    return [min((d for d in ids[root] if d is not None), default=None) for root in components(rows)]
 
 
 def matched(spark, rows):
@@ -66,6 +77,23 @@ def test_trees_of_a_crowded_shard(spark, monkeypatch):
     test_edited_copies(spark)
 
 
+def test_pages_of_one_template(spark, monkeypatch):
+    """Pages that share most words but are no copies: what is compared follows their number, not its square."""
+    monkeypatch.setattr(N, "TREE_NODES", 16)
+    real, made = N.cut, {}
+    monkeypatch.setattr(N, "cut", lambda df, name: made.setdefault(name, real(df, name)) if name in ("shared", "pairs", "prefixes") else real(df, name))
+    seen = {}
+    template = " ".join(f"page{i}" for i in range(100))
+    for size in (100, 200, 400):
+        made.clear()
+        rows = [(i, f"{' '.join(f'own{i}x{k}' for k in range(20))} {template}") for i in range(size)]
+        rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+        monkeypatch.setattr(N, "drop", lambda *tables: None)
+        matched(spark, rows)
+        seen[size] = [made[n].count() for n in ("prefixes", "shared", "pairs")]
+    assert seen[400][0] <= 4.3 * seen[100][0] and seen[400][2] <= 20 and seen[100][0] > 1000
+
+
 def test_radius_keeps_pairs_at_the_bound():
     apart = []
     for n in (30, 90, 300, 900):

@@ -8,6 +8,7 @@ import corpus_pipeline as P
 from labelloom.llm import language_id, secrets
 from tests.llm import brute
 from tests.llm.test_near_texts import brute as all_pairs
+from tests.llm.test_near_texts import groups
 
 
 @pytest.fixture(scope="module")
@@ -43,10 +44,20 @@ def test_language(docs, stages):
 
 
 def test_one_of_each_group(stages):
-    before = rows(stages[0])
-    want = {r for r, smallest in zip(before, all_pairs([(r[0], r[1]) for r in before])) if r[0] == smallest}
-    ids = {r[0] for r in want}
-    assert Counter(rows(stages[1])) == Counter({r for r in before if r[0] in ids})
+    """Exactly one row of each component stays, one with its smallest id."""
+    before, kept = rows(stages[0]), rows(stages[1])
+    smallest = all_pairs([(r[0], r[1]) for r in before])
+    assert len(kept) == len(groups([(r[0], r[1]) for r in before]))
+    assert Counter(r[0] for r in kept) == Counter(min((d for d in g if d is not None), default=None) for g in groups([(r[0], r[1]) for r in before]).values())
+    assert {*kept} <= {r for r, least in zip(before, smallest) if r[0] == least}
+
+
+def test_copies_under_null_and_repeated_ids_go(spark):
+    text, other = " ".join(f"t{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60))
+    given = [(5, text), (None, text), (None, other), (None, other), (7, text + " end"), (5, other + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", 1) for i, (d, t) in enumerate(given)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in P.one_of_each_group(spark, docs, "").collect()), key=str)
+    assert kept == [(5, "o0"), (5, "t0"), (None, "")]
 
 
 def test_without_repeats(stages):
