@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.llm import secrets
 from labelloom.llm.common import read, shared_dir
 from labelloom.llm.language_id import identify, trained
-from labelloom.llm.near_texts import near_texts
+from labelloom.llm.near_texts import one_of_each, text_key
 from labelloom.llm.packing import pack
 from labelloom.llm.substring_dedup import remove_repeats
 from labelloom.sources.package import ship
@@ -32,12 +32,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id stays;
-    of rows with that id, each text once."""
-    key = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("dk")
-    kept = near_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    joined = docs.select(key, *COLUMNS).join(kept, "dk", "left_semi")
-    return joined.dropDuplicates().select(*COLUMNS)  # dealt by dk already: texts move once
+    """Of documents that links join (five-word shingles, similarity 0.8 or more), the row with the smallest doc_id stays,
+    a null id last; of rows with that id the one with the smallest text hash; of equal ones one."""
+    keys = [F.coalesce("doc_id", F.lit(2**63 - 1)).alias("dk"), F.col("doc_id").isNull().alias("nameless")]
+    kept = one_of_each(docs).select(*keys, "tk").distinct()  # components of texts that hash alike are one text
+    joined = docs.select(*keys, text_key().alias("tk"), *COLUMNS).join(kept, ["dk", "nameless", "tk"], "left_semi")
+    return joined.dropDuplicates(["dk", "nameless", "tk"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
