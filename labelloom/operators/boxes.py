@@ -21,7 +21,7 @@ def as_spans(words: DataFrame) -> DataFrame:
 
 def merged_runs(spans: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
     """Neighbouring glyph runs whose gap is at most ``share`` of the font size become one span."""
-    order = ["x", "text", "width"]
+    order = ["x", "text", "width", "font_size"]
     behind = previous(dealt(spans, keys, order), keys, order, F.col("x") + F.col("width"), "__q")
     opens = F.when(F.col("__q").isNull() | (F.col("x") - F.col("__q") > share * F.col("font_size")), 1).otherwise(0)
     numbered = running(cut(behind.withColumn("__new", opens), "runs"), keys, order, "__new", F.sum, "__g", inclusive=True)

@@ -21,7 +21,7 @@ from labelloom.operators import windows as W
 from labelloom.operators.shared import cut, shared_folder
 from labelloom.plans import records_queries as R
 from labelloom.plans.sets_queries import _BOX, _SCORES, boxes, pixels, scores
-from labelloom.plans.text_queries import spans, titled
+from labelloom.plans.text_queries import CELL_SQL, DISPLAY_SQL, SPANS, line_sql, spans, titled
 from labelloom.sources import ledger
 from labelloom.sources.domain import artworks, history, labels, table, with_sql
 from labelloom.sources.files import write_training
@@ -52,9 +52,11 @@ def s_05(spark, sf):
     return rows.select("r.image_file", "r.label.brand_name", F.coalesce(F.size("r.label.claims"), F.lit(0)).alias("claims"))
 
 
-@query("s_09", None)
+@query("s_09", f"""WITH {SPANS}, g AS (SELECT page, y AS row_y, x, width, font_size, text, x - lag(x + width) OVER (PARTITION BY page, y ORDER BY x, text, width, font_size) AS gap FROM spans),
+c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 0.3 * font_size THEN 1 ELSE 0 END) OVER (PARTITION BY page, row_y ORDER BY x, text, width, font_size ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT page, row_y, string_agg(text, '' ORDER BY x, text) AS text, min(x) AS x, max(x + width) AS end_ FROM c GROUP BY page, row_y, k""")
 def s_09(spark, sf):
-    return D.merged_runs(spans(spark, sf).withColumn("row_y", F.col("y")), ["page", "row_y"])
+    return D.merged_runs(spans(spark, sf).withColumn("row_y", F.col("y")), ["page", "row_y"]).withColumnRenamed("end", "end_")
 
 
 @query("s_14", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region")
@@ -206,12 +208,12 @@ def a_26(spark, sf):
     return O.with_group_count(table(spark, sf, "documents").select("doc_id", "source"), "source", "n").select("doc_id", "n")
 
 
-@query("w_08", None)
+@query("w_08", f"WITH RECURSIVE {SPANS}, {line_sql('spans')} SELECT page, line, n FROM lined")
 def w_08(spark, sf):
     return G.lines(G.rotated(spans(spark, sf)), ["page", "bucket"]).select("page", "line", "n")
 
 
-@query("w_09", None)
+@query("w_09", CELL_SQL + "SELECT DISTINCT page, row_y, cell FROM c")
 def w_09(spark, sf):
     return G.cells(G.rotated(spans(spark, sf).where("rotation = 0")).select("page", F.col("y").alias("row_y"), "along", "width", "font_size", "text"), ["page", "row_y"]).select("page", "row_y", "cell")
 
@@ -237,7 +239,7 @@ def t_06(spark, sf):
     return B.parameter_records(R.paired(spark, sf), R.FIELDS).select("a_id", "overall").orderBy(F.desc("overall"), "a_id")
 
 
-@query("t_07", None)
+@query("t_07", DISPLAY_SQL)
 def t_07(spark, sf):
     return G.display_lines(G.lines(G.rotated(titled(spark, sf)), ["page", "bucket"]), ["page"], 10)
 

@@ -180,14 +180,37 @@ SPANS = """spans AS (SELECT l_suppkey AS page, (l_partkey * 13 % 500)::DOUBLE AS
  CASE WHEN l_suppkey % 2 = 0 THEN 0.0 ELSE 1.5707963 END::DOUBLE AS rotation, 'w' || l_partkey AS text FROM lineitem)"""
 
 
+#: The same spans, some of them in display type.
+TITLED = "titled AS (SELECT page, x, y, width, CASE WHEN ends_with(text, '77') THEN font_size * 5 ELSE font_size END AS font_size, rotation, text FROM spans)"
+
+
+def line_sql(source: str) -> str:
+    """Lines of the spans of ``source``, one position after the other (the common tables that follow WITH RECURSIVE)."""
+    return f"""placed AS (SELECT page, round(rotation / 0.01)::BIGINT AS bucket, x * cos(rotation) + y * sin(rotation) AS along, -x * sin(rotation) + y * cos(rotation) AS c, font_size AS s, text FROM {source}),
+marks AS (SELECT *, row_number() OVER (PARTITION BY page, bucket ORDER BY c DESC, s DESC) AS n FROM (SELECT DISTINCT page, bucket, c, s FROM placed)),
+walk AS (SELECT page, bucket, n, c, s, c AS first, s AS largest, 0::BIGINT AS line FROM marks WHERE n = 1 UNION ALL
+ SELECT page, bucket, n, c, s, CASE WHEN new THEN c ELSE first END, CASE WHEN new THEN s ELSE greatest(largest, s) END, line + new::BIGINT FROM (
+  SELECT m.*, w.first, w.largest, w.line, m.c + m.s * 0.5 < w.first OR m.c + w.largest * 0.5 < w.first AS new FROM walk w JOIN marks m ON m.page = w.page AND m.bucket = w.bucket AND m.n = w.n + 1)),
+lined AS (SELECT page, bucket, line, string_agg(text, ' ' ORDER BY along, text) AS text, max(c) AS cross_, max(s) AS font_size, count(*) AS n FROM placed JOIN walk USING (page, bucket, c, s) GROUP BY ALL)"""
+
+
+CELL_SQL = f"""WITH {SPANS}, s AS (SELECT page, y AS row_y, x AS along, width, font_size, text FROM spans WHERE rotation = 0),
+g AS (SELECT *, along - lag(along + width) OVER (PARTITION BY page, row_y ORDER BY along, text, width) AS gap, max(font_size) OVER (PARTITION BY page, row_y) AS f FROM s),
+c AS (SELECT *, (sum(CASE WHEN gap IS NULL OR gap > 1.5 * f THEN 1 ELSE 0 END) OVER (PARTITION BY page, row_y ORDER BY along, text, width ROWS UNBOUNDED PRECEDING))::BIGINT AS cell FROM g)"""
+DISPLAY_SQL = f"""WITH RECURSIVE {SPANS}, {TITLED}, {line_sql('titled')}, m AS (SELECT page, median(font_size) AS m FROM lined GROUP BY 1),
+once AS (SELECT page, text, max(row(font_size, cross_)) AS b FROM lined JOIN m USING (page) WHERE font_size >= 2.5 * m AND regexp_matches(text, '\\p{{L}}') GROUP BY ALL),
+ranked AS (SELECT page, text, b, row_number() OVER (PARTITION BY page ORDER BY b DESC, text) AS rank FROM once)
+SELECT page, text, struct_extract(b, 1) AS font_size, rank::INTEGER AS rank FROM ranked WHERE rank <= 10"""
+
+
 @query("e_01", f"WITH {SPANS} SELECT text, page, round(x * cos(rotation) + y * sin(rotation), 4) AS along, round(-x * sin(rotation) + y * cos(rotation), 4) AS cross_, round(rotation / 0.01)::BIGINT AS bucket FROM spans")
 def e_01(spark, sf):
     return G.rotated(spans(spark, sf)).select("text", "page", F.round("along", 4).alias("along"), F.round("cross", 4).alias("cross_"), "bucket")
 
 
-@query("e_02", None)
+@query("e_02", f"WITH RECURSIVE {SPANS}, {line_sql('spans')} SELECT page, bucket, line, text, round(cross_, 4) AS cross_, font_size, n FROM lined")
 def e_02(spark, sf):
-    return G.lines(G.rotated(spans(spark, sf)), ["page", "bucket"])
+    return G.lines(G.rotated(spans(spark, sf)), ["page", "bucket"]).withColumn("cross_", F.round("cross", 4)).drop("cross")
 
 
 @query("e_03", f"""
@@ -200,17 +223,18 @@ def e_03(spark, sf):
     return G.panels(upright, ["page"]).groupBy("page", "band").agg(F.count("*").alias("n"))
 
 
-@query("e_04", None)
+@query("e_04", f"""WITH RECURSIVE {SPANS}, {line_sql('spans')}, panels AS (SELECT page, bucket, string_agg(text, chr(10) ORDER BY line) AS t FROM lined GROUP BY ALL)
+SELECT page, string_agg(t, chr(10) || chr(10) ORDER BY bucket) AS text FROM panels GROUP BY 1""")
 def e_04(spark, sf):
     return G.reading_text(G.lines(G.rotated(spans(spark, sf)), ["page", "bucket"]), "page", "bucket")
 
 
-@query("e_05", None)
+@query("e_05", CELL_SQL + "SELECT page, row_y, cell, string_agg(text, ' ' ORDER BY along, text) AS text FROM c GROUP BY ALL")
 def e_05(spark, sf):
     return G.cells(G.rotated(spans(spark, sf).where("rotation = 0")).select("page", F.col("y").alias("row_y"), "along", "width", "font_size", "text"), ["page", "row_y"])
 
 
-@query("e_06", None)
+@query("e_06", DISPLAY_SQL)
 def e_06(spark, sf):
     return G.display_lines(G.lines(G.rotated(titled(spark, sf)), ["page", "bucket"]), ["page"])
 
@@ -247,7 +271,10 @@ def e_14(spark, sf):
     return G.without_overlaps(rows, "page")
 
 
-@query("w_10", None)
+@query("w_10", f"""WITH RECURSIVE {SPANS}, marks AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y) AS n FROM (SELECT DISTINCT page, y FROM spans)),
+walk AS (SELECT page, n, y, y AS first, 0::BIGINT AS line FROM marks WHERE n = 1 UNION ALL
+ SELECT m.page, m.n, m.y, CASE WHEN m.y - w.first > 6 THEN m.y ELSE w.first END, w.line + (m.y - w.first > 6)::BIGINT FROM walk w JOIN marks m ON m.page = w.page AND m.n = w.n + 1)
+SELECT page, x AS x0, y AS y0, text, line AS row FROM spans JOIN walk USING (page, y)""")
 def w_10(spark, sf):
     words = spans(spark, sf).select("page", F.col("x").alias("x0"), F.col("y").alias("y0"), "text")
     return G.clustered_rows(words, ["page"], 6.0)
