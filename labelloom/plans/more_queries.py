@@ -405,7 +405,14 @@ def e_10(spark, sf):
     return D.coverage(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "page")
 
 
-@query("e_12", None)
+_WORD = "CASE WHEN id % 5 = 0 THEN 'gummies' WHEN id % 5 = 1 THEN 'v' || (id % 4) ELSE (id % 90)::VARCHAR END"
+
+
+@query("e_12", f"""
+WITH box AS ({_BOX}), w AS (SELECT page, id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, (y0 + 45)::DOUBLE AS y1, {_WORD} AS text, (id % 100)::DOUBLE / 100 AS confidence FROM box),
+hidden AS (SELECT a.page, a.id, sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS area FROM w a JOIN w b ON a.page = b.page AND a.id % 2 = 0 AND b.id % 2 = 1
+ AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY ALL)
+SELECT w.* FROM w LEFT JOIN hidden USING (page, id) WHERE id % 2 = 0 AND confidence >= 0.6 AND coalesce(area, 0) / ((x1 - x0) * 45) <= 0.3 QUALIFY row_number() OVER (PARTITION BY page, text ORDER BY y0, x0, id DESC) = 1""")
 def e_12(spark, sf):
     rows = words(spark, sf).withColumns({"y1": F.col("y0") + 45, "confidence": F.col("confidence") / 100})
     return D.outlined_lines(rows, D.coverage(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "page"), ["page"])
@@ -417,7 +424,9 @@ def e_15(spark, sf):
     return boxes(spark, sf).select("page", "id", b.alias("b")).select("page", "id", "b.x0", "b.y0")
 
 
-@query("e_16", None)
+@query("e_16", f"""
+WITH box AS ({_BOX}), w AS (SELECT page, id, CASE WHEN id % 11 = 0 THEN 30 ELSE 12 END AS h FROM box), m AS (SELECT page, median(h) AS m FROM w GROUP BY 1)
+SELECT DISTINCT page, 'gummies' AS text FROM w JOIN m USING (page) WHERE id % 5 = 0 AND id % 100 >= 60 AND h >= 1.6 * m""")
 def e_16(spark, sf):
     taller = words(spark, sf).withColumn("y1", F.when(F.col("id") % 11 == 0, F.col("y0") + 30).otherwise(F.col("y1")))
     return G.prominent_word(taller, ["page"], "gummies|capsules")
@@ -431,7 +440,9 @@ def e_17(spark, sf):
     return D.nearest_number(words(spark, sf), ["page"], "gummies")
 
 
-@query("e_18", None)
+@query("e_18", f"""
+WITH box AS ({_BOX}), b AS (SELECT page, arg_min(x0, (y0, id)) AS bx, min(y0) + 12 AS low FROM box GROUP BY 1)
+SELECT page, arg_min({_WORD}, (y0 - low, x0, {_WORD})) AS text FROM box JOIN b USING (page) WHERE y0 - low BETWEEN 0 AND 180 AND abs(x0 - bx) <= 120 GROUP BY 1""")
 def e_18(spark, sf):
     rows = words(spark, sf)
     brand = W.best_row(rows.select("page", "x0", "y0", "y1", "id"), ["page"], F.struct(-F.col("y0"), -F.col("id")))

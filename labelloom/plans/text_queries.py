@@ -280,7 +280,7 @@ def w_10(spark, sf):
     return G.clustered_rows(words, ["page"], 6.0)
 
 
-@query("e_07", None)
+@query("e_07", "SELECT l_orderkey AS id, CASE WHEN l_linenumber = 2 THEN 'Vitamin B12' ELSE 'Vitamin ' || l_linenumber END AS nutrient, min(l_quantity)::INTEGER || ' mg' AS amount FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def e_07(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("line")).agg(F.concat(F.min("l_quantity").cast("int").cast("string"), F.lit(" mg")).alias("amount"))
     name = F.concat(F.lit("Vitamin "), F.col("line").cast("string"))
@@ -288,7 +288,7 @@ def e_07(spark, sf):
     one = F.array(F.struct(F.lit(0).alias("cell"), F.concat_ws(" ", F.lit("Vitamin B12"), "amount").alias("text")))  # a name that ends in a digit
     body = rows.select("id", "line", F.explode(F.when(F.col("line") == 2, one).otherwise(two)).alias("c")).select("id", "line", "c.*")
     head = rows.select("id").distinct().select("id", F.lit(-1).cast("long").alias("line"), F.lit(0).alias("cell"), F.lit("Nutritional Information").alias("text"))
-    return G.nutrition_tables(head.unionByName(body), "id").select("id", F.array_sort(F.map_entries("nutrition")).alias("nutrition"))
+    return G.nutrition_tables(head.unionByName(body), "id").select("id", F.explode("nutrition").alias("nutrient", "amount"))
 
 
 @query("e_30", "SELECT vec_id, (" + " + ".join(f"(embedding[{i // 7 * 8 + i % 7 + 1}] > embedding[{i // 7 * 8 + i % 7 + 2}])::BIGINT * {1 << (55 - i)}" for i in range(56)) + ") AS h FROM embeddings")
