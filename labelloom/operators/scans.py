@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.shared import cut, drop, joined, ranked
 
-BLOCK_MARKS = 256  # marks that are folded within one row; longer blocks are settled by pointers
+BLOCK_MARKS = 2048  # marks that are folded within one row; longer blocks are settled by pointers
 
 
 def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
