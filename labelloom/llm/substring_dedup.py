@@ -1,8 +1,9 @@
 """Exact substring deduplication by level-wise doubling of repeated word windows.
 
-Level 1 looks at windows of half the length. Of each run of neighbouring ones only the smallest hash is kept, which
-every full window has and which depends on that window's words alone; a hash met once is dropped. Level 2 extends the
-windows whose half is repeated to the full length. What repeats there is removed unless it is its first occurrence.
+Levels are windows of a quarter, half and the whole of the length: 5, 10 and 20 words. Below the full length a window
+is looked at by the smallest hash of the shorter windows inside it, which depends on that window's words alone, so equal
+windows have equal ones and neighbours share theirs. What is met once at a level is dropped, and what is met again is
+extended to the next level alone. What repeats at the full length is removed unless it is its first occurrence.
 
 A word's hash is its XXH3 of 128 bits. The two halves of it go into two polynomials, so windows of the full length are
 equal by 128 bits that depend on every bit of their words.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import cut, drop, text_or_empty
@@ -104,14 +105,14 @@ class Windows:
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(word * power[:n], dtype=np.uint64)])
         return _mix((total[length:] - total[:-length]) * inverse[: n - length + 1]) if n >= length else np.empty(0, dtype=np.uint64)
 
-    def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, anchor, its place) of every full window within a text: the smallest hash of the half windows
-        inside it and the word where the first such half window starts."""
-        half, n = window // 2, len(self.text) - window + 1
+    def anchors(self, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, anchor, its place) of every full window within a text: the smallest hash of the windows of
+        ``length`` words inside it and the word where the first such one starts."""
+        n = len(self.text) - window + 1
         if n <= 0:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        low = self.hashes(half, 0)
-        place, span, whole = np.arange(len(low)), 1, window - half + 1
+        low = self.hashes(length, 0)
+        place, span, whole = np.arange(len(low)), 1, window - length + 1
         while span < whole:
             step = min(span, whole - span)
             left = low[:-step] <= low[step:]
@@ -139,37 +140,87 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), F.xxhash64(text, F.length(text)).alias("tk"), text.alias("text"))
 
 
+def levels(window: int) -> list[int]:
+    """Lengths of the levels below the full window, shortest first."""
+    return [n for n in (window // 4, window // 2) if n > 1] or [1]
+
+
+def _lists(values: np.ndarray, text: np.ndarray, n: int) -> pa.ListArray:
+    """One list for each of n texts from values in the order of their texts."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    """The number of the list that each value of the flattened lists is in."""
+    return np.repeat(np.arange(len(lists), dtype=np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _flagged(values: np.ndarray, text: np.ndarray, flags: pa.ListArray) -> np.ndarray:
+    """Whether each value is among the flags of its text."""
+    salt, held = np.uint64(_BASES[1]), flags.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.isin(_mix(values ^ (text.astype(np.uint64) * salt)), _mix(held ^ (_owners(flags) * salt)))
+
+
 def _scan(keyed: DataFrame, window: int) -> DataFrame:
-    """Level 1 of each row: its words, their digest and the anchors of its windows."""
+    """Each row's words, their digest and, for every level, the anchors of its windows.
+
+    The lists of levels run side by side over the windows, with one entry where any of them changes. The lowest bit of
+    an anchor says whether it stands at another place than the entry before.
+    """
+    lengths = levels(window)
+    names = [f"level{i}" for i in range(len(lengths))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches, 3):
             windows = Windows(texts)
-            start, anchor, place = windows.anchors(window)
-            text = windows.text[start]
-            new = np.ones(len(start), dtype=bool)
-            new[1:] = place[1:] != place[:-1]
-            offsets = np.searchsorted(text[new], np.arange(len(texts) + 1))
-            anchors = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(anchor[new].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows.counts, type=pa.int64()), pa.array(windows.digests, type=pa.string()), anchors], ["doc_id", "dk", "tk", "n_words", "digest", "anchors"])
+            found = [windows.anchors(window, n) for n in lengths]
+            text = windows.text[found[0][0]]
+            moved = []
+            for _, _, place in found:
+                new = np.ones(len(place), dtype=bool)
+                new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+                moved.append(new)
+            entry = np.any(moved, axis=0)
+            marked = [(anchor | np.uint64(1)) - (~new).astype(np.uint64) for (_, anchor, _), new in zip(found, moved, strict=True)]
+            lists = [_lists(x[entry].view(np.int64), text[entry], len(texts)) for x in marked]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows.counts, type=pa.int64()), pa.array(windows.digests, type=pa.string()), *lists], ["doc_id", "dk", "tk", "n_words", "digest", *names])
+
+    lists = ", ".join(f"{n} array<long>" for n in names)
+    return keyed.mapInArrow(run, f"doc_id long, dk long, tk long, n_words long, digest string, {lists}")
+
 
-    return keyed.mapInArrow(run, "doc_id long, dk long, tk long, n_words long, digest string, anchors array<long>")
+def _places(level: str) -> Column:
+    """The anchors of a level, once for each place, all with the lowest bit set."""
+    return F.filter(level, lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
+def _longer(flagged: DataFrame) -> DataFrame:
+    """(dk, tk, anchors) of rows (dk, tk, flags, shorter, longer): the longer anchors, once for each place, of windows
+    whose shorter anchor is among the flags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.uint64(1)
+        for batch in batches:
+            shorter, longer = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for i in (3, 4))
+            text = _owners(batch.column(3))
+            place = np.cumsum(longer & one)
+            kept = np.flatnonzero(_flagged(shorter | one, text, batch.column(2)))
+            kept = kept[np.diff(place[kept], prepend=np.uint64(0)) != 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists((longer[kept] | one).view(np.int64), text[kept], batch.num_rows)], ["dk", "tk", "anchors"])
+
+    return flagged.mapInArrow(run, "dk long, tk long, anchors array<long>")
 
 
 def _extend(repeated: DataFrame, window: int) -> DataFrame:
-    """Level 2: for rows (dk, tk, text, flags) the full windows whose anchor is among the flags, as parallel arrays.
+    """For rows (dk, tk, text, flags) the full windows whose longest anchor is among the flags, as parallel arrays.
     Of equal windows of one text the first stands for all; ``inner`` has the starts of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches, 2):
             windows = Windows(texts)
-            start, anchor, _ = windows.anchors(window)
+            start, anchor, _ = windows.anchors(window, levels(window)[-1])
             text = windows.text[start]
-            flags = batch.column(3)
-            of = np.repeat(np.arange(len(texts), dtype=np.uint64), flags.value_lengths().to_numpy(zero_copy_only=False))
-            flagged = flags.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            salt = np.uint64(_BASES[1])
-            held = np.isin(_mix(anchor ^ (text.astype(np.uint64) * salt)), _mix(flagged ^ (of * salt)))
+            held = _flagged(anchor | np.uint64(1), text, batch.column(3))
             start, text = start[held], text[held]
             h1, h2 = (windows.hashes(window, half)[start].view(np.int64) if len(start) else np.empty(0, dtype=np.int64) for half in (0, 1))
             order = np.lexsort((start, h2, h1, text))
@@ -177,12 +228,8 @@ def _extend(repeated: DataFrame, window: int) -> DataFrame:
             same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0) & (np.diff(text[order]) == 0)
             later[order[1:][same]] = True
             place = (start - windows.starts[text]).astype(np.int32)
-
-            def lists(values: np.ndarray, which: np.ndarray, text=text, n=len(texts)) -> pa.ListArray:
-                offsets = np.searchsorted(text[which], np.arange(n + 1))
-                return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[which]))
-
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(h1, ~later), lists(h2, ~later), lists(place, ~later), lists(place, later)], ["dk", "tk", "text", "h1", "h2", "starts", "inner"])
+            lists = [_lists(values[which], text[which], len(texts)) for values, which in ((h1, ~later), (h2, ~later), (place, ~later), (place, later))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["dk", "tk", "text", "h1", "h2", "starts", "inner"])
 
     return repeated.mapInArrow(run, "dk long, tk long, text string, h1 array<long>, h2 array<long>, starts array<int>, inner array<int>")
 
@@ -210,26 +257,42 @@ def _removed(flagged: DataFrame, window: int) -> DataFrame:
     return flagged.mapInArrow(run, "dk long, tk long, n_removed long, digest string, kept string")
 
 
+def _repeated(places: DataFrame, name: str) -> DataFrame:
+    """(h) of the anchors that stand at two places or more, as a table, so that a join can split a hot one."""
+    return cut(places.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), name)
+
+
+def _among(places: DataFrame, repeated: DataFrame, *key: str) -> DataFrame:
+    """(key, flags): the different repeated anchors of each key."""
+    return places.select(*key, F.explode(F.array_distinct("anchors")).alias("h")).join(repeated, "h").groupBy(*key).agg(F.collect_set("h").alias("flags"))
+
+
 def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(per row: doc_id, dk, tk, n_words, digest, copy; per changed text: dk, tk, n_removed, digest, kept).
 
     ``copy`` marks a row whose words are all those of an earlier document: it loses everything if it has a window.
     """
     keyed = _keyed(docs)
-    scanned = cut(_scan(keyed, window), "level1")
+    scanned = cut(_scan(keyed, window).withColumn("row", F.monotonically_increasing_id()), "scanned")
     rows = scanned.select("doc_id", "dk", "tk", "n_words", "digest")
     earliest = rows.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("dk").alias("first"), F.count("*").alias("n"))
     earliest = cut(earliest.where("n > 1").drop("n"), "copies")  # a table of its own, so that a join can split a hot digest
     rows = cut(rows.join(earliest, "digest", "left").withColumn("copy", F.col("first").isNotNull() & (F.col("dk") > F.col("first"))).drop("first"), "rows")
     originals = rows.where(~F.col("copy") & (F.col("n_words") >= window)).select("dk", "tk").distinct()
 
-    halves = scanned.select("dk", "tk", F.explode(F.array_distinct("anchors")).alias("h"))
-    repeated = cut(scanned.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    flags = halves.join(repeated, "h").groupBy("dk", "tk").agg(F.collect_set("h").alias("flags"))
-    flags = cut(flags.join(originals, ["dk", "tk"]), "flags")
+    last = len(levels(window)) - 1
+    level, read = scanned.select("dk", "tk", _places("level0").alias("anchors")), [scanned, earliest]
+    if last:
+        places = scanned.select("row", _places("level0").alias("anchors"))
+        repeated = _repeated(places, "repeated0")
+        flags = cut(_among(places, repeated, "row"), "flags0")
+        level = cut(_longer(scanned.join(flags, "row").select("dk", "tk", "flags", "level0", "level1")), "level1")
+        read += [repeated, flags, level]
+    repeated = _repeated(level, f"repeated{last}")
+    flags = cut(_among(level, repeated, "dk", "tk").join(originals, ["dk", "tk"]), f"flags{last}")
     texts = keyed.select("dk", "tk", "text")
-    full = cut(_extend(flags.join(texts, ["dk", "tk"]).select("dk", "tk", "text", "flags"), window), "level2")
-    drop(scanned, earliest, repeated, flags)
+    full = cut(_extend(flags.join(texts, ["dk", "tk"]).select("dk", "tk", "text", "flags"), window), "full")
+    drop(*read, repeated, flags)
 
     each = full.select("dk", "tk", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("dk", "tk", "w.h1", "w.h2", "w.starts")
     first = each.groupBy("h1", "h2").agg(F.min("dk").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")

@@ -53,3 +53,27 @@ def test_texts_read_in_slices(spark, docs, monkeypatch):
         assert sum(S._words(text), []) == text.split()
         windows = S.Windows([b"", text, b" "])
         assert windows.counts.tolist() == [0, 151, 0] and windows.digests[1] == S.hashlib.sha256(b" ".join(text.split())).hexdigest()
+
+
+def test_every_level_keeps_repeats_at_two_places_of_one_text(spark):
+    """Texts of few words, where anchors repeat at once, and passages whose copies lie apart in one text."""
+    import random
+
+    rng = random.Random(8)
+    pairs = [(i, " ".join(rng.choice("ab" if i % 2 else "abcdefgh") for _ in range(rng.randint(0, 150)))) for i in range(40)]
+    passage, filler = " ".join(f"p{i}" for i in range(20)), [" ".join(f"f{n}-{i}" for i in range(30)) for n in range(3)]
+    pairs += [(100, f"{filler[0]} {passage} {filler[1]} {passage} {filler[2]}"), (101, f"{passage[:-1]}x {filler[0][:40]}"), (102, "same " * 300)]
+    removed = compared(spark, pairs)
+    assert removed[100] == 20 and removed[101] == 0 and removed[102] == 299
+
+
+def test_a_level_extends_only_what_repeats(spark):
+    """Two texts share ten words and no more: they meet at the first two levels and are not extended to the full one."""
+    import labelloom.llm.substring_dedup as S
+
+    assert S.levels(20) == [5, 10] and S.levels(5) == [2] and S.levels(2) == [1]
+    shared = " ".join(f"s{i}" for i in range(10))
+    rows = [(i, " ".join(f"a{i}-{j}" for j in range(30)) + f" {shared} " + " ".join(f"b{i}-{j}" for j in range(30))) for i in range(2)]
+    assert set(compared(spark, rows).values()) == {0}
+    same = [(5, f"{shared} {shared} tail"), (6, f"x {shared} {shared}")]
+    assert compared(spark, rows + same)[6] == 20
