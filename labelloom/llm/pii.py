@@ -19,28 +19,67 @@ from pyspark.sql import functions as F
 from labelloom.llm.common import cut, text_or_empty
 from labelloom.llm.spans import SPAN, apart, find_spans, joined, none, of_kind
 
-KINDS = ["email", "ip", "card", "phone", "id"]
+KINDS = ["email", "ip", "card", "phone", "id", "name", "address"]
+
+# What the gazetteer labeler and the patterns of names and addresses look for.
+ENDINGS = """
+    com org net edu gov mil int info biz io app dev me tv co ai name pro mobi
+    ar at au be bg br ca ch cl cn cy cz de dk ee es eu fi fr gr hk hr hu id ie il in is it jp kr li lt lu lv mt mx my nl no
+    nz pe ph pk pl pt ro rs ru se sg si sk th tr tw ua uk us vn za
+""".split()
+CALLING_CODES = """
+    1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91
+    92 93 94 95 98 212 213 216 218 234 254 351 352 353 354 356 357 358 359 370 371 372 380 381 385 386 420 421 852 880 886 966
+    971 972
+""".split()
+ACCOUNT_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TR".split()
+GIVEN_NAMES = """
+    Aaron Adam Alan Albert Alejandro Alexander Alice Amanda Amy Ana Andrea Andrew Angela Anna Anne Anthony Antonio Ashley
+    Barbara Benjamin Betty Brandon Brenda Brian Carlos Carmen Carol Catherine Charles Charlotte Christian Christine
+    Christopher Claire Claudia Daniel David Deborah Dennis Diana Donald Donna Dorothy Edward Elena Elizabeth Emily Emma Eric
+    Eva Fatima Francisco Frank Gabriel Gary George Gloria Grace Gregory Hannah Hans Heather Helen Henry Isabel Jack Jacob
+    James Jane Janet Jason Javier Jean Jeffrey Jennifer Jessica Johan John Jonathan Jorge Jose Joseph Joshua Juan Juergen
+    Julia Julie Karen Katherine Kathleen Kevin Klaus Laura Lars Linda Lisa Louise Lucia Luis Manuel Marco Margaret Maria
+    Marie Mark Martin Mary Matthew Melissa Michael Michelle Miguel Mohammed Nancy Nathan Nicholas Nicole Olivia Pablo Pamela
+    Patricia Patrick Paul Pedro Peter Philip Pierre Priya Rachel Rafael Raymond Rebecca Richard Robert Roger Rosa Ruth Ryan
+    Samuel Sandra Sarah Scott Sofia Sophie Stefan Stephanie Stephen Steven Susan Teresa Thomas Timothy Ursula Victoria
+    Vincent Walter William Wolfgang
+""".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Professor Herr Frau Monsieur Madame Señor Señora".split()
+STREETS = "Street Avenue Road Lane Boulevard Drive Court Square Terrace Place Parkway Highway Crescent Way".split()
+NO_STREETS = "The This That These Those A An In On At And Or Of For".split()  # capital words that begin no street name
+SHORT_STREETS = "St Ave Rd Ln Blvd Dr Ct Sq Pl Pkwy Hwy".split()
 
 # Possessive repeats and look-behinds find the same leftmost matches as the plain patterns, in linear time.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_FRONT = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])"
+_SURNAME = r"\p{Lu}[\p{L}'’]*\p{Ll}(?:-\p{Lu}\p{Ll}+)?"
+_HOUSE = r"[0-9]{1,5}[A-Za-z]?"
 LOOSE = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?i:dot)[\])])\x20?[A-Za-z0-9-]++)++",
     r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     r"(?<![0-9A-Za-z-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z+(-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])",
+    rf"{_FRONT}(?:(?:{'|'.join(TITLES)})\.?\x20(?:\p{{Lu}}[\p{{L}}.]*\x20){{0,2}}|(?:{'|'.join(GIVEN_NAMES)})\x20(?:\p{{Lu}}\.?\x20)?){_SURNAME}(?![\p{{L}}\p{{N}}])",
+    rf"(?<![\p{{L}}\p{{N}}.,-])(?:{_HOUSE}\x20(?!(?:{'|'.join(NO_STREETS)})\x20)(?:\p{{Lu}}[\p{{L}}'’.-]*\x20){{1,4}}?(?:{'|'.join([*STREETS, *SHORT_STREETS])})(?![\p{{L}}\p{{N}}])"
+    rf"|\p{{Lu}}\p{{Ll}}+(?:straße|strasse|gasse|allee|platz|weg)\x20{_HOUSE}(?![\p{{L}}\p{{N}}])"
+    rf"|(?:Calle|Avenida|Plaza|Paseo)(?:\x20\p{{L}}+){{1,4}}?,?\x20{_HOUSE}(?![\p{{L}}\p{{N}}])"
+    rf"|{_HOUSE},?\x20(?:rue|avenue|boulevard|place|quai)(?:\x20(?:de|du|des|la|le|les|\p{{Lu}}[\p{{L}}'’-]*)){{1,5}}(?![\p{{L}}\p{{N}}]))",
 ]
 
-# What the gazetteer and context labelers look for, by kind.
+# What the gazetteer and context labelers look for, by kind.
 GAZETTEER = [
-    r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|nl|eu|ch|at)$",
+    rf"(?i)(?:^|[^a-z])(?:{'|'.join(ENDINGS)})$",
     r"^(?:2001|2[0-9a-f]{3}|fe80|fd|[1-9]|1[0-9]{2}|2[0-1][0-9]|22[0-3])",
     r"^[3-6]",
-    r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])|^\(?[2-9][0-9]{2}",
-    r"^(?:[0-8][0-9]{2}-|AT|BE|CH|DE|ES|FR|GB|IE|IT|LU|NL|PT)",
+    rf"^\+(?:{'|'.join(CALLING_CODES)})|^\(?[2-9][0-9]{{2}}",
+    rf"^(?:[0-8][0-9]{{2}}-|{'|'.join(ACCOUNT_COUNTRIES)})",
+    rf"{_FRONT}(?:{'|'.join(GIVEN_NAMES)})(?=\p{{Lu}})|^(?:{'|'.join(TITLES)})\.?\p{{Lu}}",
+    rf"(?:{'|'.join(STREETS)})$|(?:straße|strasse|gasse|allee|platz|weg)[0-9]+[A-Za-z]?$|^(?:Calle|Avenida|Plaza|Paseo)|^[0-9]+[A-Za-z]?,?(?:rue|avenue|boulevard|place|quai)",
 ]
 CUES = [
     r"(?i)(?:mail|contact|write|reach|courriel|correo|kontakt)\W*(?:\w+\W+){0,2}$",
@@ -48,6 +87,8 @@ CUES = [
     r"(?i)(?:card|visa|master|credit|carte|karte|tarjeta|pay)\W*(?:\w+\W+){0,2}$",
     r"(?i)(?:call|phone|tel|fax|mobile|cell|whatsapp|telefon|teléfono|téléphone)\W*(?:\w+\W+){0,2}$",
     r"(?i)(?:ssn|social security|iban|account|konto|compte|cuenta)\W*(?:\w+\W+){0,2}$",
+    r"(?i)(?:name|dear|signed|regards|patient|client|customer|contact|mail|call|born|meet|heiße|liebe|appelle|llamo)\W*(?:\w+\W+){0,1}$",
+    r"(?i)(?:address|adresse|anschrift|dirección|live|lives|living|reside|resides|wohn|wohnt|ship|deliver|home|at|habite)\W*(?:\w+\W+){0,2}$",
 ]
 AGAINST = r"(?i)(?:order|invoice|version|isbn|part|ref|serial|page|figure|section)\W*(?:\w+\W+){0,1}$"
 
@@ -90,7 +131,8 @@ def base_spans(text: Column) -> Column:
 
 def loose_spans(text: Column) -> Column:
     """Candidates that the strict patterns miss: spelt-out addresses, long-form hosts, cards with a wrong digit,
-    national phone numbers, and identity or account numbers."""
+    national phone numbers, identity or account numbers, names with a title or a listed given name, and street
+    addresses with a house number."""
     return F.concat(*(find_spans(text, pattern, k) for k, pattern in enumerate(LOOSE)))
 
 

@@ -74,6 +74,33 @@ def test_classifier_adds_loose_spans(spark, docs):
     assert {d: got[d] for d in cases} == {d: s for d, (_, s) in cases.items()}
 
 
+PLANTED = {
+    "name": ["Dr. Helena Brandt", "Mary Okafor", "Frau Ilse Kuhn", "James T. Whitfield", "Señora Molina", "Peter O'Donnell", "Maria Lopez-Garcia", "Mr Banerjee"],
+    "address": ["1420 North Maple Avenue", "7 Church Lane", "Lindenstraße 12a", "Calle Mayor 15", "24, rue de la Paix", "88 Harbour View Road"],
+    "id": ["219-09-9999", "DE89 3704 0044 0532 0130 00"],
+    "phone": ["(415) 555-2671", "212-555-0188"],
+    "email": ["jane.doe (at) example (dot) com", "bob [at] mail.example.org"],
+}
+CUED = {"name": "my name is", "address": "we live at", "id": "account", "phone": "call", "email": "write to"}
+CLEAN = ["New York City has Five Boroughs", "the Drive failed 12 Times", "Chapter 4 Great Expectations", "in 1999 The Road was closed", "version 12.4.1 Place it here", "order 100 Apple Pies", "Grace and mercy", "Mark the spot"]
+
+
+def test_recall_on_planted_spans_and_clean_texts(spark, docs):
+    """At least nine in ten planted spans are found at their place, alone or among other text; clean texts stay clean."""
+    planted, n = [], 30_000
+    for kind, values in PLANTED.items():
+        for value in values:
+            for front, behind in ((CUED[kind] + " ", " and that is all."), ("Yesterday it said: ", ", nothing else"), ("", "")):
+                planted.append((n, f"{front}{value}{behind}", f"{kind}:{len(front)}:{len(front) + len(value)}"))
+                n += 1
+    clean = [(40_000 + i, t) for i, t in enumerate(CLEAN)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(d, t) for d, t, _ in planted] + clean, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data(table).collect()}
+    missed = [(t, want, got[d]) for d, t, want in planted if want not in got[d]]
+    assert len(missed) <= len(planted) / 10, missed
+    assert [got[d] for d, _ in clean] == [[""]] * len(clean)
+
+
 def test_em_finds_the_careless_labeler():
     counts = {(0, "++++"): 500, (0, "----"): 500, (0, "+++-"): 200, (0, "---+"): 200, (0, "0000"): 1}
     found = pii.em(counts)
