@@ -21,6 +21,7 @@ from labelloom.llm.common import cut, drop, text_or_empty
 
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 4000  # training rows at most
+MAX_LANGUAGES = 512  # label values that are learned at most, the most frequent ones
 EPOCHS = 3
 BATCH = 64
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.2, 1e-4  # L1 leaves about a fifth of the weights
@@ -203,25 +204,29 @@ def _scanned(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, n long, key binary, lang string, at binary, n_at binary")
 
 
-def fit(train: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS, l1: float = L1) -> Model:
+def fit(train: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS, l1: float = L1, max_languages: int = MAX_LANGUAGES) -> Model:
     """A model from rows (text, lang) with lang not null. An empty table gives a model that answers 'und'.
 
     Document frequencies and class sizes cover all rows. The regression sees at most ``sample_rows`` of them: of each
     language an equal share, the rows whose text hash falls below the share's part of the language, each text once.
     A row of the sample takes 4 bytes for each bucket that it has, so one task trains on 4 * buckets * sample_rows
     bytes at most (128 MB with the defaults, about a tenth in practice), however long the texts are. ``buckets`` may
-    be 65,536 at most. The model's floor lies a third of the way from a toss-up to the lowest score of a calibration
+    be 65,536 at most. The sample holds the ``max_languages`` label values with the most rows, ties by name, so weights
+    take 8 * buckets * max_languages bytes at most (32 MB); rows of rarer values, as a dirty label column has them,
+    count for the document frequencies alone. The model's floor lies a third of the way from a toss-up to the lowest score of a calibration
     row that is answered right.
     """
     spark = train.sparkSession
     rows = train.select(text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(buckets), np.zeros((buckets, 0)), 1.0)
     share = sample_rows / len(languages)
     parts = spark.createDataFrame([(k, min(1.0, 0.9 * share / n) * 2.0**64 - 2.0**63) for k, n in sizes.items()], "lang string, below double")
-    chosen = rows.join(F.broadcast(parts), "lang").select("text", "lang", (F.xxhash64("text").cast("double") < F.col("below")).alias("chosen"))
+    below = F.coalesce(F.xxhash64("text").cast("double") < F.col("below"), F.lit(False))
+    chosen = rows.join(F.broadcast(parts), "lang", "left").select("text", "lang", below.alias("chosen"))
     scanned = cut(_scanned(chosen, buckets), "language")
 
     seen = {r["bucket"]: r["n"] for r in scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}

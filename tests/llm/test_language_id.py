@@ -63,3 +63,14 @@ def test_the_penalty_leaves_few_weights(docs):
     train = docs.where(L.F.col("lang").isNotNull() & ~L.held_out())
     dense, sparse = (np.mean(L.fit(train, l1=l1).weights != 0) for l1 in (0.0, L.L1))
     assert 0 < sparse < dense / 2
+
+
+def test_many_label_values(spark, docs):
+    """The most frequent values are learned, ties by name; the rows of all count for the document frequencies."""
+    train = docs.where(L.F.col("lang").isNotNull() & ~L.held_out())
+    ids = L.F.col("doc_id").cast("string")
+    dirty = train.withColumn("lang", L.F.when(L.F.crc32(ids) % 2 == 0, L.F.concat(L.F.lit("zz"), ids)).otherwise(L.F.col("lang")))
+    usual = sorted(r["lang"] for r in dirty.where("lang NOT LIKE 'zz%'").select("lang").distinct().collect())
+    a, b = L.fit(dirty, max_languages=len(usual)), L.fit(train)
+    assert a.languages == usual and np.array_equal(a.idf, b.idf)
+    assert len(L.fit(dirty, max_languages=len(usual) + 1).languages) == len(usual) + 1
