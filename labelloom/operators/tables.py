@@ -27,8 +27,8 @@ def subset(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 
 def unknown_names(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Listed names that no record has."""
-    return names.select(key).distinct().join(df.select(key).distinct(), key, "left_anti")
+    """Listed names that no record has, as often as they are listed."""
+    return names.select(key).join(df.select(key), key, "left_anti")
 
 
 def with_group_count(df: DataFrame, key: str, name: str) -> DataFrame:
