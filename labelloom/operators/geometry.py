@@ -7,9 +7,11 @@ or cell a span belongs to) is an ordered scan (``scans``); the rest are column e
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,15 +229,16 @@ def nutrition_tables(cells_: DataFrame, key: str) -> DataFrame:
     behind = rows.join(heads, key).where(F.col("line") > F.col("head"))
     order = Window.partitionBy(key).orderBy("line")
     few = behind.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ROWS)
+    tables = few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "cells"))), lambda x: x["cells"]).alias("lines"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = nutrition_rows([["nutrition facts"], *map(list, pdf.sort_values("line")["cells"])])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "nutrition": [[{"k": k, "v": v} for k, v in found.items()]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(nutrition_rows([["nutrition facts"], *lines_]).items()) for lines_ in batch.column("lines").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.map_(pa.string(), pa.string()))], [key, "nutrition"])
 
     kind = cells_.schema[key].dataType.simpleString()
-    pairs = few.select(key, "line", "cells").groupBy(key).applyInPandas(run, f"`{key}` {kind}, nutrition array<struct<k:string,v:string>>")
-    empty = F.array().cast("array<struct<k:string,v:string>>")
-    return heads.select(key).join(pairs, key, "left").select(key, F.map_from_entries(F.coalesce("nutrition", empty)).alias("nutrition"))
+    pairs = tables.mapInArrow(run, f"`{key}` {kind}, nutrition map<string,string>")
+    return heads.select(key).join(pairs, key, "left").select(key, F.coalesce("nutrition", F.create_map().cast("map<string,string>")).alias("nutrition"))
 
 
 def _runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

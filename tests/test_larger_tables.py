@@ -22,3 +22,16 @@ def test_strips_of_equal_intervals(spark):
     rows = [(1, 0.0, 30.0)] * 5 + [(1, 20.0, 50.0), (1, 54.0, 60.0), (1, 64.5, 70.0)]
     got = G.strips(spark.createDataFrame(rows, "page int, s double, e double"), ["page"], "s", "e", 4.0).collect()
     assert sorted(map(tuple, got)) == [(1, 0.0, 60.0), (1, 64.5, 70.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_nutrition_of_many_pages(spark):
+    """e_07: pages go through Python in batches, not as a frame of each page."""
+    rows = [(page, line, cell, text) for page in range(300) for line, cells in enumerate([["Nutrition Facts"], ["Zinc", f"{page} mg"], ["Iron 2 mg"], ["Zinc", "0 mg"]][: page % 5]) for cell, text in enumerate(cells)]
+    got = G.nutrition_tables(spark.createDataFrame(rows, "page long, line long, cell int, text string"), "page")
+    want = {page: dict([("Zinc", f"{page} mg"), ("Iron", "2 mg")][: page % 5 - 1]) for page in range(300) if page % 5}
+    assert {r["page"]: r["nutrition"] for r in got.collect()} == want
+    assert "MapInArrow" in plan(got) and "FlatMapGroups" not in plan(got)
