@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import vocabulary as V
+from labelloom.functions.arrays import let
 from labelloom.operators.joins import box_overlaps
 from labelloom.operators.scans import dealt, line_numbers, medians, previous, running, sessions_by_gap
 from labelloom.operators.shared import connected, cut, drop, joined, ranked
@@ -241,6 +242,19 @@ def nutrition_tables(cells_: DataFrame, key: str) -> DataFrame:
     return heads.select(key).join(pairs, key, "left").select(key, F.coalesce("nutrition", F.create_map().cast("map<string,string>")).alias("nutrition"))
 
 
+def filled_grid(at: Column, size: int) -> Column:
+    """Array of ``size`` numbers of the entries (p, v) that ``at`` lists by rising p from 0 on, 0 elsewhere. Zeros are put
+    in front of each entry and behind the last, so the work grows with the array, not with entries times size."""
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+
+    def of(entries: Column) -> Column:
+        ended = lambda i: F.coalesce(F.get(entries, i)["p"], F.lit(-1))
+        parts = F.transform(entries, lambda x, i: F.concat(zeros(x["p"] - F.when(i > 0, ended(i - 1)).otherwise(-1) - 1), F.array(x["v"])))
+        return F.concat(F.flatten(parts), zeros(size - 1 - ended(F.size(entries) - 1)))
+
+    return let(at, of)
+
+
 def _runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of the runs of a boolean grid's rows, in order."""
     edge = np.diff(np.pad(grid.astype(np.int8), ((0, 0), (1, 1))), axis=1)

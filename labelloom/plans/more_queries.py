@@ -248,9 +248,8 @@ def ink_grids(spark, sf):
     """Pixels of an image as a 64-wide grid of counts."""
     place = (F.col("r") * 31 + F.col("g")) % 2048
     filled = pixels(spark, sf).groupBy("image", place.alias("p")).agg(F.count("*").alias("n"))
-    maps = filled.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("p", (F.col("n") * 12).cast("int")))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
-    return maps.select("image", grid.alias("cells"))
+    listed = filled.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("p", (F.col("n") * 12).cast("int").alias("v")))).alias("at"))
+    return listed.select("image", G.filled_grid(F.col("at"), 2048).alias("cells"))
 
 
 @query("t_09", None)
