@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
 from labelloom.functions.text import score_value
 
 SIMILAR = 0.85
@@ -17,33 +18,48 @@ def _counts(correct: Column, wrong: Column, missing: Column) -> Column:
     return F.struct(correct.cast("long").alias("correct"), wrong.cast("long").alias("wrong"), missing.cast("long").alias("missing"))
 
 
+def _sides(predicted: Column, expected: Column) -> Column:
+    return F.struct(predicted.alias("g"), expected.alias("w"))
+
+
 def tri_state(predicted: Column, expected: Column, contained: bool = False) -> Column:
     """correct, wrong or missing of one value; an invented value is wrong, agreeing on nothing is correct."""
-    got, want = F.nullif(score_value(predicted), F.lit("")), F.nullif(score_value(expected), F.lit(""))
-    match = (F.contains(got, want) | F.contains(want, got)) if contained else got == want
-    correct = F.when(want.isNull(), got.isNull()).otherwise(F.coalesce(match, F.lit(False)))
-    wrong = got.isNotNull() & ~correct
-    return _counts(correct, wrong, want.isNotNull() & got.isNull())
+
+    def of(s: Column) -> Column:
+        got, want = F.nullif(s["g"], F.lit("")), F.nullif(s["w"], F.lit(""))
+        match = (F.contains(got, want) | F.contains(want, got)) if contained else got == want
+        correct = F.when(want.isNull(), got.isNull()).otherwise(F.coalesce(match, F.lit(False)))
+        return _counts(correct, got.isNotNull() & ~correct, want.isNotNull() & got.isNull())
+
+    return let(_sides(score_value(predicted), score_value(expected)), of)
 
 
 def list_score(predicted: Column, expected: Column) -> Column:
     """Items as sets; two empty lists agree."""
     clean = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), score_value), lambda x: x != ""))
-    got, want = clean(predicted), clean(expected)
-    both = F.size(F.array_intersect(got, want)) + ((F.size(got) == 0) & (F.size(want) == 0)).cast("int")
-    return _counts(both, F.size(F.array_except(got, want)), F.size(F.array_except(want, got)))
+
+    def of(s: Column) -> Column:
+        got, want = s["g"], s["w"]
+        both = F.size(F.array_intersect(got, want)) + ((F.size(got) == 0) & (F.size(want) == 0)).cast("int")
+        return _counts(both, F.size(F.array_except(got, want)), F.size(F.array_except(want, got)))
+
+    return let(_sides(clean(predicted), clean(expected)), of)
 
 
 def map_score(predicted: Column, expected: Column) -> Column:
     """Rows of two maps by key: equal, differing or invented, absent; two empty maps agree."""
     empty = F.create_map().cast("map<string,string>")
     tidy = lambda c: F.transform_values(F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce(c, empty)), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value"))))), lambda _, v: score_value(v))
-    got, want = tidy(predicted), tidy(expected)
-    keys, known = F.map_keys(want), F.map_keys(got)
-    equal = F.size(F.filter(keys, lambda k: F.coalesce(got[k] == want[k], F.lit(False))))
-    differing = F.size(F.filter(keys, lambda k: F.array_contains(known, k) & ~F.coalesce(got[k] == want[k], F.lit(False))))
-    invented, absent = F.size(F.array_except(known, keys)), F.size(F.array_except(keys, known))
-    return _counts(equal + ((F.size(keys) == 0) & (F.size(known) == 0)).cast("int"), differing + invented, absent)
+
+    def of(s: Column) -> Column:
+        got, want = s["g"], s["w"]
+        keys, known = F.map_keys(want), F.map_keys(got)
+        both = F.size(F.array_intersect(keys, known))
+        equal = F.size(F.filter(keys, lambda k: F.coalesce(got[k] == want[k], F.lit(False))))
+        none = ((F.size(keys) == 0) & (F.size(known) == 0)).cast("int")
+        return _counts(equal + none, F.size(known) - equal, F.size(keys) - both)
+
+    return let(_sides(tidy(predicted), tidy(expected)), of)
 
 
 def list_detail(predicted: Column, expected: Column) -> Column:
