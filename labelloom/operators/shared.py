@@ -50,6 +50,12 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return met.drop(*[f"__k{i}" for i in range(len(keys))])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to the shuffle's number of tasks, for work on a row that costs far more than to move it: a small
+    file is one task or a few otherwise, however many rows it has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Rank from 1 of each row within its keys by ``order`` (which should be unique there).
 

@@ -16,6 +16,7 @@ from labelloom.operators import extract as X
 from labelloom.operators import geometry as G
 from labelloom.operators import label_text as L
 from labelloom.operators import scoring as S
+from labelloom.operators.shared import spread
 from labelloom.sources.domain import table
 
 Q: dict = {}
@@ -39,7 +40,8 @@ def values(name: str, kind: str, cases: list[tuple], answer: Callable[[DataFrame
 
     def run(spark, sf):
         texts = F.array(*[F.lit(t).cast("string") for t, _ in cases])
-        rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.get(texts, (F.col("p_partkey") % len(cases)).cast("int")).alias("t"))
+        ids = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
+        rows = ids.select("id", F.get(texts, (F.col("id") % len(cases)).cast("int")).alias("t"))
         return answer(rows).select("id", "x")
 
     Q[name] = run
