@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import vocabulary as V
-from labelloom.functions.arrays import let, prefixes
+from labelloom.functions.arrays import let
 from labelloom.operators import extract as X
 from labelloom.operators.extract import CONTACT, MAKING, MARKETING
 
@@ -25,8 +25,11 @@ NEGATED = r"(?is)(?:free\s+of|without|contains\s+no)[^.]{0,250}$"
 BACK = 250  # characters in front of a flavour that may negate it
 
 
-def _stripped(c: Column, marks: str = r"\s") -> Column:
-    return F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "")
+WHITE = " \t\n\x0b\f\r"
+
+
+def _stripped(c: Column, marks: str = WHITE) -> Column:
+    return F.trim(c, F.lit(marks))
 
 
 def text_lines(text: Column) -> Column:
@@ -81,9 +84,14 @@ def _marketed(lines: Column) -> Column:
     return F.coalesce(named, F.when(sold_for.isNotNull(), cut_noise(F.regexp_extract(sold_for, r"(?i)^\s*for\s+(.*)$", 1))), F.lit(""))
 
 
+def _company(lines: Column) -> Column:
+    """As ``marketing_company``; most texts have no line that it looks for."""
+    return F.when(F.exists(lines, lambda x: x.rlike(rf"(?i){MARKETING}|^\s*for\s")), _marketed(lines)).otherwise("")
+
+
 def marketing_company(text: Column) -> Column:
     """The rest of a marketing line; a licence line there means the last company line before it; else the next line."""
-    return let(text_lines(text), _marketed)
+    return let(text_lines(text), _company)
 
 
 def _below(lines: Column, company: Column) -> Column:
@@ -106,21 +114,23 @@ def _below(lines: Column, company: Column) -> Column:
 
 def address(text: Column, company: Column) -> Column:
     """A labelled address, a registered office, or up to four lines after the company, until a line that begins something else."""
+    return let(text_lines(text), lambda lines: _address(lines, company))
+
+
+def _address(lines: Column, company: Column) -> Column:
 
     def told(lines: Column, pattern: str) -> Column:
         return _first(F.transform(lines, lambda x: _stripped(F.regexp_extract(x, pattern, 1), " ,")))
 
-    def of(lines: Column) -> Column:
-        labelled = [told(lines, p) for p in (r"(?i)\baddress\s*:\s*(.+)$", r"(?i)\b(?:registered|regd\.?)\s+office\s*:?\s*(.+)$")]
-        return F.coalesce(*labelled, _below(lines, company), F.lit(""))
-
-    return F.regexp_replace(let(text_lines(text), of), r"([A-Za-z])-\s*(\d{6})\b", "$1 - $2")
+    labelled = [told(lines, p) for p in (r"(?i)\baddress\s*:\s*(.+)$", r"(?i)\b(?:registered|regd\.?)\s+office\s*:?\s*(.+)$")]
+    return F.regexp_replace(F.coalesce(*labelled, _below(lines, company), F.lit("")), r"([A-Za-z])-\s*(\d{6})\b", "$1 - $2")
 
 
-def _counts(text: Column, pattern: str, joined: str) -> Column:
+def _counts(text: Column, pattern: str, joined: str, loose: str) -> Column:
     """All matches of a count with a form word that are neither a serving nor a dose: no serving cue stands in front of
     them on their line or anywhere on the line above, and no dose cue behind them on their line. ``joined``: what a line
-    end between the count and its form word is matched by."""
+    end between the count and its form word is matched by. ``loose``: what every match holds; lines without it are not
+    looked at further."""
     rows = F.split(F.regexp_replace(text, joined, "$1 $2"), r"\r?\n")
 
     def part(lines: Column) -> Column:
@@ -128,11 +138,12 @@ def _counts(text: Column, pattern: str, joined: str) -> Column:
             before = F.regexp_extract(line, rf"(?s)^(.*){DOSE}", 1)  # up to the last dose cue
             behind = F.when(line.rlike(DOSE), F.when(before.rlike(SERVING), "").otherwise(F.regexp_replace(line, rf"(?s)^.*{DOSE}", ""))).otherwise(line)
             above = (i > 0) & F.coalesce(F.get(lines, i - 1), F.lit("")).rlike(SERVING)
-            return F.when(above, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.regexp_extract(behind, rf"(?s)^(.*?)(?:{SERVING}|$)", 1), F.lit(pattern), F.lit(0)))
+            return F.when(~line.rlike(loose) | above, none).otherwise(F.regexp_extract_all(F.regexp_extract(behind, rf"(?s)^(.*?)(?:{SERVING}|$)", 1), F.lit(pattern), F.lit(0)))
 
         return F.flatten(F.transform(lines, of_line))
 
-    return let(rows, part)
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(loose), let(rows, part)).otherwise(none)
 
 
 def package_size(text: Column) -> Column:
@@ -141,20 +152,33 @@ def package_size(text: Column) -> Column:
     A number with its form word comes first, unless the net content and servings times serving size agree on another
     number. A form word with its number behind it counts if the net content does not say otherwise. Net content is last.
     """
-    text = F.coalesce(text, F.lit(""))
+    return let(F.coalesce(text, F.lit("")), _package_size)
+
+
+def _package_size(text: Column) -> Column:
     net = rf"(?i)net\s+(?:content|quantity|qty|wt|weight)s?\.?\s*:?\s*(\d{{1,4}})\s*({FORMS}|n(?:os?)?)\b"
     number = lambda pattern, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-    net_count, net_unit = number(net), number(net, 2)
     servings = number(r"(?i)serving\s+size\W*(\d{1,3})\b").cast("int") * number(r"(?i)(?:no\.?\s+of\s+)?servings?\W*per\s+(?:container|pack)\W*(\d{1,3})\b").cast("int")
     first, second = rf"(?i)(?<![\d.])\d{{1,4}}\s*{FORMS}\b", rf"(?i)\b{FORMS}\s+\d{{1,4}}(?![\d.])"
-    badge = F.get(_counts(text, first, rf"(?i)(?<![\d.])(\d{{1,4}})\s*\n\s*({FORMS})\b"), F.lit(0))
     digits = lambda c: F.regexp_extract(c, r"\d+", 0)
     unit = lambda c: F.regexp_extract(c, "[A-Za-z]+", 0)
-    agreed = F.coalesce((servings == net_count.cast("int")) & (servings != digits(badge).cast("int")), F.lit(False))
-    turned = F.filter(_counts(text, second, rf"(?i)\b({FORMS})\s*\n\s*(\d{{1,4}})(?![\d.])"), lambda m: net_count.isNull() | (digits(m) == net_count))
-    turned = F.get(turned, F.lit(0))
-    found = F.when(badge.isNotNull(), F.concat_ws(" ", F.when(agreed, net_count).otherwise(digits(badge)), unit(badge))).when(turned.isNotNull(), F.concat_ws(" ", digits(turned), unit(turned)))
-    return F.coalesce(found, F.when(net_count.isNotNull(), F.concat_ws(" ", net_count, net_unit)), F.lit(""))
+
+    def of(net_: Column) -> Column:
+        net_count, net_unit = net_["count"], net_["unit"]
+
+        def badged(badge: Column) -> Column:
+            agreed = F.coalesce((servings == net_count.cast("int")) & (servings != digits(badge).cast("int")), F.lit(False))
+            return F.when(badge.isNotNull(), F.concat_ws(" ", F.when(agreed, net_count).otherwise(digits(badge)), unit(badge)))
+
+        def listed(found: Column) -> Column:
+            turned = F.get(F.filter(found, lambda m: net_count.isNull() | (digits(m) == net_count)), F.lit(0))
+            return let(turned, lambda m: F.when(m.isNotNull(), F.concat_ws(" ", digits(m), unit(m))))
+
+        badge = F.get(_counts(text, first, rf"(?i)(?<![\d.])(\d{{1,4}})\s*\n\s*({FORMS})\b", rf"(?i)\d\s*{FORMS}"), F.lit(0))
+        others = _counts(text, second, rf"(?i)\b({FORMS})\s*\n\s*(\d{{1,4}})(?![\d.])", rf"(?i){FORMS}\s+\d")
+        return F.coalesce(let(badge, badged), let(others, listed), F.when(net_count.isNotNull(), F.concat_ws(" ", net_count, net_unit)), F.lit(""))
+
+    return let(F.struct(number(net).alias("count"), number(net, 2).alias("unit")), of)
 
 
 _JOIN = r"(?:\s*,\s*|\s*[&+/]\s*|\s+(?i:and)\s+|-|[^\S\n]+)"
@@ -166,21 +190,21 @@ def _named_flavour(text: Column) -> Column:
     """The name in front of "Flavour" on the shortest line."""
 
     def of(lines: Column) -> Column:
-        def on_line(line: Column, front: Column, i: Column) -> Column:
+        def on_line(line: Column, i: Column) -> Column:
             def one(name: Column, at: Column) -> Column:
-                back = F.concat(front, F.substring(line, F.lit(1), at))
+                back = F.concat(above(i), F.substring(line, F.lit(1), at))
                 before = F.substring(back, F.greatest(F.length(back) - BACK + 1, F.lit(1)), F.lit(BACK))
                 fine = ~before.rlike(NEGATED) & ~before.rlike(r"(?i)free\s+from\s+$") & ~F.lower(name).isin("natural", "artificial", "added", "no")
                 return F.when(fine, F.struct(F.length(line).alias("n"), i.alias("i"), at.alias("at"), name.alias("name")))
 
             return F.when(line.rlike(_NAMED), F.zip_with(F.regexp_extract_all(line, F.lit(_NAMED), F.lit(1)), X.offsets(line, _NAMED), one))
 
-        ended = F.transform(lines, lambda x: F.concat(x, F.lit("\n")))
-        fronts = let(ended, lambda of: prefixes(of, lambda a, b: F.right(F.concat(a, b), F.lit(BACK)), F.lit("")))
-        placed = let(fronts, lambda f: F.transform(lines, lambda x, i: on_line(x, F.get(f, i), i)))
+        # the BACK characters in front of a line lie on the BACK lines above it, each with its line end
+        above = lambda i: F.concat(F.array_join(F.slice(lines, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK))), "\n"), F.when(i > 0, "\n").otherwise(""))
+        placed = F.transform(lines, lambda x, i: on_line(x, i))
         return F.array_min(F.array_compact(F.flatten(F.array_compact(placed))))["name"]
 
-    return F.when(text.rlike(_NAMED), let(F.split(text, "\n"), of))
+    return F.when(text.rlike("(?i)flavo") & text.rlike(_NAMED), let(F.split(text, "\n"), of))
 
 
 def _known_flavour(text: Column, known: list[str]) -> Column:
@@ -196,7 +220,8 @@ def _known_flavour(text: Column, known: list[str]) -> Column:
         return F.when(head.rlike(pattern), F.get(F.array_compact(F.zip_with(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), X.offsets(head, pattern), one)), F.lit(0)))
 
     patterns = (rf"(?i)(?<!\w)(?:{names})(?:\s*(?:,|&|\+|/|\band\b)\s*(?:{names}))+(?!\w)", rf"(?i)(?<!\w)(?:{names})(?!\w)")
-    return let(F.regexp_extract(text, r"(?is)^(.*?)(?:\bingredients?\b|$)", 1), lambda head: F.coalesce(*[of(head, p) for p in patterns]))
+    head = F.regexp_extract(text, r"(?is)^(.*?)(?:\bingredients?\b|$)", 1)
+    return F.when(text.rlike(f"(?i){names}"), let(head, lambda head: F.when(head.rlike(f"(?i){names}"), F.coalesce(*[of(head, p) for p in patterns]))))
 
 
 def flavour(text: Column, known: list[str]) -> Column:
@@ -207,9 +232,9 @@ def flavour(text: Column, known: list[str]) -> Column:
     joined = F.regexp_replace(joined, r"\s*\n\s*(?=(?i:flavou?r))", " ")
 
     def of(t: Column) -> Column:
-        told = F.nullif(F.regexp_extract(t, r"(?i)\bflavou?r\s*:\s*([A-Za-z]+(?:(?: & |[ -])[A-Za-z]+){0,3})", 1), F.lit(""))
+        told = F.nullif(F.regexp_extract(t, r"(?i)\bflavou?r\s*+:\s*([A-Za-z]+(?:(?: & |[ -])[A-Za-z]+){0,3})", 1), F.lit(""))
         found = [F.regexp_replace(_named_flavour(t), _CHEMICAL, ""), told, *([_known_flavour(t, known)] if known else [])]
-        return F.coalesce(_title(F.coalesce(*found)), F.lit(""))
+        return let(F.coalesce(*found), lambda name: F.coalesce(_title(name), F.lit("")))
 
     return let(joined, of)
 
@@ -223,6 +248,10 @@ def _once(run: Column) -> Column:
 def title(text: Column) -> Column:
     """struct(brand, product) from the longest run of all-capital lines, of equal ones the first; a first line of a word
     or two is the brand."""
+    return let(text_lines(text), _title_of)
+
+
+def _title_of(lines_: Column) -> Column:
 
     def good(x: Column) -> Column:
         return F.length(x).between(2, 40) & x.rlike("[A-Z]{2}") & (x == F.upper(x)) & ~x.rlike(r"\d{3}|@|^\(.*\)$|:$") & ~x.rlike(BOILERPLATE)
@@ -239,14 +268,18 @@ def title(text: Column) -> Column:
         brand = F.coalesce(F.when(short, head), F.lit(""))
         return F.struct(brand.alias("brand"), F.array_join(F.when(brand != "", F.slice(best, F.lit(2), F.size(best))).otherwise(best), " ").alias("product"))
 
-    longest = F.aggregate(let(text_lines(text), runs), F.array().cast("array<string>"), lambda acc, r: F.when(F.size(r) > F.size(acc), r).otherwise(acc))
+    longest = F.aggregate(runs(lines_), F.array().cast("array<string>"), lambda acc, r: F.when(F.size(r) > F.size(acc), r).otherwise(acc))
     return let(longest, split)
 
 
 def fallback_brand(text: Column) -> Column:
     """The first line of one to three capitalised words, if no boilerplate comes before."""
+    return let(text_lines(text), _fallback_brand)
+
+
+def _fallback_brand(lines: Column) -> Column:
     named = lambda x: x.rlike(r"^[A-Z][A-Za-z'&-]*(?: [A-Z][A-Za-z'&-]*){0,2}$") & (F.length(x) <= 30)
-    first = F.get(F.filter(text_lines(text), lambda x: x.rlike(BOILERPLATE) | named(x)), F.lit(0))
+    first = F.get(F.filter(lines, lambda x: x.rlike(BOILERPLATE) | named(x)), F.lit(0))
     return let(first, lambda x: F.when(x.isNull() | x.rlike(BOILERPLATE), "").otherwise(x))
 
 
@@ -257,16 +290,18 @@ def label_fields(docs: DataFrame, key: str, text: str, flavours: list[str] | Non
     """(key, the nine fields of a label, claims) of every text, or those named in ``only``; a null text counts as empty,
     and what is not found is blank."""
     known, names = flavours or [], only or [*FIELDS, "fssai_number", "customer_care_email", "customer_care_number", "claims"]
-    of_title, company, t = F.col("__title"), F.col("__company"), F.col("__text")
+    of_title, company, t, lines = F.col("__title"), F.col("__company"), F.col("__text"), F.col("__lines")
     found = docs.select(key, F.coalesce(text, F.lit("")).alias("__text"))
+    if {"brand", "product", "marketing_company", "address"} & {*names}:
+        found = found.withColumn("__lines", text_lines(t))
     if {"brand", "product"} & {*names}:
-        found = found.withColumn("__title", title(t))
+        found = found.withColumn("__title", _title_of(lines))
     if {"marketing_company", "address"} & {*names}:
-        found = found.withColumn("__company", marketing_company(t))
+        found = found.withColumn("__company", _company(lines))
     blank = F.lit("")
     fields = {
-        "brand": lambda: F.when((of_title["brand"] != "") | (of_title["product"] != ""), of_title["brand"]).otherwise(fallback_brand(t)),
-        "product": lambda: of_title["product"], "flavour": lambda: flavour(t, known), "marketing_company": lambda: company, "address": lambda: address(t, company), "package_size": lambda: package_size(t),
+        "brand": lambda: F.when((of_title["brand"] != "") | (of_title["product"] != ""), of_title["brand"]).otherwise(_fallback_brand(lines)),
+        "product": lambda: of_title["product"], "flavour": lambda: flavour(t, known), "marketing_company": lambda: company, "address": lambda: _address(lines, company), "package_size": lambda: package_size(t),
         "fssai_number": lambda: F.coalesce(X.licence(t), blank), "customer_care_email": lambda: F.coalesce(X.email(t), blank), "customer_care_number": lambda: F.coalesce(X.care_number(t), blank),
         "claims": lambda: F.coalesce(X.generic_claims(t), F.array().cast("array<string>")),
     }

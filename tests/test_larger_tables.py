@@ -4,7 +4,12 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
+from labelloom.operators import extract as X
 from labelloom.operators import geometry as G
+from labelloom.operators import label_text as L
+from labelloom.operators import scoring as S
 from labelloom.plans import registry
 
 
@@ -35,3 +40,40 @@ def test_nutrition_of_many_pages(spark):
     want = {page: dict([("Zinc", f"{page} mg"), ("Iron", "2 mg")][: page % 5 - 1]) for page in range(300) if page % 5}
     assert {r["page"]: r["nutrition"] for r in got.collect()} == want
     assert "MapInArrow" in plan(got) and "FlatMapGroups" not in plan(got)
+
+
+def test_grid_is_filled_in_order(spark):
+    """t_09, e_27: a grid from its entries, without looking every place up among them."""
+    rows = [(1, [(0, 5), (3, 7)]), (2, []), (3, [(7, 9)]), (4, [(i, i + 1) for i in range(8)])]
+    got = spark.createDataFrame(rows, "id int, at array<struct<p:int,v:int>>").select("id", G.filled_grid(F.col("at"), 8).alias("x")).collect()
+    assert {r["id"]: r["x"] for r in got} == {1: [5, 0, 0, 7, 0, 0, 0, 0], 2: [0] * 8, 3: [0] * 7 + [9], 4: list(range(1, 9))}
+
+
+def test_values_are_scored_once(spark):
+    """q_09, q_10: the plan names each side once, so no key brings its maps to be parsed again."""
+    df = spark.createDataFrame([('{"A":"1 mg","B":"2","C":"3"}', '{"a ":"1mg","B":"4","D":"5"}')], "a string, b string")
+    parse = lambda c: F.from_json(c, "map<string,string>")
+    by_key = df.select(S.map_score(parse("a"), parse("b")).alias("t"))
+    by_item = df.select(S.list_score(F.split("a", ","), F.split("b", ",")).alias("t"))
+    assert tuple(by_key.first()["t"]) == (1, 2, 1)
+    assert plan(by_key).split("== Physical Plan ==")[1].count("from_json") <= 2
+    assert plan(by_item).split("== Physical Plan ==")[1].count("split(") <= 2
+
+
+def test_cases_are_spread(spark, sf):
+    """x_17_cases: a part file of one row group is dealt out before the work on its rows."""
+    assert registry.QUERIES["x_17_cases"](spark, sf).rdd.getNumPartitions() == 4
+
+
+def test_counts_of_a_pack_are_looked_for_once(spark):
+    """x_17, x_09: a text's counts are evaluated once, not once for each use."""
+    df = spark.createDataFrame([("Serving size: 2 gummies\nMango\n30\nGummies",), ("Net Qty: 60 N",)], "t string").select(L.package_size(F.col("t")).alias("x"))
+    assert [r["x"] for r in df.collect()] == ["30 Gummies", "60 N"]
+    assert plan(df).split("== Physical Plan ==")[1].count("regexp_extract_all") <= 4
+
+
+def test_free_from_claims_flatten_a_text_once(spark):
+    """x_22"""
+    df = spark.createDataFrame([("FREE FROM  MILK | SOY\nNut free, no sugar",)], "t string").select(X.free_from_claims(F.col("t")).alias("x"))
+    assert df.first()["x"] == ["Free From Milk | Soy", "Nut Free", "No Sugar"]
+    assert plan(df).split("== Physical Plan ==")[1].count(r"regexp_replace(t#") <= 1
