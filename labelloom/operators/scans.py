@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.arrays import let
 from labelloom.operators.shared import cut, drop, joined, ranked
 
 BLOCK_MARKS = 2048  # marks that are folded within one row; longer blocks are settled by pointers
@@ -26,13 +27,19 @@ def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 _JOINED = {F.max: F.greatest, F.min: F.least, F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
 
 
+def _handed(rows: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``before`` hands over. A range goes on with one key at most, the one it begins with, so what
+    there is to hand over is a row for each range and is broadcast; the rows stay where they are."""
+    return joined(rows, F.broadcast(before.where("__c IS NOT NULL")), ["__p", *keys], "left")
+
+
 def running(rows: DataFrame, keys: list[str], order: list[str], value: str, how: Callable[[str], Column], name: str, inclusive: bool = False) -> DataFrame:
     """``rows`` (as ``dealt`` gives them) with the max, min or sum (``how``) of ``value`` over the rows of the key in front."""
     line = Window.partitionBy("__p", *keys).orderBy(*order)
     here = rows.withColumn("__h", how(value).over(line.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
     ends = rows.groupBy("__p", *keys).agg(how(value).alias("__e"))
     before = how("__e").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    met = joined(here, ends.select("__p", *keys, before.alias("__c")), ["__p", *keys])
+    met = _handed(here, ends.select("__p", *keys, before.alias("__c")), keys)
     return met.withColumn(name, _JOINED[how](F.col("__h"), F.col("__c"))).drop("__h", "__c")
 
 
@@ -42,7 +49,7 @@ def previous(rows: DataFrame, keys: list[str], order: list[str], value: Column,
     here = rows.withColumns({"__h": F.lag(value).over(line), "__first": F.row_number().over(line) == 1})
     ends = rows.groupBy("__p", *keys).agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("__e"))
     before = F.lag("__e").over(Window.partitionBy(*keys).orderBy("__p"))
-    met = joined(here, ends.select("__p", *keys, before.alias("__c")), ["__p", *keys])
+    met = _handed(here, ends.select("__p", *keys, before.alias("__c")), keys)
     return met.withColumn(name, F.when(F.col("__first"), F.col("__c.v")).otherwise(F.col("__h"))).drop("__h", "__c", "__first")
 
 
@@ -100,18 +107,20 @@ def _opens(first: Column, largest: Column, cross: Column, size: Column) -> Colum
 
 
 def _near_lines(marks: DataFrame, block: list[str], order: list[str]) -> DataFrame:
-    """(block, order, __new): one fold over the marks of each block."""
+    """(block, order, __new): one fold over the marks of each block, which writes down a digit for each mark."""
 
     def step(acc: Column, x: Column) -> Column:
         cross, size = -x["__u"], -x["__w"]
         new = acc["first"].isNull() | _opens(acc["first"], acc["largest"], cross, size)
-        kept = F.struct(x["__u"].alias("__u"), x["__w"].alias("__w"), F.when(new, 1).otherwise(0).alias("__new"))
-        return F.struct(F.when(new, cross).otherwise(acc["first"]).alias("first"), F.when(new, size).otherwise(F.greatest(acc["largest"], size)).alias("largest"), F.concat(acc["out"], F.array(kept)).alias("out"))
+        turn = F.struct(cross.alias("first"), size.alias("largest"), F.concat(acc["out"], F.lit("1")).alias("out"))
+        return F.when(new, turn).otherwise(F.struct(acc["first"].alias("first"), F.greatest(acc["largest"], size).alias("largest"), F.concat(acc["out"], F.lit("0")).alias("out")))
 
     none = F.lit(None).cast("double")
-    zero = F.struct(none.alias("first"), none.alias("largest"), F.array().cast("array<struct<__u:double,__w:double,__new:int>>").alias("out"))
+    zero = F.struct(none.alias("first"), none.alias("largest"), F.lit("").alias("out"))
     gathered = marks.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("__m"))
-    return gathered.select(*block, F.explode(F.aggregate("__m", zero, step)["out"]).alias("x")).select(*block, "x.*")
+    digits = F.split(F.aggregate("__m", zero, step, lambda acc: acc["out"]), "")
+    flagged = let(digits, lambda of: F.transform("__m", lambda x, i: F.struct(x["__u"].alias("__u"), x["__w"].alias("__w"), F.get(of, i).cast("int").alias("__new"))))
+    return gathered.select(*block, F.explode(flagged).alias("x")).select(*block, "x.*")
 
 
 def _far_lines(marks: DataFrame, block: list[str], longest: int) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from labelloom.operators import extract as X
 from labelloom.operators import geometry as G
 from labelloom.operators import label_text as L
+from labelloom.operators import scans
 from labelloom.operators import scoring as S
 from labelloom.plans import registry
+from tests.test_scans import fold
 
 
 def test_listed_numbers_stay_unknown_beyond_a_million(spark, tmp_path):
@@ -77,3 +79,21 @@ def test_free_from_claims_flatten_a_text_once(spark):
     df = spark.createDataFrame([("FREE FROM  MILK | SOY\nNut free, no sugar",)], "t string").select(X.free_from_claims(F.col("t")).alias("x"))
     assert df.first()["x"] == ["Free From Milk | Soy", "Nut Free", "No Sugar"]
     assert plan(df).split("== Physical Plan ==")[1].count(r"regexp_replace(t#") <= 1
+
+
+def test_fold_of_a_block_copies_no_marks(spark):
+    """w_08, e_02, e_04, e_06, t_07: what the fold of a block carries along is a digit for each mark."""
+    marks = [(1, -100.0 + i, -8.0 - i % 3) for i in range(40)] + [(2, 0.0, -8.0)]
+    got = scans._near_lines(spark.createDataFrame(marks, "k int, __u double, __w double"), ["k"], ["__u", "__w"])
+    line = fold([(-u, -w) for k, u, w in marks if k == 1])
+    opened = [-u for (u, w), n in line.items() if not any(m == n and v > u for (v, _), m in line.items())]
+    assert sorted(r["__u"] for r in got.collect() if r["k"] == 1 and r["__new"]) == sorted(opened)
+    assert "array(struct(__u" not in plan(got)
+
+
+def test_ranges_hand_over_by_broadcast(spark):
+    """s_09, e_23, w_08: rows are not shuffled again to meet what the ranges in front of theirs hand over."""
+    df = spark.createDataFrame([(i // 50, i % 50) for i in range(200)], "k int, v int")
+    got = scans.running(scans.dealt(df, ["k"], ["v"]), ["k"], ["v"], "v", F.sum, "before")
+    assert {(r["k"], r["v"]): r["before"] for r in got.collect()} == {(k, v): v * (v - 1) // 2 for k in range(4) for v in range(50)}
+    assert "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" in plan(got)
