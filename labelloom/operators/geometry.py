@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import vocabulary as V
 from labelloom.functions.arrays import let
 from labelloom.operators.joins import box_overlaps
-from labelloom.operators.scans import dealt, line_numbers, medians, previous, running, sessions_by_gap
+from labelloom.operators.scans import dealt, line_numbers, lined, medians, previous, running, sessions_by_gap
 from labelloom.operators.shared import connected, cut, drop, joined, ranked
 
 SETTLED = 200_000  # overlaps of boxes that one task settles
@@ -49,9 +49,10 @@ def lines(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     Spans of one height go by their font size, larger ones first.
     """
-    placed = line_numbers(spans.select(*keys, "along", "cross", "font_size", "text"), keys, F.col("cross"), F.col("font_size"), "line")
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("along", "text"))), lambda x: x["text"]), " ")
-    return placed.groupBy(*keys, "line").agg(words.alias("text"), F.max("cross").alias("cross"), F.max("font_size").alias("font_size"), F.count("*").alias("n"))
+    placed = lined(spans.select(*keys, "along", "cross", "font_size", "text"), keys, F.col("cross"), F.col("font_size"), "line")
+    largest = lambda name: F.array_max(F.col(f"rows.{name}")).alias(name)
+    words = F.array_join(F.sort_array(F.transform("rows", lambda x: F.struct(x["along"], x["text"])))["text"], " ")
+    return placed.select(*keys, "line", words.alias("text"), largest("cross"), largest("font_size"), F.size("rows").cast("long").alias("n"))
 
 
 def reading_text(lines_: DataFrame, page: str, panel: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rows are dealt by ranges of keys and order, so a key is spread over many tasks. A task scans its own range; a table with
 one row for each range and key hands what has been gathered over to the ranges behind it. Medians, gap sessions and line
-numbers are built on that, so no task holds a whole key.
+numbers are built on that, so no task holds a whole key that is large. Lines of a key of up to ``PAGE_ROWS`` rows are
+found within one row, where its rows meet in a single shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from labelloom.functions.arrays import let
 from labelloom.operators.shared import cut, drop, joined, ranked
 
+PAGE_ROWS = 8192  # rows of a key whose lines are found within one row; larger keys are scanned by ranges
+PIECE = 128  # rows of a key that are folded before what they found is added to what was found before them
 BLOCK_MARKS = 2048  # marks that are folded within one row; longer blocks are settled by pointers
 
 
@@ -82,13 +85,82 @@ def line_numbers(rows: DataFrame, keys: list[str], cross: Column, size: Column,
     """``rows`` with the number of their line, from 0, by falling ``cross``, larger ``size`` first.
 
     A row opens a line if it lies below the line's first row by more than half of the smaller of two sizes: its own, and
-    the largest of the line so far. Rows of one position share a line, so only distinct positions are looked at. One
-    that lies below its neighbour by more than half its own size opens a line whatever came before. That cuts a key into
-    blocks, which are settled on their own: within a row if they are short, else by pointers (``_far_lines``).
+    the largest of the line so far. Rows of one position share a line. Keys of up to ``PAGE_ROWS`` rows are folded each
+    within a row (``_page_lines``), larger ones are scanned by ranges (``_ranged_lines``).
+    """
+    few, many = _by_size(_marked(rows, cross, size), keys)
+    numbered = _page_lines(few, keys, name).select(*keys, name, F.explode("rows").alias("r")).select(*[c if c in keys else f"r.{c}" for c in rows.columns], name)
+    return numbered if many is None else numbered.unionByName(_ranged_lines(many, keys, name))
+
+
+def lined(rows: DataFrame, keys: list[str], cross: Column, size: Column, name: str) -> DataFrame:
+    """(keys, ``name``, rows): the other columns of the rows of each line, as ``line_numbers`` counts them."""
+    few, many = _by_size(_marked(rows, cross, size), keys)
+    found = _page_lines(few, keys, name)
+    if many is None:
+        return found
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    return found.unionByName(_ranged_lines(many, keys, name).groupBy(*keys, name).agg(F.collect_list(rest).alias("rows")))
+
+
+def _marked(rows: DataFrame, cross: Column, size: Column) -> DataFrame:
+    return rows.withColumns({"__u": -cross.cast("double"), "__w": -size.cast("double")}).where("__u IS NOT NULL AND __w IS NOT NULL")
+
+
+def _by_size(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys of up to ``PAGE_ROWS`` rows, and those of larger keys, if there are any."""
+    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > PAGE_ROWS).drop("__n"), "large")
+    if large.isEmpty():
+        drop(large)
+        return rows, None
+    return joined(rows, large, keys, "left_anti"), joined(rows, large, keys, "left_semi")
+
+
+def _page_lines(marked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, ``name``, rows) of keys that are gathered in a row each: their places are sorted and folded there.
+    Rows are dealt by key as they are, because to gather some of a key's rows before they are dealt costs more."""
+    rest = F.struct(*[c for c in marked.columns if c not in keys and c not in ("__u", "__w")])
+    pages = marked.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(F.collect_list(F.struct("__u", "__w", rest.alias("r"))).alias("__rows"))
+    places = F.sort_array(F.transform("__rows", lambda x, i: F.struct(x["__u"].alias("u"), x["__w"].alias("w"), i.alias("i"))))
+
+    def parts(at: Column, starts: Column) -> Column:
+        ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(at))
+        return F.transform(starts, lambda a, k: F.transform(F.slice(at, a + 1, ends(k) - a), lambda x: F.get("__rows", x["i"])["r"]))
+
+    lines = let(places, lambda at: let(_starts(at), lambda starts: parts(at, starts)))
+    return pages.select(*keys, F.posexplode(lines).alias(name, "rows")).withColumn(name, F.col(name).cast("long"))
+
+
+def _starts(at: Column) -> Column:
+    """Of sorted places (u, w) the numbers, from 0, of those that open a line. What is found is added to the rest once
+    for each ``PIECE`` of places, so that a long list is not copied for every line."""
+
+    def step(acc: Column, x: Column) -> Column:
+        cross, size = -x["u"], -x["w"]
+        new = acc["first"].isNull() | ((acc["u"] != x["u"]) | (acc["w"] != x["w"])) & _opens(acc["first"], acc["largest"], cross, size)
+        here = [x["u"].alias("u"), x["w"].alias("w"), (acc["n"] + 1).alias("n")]
+        turn = F.struct(cross.alias("first"), size.alias("largest"), *here, F.concat(acc["out"], F.array(acc["n"])).alias("out"))
+        return F.when(new, turn).otherwise(F.struct(acc["first"].alias("first"), F.greatest(acc["largest"], size).alias("largest"), *here, acc["out"].alias("out")))
+
+    state, none, empty = ["first", "largest", "u", "w", "n"], F.lit(None).cast("double"), F.array().cast("array<int>")
+    kept = lambda acc, out: F.struct(*[acc[c].alias(c) for c in state], out.alias("out"))
+
+    def piece(acc: Column, p: Column) -> Column:
+        found = F.aggregate(F.slice(at, p * PIECE + 1, F.lit(PIECE)), kept(acc, empty), step)
+        return let(found, lambda got: kept(got, F.concat(acc["out"], got["out"])))
+
+    zero = F.struct(*[none.alias(c) for c in state[:4]], F.lit(0).alias("n"), empty.alias("out"))
+    pieces = F.sequence(F.lit(0), F.floor((F.size(at) - 1) / PIECE).cast("int"))
+    return F.aggregate(pieces, zero, piece, lambda acc: acc["out"])
+
+
+def _ranged_lines(marked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``line_numbers`` of keys of any size. Only distinct positions are looked at. One that lies below its neighbour by
+    more than half its own size opens a line whatever came before. That cuts a key into blocks, which are settled on
+    their own: within a row if they are short, else by pointers (``_far_lines``).
     """
-    marked = rows.withColumns({"__u": -cross.cast("double"), "__w": -size.cast("double")})
     order, block = ["__u", "__w"], [*keys, "__b"]
-    marks = dealt(marked.select(*keys, *order).where("__u IS NOT NULL AND __w IS NOT NULL").distinct(), keys, order)
+    marks = dealt(marked.select(*keys, *order).distinct(), keys, order)
     apart = previous(marks, keys, order, F.col("__u"), "__q").withColumn("__new", F.when(F.col("__q").isNull() | (-F.col("__u") - F.col("__w") * 0.5 < -F.col("__q")), 1).otherwise(0))
     blocks = cut(running(cut(apart.drop("__q"), "marks"), keys, order, "__new", F.sum, "__b", inclusive=True).drop("__new", "__p"), "blocks")
     sizes = cut(blocks.groupBy(*block).agg(F.count("*").alias("__n")), "sizes")

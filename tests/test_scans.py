@@ -52,6 +52,31 @@ def test_lines(spark, monkeypatch, most):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [2, 256])
+@pytest.mark.parametrize("rows_of_a_page", [0, 60, 8192])
+def test_lines_of_small_and_large_keys(spark, monkeypatch, most, rows_of_a_page):
+    """e_04, e_06, e_02: all keys by ranges, large ones by ranges and small ones within a row, all within a row in pieces."""
+    monkeypatch.setattr(S, "BLOCK_MARKS", most)
+    monkeypatch.setattr(S, "PAGE_ROWS", rows_of_a_page)
+    monkeypatch.setattr(S, "PIECE", 7)
+    rows = pages(5) + [(6, c, s) for c in (10.0, 9.0, 2.5) for s in (3.0, -3.0, 0.0) for _ in range(2)]
+    table = spark.createDataFrame(rows, "page int, c double, s double")
+    want = {(page, c, s): line for page in {r[0] for r in rows} for (c, s), line in fold([r[1:] for r in rows if r[0] == page]).items()}
+    got = S.line_numbers(table, ["page"], F.col("c"), F.col("s"), "line")
+    assert dict(got.dtypes)["line"] == "bigint"
+    assert sorted(map(str, got.collect())) == sorted(f"Row(page={p}, c={c}, s={s}, line={want[p, c, s]})" for p, c, s in rows)
+    whole = S.lined(table, ["page"], F.col("c"), F.col("s"), "line").collect()
+    assert sorted((str(r["page"]), r["line"], sorted(map(tuple, r["rows"]))) for r in whole) == sorted((str(p), n, sorted(r[1:] for r in rows if r[0] == p and want[r] == n)) for p, n in {(r[0], want[r]) for r in rows})
+
+
+def test_lines_of_small_keys_take_one_shuffle(spark):
+    """e_04, e_06, e_02, w_08, t_07, w_10: rows of keys that are not large meet once, and are not dealt by ranges."""
+    table = spark.createDataFrame(pages(6), "page int, c double, s double")
+    for got in (S.line_numbers(table, ["page"], F.col("c"), F.col("s"), "line"), S.lined(table, ["page"], F.col("c"), F.col("s"), "line")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_every_row_keeps_its_line(spark):
     table = spark.createDataFrame([(1, 5.0, 2.0, "a"), (1, 5.0, 2.0, "a"), (1, 4.5, 2.0, "b"), (1, None, 2.0, "c"), (1, 1.0, None, "d")], "page int, c double, s double, name string")
     assert sorted((r["name"], r["line"]) for r in S.line_numbers(table, ["page"], F.col("c"), F.col("s"), "line").collect()) == [("a", 0), ("a", 0), ("b", 0)]
