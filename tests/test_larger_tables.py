@@ -97,3 +97,12 @@ def test_ranges_hand_over_by_broadcast(spark):
     got = scans.running(scans.dealt(df, ["k"], ["v"]), ["k"], ["v"], "v", F.sum, "before")
     assert {(r["k"], r["v"]): r["before"] for r in got.collect()} == {(k, v): v * (v - 1) // 2 for k in range(4) for v in range(50)}
     assert "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" in plan(got)
+
+
+def test_display_lines_of_small_and_large_pages(spark, sf, monkeypatch):
+    """e_06, t_07: the same display lines, whether pages are folded within a row, scanned by ranges, or some each way."""
+    want = sorted(map(tuple, registry.QUERIES["e_06"](spark, sf).collect()))
+    sizes = sorted(r["count"] for r in registry.QUERIES["e_01"](spark, sf).groupBy("page").count().collect())
+    assert want and sizes[0] < sizes[-1]
+    monkeypatch.setattr(scans, "PAGE_ROWS", sizes[len(sizes) // 2])
+    assert sorted(map(tuple, registry.QUERIES["e_06"](spark, sf).collect())) == want
