@@ -106,3 +106,16 @@ def test_display_lines_of_small_and_large_pages(spark, sf, monkeypatch):
     assert want and sizes[0] < sizes[-1]
     monkeypatch.setattr(scans, "PAGE_ROWS", sizes[len(sizes) // 2])
     assert sorted(map(tuple, registry.QUERIES["e_06"](spark, sf).collect())) == want
+
+
+def test_texts_of_lines_of_small_and_large_pages(spark, monkeypatch):
+    """e_02: one row for each line in one shuffle; texts that are null, places that are null, and a null page, by either way."""
+    rows = [(1, 5.0, 9.0, 8.0, "b"), (1, 5.0, 9.0, 8.0, "a"), (1, 0.0, 8.0, 10.0, None), (1, 0.0, 1.0, 8.0, "z"), (1, 0.0, None, 8.0, "x"), (None, 2.0, 3.0, 4.0, "n"), (2, 1.0, 1.0, None, "y")]
+    spans = spark.createDataFrame(rows, "page int, along double, cross double, font_size double, text string")
+    want = {(1, 0, "a b", 9.0, 10.0, 3), (1, 1, "z", 1.0, 8.0, 1), (None, 0, "n", 3.0, 4.0, 1)}
+    near = G.lines(spans, ["page"])
+    assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    monkeypatch.setattr(scans, "PAGE_ROWS", 2)
+    far = G.lines(spans, ["page"])
+    assert near.dtypes == far.dtypes == [("page", "int"), ("line", "bigint"), ("text", "string"), ("cross", "double"), ("font_size", "double"), ("n", "bigint")]
+    assert set(map(tuple, near.collect())) == set(map(tuple, far.collect())) == want
