@@ -19,9 +19,11 @@ from labelloom.functions import vocabulary as V
 from labelloom.functions.arrays import let
 from labelloom.operators.joins import box_overlaps
 from labelloom.operators.scans import dealt, line_numbers, lined, medians, previous, running, sessions_by_gap
-from labelloom.operators.shared import connected, cut, drop, joined, ranked
+from labelloom.operators.shared import by_size, connected, cut, drop, joined, ranked
 
 SETTLED = 200_000  # overlaps of boxes that one task settles
+PAGE_BOXES = 2048  # boxes of a page that are compared in one group
+PAIRS = 1 << 18  # pairs of such boxes that are compared at a time
 
 
 def from_matrix(runs: DataFrame) -> DataFrame:
@@ -120,16 +122,85 @@ def _peeled(links: DataFrame) -> list[DataFrame]:
 def without_overlaps(lines_: DataFrame, page: str, limit: float = 0.7, cell: float = 64.0) -> DataFrame:
     """Lines of a page by confidence, then from the top; one that overlaps a kept line by more than ``limit`` goes.
 
-    Of equal boxes the best stays. Others meet in grid cells, by rank. Pages of up to SETTLED overlaps are settled in one
-    task each, larger ones by components of overlapping boxes, and only components beyond that in rounds.
+    Of equal boxes the best stays. Boxes of a page of up to PAGE_BOXES meet in one group after one shuffle (``_page_kept``),
+    those of larger pages in grid cells (``_spread_kept``).
     """
+    few, many = by_size(lines_, [page], PAGE_BOXES)
+    double = all(few.schema[c].dataType.typeName() == "double" for c in ("x0", "y0", "x1", "y1"))  # other numbers are reckoned by Spark
+    kept = _page_kept(few, page, limit) if double else _spread_kept(few, page, limit, cell)
+    if many is not None:
+        kept = kept.unionByName(_spread_kept(many, page, limit, cell))
+    return kept.select(*[F.col(c) if c in (page, "x0", "y0", "x1", "y1") else F.col(f"r.{c}").alias(c) for c in lines_.columns])
+
+
+def _best_of_equal(lines_: DataFrame, page: str) -> DataFrame:
+    """(page, box, r): of equal boxes the other columns of the best."""
     names = [page, "x0", "y0", "x1", "y1"]
-    rank = F.struct((-F.col("confidence")).alias("c"), "y0", "x0", "text", "x1", "y1")
     rest = F.struct(*[c for c in lines_.columns if c not in names])
-    best = lines_.groupBy(*names).agg(F.min_by(F.struct(rank.alias("id"), rest.alias("r")), rank).alias("b")).select(*names, "b.id", "b.r")
-    best = cut(ranked(best, [page], ["id"], "__rank").drop("id"), "boxes")
+    return lines_.groupBy(*names).agg(F.min_by(rest, F.struct(-F.col("confidence"), "text")).alias("r"))
+
+
+def _by_rank() -> list[Column]:
+    return [-F.col("r.confidence"), F.col("y0"), F.col("x0"), F.col("r.text"), F.col("x1"), F.col("y1")]
+
+
+def _page_kept(lines_: DataFrame, page: str, limit: float) -> DataFrame:
+    """(page, box, r) of the boxes that stay, of pages that are held by a group each."""
+    best = _best_of_equal(lines_.repartition(F.col(page)), page)
+    placed = best.withColumn("__rank", F.row_number().over(Window.partitionBy(page).orderBy(*_by_rank())))
+
+    def run(boxes: pa.Table) -> pa.Table:
+        boxes = boxes.sort_by("__rank")
+        if boxes[page].null_count:  # boxes without a page meet no others
+            return boxes
+        sides = [boxes[c].to_numpy() for c in ("x0", "y0", "x1", "y1")]
+        return boxes.filter(pa.array(kept_boxes(*sides, limit)))
+
+    return placed.groupBy(page).applyInArrow(run, placed.schema).drop("__rank")
+
+
+def kept_boxes(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, limit: float) -> np.ndarray:
+    """Which boxes, from the best to the worst, no kept one overlaps by more than ``limit``. Pairs come from a sweep along
+    the axis on which fewer boxes share a place; a box with an unknown side overlaps none."""
+
+    def sweep(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(low, kind="stable")  # unknown ones last
+        behind = np.searchsorted(low[order], high[order]) - np.arange(1, len(low) + 1)
+        return order, np.where(np.isnan(high[order]), 0, np.maximum(behind, 0))
+
+    order, behind = min(sweep(x0, x1), sweep(y0, y1), key=lambda s: s[1].sum())
+    total, area, links = np.concatenate([[0], np.cumsum(behind)]), (x1 - x0) * (y1 - y0), []
+    for start in range(0, int(total[-1]), PAIRS):
+        pair = np.arange(start, min(start + PAIRS, total[-1]))
+        first = np.searchsorted(total, pair, side="right") - 1
+        a, b = order[first], order[first + 1 + pair - total[first]]
+        width = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b])
+        height = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+        a, b, both = (v[(width > 0) & (height > 0)] for v in (a, b, width * height))
+        u, v = np.minimum(a, b), np.maximum(a, b)
+        far = both / (area[u] + area[v] - both) > limit
+        links.append(np.stack([u[far], v[far]]).astype("int32"))
+    kept = np.ones(len(x0), dtype=bool)
+    if links:
+        u, v = np.concatenate(links, axis=1)
+        better = np.argsort(u, kind="stable")
+        u, v = u[better], v[better]
+        ends, starts = np.unique(u, return_index=True)
+        for i, start, end in zip(ends, starts, np.append(starts, len(u))[1:], strict=True):
+            if kept[i]:
+                kept[v[start:end]] = False
+    return kept
+
+
+def _spread_kept(lines_: DataFrame, page: str, limit: float, cell: float) -> DataFrame:
+    """(page, box, r) of the boxes that stay, of pages of any size. Boxes meet in grid cells, by rank. Pages of up to
+    SETTLED overlaps are settled in one task each, larger ones by components of overlapping boxes, and only components
+    beyond that in rounds.
+    """
+    best = _best_of_equal(lines_, page).withColumn("__id", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(_by_rank())]))
+    best = cut(ranked(best, [page], ["__id"], "__rank").drop("__id"), "boxes")
     sides = best.select(F.col(page).alias("page"), F.col("__rank").alias("id"), "x0", "y0", "x1", "y1")
-    met = box_overlaps(sides, sides, "page", cell).where((F.col("a_id") < F.col("b_id")) & (F.col("iou") > limit))
+    met = box_overlaps(sides, sides, "page", cell).where((F.col("a_id") < F.col("b_id")) & (F.col("iou") > limit) & ~F.isnan("iou"))
     links = cut(met.select("page", F.col("a_id").alias("u"), F.col("b_id").alias("v")), "overlaps")
     crowded = cut(links.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > SETTLED).select("page"), "crowded")
     gone = [_settled(links.join(crowded, "page", "left_anti"), ["page"])]
@@ -143,7 +214,7 @@ def without_overlaps(lines_: DataFrame, page: str, limit: float = 0.7, cell: flo
         gone += _peeled(cut(parts.join(large, ["page", "part"], "left_semi").drop("part"), "overlaps"))
     for out in gone:
         best = best.join(out.select(F.col("page").alias(page), F.col("id").alias("__rank")), [page, "__rank"], "left_anti")
-    return best.select(*[F.col(c) if c in names else F.col(f"r.{c}").alias(c) for c in lines_.columns])
+    return best.drop("__rank")
 
 
 def pixel_box(x: Column, y: Column, width: Column, size: Column, page_height: Column, dpi: int = 300) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import let
-from labelloom.operators.shared import cut, drop, joined, ranked
+from labelloom.operators.shared import by_size, cut, drop, joined, ranked
 
 PAGE_ROWS = 8192  # rows of a key whose lines are found within one row; larger keys are scanned by ranges
 PIECE = 128  # rows of a key that are folded before what they found is added to what was found before them
@@ -88,14 +88,14 @@ def line_numbers(rows: DataFrame, keys: list[str], cross: Column, size: Column,
     the largest of the line so far. Rows of one position share a line. Keys of up to ``PAGE_ROWS`` rows are folded each
     within a row (``_page_lines``), larger ones are scanned by ranges (``_ranged_lines``).
     """
-    few, many = _by_size(_marked(rows, cross, size), keys)
+    few, many = by_size(_marked(rows, cross, size), keys, PAGE_ROWS)
     numbered = _page_lines(few, keys, name).select(*keys, name, F.explode("rows").alias("r")).select(*[c if c in keys else f"r.{c}" for c in rows.columns], name)
     return numbered if many is None else numbered.unionByName(_ranged_lines(many, keys, name))
 
 
 def lined(rows: DataFrame, keys: list[str], cross: Column, size: Column, name: str) -> DataFrame:
     """(keys, ``name``, rows): the other columns of the rows of each line, as ``line_numbers`` counts them."""
-    few, many = _by_size(_marked(rows, cross, size), keys)
+    few, many = by_size(_marked(rows, cross, size), keys, PAGE_ROWS)
     found = _page_lines(few, keys, name)
     if many is None:
         return found
@@ -107,15 +107,6 @@ def _marked(rows: DataFrame, cross: Column, size: Column) -> DataFrame:
     return rows.withColumns({"__u": -cross.cast("double"), "__w": -size.cast("double")}).where("__u IS NOT NULL AND __w IS NOT NULL")
 
 
-def _by_size(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of keys of up to ``PAGE_ROWS`` rows, and those of larger keys, if there are any."""
-    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > PAGE_ROWS).drop("__n"), "large")
-    if large.isEmpty():
-        drop(large)
-        return rows, None
-    return joined(rows, large, keys, "left_anti"), joined(rows, large, keys, "left_semi")
-
-
 def _page_lines(marked: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys, ``name``, rows) of keys that are gathered in a row each: their places are sorted and folded there.
     Rows are dealt by key as they are, because to gather some of a key's rows before they are dealt costs more."""

@@ -50,6 +50,15 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return met.drop(*[f"__k{i}" for i in range(len(keys))])
 
 
+def by_size(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys of up to ``most`` rows, and those of larger keys, if there are any."""
+    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).drop("__n"), "large")
+    if large.isEmpty():
+        drop(large)
+        return rows, None
+    return joined(rows, large, keys, "left_anti"), joined(rows, large, keys, "left_semi")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out to the shuffle's number of tasks, for work on a row that costs far more than to move it: a small
     file is one task or a few otherwise, however many rows it has."""

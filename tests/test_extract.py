@@ -257,6 +257,55 @@ def test_overlaps_of_a_crowded_page(spark, monkeypatch, most):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def plainly_kept(rows, limit=0.7):
+    """Rows (page, x0, y0, x1, y1, confidence, text) that stay, one after the other."""
+    kept = []
+    for r in sorted(set(rows), key=lambda r: (-r[5], r[2], r[1], r[6], r[3], r[4])):
+        def far(k):
+            w, h = min(r[3], k[3]) - max(r[1], k[1]), min(r[4], k[4]) - max(r[2], k[2])
+            area = lambda b: (b[3] - b[1]) * (b[4] - b[2])
+            return r[0] == k[0] and (r[1:5] == k[1:5] or w > 0 and h > 0 and w * h / (area(r) + area(k) - w * h) > limit)
+
+        if not any(far(k) for k in kept):
+            kept.append(r)
+    return kept
+
+
+def random_boxes(seed, n, pages):
+    rng = np.random.default_rng(seed)
+    at = rng.integers(-30, 30, (n, 2)) * 2.5
+    return [(int(i % pages), float(x), float(y), float(x + w), float(y + h), float(c), f"t{i % 7}") for i, ((x, y), w, h, c) in enumerate(zip(at, rng.integers(0, 5, n) * 20.0, rng.integers(1, 4, n) * 30.0, rng.integers(0, 4, n)))]
+
+
+@pytest.mark.parametrize("most", [0, 60, 2048])
+def test_overlaps_of_small_and_large_pages(spark, monkeypatch, most):
+    """e_14, u_10: all pages by cells, large ones by cells and small ones in a group each, all in a group each; boxes
+    with a null side and boxes without a page overlap none."""
+    monkeypatch.setattr(G, "PAGE_BOXES", most)
+    rows = random_boxes(3, 150, 3) + random_boxes(4, 60, 1)
+    unknown = [(0, None, 0.0, 40.0, 30.0, 9.0, "null"), (1, float("nan"), 0.0, 40.0, 30.0, 9.0, "nan"), (None, 0.0, 0.0, 10.0, 10.0, 1.0, "a"), (None, 0.0, 0.0, 10.0, 9.0, 1.0, "b")]
+    table = spark.createDataFrame(rows + unknown, "page int, x0 double, y0 double, x1 double, y1 double, confidence double, text string")
+    assert sorted(map(repr, map(tuple, G.without_overlaps(table, "page").collect()))) == sorted(map(repr, plainly_kept(rows) + unknown))
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 18])
+def test_kept_boxes(monkeypatch, pairs):
+    monkeypatch.setattr(G, "PAIRS", pairs)
+    for seed in range(4):
+        rows = sorted({r[1:5]: r for r in random_boxes(seed, 40, 1)}.values(), key=lambda r: (-r[5], r[2], r[1], r[6], r[3], r[4]))
+        for turned in (False, True):
+            sides = np.array([r[1:5] for r in rows]).T[[1, 0, 3, 2] if turned else [0, 1, 2, 3]]
+            assert [r for r, k in zip(rows, G.kept_boxes(*sides, 0.3)) if k] == plainly_kept(rows, 0.3)
+    assert G.kept_boxes(*np.zeros((4, 0)), 0.7).tolist() == [] and G.kept_boxes(*np.zeros((4, 3)), 0.7).all()
+
+
+def test_overlaps_of_small_pages_take_one_shuffle(spark):
+    """e_14, u_10"""
+    table = spark.createDataFrame(random_boxes(5, 50, 2), "page int, x0 double, y0 double, x1 double, y1 double, confidence double, text string")
+    plan = G.without_overlaps(table, "page")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_a_chain_of_overlaps(spark, monkeypatch):
     """Every box overlaps the next one: the number of jobs does not follow the length of the chain."""
     chain = [(1, 10.0 * i, 0.0, 10.0 * i + 100, 10.0, 1.0 - i / 10_000, f"t{i}") for i in range(5000)]
