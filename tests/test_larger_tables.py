@@ -119,3 +119,11 @@ def test_texts_of_lines_of_small_and_large_pages(spark, monkeypatch):
     far = G.lines(spans, ["page"])
     assert near.dtypes == far.dtypes == [("page", "int"), ("line", "bigint"), ("text", "string"), ("cross", "double"), ("font_size", "double"), ("n", "bigint")]
     assert set(map(tuple, near.collect())) == set(map(tuple, far.collect())) == want
+
+
+def test_overlaps_of_pages_either_way(spark, sf, monkeypatch):
+    """u_10: the same lines stay, whether a page's boxes meet in a group or in cells."""
+    want = sorted(map(tuple, registry.QUERIES["u_10"](spark, sf).collect()))
+    monkeypatch.setattr(G, "PAGE_BOXES", 100)
+    got = registry.QUERIES["u_10"](spark, sf)
+    assert want and sorted(map(tuple, got.collect())) == want
