@@ -145,20 +145,35 @@ def _by_rank() -> list[Column]:
 
 
 def _page_kept(lines_: DataFrame, page: str, limit: float) -> DataFrame:
-    """(page, box, r) of the boxes that stay, of pages that are held by a group each."""
-    best = _best_of_equal(lines_.repartition(F.col(page)), page)
-    placed = best.withColumn("__rank", F.row_number().over(Window.partitionBy(page).orderBy(*_by_rank())))
+    """(page, box, r) of the boxes that stay, of pages that are held by a group each. Rows are sorted once, by rank; the
+    best of equal boxes is the first of them."""
+    box = ("x0", "y0", "x1", "y1")
+    rest = F.struct(*[c for c in lines_.columns if c != page and c not in box])
+    dealt_ = lines_.repartition(F.col(page)).select(page, *[(F.col(c) + 0.0).alias(c) for c in box], rest.alias("r"))  # no -0.0, as in groups
+    placed = dealt_.withColumn("__rank", F.row_number().over(Window.partitionBy(page).orderBy(*_by_rank())))
 
     def run(boxes: pa.Table) -> pa.Table:
         boxes = boxes.sort_by("__rank")
-        if boxes[page].null_count:  # boxes without a page meet no others
-            return boxes
-        sides = [boxes[c].to_numpy() for c in ("x0", "y0", "x1", "y1")]
-        return boxes.filter(pa.array(kept_boxes(*sides, limit)))
+        sides = [boxes[c].to_numpy() for c in box]
+        kept = first_of_equal([*sides, *[boxes[c].is_null().to_numpy() for c in box if boxes[c].null_count]])
+        if not boxes[page].null_count:  # boxes without a page meet no others
+            kept[kept] = kept_boxes(*[s[kept] for s in sides], limit)
+        return boxes.filter(pa.array(kept))
 
     return placed.groupBy(page).applyInArrow(run, placed.schema).drop("__rank")
 
 
+def first_of_equal(columns: list[np.ndarray]) -> np.ndarray:
+    """Which rows are the first of those with their values. Unknown numbers are equal."""
+    order, new = np.lexsort(columns), np.arange(len(columns[0])) == 0
+    for c in columns:
+        a, b = c[order[:-1]], c[order[1:]]
+        new[1:] |= (a != b) & ~(np.isnan(a) & np.isnan(b))
+    out = np.zeros(len(order), dtype=bool)
+    out[order[new]] = True
+    return out
+
+
 def kept_boxes(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, limit: float) -> np.ndarray:
     """Which boxes, from the best to the worst, no kept one overlaps by more than ``limit``. Pairs come from a sweep along
     the axis on which fewer boxes share a place; a box with an unknown side overlaps none."""

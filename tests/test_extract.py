@@ -306,6 +306,28 @@ def test_overlaps_of_small_pages_take_one_shuffle(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+@pytest.mark.parametrize("most", [0, 2048])
+def test_best_of_equal_boxes(spark, monkeypatch, most):
+    """e_14, u_10: of equal boxes the best stays, by either way, also where boxes overlap nothing: without an area, with
+    unknown sides, without a page. In a group they are found by rank, without an aggregate in front."""
+    monkeypatch.setattr(G, "PAGE_BOXES", most)
+    nan = float("nan")
+    places = [(1, 0.0, 0.0, 10.0, 10.0), (1, 0.0, 5.0, 0.0, 5.0), (1, None, 0.0, 9.0, 9.0), (1, nan, 0.0, 9.0, 9.0), (1, None, None, None, None), (None, 0.0, 0.0, 10.0, 10.0)]
+    votes = [(1.0, "b"), (2.0, "z"), (2.0, "y"), (None, "n"), (nan, "x")]  # unknown confidence goes before any other
+    table = spark.createDataFrame([(*p, *v) for p in places for v in votes] + [(2, 0.0, 0.0, 9.0, 9.0, 2.0, "b"), (2, -0.0, -0.0, 9.0, 9.0, 2.0, "a")], "page int, x0 double, y0 double, x1 double, y1 double, confidence double, text string")
+    got = G.without_overlaps(table, "page")
+    want = [(*p, None, "n") for p in places] + [(2, 0.0, 0.0, 9.0, 9.0, 2.0, "a")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert not most or "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_of_equal():
+    nan = np.nan
+    assert G.first_of_equal([np.array([1.0, nan, 1.0, nan, nan, 0.0, -0.0]), np.array([2.0, 2.0, 2.0, 2.0, nan, 1.0, 1.0])]).tolist() == [True, True, False, False, True, True, False]
+    assert G.first_of_equal([np.array([nan, nan, nan]), np.array([True, False, True])]).tolist() == [True, True, False]
+    assert G.first_of_equal([np.zeros(0)]).tolist() == []
+
+
 def test_a_chain_of_overlaps(spark, monkeypatch):
     """Every box overlaps the next one: the number of jobs does not follow the length of the chain."""
     chain = [(1, 10.0 * i, 0.0, 10.0 * i + 100, 10.0, 1.0 - i / 10_000, f"t{i}") for i in range(5000)]
