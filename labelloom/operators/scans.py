@@ -3,22 +3,26 @@
 Rows are dealt by ranges of keys and order, so a key is spread over many tasks. A task scans its own range; a table with
 one row for each range and key hands what has been gathered over to the ranges behind it. Medians, gap sessions and line
 numbers are built on that, so no task holds a whole key that is large. Lines of a key of up to ``PAGE_ROWS`` rows are
-found within one row, where its rows meet in a single shuffle.
+found in Arrow batches, where its rows meet in a single shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions.arrays import let
 from labelloom.operators.shared import by_size, cut, drop, joined, ranked
 
-PAGE_ROWS = 8192  # rows of a key whose lines are found within one row; larger keys are scanned by ranges
-PIECE = 128  # rows of a key that are folded before what they found is added to what was found before them
+PAGE_ROWS = 8192  # rows of a key whose lines are found in one batch; larger keys are scanned by ranges
+PIECE = 1 << 16  # rows of such keys that are taken at a time, up to the end of a key
 BLOCK_MARKS = 2048  # marks that are folded within one row; longer blocks are settled by pointers
 
 
@@ -85,64 +89,113 @@ def line_numbers(rows: DataFrame, keys: list[str], cross: Column, size: Column,
     """``rows`` with the number of their line, from 0, by falling ``cross``, larger ``size`` first.
 
     A row opens a line if it lies below the line's first row by more than half of the smaller of two sizes: its own, and
-    the largest of the line so far. Rows of one position share a line. Keys of up to ``PAGE_ROWS`` rows are folded each
-    within a row (``_page_lines``), larger ones are scanned by ranges (``_ranged_lines``).
+    the largest of the line so far. Rows of one position share a line. Keys of up to ``PAGE_ROWS`` rows are folded in
+    batches of whole keys (``_page_lines``), larger ones are scanned by ranges (``_ranged_lines``).
     """
-    few, many = by_size(_marked(rows, cross, size), keys, PAGE_ROWS)
-    numbered = _page_lines(few, keys, name).select(*keys, name, F.explode("rows").alias("r")).select(*[c if c in keys else f"r.{c}" for c in rows.columns], name)
-    return numbered if many is None else numbered.unionByName(_ranged_lines(many, keys, name))
+    few, many, place = _places(rows, keys, cross, size)
+    schema = T.StructType([*rows.schema, T.StructField(name, T.LongType())])
+    found = _page_lines(few, keys, place, name, rows.columns, lambda numbered, *_: numbered, schema)
+    return found if many is None else found.unionByName(_ranged_lines(many.withColumns(place), keys, name))
 
 
 def lined(rows: DataFrame, keys: list[str], cross: Column, size: Column, name: str) -> DataFrame:
     """(keys, ``name``, rows): the other columns of the rows of each line, as ``line_numbers`` counts them."""
-    few, many = by_size(_marked(rows, cross, size), keys, PAGE_ROWS)
-    found = _page_lines(few, keys, name)
+    rest = [f for f in rows.schema if f.name not in keys]
+
+    def gathered(numbered: pa.Table, starts: np.ndarray, *_: np.ndarray) -> pa.Table:
+        fields = [numbered.schema.field(f.name) for f in rest]
+        each = pa.StructArray.from_arrays([numbered[f.name].combine_chunks() for f in fields], fields=fields)
+        ends = pa.array(np.append(starts, numbered.num_rows), pa.int32())
+        return numbered.select([*keys, name]).take(pa.array(starts)).append_column("rows", pa.ListArray.from_arrays(ends, each))
+
+    return lines_of(rows, keys, cross, size, name, [f.name for f in rest], gathered, [T.StructField("rows", T.ArrayType(T.StructType(rest)))], lambda far: far)
+
+
+def lines_of(
+    rows: DataFrame, keys: list[str], cross: Column, size: Column, name: str, taken: list[str],
+    near: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], fields: list[T.StructField], far: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(keys, ``name``, fields): a row for each line. Where keys meet in a batch ``near`` makes them of the columns
+    ``taken`` of rows that go by lines, the first row of each line, and the negated places; elsewhere ``far`` makes them
+    of (keys, ``name``, rows)."""
+    few, many, place = _places(rows, keys, cross, size)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(name, T.LongType()), *fields])
+    found = _page_lines(few, keys, place, name, [*keys, *taken], near, schema)
     if many is None:
         return found
     rest = F.struct(*[c for c in rows.columns if c not in keys])
-    return found.unionByName(_ranged_lines(many, keys, name).groupBy(*keys, name).agg(F.collect_list(rest).alias("rows")))
-
-
-def _marked(rows: DataFrame, cross: Column, size: Column) -> DataFrame:
-    return rows.withColumns({"__u": -cross.cast("double"), "__w": -size.cast("double")}).where("__u IS NOT NULL AND __w IS NOT NULL")
-
-
-def _page_lines(marked: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, ``name``, rows) of keys that are gathered in a row each: their places are sorted and folded there.
-    Rows are dealt by key as they are, because to gather some of a key's rows before they are dealt costs more."""
-    rest = F.struct(*[c for c in marked.columns if c not in keys and c not in ("__u", "__w")])
-    pages = marked.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(F.collect_list(F.struct("__u", "__w", rest.alias("r"))).alias("__rows"))
-    places = F.sort_array(F.transform("__rows", lambda x, i: F.struct(x["__u"].alias("u"), x["__w"].alias("w"), i.alias("i"))))
-
-    def parts(at: Column, starts: Column) -> Column:
-        ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(at))
-        return F.transform(starts, lambda a, k: F.transform(F.slice(at, a + 1, ends(k) - a), lambda x: F.get("__rows", x["i"])["r"]))
-
-    lines = let(places, lambda at: let(_starts(at), lambda starts: parts(at, starts)))
-    return pages.select(*keys, F.posexplode(lines).alias(name, "rows")).withColumn(name, F.col(name).cast("long"))
-
-
-def _starts(at: Column) -> Column:
-    """Of sorted places (u, w) the numbers, from 0, of those that open a line. What is found is added to the rest once
-    for each ``PIECE`` of places, so that a long list is not copied for every line."""
-
-    def step(acc: Column, x: Column) -> Column:
-        cross, size = -x["u"], -x["w"]
-        new = acc["first"].isNull() | ((acc["u"] != x["u"]) | (acc["w"] != x["w"])) & _opens(acc["first"], acc["largest"], cross, size)
-        here = [x["u"].alias("u"), x["w"].alias("w"), (acc["n"] + 1).alias("n")]
-        turn = F.struct(cross.alias("first"), size.alias("largest"), *here, F.concat(acc["out"], F.array(acc["n"])).alias("out"))
-        return F.when(new, turn).otherwise(F.struct(acc["first"].alias("first"), F.greatest(acc["largest"], size).alias("largest"), *here, acc["out"].alias("out")))
-
-    state, none, empty = ["first", "largest", "u", "w", "n"], F.lit(None).cast("double"), F.array().cast("array<int>")
-    kept = lambda acc, out: F.struct(*[acc[c].alias(c) for c in state], out.alias("out"))
-
-    def piece(acc: Column, p: Column) -> Column:
-        found = F.aggregate(F.slice(at, p * PIECE + 1, F.lit(PIECE)), kept(acc, empty), step)
-        return let(found, lambda got: kept(got, F.concat(acc["out"], got["out"])))
-
-    zero = F.struct(*[none.alias(c) for c in state[:4]], F.lit(0).alias("n"), empty.alias("out"))
-    pieces = F.sequence(F.lit(0), F.floor((F.size(at) - 1) / PIECE).cast("int"))
-    return F.aggregate(pieces, zero, piece, lambda acc: acc["out"])
+    return found.unionByName(far(_ranged_lines(many.withColumns(place), keys, name).groupBy(*keys, name).agg(F.collect_list(rest).alias("rows"))))
+
+
+def _places(rows: DataFrame, keys: list[str], cross: Column, size: Column) -> tuple[DataFrame, DataFrame | None, dict[str, Column]]:
+    """Rows of small and of large keys, and the columns they are sorted by: none of them null."""
+    place = {"__u": -cross.cast("double"), "__w": -size.cast("double")}
+    return *by_size(rows.where(place["__u"].isNotNull() & place["__w"].isNotNull()), keys, PAGE_ROWS), place
+
+
+def _page_lines(few: DataFrame, keys: list[str], place: dict[str, Column], name: str, taken: list[str], near: Callable, schema: T.StructType) -> DataFrame:
+    """What ``near`` makes of the rows of whole keys with the number of their line. Rows are dealt and sorted by key as
+    they are, their places are sorted in the batch."""
+    most, names = PIECE, schema.names
+
+    def folded(rows: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, w, key = rows["__u"].to_numpy(), rows["__w"].to_numpy(), np.cumsum(new)
+        order = np.lexsort((w, u, key))
+        u, w = u[order], w[order]
+        starts = line_starts(new, u, w)
+        line = np.cumsum(starts)
+        line -= line[new][key - 1]
+        numbered = rows.select(taken).take(pa.array(order)).append_column(name, pa.array(line))
+        yield from near(numbered, np.flatnonzero(starts), u, w).select(names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                new = key_starts(rows, keys)
+                last = int(np.flatnonzero(new)[-1])  # its key may go on in the next batch
+                if last:
+                    yield from folded(rows.slice(0, last), new[:last])
+                held, n = rows.slice(last).to_batches(), n - last
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from folded(rows, key_starts(rows, keys))
+
+    sorted_ = few.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return sorted_.withColumns(place).select(*taken, *place).mapInArrow(run, schema)
+
+
+def key_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Which rows, sorted by keys, are the first of their key; null is a key, and so is NaN."""
+    new = np.arange(rows.num_rows) == 0
+    for k in keys:
+        a, b = (rows[k].combine_chunks().slice(i, rows.num_rows - 1) for i in (0, 1))
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+        if pa.types.is_floating(a.type):
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        new[1:] |= np.asarray(differ)
+    return new
+
+
+def line_starts(new: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of places that are sorted within keys which open a line; ``new`` are the first of a key. NaN is the largest number."""
+    moved, starts = new.copy(), np.zeros(len(new), dtype=bool)
+    for c in (u, w):
+        moved[1:] |= (c[1:] != c[:-1]) & ~(np.isnan(c[1:]) & np.isnan(c[:-1]))
+    at = np.flatnonzero(moved)
+    cross, size = -u[at], -w[at]
+    with np.errstate(invalid="ignore"):
+        low = cross + size * 0.5
+    first = largest = 0.0
+    for i, begins, c, s, bottom in zip(at.tolist(), new[at].tolist(), cross.tolist(), size.tolist(), low.tolist(), strict=True):
+        if begins or bottom < first or c + largest * 0.5 < first:
+            first, largest, starts[i] = c, s, True
+        elif s > largest or s != s:
+            largest = s
+    return starts
 
 
 def _ranged_lines(marked: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -127,3 +127,11 @@ def test_overlaps_of_pages_either_way(spark, sf, monkeypatch):
     monkeypatch.setattr(G, "PAGE_BOXES", 100)
     got = registry.QUERIES["u_10"](spark, sf)
     assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_rows_of_small_pages_are_not_gathered_in_lists(spark, sf):
+    """e_02, e_06, e_04: pages are folded in batches; what is shuffled holds each number once."""
+    rows = spark.createDataFrame([(1, 5.0, 9.0, 8.0, "b")], "page int, along double, cross double, font_size double, text string")
+    got = plan(G.lines(rows, ["page"])).split("== Physical Plan ==")[1]
+    assert got.count("Exchange") == 1 and "collect_list" not in got
+    assert "__u" not in got[got.index("Exchange") :]
