@@ -12,13 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions import vocabulary as V
 from labelloom.functions.arrays import let
 from labelloom.operators.joins import box_overlaps
-from labelloom.operators.scans import dealt, line_numbers, lined, medians, previous, running, sessions_by_gap
+from labelloom.operators.scans import dealt, line_numbers, lined, lines_of, medians, previous, running, sessions_by_gap
 from labelloom.operators.shared import by_size, connected, cut, drop, joined, ranked
 
 SETTLED = 200_000  # overlaps of boxes that one task settles
@@ -51,10 +53,31 @@ def lines(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     Spans of one height go by their font size, larger ones first.
     """
-    placed = lined(spans.select(*keys, "along", "cross", "font_size", "text"), keys, F.col("cross"), F.col("font_size"), "line")
-    largest = lambda name: F.array_max(F.col(f"rows.{name}")).alias(name)
-    words = F.array_join(F.sort_array(F.transform("rows", lambda x: F.struct(x["along"], x["text"])))["text"], " ")
-    return placed.select(*keys, "line", words.alias("text"), largest("cross"), largest("font_size"), F.size("rows").cast("long").alias("n"))
+    rows = spans.select(*keys, "along", "cross", "font_size", "text")
+
+    def texts(placed: DataFrame) -> DataFrame:
+        largest = lambda name: F.array_max(F.col(f"rows.{name}")).alias(name)
+        words = F.array_join(F.sort_array(F.transform("rows", lambda x: F.struct(x["along"], x["text"])))["text"], " ")
+        return placed.select(*keys, "line", words.alias("text"), largest("cross"), largest("font_size"), F.size("rows").cast("long").alias("n"))
+
+    place = (rows, keys, F.col("cross"), F.col("font_size"), "line")
+    if [rows.schema[c].dataType.typeName() for c in rows.columns[-4:]] != ["double", "double", "double", "string"]:  # other numbers are reckoned by Spark
+        return texts(lined(*place))
+    kinds = {"text": T.StringType(), "cross": T.DoubleType(), "font_size": T.DoubleType(), "n": T.LongType()}
+    return lines_of(*place, ["along", "text"], line_texts, [T.StructField(c, k) for c, k in kinds.items()], texts)
+
+
+def line_texts(words: pa.Table, starts: np.ndarray, u: np.ndarray, w: np.ndarray) -> pa.Table:
+    """The lines of words (keys, along, text, line) that go by lines: their words from left to right, unknown places
+    first and NaN last, then by text; the largest of the places, which are negated; the number of words."""
+    n, along = np.diff(np.append(starts, words.num_rows)), words["along"]
+    nan = pc.fill_null(pc.is_nan(along), False)
+    order = {"line": pa.array(np.repeat(starts, n)), "known": along.is_valid(), "nan": nan, "along": pc.if_else(nan, 0.0, pc.fill_null(along, 0.0)), "text": words["text"]}
+    text = words["text"].take(pc.sort_indices(pa.table(order), sort_keys=[(c, "ascending") for c in order]))
+    ends = np.append(0, np.cumsum(np.add.reduceat(np.asarray(text.is_valid()).astype("int32"), starts)))
+    joined_ = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text.drop_null().combine_chunks()), " ")
+    lines_ = words.drop_columns(["along", "text"]).take(pa.array(starts)).append_column("text", joined_)
+    return lines_.append_column("cross", pa.array(np.maximum.reduceat(-u, starts))).append_column("font_size", pa.array(np.maximum.reduceat(-w, starts))).append_column("n", pa.array(n))
 
 
 def reading_text(lines_: DataFrame, page: str, panel: str) -> DataFrame:

@@ -135,3 +135,16 @@ def test_rows_of_small_pages_are_not_gathered_in_lists(spark, sf):
     got = plan(G.lines(rows, ["page"])).split("== Physical Plan ==")[1]
     assert got.count("Exchange") == 1 and "collect_list" not in got
     assert "__u" not in got[got.index("Exchange") :]
+
+
+def test_texts_of_lines_with_odd_numbers(spark, monkeypatch):
+    """e_02: places that are NaN, null or -0.0, sizes that are NaN or negative, and keys that are NaN, the same by either way."""
+    odd = [float("nan"), float("inf"), 0.0, -0.0, 3.0, 2.5, 1.0, -4.0]
+    rows = [(k, a, c, s, t) for k in (1.0, float("nan"), None) for i, c in enumerate(odd) for s in (odd[i - 1], 2.0) for a, t in ((None, "n"), (float("nan"), "é"), (-0.0, "y"), (0.0, "x"), (1.0, None))]
+    spans = spark.createDataFrame(rows, "page double, along double, cross double, font_size double, text string")
+    got = []
+    for rows_of_a_page, piece in ((8192, 1 << 16), (8192, 3), (0, 3)):
+        monkeypatch.setattr(scans, "PAGE_ROWS", rows_of_a_page)
+        monkeypatch.setattr(scans, "PIECE", piece)
+        got.append(sorted(map(str, G.lines(spans, ["page"]).selectExpr("page", "line", "text", "cross + 0.0D AS c", "font_size + 0.0D AS s", "n").collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 3
